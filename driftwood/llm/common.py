@@ -81,6 +81,34 @@ def ngram_codes(data: np.ndarray, order: int) -> np.ndarray:
     return code
 
 
+def training_codes(column: pa.Array, order: int, after: int = 0) -> np.ndarray:
+    """The n-grams that end in the texts' bytes, or in the `after` zero bytes behind each."""
+    data, starts, _ = joined(column, order, after)
+    inside = np.ones(len(data), bool)
+    inside[(starts[:, None] - np.arange(1, order + 1)).ravel()] = False
+    return ngram_codes(data, order)[inside[order:]]
+
+
+class Tally:
+    """Counts of codes, merged as they come: once what waits outgrows what is merged."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, codes: np.ndarray) -> None:
+        self.parts.append(run_lengths(codes))
+        if len(self.parts) > 1 and sum(len(c) for c, _ in self.parts[1:]) > len(self.parts[0][0]):
+            self.parts = [self.total()]
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.concatenate([c for c, _ in self.parts])
+        n = np.concatenate([n for _, n in self.parts])
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+        edges = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
+        return codes[edges], np.add.reduceat(n, edges) if len(edges) else n
+
+
 def run_lengths(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values and how often each occurs."""
     if not len(values):

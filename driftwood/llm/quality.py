@@ -65,7 +65,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns `keep` of docs and the counts of each whole text; null text has no words."""
     schema = docs.select(*keep).schema
     for c in (*BASE, *MORE):
-        schema = schema.add(c, "bigint")
+        schema = schema.add(c, "long")
 
     def run(batches):
         for batch in chunks(batches):
