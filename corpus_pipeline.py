@@ -2,11 +2,38 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftwood.llm import common
+from driftwood.llm import common, langid, packing, quality, simhash
 
-STAGES: list = []
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; those without letters and those whose best language has no more than half the likelihood go."""
+    trees = langid.learn(docs.where(~langid.held_out()))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text")
+    found = langid.identify(rows, trees, ["row"])
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0.5)).select("row.*")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the certified cutoffs of their language keep."""
+    return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens."""
+    return packing.pack(packing.pieces(docs, packing.tokenizer_text(public_tokenizers.path("word_bpe_49k.json"))))
+
+
+STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("near_dedup", near_dedup), ("packing", pack)]
+#: SQL has no such models, hashes or tokenizers; the tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
@@ -15,5 +42,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = common.materialise(docs) if k + 1 < len(STAGES) else docs
+        if k + 1 < len(STAGES):
+            docs = common.materialise(docs)
     return docs

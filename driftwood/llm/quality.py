@@ -72,7 +72,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
             found = list(zip(*map(counts, as_bytes(batch.column(len(keep)))), strict=True))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, pa.int64()) for c in found]], [*keep, *BASE, *MORE])
 
-    return docs.select(*keep, F.col("text").alias("text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("measured_text")).mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
@@ -159,5 +159,17 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", risk
     return valued.join(cutoffs, "stratum", "left").select("doc_id", *BASE, base_failed().alias("base_failed"), (~base_failed() & ~rejected()).alias("kept"), "level")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
+    """The rows of docs, all their columns, that judge() keeps. Texts are measured twice rather than shuffled."""
+    columns = docs.columns
+    name = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
+    named = docs.withColumn("stratum", name)
+    cutoffs = certified_cutoffs(materialise(measure(named, ["doc_id", "stratum"])), labels, risk, doubt)
+    # the row's own columns go in one struct, so that no count's name clashes
+    rows = measure(named.select(F.struct(*[F.col(c) for c in columns]).alias("row"), "stratum", "text"), ["row", "stratum"])
+    valued = rows.select("*", *[rule_value(r).alias(f"v_{r}") for r in RULES]).join(cutoffs, "stratum", "left")
+    return valued.where(~base_failed() & ~rejected()).select("row.*")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwood.llm import bpe, chat, media, packing, sharding
+from driftwood.llm import bpe, chat, ctw, html, langid, media, packing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_media_columns": media.op2_media_columns,
+    "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_sharding": sharding.op6_sharding,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_html_extraction": html.op8_html_extraction,
+    "op9_language_id": langid.op9_language_id,
+    "op10_lm_scoring": ctw.op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": chat.OP5_SQL}

@@ -34,15 +34,16 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a bigint. Null text has no words; other columns are not read."""
+def fingerprints(docs: DataFrame, words: int = WORDS, keep: list[str] | None = None) -> DataFrame:
+    """Columns `keep` (doc_id) and fp: the fingerprint's bits as a bigint. Null text has no words; other columns are not read."""
+    keep = keep or ["doc_id"]
 
     def run(batches):
         for batch in chunks(batches):
-            values = np.array([fingerprint(t, words) for t in as_bytes(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(values)], ["doc_id", "fp"])
+            values = np.array([fingerprint(t, words) for t in as_bytes(batch.column(len(keep)))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values)], [*keep, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(*keep, F.col("text").alias("hashed_text")).mapInArrow(run, docs.select(*keep).schema.add("fp", "long"))
 
 
 def _keys(fps: DataFrame) -> DataFrame:
@@ -126,13 +127,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, crowded: int = 1000) ->
     Links join fingerprints at 2 or fewer differing bits, so texts without words are one component. Null doc_ids
     don't name a component: one of only such rows has component_id null. Repeated rows stay; an empty table gives an empty result.
     """
-    rows = materialise(fingerprints(docs, words))
+    linked = link(materialise(fingerprints(docs, words)), crowded)
+    return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def link(rows: DataFrame, crowded: int = 1000) -> DataFrame:
+    """rows (doc_id, fp, ...; a written table) with component_id."""
     fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     rooted = materialise(components(near_pairs(fps.select("fp"), crowded)))
     named = rooted.join(fps, rooted["node"] == fps["fp"]).groupBy("root").agg(F.min("least").alias("component"))
     linked = rooted.join(named, "root").select(F.col("node").alias("fp"), "component")
     ids = fps.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(ids, "fp")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, crowded: int = 1000) -> DataFrame:
+    """One row of docs, all its columns, for each component: that of its smallest doc_id (of repeated ones, any).
+
+    Rows without doc_id are kept only if their component has no others; then one of each fingerprint's.
+    """
+    tagged = fingerprints(docs.withColumn("own_row", F.struct(*[F.col(c) for c in docs.columns])), words, ["own_row", "doc_id"])
+    tagged = materialise(tagged.withColumn("row_id", F.monotonically_increasing_id()))
+    linked = link(tagged.select("row_id", "doc_id", "fp"), crowded)
+    # the components of rows without any doc_id are told apart by fingerprint
+    chosen = linked.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min_by("row_id", F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("row_id"))
+    return tagged.join(chosen.select("row_id"), "row_id", "left_semi").select("own_row.*")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
