@@ -1 +1,26 @@
-"""See the README for what lives here."""
+"""An extension: the history index kept up to date from a stream of commits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from driftwood.functions import fixed
+from driftwood.operators import history
+
+
+def refresh_index(commits: DataFrame, path: str, checkpoint: str, window: int = fixed.WINDOW) -> StreamingQuery:
+    """commits: a stream of (repo, sha, ts, type, ...). Each batch adds what the index at `path` lacks and keeps the newest `window` a repo.
+
+    Every batch writes a new table, path/batch=N, from that of the batch before: one that is run again gives the same.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(["repo", "sha"])
+        if number:
+            held = spark.read.schema(new.schema).parquet(f"{path}/batch={number - 1}")
+            new = held.unionByName(history.missing(new, held))
+        history.refreshed(new, new.limit(0), new, window).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return commits.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
