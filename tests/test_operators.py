@@ -1,0 +1,233 @@
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from driftwood import sinks, sources, streaming
+from driftwood.functions import fixed
+from driftwood.operators import decisions, diffs, features, history, neighbours, scoring, training
+
+PATCH = '''some preamble
+diff --git a/src/a b.py b/src/a b.py
+index 1..2 100644
+--- a/src/a b.py
++++ b/src/a b.py
+@@ -1,2 +1,2 @@ def f():
+-old
++new
+ context
+--- looks like a header
++++ but is a line
+diff --git a/old.txt b/new.txt
+similarity index 90%
+rename from old.txt
+rename to new.txt
+diff --git a/img.png b/img.png
+new file mode 100755
+Binary files /dev/null and b/img.png differ
+diff --git "a/caf\\303\\251.md" "b/caf\\303\\251.md"
+deleted file mode 100644
+--- "a/caf\\303\\251.md"
++++ /dev/null
+@@ -1 +0,0 @@
+-bye
+\\ No newline at end of file
+diff --cc merged.go
+@@@ -1,1 -1,1 +1,1 @@@
+++both
+'''
+PLAIN = "--- old/x.c\t2024-01-01\n+++ new/x.c\t2024-01-02\n@@ -1 +1 @@\n-a\n+b\n"
+
+
+def test_diff_parser(spark):
+    df = spark.createDataFrame([(1, PATCH), (2, PLAIN), (3, "no diff here\n+x"), (4, ""), (5, None)], "commit_id bigint, patch string")
+    lines = diffs.numbered_lines(df)
+    found = [(r.commit_id, r.path, r.old_path, r.status, r.binary, r.mode, r.added, r.removed, r.hunks) for r in diffs.files(lines).orderBy("commit_id", "file_no").collect()]
+    assert found == [
+        (1, "src/a b.py", "", "modified", False, "", 2, 2, ["def f():"]),
+        (1, "new.txt", "old.txt", "renamed", False, "", 0, 0, []),
+        (1, "img.png", "", "added", True, "100755", 0, 0, []),
+        (1, "café.md", "", "deleted", False, "", 0, 1, []),
+        (1, "merged.go", "", "modified", False, "", 1, 0, ["@"]),
+        (2, "old/x.c", "", "modified", False, "", 1, 1, []),
+    ]
+    changed = diffs.changed_lines(lines).where("commit_id = 1 and file_no = 1").orderBy("ln").collect()
+    assert [(r.added, r.text) for r in changed] == [(False, "old"), (True, "new"), (False, "-- looks like a header"), (True, "++ but is a line")]
+
+
+def test_diff_caps(spark):
+    long = "diff --git a/x b/x\n@@ -1 +1 @@\n" + "\n".join("+l" for _ in range(410))
+    lines = diffs.numbered_lines(spark.createDataFrame([(1, long), (2, PLAIN)], "commit_id bigint, patch string"))
+    assert diffs.changed_lines(lines).where("commit_id = 1").count() == fixed.MAX_LINES
+    assert diffs.files(lines).where("commit_id = 1").first().added == 410
+    assert {r.commit_id: r.truncated for r in diffs.truncated(lines).collect()} == {1: True, 2: False}
+
+
+def test_features(spark):
+    lines = spark.createDataFrame([(1, True, "fooBar()"), (1, False, "foo( )"), (1, False, "x  y"), (1, True, "xy"), (2, True, "z" * 500)], "commit_id bigint, added boolean, text string")
+    counts = {(r.commit_id, r.feature): r.n for r in features.token_counts(lines).collect()}
+    assert counts == {(1, "a:foo"): 1, (1, "a:bar"): 1, (1, "r:foo"): 1, (1, "a:xy"): 1}
+    assert {r.feature for r in features.vocabulary_difference(lines).collect()} == {"x:bar", "x:xy"}
+    assert {r.commit_id: r.similarity for r in features.space_only_similarity(lines).collect()} == {1: 0.5}
+    assert {r.commit_id: round(r.jaccard, 6) for r in features.token_jaccard(lines).collect()} == {1: round(1 / 3, 6)}
+    assert {r.feature for r in features.shape_counts(lines).where("commit_id = 2").collect()} == {"A1:<long>"}
+    norm = features.log_tf_l2(features.token_counts(lines)).groupBy("commit_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).first().s
+    assert norm == pytest.approx(1)
+    m = spark.createDataFrame([(1, "fix login (#12)"), (2, "!!"), (3, "")], "commit_id bigint, message string")
+    assert {(r.commit_id, r.feature) for r in features.message_counts(m).collect()} == {(1, "m1:fix"), (1, "m:fix"), (1, "m:login"), (1, "m2:fix_login"), (2, "m:<empty>")}
+
+
+def test_history_has_no_leak(spark):
+    rows = [("r", i, "a" if i % 3 else "b", f"p{i % 2}") for i in range(50)] + [("s", 1, "a", "p")]
+    commits = history.numbered(spark.createDataFrame(rows, "repo string, ts bigint, type string, path string"), ["ts"])
+    found = {(r.repo, r.pos): r for r in history.with_prior(commits, ["a", "b"], 10).collect()}
+    for repo in "rs":
+        mine = [t for x, _, t, _ in rows if x == repo]
+        for pos in range(1, len(mine) + 1):
+            seen = mine[max(0, pos - 11) : pos - 1]
+            assert found[repo, pos].size == len(seen)
+            assert found[repo, pos].prior == pytest.approx([(seen.count(c) + 1) / (len(seen) + 2) for c in "ab"])
+    prior = history.with_prior(commits, ["a", "b"], 10)
+    files = {(r.repo, r.pos): r for r in history.file_evidence(prior, commits, ["a", "b"], 10).collect()}
+    assert not files["r", 1].seen and files["r", 3].seen and sum(files["r", 30].file) == pytest.approx(1)
+
+
+def test_history_index(spark):
+    schema = "repo string, sha string, ts bigint, type string, v int"
+    wanted = spark.createDataFrame([("r", f"s{i}", i, "fix", 0) for i in range(6)], schema)
+    cache = spark.createDataFrame([("r", "s1", 0, "old", 1), ("r", "gone", 0, "old", 9)], schema)
+    assert history.missing(wanted, cache).count() == 5
+    fresh = spark.createDataFrame([("r", "s2", 0, "old", 2), ("r", "s5", 0, "old", 5)], schema)
+    assert {(r.sha, r.ts, r.type, r.v) for r in history.refreshed(wanted, cache, fresh, 2).collect()} == {("s5", 5, "fix", 5), ("s2", 2, "fix", 2)}
+
+
+def test_confusion_and_priors(spark):
+    g = spark.createDataFrame([("r", "a", "b"), ("r", "a", "b"), ("r", "b", "b")], "repo string, guess string, type string")
+    m = {(r.guess, r.type): r.p for r in history.confusion(g, ["a", "b"]).collect()}
+    assert m["a", "b"] == pytest.approx(2.2 / 4.4) and m["b", "b"] == pytest.approx(3.2 / 3.4)
+    row = spark.range(1).select(history.adapted_prior(F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.8), F.lit(0.2)), F.array(F.lit(0.5), F.lit(0.5))).alias("p"), history.ranked(F.array(F.lit(0.2), F.lit(0.4), F.lit(0.4)), ["x", "y", "z"]).alias("r")).first()
+    assert sum(row.p) == pytest.approx(1) and row.p[0] > 0.5
+    assert [x["type"] for x in row.r] == ["y", "z", "x"]
+
+
+def test_neighbours(spark):
+    import random
+
+    r = random.Random(1)
+    vecs = [(0, i, [r.gauss(0, 1) for _ in range(4)], "a" if i % 2 else "b") for i in range(40)]
+    df = spark.createDataFrame(vecs, "repo int, pos bigint, vec array<float>, type string")
+    pairs = {(x.pos, x.other) for x in neighbours.dense_pairs(df, 7).collect()}
+    assert pairs == {(p, o) for p in range(40) for o in range(max(0, p - 7), p)}
+    near = neighbours.nearest(neighbours.dense_pairs(df, 7), 3)
+    assert near.groupBy("pos").count().agg(F.max("count")).first()[0] == 3
+    v = neighbours.votes(near, df, ["a", "b"]).groupBy("pos").agg(F.sum("p").alias("s")).collect()
+    assert all(x.s == pytest.approx(1) for x in v)
+
+
+def test_scoring(spark):
+    f = spark.createDataFrame([(1, 7, 0.5), (1, 8, 2.0), (2, 9, 1.0)], "commit_id bigint, bucket bigint, weight double")
+    w = spark.createDataFrame([(7, "a", 2.0), (7, "b", -1.0), (8, "b", 1.0)], "bucket bigint, class string, w double")
+    b = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "class string, bias double")
+    z = scoring.logits(f, w, b)
+    assert {(r.commit_id, r["class"]): round(r.z, 6) for r in z.collect()} == {(1, "a"): 1.1, (1, "b"): 1.7, (2, "a"): 0.1, (2, "b"): 0.2}
+    ranked = scoring.rank(scoring.softmax(z))
+    told = scoring.explain(f, w, ranked).collect()
+    assert {(r.bucket, r.side, round(r.margin, 6)) for r in told} == {(7, "against", -1.5), (8, "for", 2.0)}
+    assert {(r.bucket, r["class"], r.q) for r in scoring.quantise(scoring.prune(w, 1)).collect()} == {(7, "a", 32767), (7, "b", -16384)}
+
+
+def emoji_row(**more):
+    base = {"commit_id": 1, "type": "feat", "breaking": False, "subject": "", "dependency": None, "version_bump": False, "files": 2, "added": 5, "removed": 1, "renamed": 0, "largest": 5, "logs": 0, "comments": False}
+    base |= {f"all_{x}": False for x in ("gitignore", "license", "contributors", "bot_config", "types", "database", "mock")} | {f"n_{c}": 0 for c in ("i18n", "asset", "style", "ci", "docs", "changelog", "snapshot", "build", "lock", "version")}
+    return base | more
+
+
+EMOJI_CASES = [
+    ({}, "sparkles"), ({"subject": "[WIP] x"}, "construction"), ({"type": "revert"}, "rewind"), ({"breaking": True}, "boom"), ({"all_license": True}, "page_facing_up"), ({"renamed": 1}, "truck"), ({"renamed": 1, "largest": 40}, "sparkles"),
+    ({"n_i18n": 2}, "globe_with_meridians"), ({"type": "test", "n_i18n": 2}, "white_check_mark"), ({"logs": 1}, "loud_sound"), ({"logs": -1, "type": "fix"}, "mute"), ({"logs": 1, "type": "ci"}, "construction_worker"), ({"subject": "improve SEO"}, "mag"),
+    ({"added": 0}, "fire"), ({"type": "fix", "subject": "hotfix crash"}, "ambulance"), ({"type": "fix", "n_ci": 2}, "green_heart"), ({"type": "docs", "subject": "typo"}, "pencil2"), ({"type": "docs", "comments": True}, "bulb"), ({"type": "style", "n_style": 2}, "lipstick"),
+    ({"type": "refactor", "added": 0, "subject": "remove dead code"}, "coffin"), ({"type": "test", "all_mock": True}, "clown_face"), ({"type": "build", "dependency": "arrow_up"}, "arrow_up"), ({"type": "chore", "version_bump": True}, "bookmark"),
+    ({"type": "ci", "subject": "fix flaky job"}, "green_heart"), ({"type": "chore", "subject": "bump x", "n_lock": 1}, "arrow_up"), ({"type": "chore"}, "wrench"), ({"type": "perf"}, "zap"), ({"type": "fix", "files": 0}, "bug"),
+]
+
+
+def test_emoji_rules(spark):
+    rows = [emoji_row(**case, commit_id=i) for i, (case, _) in enumerate(EMOJI_CASES)]
+    schema = ", ".join(f"{k} {'string' if k in ('type', 'subject', 'dependency') else 'boolean' if isinstance(v, bool) else 'bigint'}" for k, v in emoji_row().items())
+    found = {r.commit_id: r.emoji for r in decisions.pick_emoji(spark.createDataFrame([tuple(r.values()) for r in rows], schema)).collect()}
+    assert [found[i] for i in range(len(EMOJI_CASES))] == [want for _, want in EMOJI_CASES]
+
+
+def test_adapt_emoji(spark):
+    used = spark.createDataFrame([("r", "lipstick", 40), ("r", "art", 1), ("r", "bug", 2), ("r", "label", 1), ("r", "recycle", 30)], "repo string, code string, n bigint")
+    picks = spark.createDataFrame([("r", "style", "art"), ("r", "fix", "lock"), ("r", "refactor", "label"), ("r", "feat", "boom"), ("q", "style", "art")], "repo string, type string, emoji string")
+    assert [r.adapted for r in sorted(decisions.adapt_emoji(picks, used).collect(), key=lambda r: (r.repo, r.type), reverse=True)] == ["lipstick", "label", "lock", "boom", "art"]
+
+
+def test_scope(spark):
+    files = spark.createDataFrame([(1, "packages/ui/a.ts"), (1, "packages/ui/b.ts"), (2, "packages/ui/a.ts"), (2, "packages/db/b.ts"), (3, "billing/x.go"), (4, "main.go")], "commit_id bigint, path string")
+    assert {r.commit_id: r.scope for r in decisions.guess_scope(files).collect()} == {1: "ui", 2: "", 3: "", 4: ""}
+    habits = spark.createDataFrame([("r", 30, 20, [("UI", 5), ("@ui", 9)])], "repo string, conventional bigint, with_scope bigint, scopes array<struct<scope:string,n:bigint>>")
+    repo = spark.createDataFrame([(i, "r") for i in range(1, 5)], "commit_id bigint, repo string")
+    assert {r.commit_id: r.scope for r in decisions.guess_scope(files, habits, repo).collect()} == {1: "@ui", 2: "", 3: "billing", 4: ""}
+
+
+DEPENDENCIES = [
+    ("package.json", '"a": "^1.0.0",', ("a", "^1.0.0")), ("package.json", '"name": "1",', None), ("go.mod", "\tgithub.com/x/y v1.2.3", ("github.com/x/y", "v1.2.3")), ("go.mod", "go 1.22", None), ("Cargo.toml", 'serde = { version = "1.0" }', ("serde", "1.0")),
+    ("requirements.txt", "requests>=2.0", ("requests", ">=2.0")), ("requirements.txt", "# x", None), ("Gemfile", 'gem "rails", "~> 7"', ("rails", "~> 7")), ("pubspec.yaml", "  http: ^1.0.0", ("http", "^1.0.0")), ("mix.exs", '{:plug, "~> 1.0"}', ("plug", "~> 1.0")),
+    ("build.gradle", "implementation 'a.b:c:1.2'", ("a.b:c", "1.2")), (".github/workflows/x.yml", "  - uses: actions/checkout@v4", ("actions/checkout", "v4")), ("Dockerfile", "FROM alpine:3.19", ("alpine", "3.19")), ("pyproject.toml", '"requests>=2",', ("requests", ">=2")), ("a.py", "x = 1", None),
+]
+
+
+def test_dependency_lines(spark):
+    df = spark.createDataFrame([(i, p, x) for i, (p, x, _) in enumerate(DEPENDENCIES)], "i int, path string, text string")
+    found = {r.i: tuple(r.d) if r.d else None for r in df.select("i", decisions.dependency(decisions.manifest(F.col("path")), F.col("text")).alias("d")).collect()}
+    assert [found[i] for i in range(len(DEPENDENCIES))] == [want for _, _, want in DEPENDENCIES]
+
+
+def test_lint_and_calibration(spark):
+    rows = spark.createDataFrame([("feat", "fix", 0.9, "docs"), ("feat", "fix", 0.6, "docs"), ("docs", "fix", 0.9, "docs"), (None, "fix", 0.9, "docs")], "declared string, first string, p double, second string")
+    assert [r.status for r in decisions.lint(rows).collect()] == ["disputed", "ok", "ok", "missing"]
+    c = decisions.calibration(spark.createDataFrame([(1.0, True), (0.95, False)], "p double, correct boolean")).first()
+    assert (c.bucket, c.n, c.accuracy) == (9, 2, 0.5)
+
+
+def test_training_helpers(spark):
+    df = spark.createDataFrame([("k", 2, "a"), ("k", 1, "b"), ("j", None, "c"), (None, 3, "d")], "key string, o int, v string")
+    assert sorted(r.v for r in training.dedup(df, "key", ["o", "v"]).collect()) == ["b", "c", "d"]
+    folds = training.split_by(spark.range(2000).withColumn("k", F.col("id") % 100), "k", 0.2)
+    assert folds.groupBy("k").agg(F.count_distinct("fold").alias("n")).agg(F.max("n")).first()[0] == 1
+    base = spark.createDataFrame([(i, 1, 1.0) for i in range(200)], "commit_id bigint, bucket bigint, weight double")
+    both = training.with_message_dropout(base, base.withColumn("bucket", F.lit(2).cast("bigint")))
+    assert 50 < both.where("has_message").select("commit_id").distinct().count() < 150 and both.where("not has_message").count() == 200
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text(json.dumps({"repo": "r", "sha": "a", "type": "fix", "patch": "p"}) + "\nnot json\n")
+    assert [r.sha for r in sources.read_corpus(spark, str(tmp_path / "c.jsonl")).collect()] == ["a"]
+    (tmp_path / "log.txt").write_text("\x1eabcdefg1\x005\x00feat: x\ndiff --git a/x b/x\n+1\n\x1eabcdefg2\x006\x00fix: y\n")
+    found = sources.read_log(spark, str(tmp_path / "log.txt")).orderBy("ts").collect()
+    assert [(r.sha, r.ts, r.subject) for r in found] == [("abcdefg1", 5, "feat: x"), ("abcdefg2", 6, "fix: y")] and found[0].patch.startswith("diff --git")
+    (tmp_path / "seeds.txt").write_text("# c\na/b 3\n\na/b\nc/d\n")
+    assert {r.repo for r in sources.read_seeds(spark, str(tmp_path / "seeds.txt")).collect()} == {"a/b", "c/d"}
+    index = spark.createDataFrame([("r", "s", 1)], "repo string, sha string, ts bigint")
+    sinks.write_index(index, str(tmp_path / "index"), 2)
+    assert sources.read_index(spark, str(tmp_path / "index"), 1) is None and sources.read_index(spark, str(tmp_path / "index"), 2).count() == 1
+    row = spark.range(1).select(sinks.bar(F.lit(0.5), 4).alias("b"), sinks.percent(F.lit(0.999)).alias("p")).first()
+    assert (row.b, row.p) == ("██░░", 99)
+    checked = spark.createDataFrame([("s1", "x", None, "fix", 0.9, "missing"), ("s2", "y", "feat", "fix", 0.9, "disputed"), ("s3", "z", "fix", "fix", 0.9, "ok")], "sha string, subject string, declared string, first string, p double, status string")
+    assert [r.value.split("::")[1] for r in sinks.check_lines(checked).collect()] == ["error", "warning"]
+
+
+def test_stream_refresh(spark, tmp_path):
+    source = tmp_path / "in"
+    commits = [("r", f"s{i}", i, "fix") for i in range(8)]
+    schema = "repo string, sha string, ts bigint, type string"
+    for k in range(2):
+        spark.createDataFrame(commits[k * 3 : k * 3 + 5], schema).coalesce(1).write.mode("append").json(str(source))
+        stream = spark.readStream.schema(schema).json(str(source))
+        streaming.refresh_index(stream, str(tmp_path / "index"), str(tmp_path / "checkpoint"), 4).awaitTermination(60)
+    found = spark.read.schema(schema).json(str(source)).count(), {r.sha for r in spark.read.parquet(str(tmp_path / "index" / "batch=1")).collect()}
+    assert found == (10, {"s4", "s5", "s6", "s7"})
