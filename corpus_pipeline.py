@@ -12,8 +12,7 @@ from driftwood.llm import common, langid, packing, quality, simhash
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without letters and those whose best language has no more than half the likelihood go."""
     trees = langid.learn(docs.where(~langid.held_out()))
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text")
-    found = langid.identify(rows, trees, ["row"])
+    found = langid.identify(common.as_row(docs), trees, ["row"])
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0.5)).select("row.*")
 
 

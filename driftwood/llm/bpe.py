@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,15 +40,46 @@ class Ranks:
         self.pair = pairs
         self.pair_ranks = np.array([pairs[int(c)] for c in codes], np.int32)
         self.table = CodeTable(codes, -self.pair_ranks)
-        self.byte_ids = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
+        self.byte_ids = self.last_ids = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
+
+    def start(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The ids of single bytes; the last of a piece may have its own."""
+        ids, last = self.byte_ids[data], np.cumsum(lengths) - 1
+        ids[last] = self.last_ids[data[last]]
+        return ids
 
     def of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         at = self.table.find(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))
         return np.where(at >= 0, self.pair_ranks[at], NONE)
 
 
-def merge_many(pieces: list[bytes], ranks: Ranks) -> list[np.ndarray]:
-    """Token ids of each piece; all have 2 to `width` bytes, the width a power of two. One segment tree a row."""
+class WordRanks(Ranks):
+    """The merges of a tokenizer file whose words end in a marked token; ids are in the order of the merges."""
+
+    def __init__(self, tokenizer_json: str, end: str = "</w>"):
+        model = json.loads(tokenizer_json)["model"]
+        ids, symbols = model["vocab"], byte_symbols()
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        pairs = {ids[a] << 32 | ids[b]: ids[a + b] for a, b in merges}
+        if list(pairs.values()) != sorted(pairs.values()):
+            raise ValueError("ids are not in the order of the merges")
+        codes = np.array(sorted(pairs), np.uint64)
+        self.pair = pairs
+        self.pair_ranks = np.array([pairs[int(c)] for c in codes], np.int32)
+        self.table = CodeTable(codes, -self.pair_ranks)
+        self.byte_ids = np.array([ids[c] for c in symbols], np.int32)
+        self.last_ids = np.array([ids[c + end] for c in symbols], np.int32)
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in byte-level files: its own if that can be seen, else one from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return [chr(b) if b in seen else chr(0x100 + hidden.index(b)) for b in range(256)]
+
+
+def merge_many(pieces: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all pieces, one after another, and how many each has; none is empty. One segment tree a row, as wide as the longest piece needs."""
     n, lengths = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
     width = 1 << int(lengths.max() - 1).bit_length()
     data = np.frombuffer(b"".join(pieces), np.uint8)
@@ -55,14 +87,15 @@ def merge_many(pieces: list[bytes], ranks: Ranks) -> list[np.ndarray]:
     column = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     # column width is a sentinel: no token, so no pair
     token = np.full((n, width + 1), -1, np.int32)
-    token[row, column] = ranks.byte_ids[data]
+    first = ranks.start(data, lengths)
+    token[row, column] = first
     token = token.ravel()
     after = np.tile(np.minimum(np.arange(1, width + 2), width).astype(np.int32), (n, 1)).ravel()
     before = np.tile(np.arange(-1, width, dtype=np.int32), (n, 1)).ravel()
     tree = np.full((n, 2 * width), NONE, np.int32)
     paired = column < np.repeat(lengths, lengths) - 1
     at = np.flatnonzero(paired)
-    tree[row[at], width + column[at]] = ranks.of_pairs(ranks.byte_ids[data[at]], ranks.byte_ids[data[at + 1]])
+    tree[row[at], width + column[at]] = ranks.of_pairs(first[at], first[at + 1])
     level = width >> 1
     while level:
         tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
@@ -103,15 +136,14 @@ def merge_many(pieces: list[bytes], ranks: Ranks) -> list[np.ndarray]:
                 tree[base + node] = np.minimum(tree[base + 2 * node], tree[base + 2 * node + 1])
                 node >>= 1
     token = token.reshape(n, width + 1)
-    counts = (token >= 0).sum(axis=1)
-    return np.split(token[token >= 0], np.cumsum(counts)[:-1])
+    return token[token >= 0], (token >= 0).sum(axis=1)
 
 
 def merge_one(piece: bytes, ranks: Ranks) -> list[int]:
     """The same for one long piece."""
     n, none = len(piece), int(NONE)
     width = 1 << (n - 1).bit_length()
-    token = [int(ranks.byte_ids[b]) for b in piece] + [-1]
+    token = [*ranks.start(np.frombuffer(piece, np.uint8), np.array([n])).tolist(), -1]
     after, before = list(range(1, n + 1)) + [n], list(range(-1, n))
     tree = [none] * (2 * width)
     get = ranks.pair.get
@@ -146,6 +178,23 @@ def merge_one(piece: bytes, ranks: Ranks) -> list[int]:
     return [t for t in token if t >= 0]
 
 
+def merge_all(pieces: list[tuple[str, bytes]], ranks: Ranks, into: dict[str, bytes]) -> None:
+    """Puts the ids of each piece (little-endian uint32) into a dict under its name; pieces of like length are merged together."""
+    by_width: dict[int, list[tuple[str, bytes]]] = {}
+    for name, data in pieces:
+        if len(data) > LONG:
+            into[name] = np.array(merge_one(data, ranks), "<u4").tobytes()
+        else:
+            by_width.setdefault((len(data) - 1).bit_length(), []).append((name, data))
+    for bits, some in by_width.items():
+        step = max(1, (1 << 21) >> bits)
+        for at in range(0, len(some), step):
+            part = some[at : at + step]
+            ids, counts = merge_many([d for _, d in part], ranks)
+            flat, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            into.update(zip([p for p, _ in part], map(flat.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+
+
 class PieceIds(dict):
     """Piece (str) -> the bytes of its ids, little-endian uint32; when large, only what is in use stays."""
 
@@ -157,23 +206,15 @@ class PieceIds(dict):
         self.decimals = [b"%d" % k for k in range(size)]
 
     def learn(self, new: list[str]) -> None:
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
+        rest = []
         for piece in new:
             data = piece.encode("utf-8", "surrogatepass")
             whole = self.ranks.rank.get(data)
             if whole is not None:
                 self[piece] = whole.to_bytes(4, "little")
-            elif len(data) > LONG:
-                self[piece] = np.array(merge_one(data, self.ranks), "<u4").tobytes()
             else:
-                by_width.setdefault((len(data) - 1).bit_length(), []).append((piece, data))
-        for bits, some in by_width.items():
-            step = max(1, (1 << 21) >> bits)
-            for at in range(0, len(some), step):
-                part = some[at : at + step]
-                found = merge_many([d for _, d in part], self.ranks)
-                flat, ends = np.concatenate(found).astype("<u4").tobytes(), (4 * np.cumsum([len(x) for x in found])).tolist()
-                self.update(zip([p for p, _ in part], map(flat.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+                rest.append((piece, data))
+        merge_all(rest, self.ranks, self)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [self.pattern.findall(t) for t in texts]

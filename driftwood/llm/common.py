@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,22 @@ def as_bytes(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
-def chunks(batches: Iterable[pa.RecordBatch], most_bytes: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+def text_of(batch: pa.RecordBatch, keep: list[str]) -> pa.Array:
+    """The texts: those in the struct `row`, if that is what is kept, else the column behind the kept ones."""
+    return pc.struct_field(batch.column(keep.index("row")), "text") if "row" in keep else batch.column(len(keep))
+
+
+def with_text(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """What text_of() reads: no text is sent twice."""
+    return docs.select(*keep, *([] if "row" in keep else [F.col("text").alias("its_text")]))
+
+
+def as_row(docs: DataFrame, *more: Column) -> DataFrame:
+    """Every column of docs in one struct, `row`, so that no name clashes, and more columns beside it."""
+    return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *more)
+
+
+def chunks(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut at rows so that each holds about most_bytes (or one row)."""
     for batch in batches:
         if not batch.num_rows:
@@ -149,5 +165,17 @@ class CodeTable:
         return found
 
 
+def packed(values: np.ndarray) -> bytes:
+    """An array of integers as bytes: all first bytes, all second ones and so on, compressed; small numbers cost little."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(data[8:], n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
+
+
 def crc32_of(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF

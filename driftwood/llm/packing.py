@@ -10,9 +10,9 @@ into another one, so a node sends up its small bins and the emptiest others as h
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwood.llm.bpe import WordRanks, merge_all
 from driftwood.llm.common import as_bytes, chunks, crc32_of, materialise, table
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -30,9 +31,11 @@ BIN_BITS = 40
 
 
 # str.split() also splits at these, which the tokenizer keeps as text
-ODD_SPACE = regex.compile("[\x1c-\x1f]")
+ODD_SPACE = re.compile(b"[\x1c-\x1f]")
 SPACE = regex.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 # what the tokenizer's own pattern takes apart from letters, if no quote is near
+ALNUM = re.compile("[0-9A-Za-z]")
+APART_ASCII = re.compile(r"[a-z]+|[0-9]|[^\sa-z0-9]+")
 APART = regex.compile(r"[^\s\p{L}\p{N}]+|\p{N}")
 
 
@@ -42,39 +45,54 @@ def parts(text: bytes) -> list[str]:
     A-Z is lower-cased, as the tokenizer does. Words are taken apart only in composed texts without quotes and dotted capital I,
     where neither composition, contractions nor lower case reach across such a cut.
     """
-    t = text.lower().decode("utf-8", "replace")
-    if ODD_SPACE.search(t):
+    low = text.lower()
+    odd, quoted = ODD_SPACE.search(low), b"'" in low
+    if low.isascii() and not odd:
+        return low.decode().split() if quoted else APART_ASCII.findall(low.decode())
+    t = low.decode("utf-8", "replace")
+    if odd:
         return SPACE.split(t.strip(" \t\n\r"))
-    if t.isascii() and "'" not in t or "'" not in t and "\u0130" not in t and unicodedata.is_normalized("NFC", t):
+    if not quoted and "\u0130" not in t and unicodedata.is_normalized("NFC", t):
         t = APART.sub(r" \g<0> ", t)
     return t.split()
 
 
-class PartIds(dict):
-    """Part -> the bytes of its token ids (little-endian uint32), filled by ids(); when large, only what is in use stays."""
+def one_word(part: str) -> bool:
+    """Whether the tokenizer leaves a part as it is: a run of lower-case Latin letters, a digit, or ASCII marks without quotes."""
+    return part.isascii() and (part.isalpha() or len(part) == 1 or not (part.isalnum() or "'" in part or ALNUM.search(part))) or part.isalpha() and part == part.lower() and max(part) < "\u0250"
+
+
+class PartIds:
+    """Part -> the bytes of its token ids (little-endian uint32), filled by ids(); when large, only what is in use stays.
+
+    What is one word of the tokenizer goes straight to its merges, many at a time; all else through the library.
+    """
 
     def __init__(self, tokenizer_json: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_str(tokenizer_json), most
+        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.ranks, self.most = Tokenizer.from_str(tokenizer_json), WordRanks(tokenizer_json), most
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [parts(t) for t in texts]
         seen = set().union(*split)
-        if len(self) + len(seen) > self.most:
-            kept = {w: self[w] for w in seen if w in self}
-            self.clear()
-            self.update(kept)
-        new = [w for w in seen if w not in self]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            flat, ends = np.fromiter(chain.from_iterable(found), "<u4").tobytes(), np.cumsum([4 * len(x) for x in found]).tolist()
-            self.update(zip(some, map(flat.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+        if len(self.known) + len(seen) > self.most:
+            self.known = {w: self.known[w] for w in seen if w in self.known}
+        plain, other = [], []
+        for w in seen.difference(self.known):
+            if w and one_word(w):
+                plain.append((w, w.encode()))
+            else:
+                other.append(w)
+        merge_all(plain, self.ranks, self.known)
+        for at in range(0, len(other), 20_000):
+            some = other[at : at + 20_000]
+            for w, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(found.ids, "<u4").tobytes()
         for words in split:
-            yield b"".join(map(self.__getitem__, words))
+            yield b"".join(map(self.known.__getitem__, words))
 
 
 _words: dict[int, PartIds] = {}

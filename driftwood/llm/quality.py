@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import as_bytes, chunks, materialise, table
+from driftwood.llm.common import as_bytes, as_row, chunks, materialise, table, text_of, with_text
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_upper", "n_marks")
@@ -69,10 +69,10 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches):
         for batch in chunks(batches):
-            found = list(zip(*map(counts, as_bytes(batch.column(len(keep)))), strict=True))
+            found = list(zip(*map(counts, as_bytes(text_of(batch, keep))), strict=True))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, pa.int64()) for c in found]], [*keep, *BASE, *MORE])
 
-    return docs.select(*keep, F.col("text").alias("measured_text")).mapInArrow(run, schema)
+    return with_text(docs, keep).mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
@@ -146,6 +146,12 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02
     return proposed.join(tried.groupBy("stratum").applyInPandas(certify, "stratum string, level int"), ["stratum", "level"])
 
 
+def with_cutoffs(valued: DataFrame, cutoffs: DataFrame, most: int = 20_000) -> DataFrame:
+    """Joins the strata's cutoffs, sent to every task if there are at most `most` (a few MB); beyond, rows are dealt by stratum, the large ones split."""
+    cutoffs = materialise(cutoffs)
+    return valued.join(F.broadcast(cutoffs) if cutoffs.count() <= most else cutoffs, "stratum", "left")
+
+
 def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
     """doc_id, the counts of BASE, base_failed, kept, level (of the stratum's cutoffs; null: none is certified).
 
@@ -156,19 +162,15 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", risk
     measured = materialise(measure(docs.select("doc_id", name.alias("stratum"), "text"), ["doc_id", "stratum"]))
     cutoffs = certified_cutoffs(measured, labels, risk, doubt)
     valued = measured.select("*", *[rule_value(r).alias(f"v_{r}") for r in RULES])
-    return valued.join(cutoffs, "stratum", "left").select("doc_id", *BASE, base_failed().alias("base_failed"), (~base_failed() & ~rejected()).alias("kept"), "level")
+    return with_cutoffs(valued, cutoffs).select("doc_id", *BASE, base_failed().alias("base_failed"), (~base_failed() & ~rejected()).alias("kept"), "level")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
     """The rows of docs, all their columns, that judge() keeps. Texts are measured twice rather than shuffled."""
-    columns = docs.columns
     name = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
-    named = docs.withColumn("stratum", name)
-    cutoffs = certified_cutoffs(materialise(measure(named, ["doc_id", "stratum"])), labels, risk, doubt)
-    # the row's own columns go in one struct, so that no count's name clashes
-    rows = measure(named.select(F.struct(*[F.col(c) for c in columns]).alias("row"), "stratum", "text"), ["row", "stratum"])
-    valued = rows.select("*", *[rule_value(r).alias(f"v_{r}") for r in RULES]).join(cutoffs, "stratum", "left")
-    return valued.where(~base_failed() & ~rejected()).select("row.*")
+    cutoffs = certified_cutoffs(materialise(measure(docs.select("doc_id", name.alias("stratum"), "text"), ["doc_id", "stratum"])), labels, risk, doubt)
+    valued = measure(as_row(docs, name.alias("stratum")), ["row", "stratum"]).select("*", *[rule_value(r).alias(f"v_{r}") for r in RULES])
+    return with_cutoffs(valued, cutoffs).where(~base_failed() & ~rejected()).select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

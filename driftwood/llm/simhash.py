@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import as_bytes, chunks, materialise, table
+from driftwood.llm.common import as_bytes, as_row, chunks, materialise, table, text_of, with_text
 
 SEED, WORDS, BITS = 42, 3, 64
 
@@ -40,10 +40,10 @@ def fingerprints(docs: DataFrame, words: int = WORDS, keep: list[str] | None = N
 
     def run(batches):
         for batch in chunks(batches):
-            values = np.array([fingerprint(t, words) for t in as_bytes(batch.column(len(keep)))], np.uint64).view(np.int64)
+            values = np.array([fingerprint(t, words) for t in as_bytes(text_of(batch, keep))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values)], [*keep, "fp"])
 
-    return docs.select(*keep, F.col("text").alias("hashed_text")).mapInArrow(run, docs.select(*keep).schema.add("fp", "long"))
+    return with_text(docs, keep).mapInArrow(run, docs.select(*keep).schema.add("fp", "long"))
 
 
 def _keys(fps: DataFrame) -> DataFrame:
@@ -146,12 +146,11 @@ def keep_one(docs: DataFrame, words: int = WORDS, crowded: int = 1000) -> DataFr
 
     Rows without doc_id are kept only if their component has no others; then one of each fingerprint's.
     """
-    tagged = fingerprints(docs.withColumn("own_row", F.struct(*[F.col(c) for c in docs.columns])), words, ["own_row", "doc_id"])
-    tagged = materialise(tagged.withColumn("row_id", F.monotonically_increasing_id()))
+    tagged = materialise(fingerprints(as_row(docs, "doc_id"), words, ["row", "doc_id"]).withColumn("row_id", F.monotonically_increasing_id()))
     linked = link(tagged.select("row_id", "doc_id", "fp"), crowded)
     # the components of rows without any doc_id are told apart by fingerprint
     chosen = linked.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min_by("row_id", F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("row_id"))
-    return tagged.join(chosen.select("row_id"), "row_id", "left_semi").select("own_row.*")
+    return tagged.join(chosen.select("row_id"), "row_id", "left_semi").select("row.*")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
