@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwood.llm.common import CodeTable, as_bytes, chunks, table
+from driftwood.llm.common import CodeTable, Recent, as_bytes, chunks, table
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
@@ -195,37 +195,32 @@ def merge_all(pieces: list[tuple[str, bytes]], ranks: Ranks, into: dict[str, byt
             into.update(zip([p for p, _ in part], map(flat.__getitem__, map(slice, [0, *ends], ends)), strict=False))
 
 
-class PieceIds(dict):
-    """Piece (str) -> the bytes of its ids, little-endian uint32; when large, only what is in use stays."""
+class PieceIds:
+    """Piece (str) -> the bytes of its ids, little-endian uint32; common pieces are kept from call to call."""
 
-    def __init__(self, file_text: bytes, pattern: str, most: int = 700_000):
-        super().__init__()
-        self.ranks, self.pattern, self.most = Ranks(file_text), regex.compile(pattern), most
+    def __init__(self, file_text: bytes, pattern: str, most: int = 240_000):
+        self.ranks, self.pattern, self.kept = Ranks(file_text), regex.compile(pattern), Recent(most)
         size = max(self.ranks.token) + 1
         self.tokens = [self.ranks.token.get(k, b"") for k in range(size)]
         self.decimals = [b"%d" % k for k in range(size)]
 
     def learn(self, new: list[str]) -> None:
-        rest = []
+        rest, known = [], self.kept.young
         for piece in new:
             data = piece.encode("utf-8", "surrogatepass")
             whole = self.ranks.rank.get(data)
             if whole is not None:
-                self[piece] = whole.to_bytes(4, "little")
+                known[piece] = whole.to_bytes(4, "little")
             else:
                 rest.append((piece, data))
-        merge_all(rest, self.ranks, self)
+        merge_all(rest, self.ranks, known)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [self.pattern.findall(t) for t in texts]
-        seen = set().union(*split)
-        if len(self) + len(seen) > self.most:
-            kept = {p: self[p] for p in seen if p in self}
-            self.clear()
-            self.update(kept)
-        self.learn([p for p in seen if p not in self])
+        self.learn(self.kept.lacking(set().union(*split)))
+        known = self.kept.young
         for found in split:
-            yield np.frombuffer(b"".join(map(self.__getitem__, found)), "<u4")
+            yield np.frombuffer(b"".join(map(known.__getitem__, found)), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -246,7 +241,7 @@ def _run(docs: DataFrame, file_text: bytes, pattern: str, schema: str, rows) ->
         if key not in _pieces:
             _pieces[key] = PieceIds(shared.value, pattern)
         bpe = _pieces[key]
-        for batch in chunks(batches, 8 << 20):
+        for batch in chunks(batches, 3 << 20):
             texts = [t.decode("utf-8", "replace") for t in as_bytes(batch.column(1))]
             out = [rows(bpe, doc_id, ids) for doc_id, ids in zip(batch.column(0).to_pylist(), bpe.encode(texts), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], list(names))

@@ -165,6 +165,52 @@ class CodeTable:
         return found
 
 
+class Recent:
+    """A table of two generations: what was looked up since the last turn, and what the one before held. Rare keys go, common ones stay.
+
+    It never holds more than 2 * most keys and those that one call asks for.
+    """
+
+    def __init__(self, most: int):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.most = most
+
+    def lacking(self, keys: set[str]) -> list[str]:
+        """Puts the known ones of keys into the young generation; returns the others, which the caller must put there."""
+        if len(self.young) + len(keys) > self.most:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for key in keys.difference(young):
+            value = old.get(key)
+            if value is None:
+                new.append(key)
+            else:
+                young[key] = value
+        return new
+
+
+def block_sums(data: np.ndarray, order: int, starts: np.ndarray, lengths: np.ndarray, cost, block: int = 1 << 20) -> np.ndarray:
+    """Sums of cost(n-grams), a row for each, over the bytes of each text; texts as joined() lays them out.
+
+    The n-grams are worked out block by block, so that a long text needs no more than a block's memory beside its bytes.
+    """
+    first, ends = starts - order, starts - order + lengths
+    total = None
+    for at in range(0, max(1, len(data) - order), block):
+        codes = ngram_codes(data[at : at + block + order], order).astype(np.uint64)
+        value = cost(codes)
+        if total is None:
+            total = np.zeros((len(starts), *value.shape[1:]))
+        low, high = np.searchsorted(ends, at, "right"), np.searchsorted(first, at + len(codes), "left")
+        begin, end = np.maximum(first[low:high], at) - at, np.minimum(ends[low:high], at + len(codes)) - at
+        some = np.flatnonzero(end > begin)
+        if len(some):
+            padded = np.concatenate((value, np.zeros((1, *value.shape[1:]), value.dtype)))
+            total[low + some] += np.add.reduceat(padded, np.stack((begin[some], end[some]), axis=1).ravel(), axis=0, dtype=np.float64)[::2]
+    return total
+
+
 def packed(values: np.ndarray) -> bytes:
     """An array of integers as bytes: all first bytes, all second ones and so on, compressed; small numbers cost little."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwood.llm.bpe import WordRanks, merge_all
-from driftwood.llm.common import as_bytes, chunks, crc32_of, materialise, table
+from driftwood.llm.common import Recent, as_bytes, chunks, crc32_of, materialise, table
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", bin bigint, offset bigint, node int, bin_fill bigint"
@@ -63,36 +63,33 @@ def one_word(part: str) -> bool:
 
 
 class PartIds:
-    """Part -> the bytes of its token ids (little-endian uint32), filled by ids(); when large, only what is in use stays.
+    """Part -> the bytes of its token ids (little-endian uint32), filled by ids(); common parts are kept from call to call.
 
     What is one word of the tokenizer goes straight to its merges, many at a time; all else through the library.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 800_000):
+    def __init__(self, tokenizer_json: str, most: int = 240_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.known: dict[str, bytes] = {}
-        self.tokenizer, self.ranks, self.most = Tokenizer.from_str(tokenizer_json), WordRanks(tokenizer_json), most
+        self.tokenizer, self.ranks, self.kept = Tokenizer.from_str(tokenizer_json), WordRanks(tokenizer_json), Recent(most)
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [parts(t) for t in texts]
-        seen = set().union(*split)
-        if len(self.known) + len(seen) > self.most:
-            self.known = {w: self.known[w] for w in seen if w in self.known}
         plain, other = [], []
-        for w in seen.difference(self.known):
+        for w in self.kept.lacking(set().union(*split)):
             if w and one_word(w):
                 plain.append((w, w.encode()))
             else:
                 other.append(w)
-        merge_all(plain, self.ranks, self.known)
+        known = self.kept.young
+        merge_all(plain, self.ranks, known)
         for at in range(0, len(other), 20_000):
             some = other[at : at + 20_000]
             for w, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(found.ids, "<u4").tobytes()
+                known[w] = np.array(found.ids, "<u4").tobytes()
         for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
+            yield b"".join(map(known.__getitem__, words))
 
 
 _words: dict[int, PartIds] = {}
@@ -110,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, size: int = 4096, end_id: int =
     def cut(batches):
         if 0 not in _words:
             _words[0] = PartIds(shared.value)
-        for batch in chunks(batches, 8 << 20):
+        for batch in chunks(batches, 3 << 20):
             out: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), _words[0].ids(list(as_bytes(batch.column(1)))), strict=True):
                 ids += end
