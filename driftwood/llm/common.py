@@ -112,7 +112,11 @@ class Tally:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, codes: np.ndarray) -> None:
-        self.parts.append(run_lengths(codes))
+        self.put(*run_lengths(codes))
+
+    def put(self, codes: np.ndarray, n: np.ndarray) -> None:
+        """Codes with their counts; a count may be 0."""
+        self.parts.append((codes, n))
         if len(self.parts) > 1 and sum(len(c) for c, _ in self.parts[1:]) > len(self.parts[0][0]):
             self.parts = [self.total()]
 

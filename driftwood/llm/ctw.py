@@ -3,25 +3,30 @@
 A byte is eight binary decisions, each with a context tree of its own over the bytes before it, up to DEPTH of them. Every node mixes its
 own Krichevsky-Trofimov estimate with what its children say, in proportion to how well either would have coded the
 training texts. The training counts are frozen when texts are scored, so that the probability of a byte depends on its
-n-gram alone. Beside it, the add-one unigram score over words: each batch of texts sends its distinct words,
-as hashes, to their bucket for counting, and gets their counts back.
+n-gram alone. Beside it, the add-one unigram score over words. Each batch of texts sends its distinct words, as hashes, and its
+distinct n-grams to their buckets for counting, and gets counts and log probabilities back: a bucket has all n-grams below the contexts of
+ROOT bytes that fall to it, so it works out their trees alone, but for the shortest contexts, which are summed from all buckets.
+No n-gram is left out, and none but those shortest contexts' sums are ever in one place.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import CodeTable, Tally, as_bytes, block_sums, chunks, crc_fold, joined, materialise, packed, table, training_codes, unpacked
+from driftwood.llm.common import CodeTable, Tally, as_bytes, block_sums, chunks, crc_fold, joined, materialise, ngram_codes, packed, run_lengths, table, training_codes, unpacked
 
 DEPTH = 5
+ROOT = 2
 END = b""  # the end of a text, as a word
 
 
@@ -39,206 +44,202 @@ def kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-class ContextTrees:
-    """Frozen trees. nodes[depth][j]: (keys, probability of a one), for the decision on bit j (7 - j zeros behind it).
+def mask(n_bytes: int) -> np.uint64:
+    return np.uint64((1 << (8 * n_bytes)) - 1)
 
-    A key is the context's bytes, the newest lowest, then a byte that holds a one and the bits already known. The probability
-    is what the root mixes if the path to it ends at this node; above a half it is held as minus its complement, which float32 keeps exact.
-    """
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int):
-        """codes: sorted distinct n-grams of depth + 1 bytes; counts: how often each occurs in training."""
-        self.depth = depth
-        self.nodes: list[list[tuple[np.ndarray, np.ndarray]]] = [[None] * 8 for _ in range(depth + 1)]
-        levels = []
-        for d in range(depth + 1):
-            grams, at = np.unique(codes & self._mask(d + 1), return_inverse=True)
-            levels.append((grams, np.bincount(at, counts, len(grams))))
-        for j in range(8):
-            known, log_weighted = [None] * (depth + 1), None
-            for d in range(depth, -1, -1):
-                grams, n = levels[d]
-                keys = self._key(grams, j)
-                edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-                keys = keys[edges]
-                bit = (grams >> np.uint64(7 - j)) & np.uint64(1)
-                ones = np.add.reduceat(n * bit, edges) if len(edges) else np.zeros(0)
-                zeros = (np.add.reduceat(n, edges) if len(edges) else np.zeros(0)) - ones
-                block = kt_block(zeros, ones)
-                own = np.ones(len(keys))
-                if d < depth:
-                    up = np.searchsorted(keys, below_keys & self._mask(d + 1))
-                    children = np.bincount(up, log_weighted, len(keys))
-                    own = 1 / (1 + np.exp(np.clip(children - block, -700, 700)))
-                    known[d + 1] += (up,)
-                    log_weighted = np.logaddexp(block, children) - math.log(2)
-                else:
-                    log_weighted = block
-                known[d] = (keys, (ones + 0.5) / (zeros + ones + 1), own)
-                below_keys = keys
-            mixed, mixed_zero, left = np.zeros(len(known[0][0])), np.zeros(len(known[0][0])), np.ones(len(known[0][0]))
-            for d in range(depth + 1):
-                keys, estimate, own = known[d][:3]
-                if d:
-                    up = known[d][3]
-                    share = left * above_own
-                    mixed, mixed_zero, left = (mixed + share * above)[up], (mixed_zero + share * (1 - above))[up], (left * (1 - above_own))[up]
-                one, zero = mixed + left * estimate, mixed_zero + left * (1 - estimate)
-                self.nodes[d][j] = keys, np.where(one <= zero, one, -zero).astype(np.float32)
-                above, above_own = estimate, own
-        self.table = CodeTable(codes, counts)
-        self.known = self.log10_probability(codes).astype(np.float32)
-
-    @staticmethod
-    def _mask(n_bytes: int) -> np.uint64:
-        return np.uint64((1 << (8 * n_bytes)) - 1)
-
-    @staticmethod
-    def _key(codes: np.ndarray, j: int) -> np.ndarray:
-        byte = codes & np.uint64(255)
-        return (codes - byte) | np.uint64(1 << j) | (byte >> np.uint64(8 - j))
-
-    def log10_probability(self, codes: np.ndarray) -> np.ndarray:
-        """Of the newest byte of each n-gram after the others."""
-        total = np.zeros(len(codes))
-        for j in range(8):
-            want, p = self._key(codes, j), np.full(len(codes), 0.5)
-            open_ = np.arange(len(codes))
-            for d in range(self.depth, -1, -1):
-                keys, probability = self.nodes[d][j]
-                if not len(keys) or not len(open_):
-                    break
-                key = want[open_] & self._mask(d + 1)
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = keys[at] == key
-                p[open_[hit]] = probability[at[hit]]
-                open_ = open_[~hit]
-            one = ((codes >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
-            total += np.log10(np.where(one == (p >= 0), np.abs(p), 1 - np.abs(p)))
-        return total
-
-    def score(self, column: pa.Array) -> np.ndarray:
-        """Log10 probability of each text (A-Z lower-cased, from depth zero bytes on) and a zero byte that ends it."""
-        data, starts, lengths = joined(column, self.depth, 1)
-
-        def value(codes: np.ndarray) -> np.ndarray:
-            at = self.table.find(codes)
-            found = self.known[at] if len(self.known) else np.zeros(len(codes), np.float32)
-            if len(new := np.flatnonzero(at < 0)):
-                kinds, back = np.unique(codes[new], return_inverse=True)
-                found[new] = self.log10_probability(kinds).astype(np.float32)[back]
-            return found
 
-        return block_sums(data, self.depth, starts, lengths + 1, value)
+def key(codes: np.ndarray, j: int) -> np.ndarray:
+    """The node that decides on bit j (7 - j zeros behind it): the context's bytes, the newest lowest, then a byte that holds a one and the bits already known."""
+    byte = codes & np.uint64(255)
+    return (codes - byte) | np.uint64(1 << j) | (byte >> np.uint64(8 - j))
 
 
-def summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal codes made one, in order."""
-    order = np.argsort(codes, kind="stable")
-    codes, n = codes[order], n[order]
-    edges = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    return codes[edges], np.add.reduceat(n, edges)
+def climb(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None, deep: int, high: int):
+    """Levels high to deep of (keys, estimate, weight of the own estimate, place in the level above), and what level high - 1 gets: (keys, zeros, ones, below).
 
-
-def count_ngrams(train: DataFrame, depth: int = DEPTH, buckets: int = 64) -> DataFrame:
-    """(code, n) over all whole texts; null ones are empty.
-
-    Each task sums what it has seen and sends each bucket of codes one row: their differences and counts, compressed.
+    keys: all nodes at depth deep, in order; below: what their children say together (none: they are leaves).
     """
-
-    def run(batches):
-        tally = Tally()
-        for batch in chunks(batches, 6 << 20):
-            tally.add(training_codes(batch.column(0), depth, 1))
-        if tally.parts:
-            codes, n = tally.total()
-            bucket = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            for b in range(buckets):
-                mine = np.flatnonzero(bucket % np.uint64(buckets) == b)
-                if len(mine):
-                    steps = np.diff(codes[mine], prepend=np.uint64(0))
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([packed(steps)]), pa.array([packed(n[mine])])], ["bucket", "steps", "counts"])
-
-    def total(frame: pd.DataFrame) -> pd.DataFrame:
-        codes, n = summed(np.concatenate([np.cumsum(unpacked(x, np.uint64)) for x in frame["steps"]]), np.concatenate([unpacked(x, np.int64) for x in frame["counts"]]))
-        return pd.DataFrame({"code": codes.astype(np.int64), "n": n})
-
-    return train.select("text").mapInArrow(run, "bucket int, steps binary, counts binary").groupBy("bucket").applyInPandas(total, "code bigint, n bigint")
-
-
-def build(counts: DataFrame, depth: int = DEPTH, most: int = 1 << 20) -> ContextTrees:
-    """The trees of (code, n) rows, of at most `most` n-grams: those that occur most often, by a count that all kept ones reach.
-
-    `most` bounds what the driver gets and broadcasts, whatever the input; the counts themselves are of all training texts.
+    levels = []
+    for d in range(deep, high - 1, -1):
+        block = kt_block(zeros, ones)
+        own = np.ones(len(keys)) if below is None else 1 / (1 + np.exp(np.clip(below - block, -700, 700)))
+        weighted = block if below is None else np.logaddexp(block, below) - math.log(2)
+        parents, up = np.unique(keys & mask(d), return_inverse=True)
+        levels.append((keys, (ones + 0.5) / (zeros + ones + 1), own, up))
+        keys, zeros, ones, below = parents, *(np.bincount(up, x, len(parents)) for x in (zeros, ones, weighted))
+    return levels[::-1], (keys, zeros, ones, below)
+
+
+def spread(levels: list, carried=None):
+    """Of each level (keys, probability of a one), and what the nodes of the last one hand down.
+
+    The probability is what the root mixes if the path to it ends at this node; above a half it is held as minus its complement, which
+    float32 keeps exact. carried: what the level above hands down to each node of the first one (none: that is the root's).
     """
-    steps = counts.groupBy(F.expr("cast(log2(n) * 8 as int)").alias("step")).agg(F.min("n").alias("n"), F.count("*").alias("rows")).collect()
-    left, least = most, 1 if not steps else max(r["n"] for r in steps) + 1
-    for r in sorted(steps, key=lambda r: -r["n"]):
-        left -= r["rows"]
-        if left < 0:
-            break
-        least = r["n"]
-    got = counts.where(F.col("n") >= least).toArrow()
-    codes, n = got["code"].to_numpy().astype(np.uint64), got["n"].to_numpy()
-    order = np.argsort(codes)
-    return ContextTrees(codes[order], n[order].astype(np.float64), depth)
+    n = len(levels[0][0])
+    mixed, mixed_zero, left = carried or (np.zeros(n), np.zeros(n), np.ones(n))
+    nodes = []
+    for i, (keys, estimate, own, up) in enumerate(levels):
+        if i:
+            mixed, mixed_zero, left = mixed[up], mixed_zero[up], left[up]
+        one, zero = mixed + left * estimate, mixed_zero + left * (1 - estimate)
+        nodes.append((keys, np.where(one <= zero, one, -zero).astype(np.float32)))
+        share = left * own
+        mixed, mixed_zero, left = mixed + share * estimate, mixed_zero + share * (1 - estimate), left * (1 - own)
+    return nodes, (mixed, mixed_zero, left)
+
+
+def leaves(codes: np.ndarray, n: np.ndarray, j: int):
+    """The deepest nodes for bit j: keys, zeros, ones, and the node of each n-gram. codes: sorted."""
+    keys = key(codes, j)
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)]
+    at = np.cumsum(new) - 1
+    bit = ((codes >> np.uint64(7 - j)) & np.uint64(1)).astype(np.float64)
+    kinds = int(new.sum())
+    return keys[new], np.bincount(at, n * (1 - bit), kinds), np.bincount(at, n * bit, kinds), at
+
+
+def roots_say(codes: np.ndarray, n: np.ndarray, depth: int, root: int):
+    """What the trees below contexts of root bytes tell the nodes one byte higher: (keys, zeros, ones, below), of all eight bits."""
+    up = [climb(*leaves(codes, n, j)[:3], None, depth, root)[1] for j in range(8)]
+    return tuple(np.concatenate(x) for x in zip(*up, strict=True))
+
+
+class Top:
+    """The nodes of fewer than root bytes of context (at most 255 and 65,280 of them, whatever the input), of all eight bits."""
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, root: int):
+        self.root, self.keys = root, keys
+        self.nodes, self.handed = spread(climb(keys, zeros, ones, below, root - 1, 0)[0]) if root else ([], None)
+
+    def to(self, keys: np.ndarray):
+        """What is handed down to these nodes at depth root."""
+        if not self.root:
+            return None
+        up = np.searchsorted(self.keys, keys & mask(self.root))
+        return tuple(x[up] for x in self.handed)
+
+
+def log10_probabilities(codes: np.ndarray, n: np.ndarray, depth: int, top: Top) -> np.ndarray:
+    """Of the newest byte of each n-gram after the others. codes: sorted and distinct, all that occur in training below the contexts of
+    root bytes that they have, with how often they do; those with 0 are only asked for."""
+    total, known = np.zeros(len(codes)), n > 0
+    learned, new = codes[known], codes[~known]
+    for j in range(8):
+        keys, zeros, ones, at = leaves(learned, n[known].astype(np.float64), j)
+        levels = climb(keys, zeros, ones, None, depth, top.root)[0]
+        nodes = [*top.nodes, *spread(levels, top.to(levels[0][0]))[0]]
+        p = np.full(len(codes), 0.5)
+        p[known] = nodes[-1][1][at]
+        want, open_ = key(new, j), np.flatnonzero(~known)
+        for d in range(depth, -1, -1):
+            keys, probability = nodes[d]
+            if not len(open_):
+                break
+            if len(keys):
+                asked = want & mask(d + 1)
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                hit = keys[at] == asked
+                p[open_[hit]] = probability[at[hit]]
+                open_, want = open_[~hit], want[~hit]
+        one = ((codes >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
+        total += np.log10(np.where(one == (p >= 0), np.abs(p), 1 - np.abs(p)))
+    return total
 
 
-PARTS = "batch bigint, bucket int, hashes binary, counts binary, refs binary, places binary, tokens binary, doc_ids binary, held binary, scores binary"
+PARTS = "batch bigint, bucket int, hashes binary, counts binary, codes binary, learned binary, places binary, doc_ids binary, held binary, lengths binary, data binary"
 WHOLE = -1
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score_parts(docs: DataFrame, trees: ContextTrees, buckets: int) -> DataFrame:
-    """One pass over (doc_id, text, held). Each batch of texts gives a row with its texts' words, as positions in the batch's own
-    list of distinct words, and byte-model scores; and for each bucket a row with the hashes of that bucket's distinct words
-    and how often each occurs in the batch's training texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+def word_refs(texts: Iterable[bytes]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """The distinct words of lower-cased texts, numbered as they come; the words of all texts by number; and how many each text has."""
+    seen: dict[bytes, int] = {END: 0}
+    refs, tokens = [], []
+    for text in texts:
+        words = text.split()
+        words.append(END)
+        refs.append(np.array([seen.setdefault(w, len(seen)) for w in words], np.uint32))
+        tokens.append(len(words))
+    return seen, np.concatenate(refs), np.array(tokens, np.int64)
+
+
+def score_parts(docs: DataFrame, depth: int, root: int, buckets: int) -> DataFrame:
+    """One pass over (doc_id, text, held). Each batch of texts gives a row with its texts; and for each bucket a row with the hashes of that bucket's distinct words and its distinct n-grams,
+    and how often each occurs in the batch's training texts. The n-grams of a bucket share the newest root bytes of context."""
     null_id = -(1 << 63)
 
     def run(batches):
-        trees_, task, number = shared.value, TaskContext.get().partitionId(), 0
-        for batch in chunks(batches, 24 << 20):
-            scores = np.concatenate([trees_.score(part.column(1)) for part in chunks([batch], 4 << 20)])
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in chunks(batches, 6 << 20):
             held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            seen: dict[bytes, int] = {END: 0}
-            refs, tokens = [], []
-            for text in as_bytes(batch.column(1)):
-                words = text.lower().split()
-                words.append(END)
-                refs.append(np.array([seen.setdefault(w, len(seen)) for w in words], np.uint32))
-                tokens.append(len(words))
-            refs, tokens = np.concatenate(refs), np.array(tokens, np.uint32)
+            tally = Tally()
+            for part in chunks([batch], 1 << 20):
+                tally.add(training_codes(part.column(1).filter(pc.invert(part.column(2))), depth, 1))
+                codes, n = run_lengths(training_codes(part.column(1).filter(part.column(2)), depth, 1))
+                tally.put(codes, n * 0)
+            codes, learned = tally.total()
+            codes = codes.astype(np.uint64)
+            seen, refs, tokens = word_refs(text.lower() for text in as_bytes(batch.column(1)))
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
             counts = np.bincount(refs[np.repeat(~held, tokens)], minlength=len(seen)).astype(np.uint32)
-            # refs count words as they came, so common ones are small; places lead from that to their buckets' order
+            # refs count words as they came; places lead from that to their buckets' order
             bucket = (hashes % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             places = np.empty(len(order), np.uint32)
             places[order] = np.arange(len(order), dtype=np.uint32)
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            key = (task << 24) + number
+            hashes, counts = hashes[order], counts[order]
+            context = (codes >> np.uint64(8)) & mask(root)
+            bucket = ((context * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            code_bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            codes, learned = codes[order], learned[order].astype(np.uint32)
+            batch_key = (task << 24) + number
             number += 1
             ids = np.array([null_id if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            rows = [(key, WHOLE, None, None, packed(refs), packed(places), tokens.tobytes(), ids.tobytes(), held.tobytes(), scores.tobytes())]
-            hashes, counts = hashes[order], counts[order]
-            rows += [(key, b, hashes[i:j].tobytes(), packed(counts[i:j]), None, None, None, None, None, None) for b, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)) if i < j]
-            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 8]
+            data, _, lengths = joined(batch.column(1), depth, 1)
+            rows = [(batch_key, WHOLE, *[None] * 4, packed(places), ids.tobytes(), held.tobytes(), lengths.tobytes(), packed(data))]
+            for b, (i, j, k, m) in enumerate(zip(bounds, bounds[1:], code_bounds, code_bounds[1:], strict=False)):
+                if i < j or k < m:
+                    rows.append((batch_key, b, hashes[i:j].tobytes(), packed(counts[i:j]), packed(np.diff(codes[k:m], prepend=np.uint64(0))), packed(learned[k:m]), *[None] * 5))
+            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 9]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in PARTS.split(", ")])
 
     return docs.select("doc_id", "text", "held").mapInArrow(run, PARTS)
 
 
-def count_words(frame: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: the training count of each word, for each batch that asked; the bucket's totals go with the first row."""
-    hashes = [np.frombuffer(h, np.uint64) for h in frame["hashes"]]
-    words, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(at, np.concatenate([unpacked(c, np.uint32) for c in frame["counts"]]), len(words)).astype(np.int64)
-    ends = np.cumsum([len(h) for h in hashes])
-    out = pd.DataFrame({"batch": frame["batch"], "bucket": frame["bucket"], "counts": [packed(x) for x in np.split(total[at], ends[:-1])]})
-    first = np.arange(len(out)) == 0
-    out["n"], out["kinds"] = np.where(first, int(total.sum()), 0), np.where(first, int((total > 0).sum()), 0)
-    return out
+def unstepped(steps: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(steps, np.uint64), dtype=np.uint64)
+
+
+def bucket_models(parts: DataFrame, depth: int, root: int) -> DataFrame:
+    """A row for each bucket: all its n-grams, sorted, with their training counts (0: only asked for), and what roots_say() of them."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        tally = Tally()
+        for steps, learned in zip(frame["codes"], frame["learned"], strict=True):
+            tally.put(unstepped(steps), unpacked(learned, np.uint32).astype(np.int64))
+        codes, n = tally.total()
+        keys, zeros, ones, below = roots_say(codes[n > 0], n[n > 0].astype(np.float64), depth, root)
+        row = {"bucket": frame["bucket"].iloc[0], "codes": packed(np.diff(codes, prepend=np.uint64(0))), "learned": packed(n), "keys": packed(keys), "zeros": zeros.tobytes(), "ones": ones.tobytes(), "below": below.tobytes()}
+        return pd.DataFrame([row])
+
+    return parts.select("bucket", "codes", "learned").groupBy("bucket").applyInPandas(run, "bucket int, codes binary, learned binary, keys binary, zeros binary, ones binary, below binary")
+
+
+def top_of(models: DataFrame, root: int) -> Top:
+    """What the buckets say to the shortest contexts, summed by key in Spark; at most 65,280 rows come to the driver."""
+
+    def run(batches):
+        for batch in batches:
+            for keys, *values in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(keys, np.uint64).astype(np.int64)), *(pa.array(np.frombuffer(v)) for v in values)], ["key", "zeros", "ones", "below"])
+
+    said = models.select("keys", "zeros", "ones", "below").mapInArrow(run, "key bigint, zeros double, ones double, below double")
+    below = F.aggregate(F.array_sort(F.collect_list("below")), F.lit(0.0), lambda a, x: a + x)  # in order: the same sum each time
+    got = said.groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), below.alias("below")).orderBy("key").toArrow()
+    return Top(got["key"].to_numpy().astype(np.uint64), *(got[c].to_numpy() for c in ("zeros", "ones", "below")), root)
 
 
 def lm_scores(docs: DataFrame, held, depth: int = DEPTH, buckets: int = 256) -> DataFrame:
@@ -248,9 +249,30 @@ def lm_scores(docs: DataFrame, held, depth: int = DEPTH, buckets: int = 256) ->
     ones, count each time; nothing to learn from gives counts of 0 and even bits. An empty table gives an empty result.
     """
     rows = docs.select("doc_id", "text", F.coalesce(held, F.lit(True)).alias("held"))
-    trees = build(materialise(count_ngrams(rows.where("not held"), depth)), depth)
-    parts = materialise(score_parts(rows, trees, buckets))
-    replies = materialise(parts.where(F.col("bucket") != WHOLE).select("batch", "bucket", "hashes", "counts").groupBy("bucket").applyInPandas(count_words, "batch bigint, bucket int, counts binary, n bigint, kinds bigint"))
+    root = min(ROOT, depth)
+    parts = materialise(score_parts(rows, depth, root, buckets))
+    asked = parts.where(F.col("bucket") != WHOLE).select("batch", "bucket", "hashes", "counts", "codes", "learned")
+    models = materialise(bucket_models(asked, depth, root))
+    top = docs.sparkSession.sparkContext.broadcast(top_of(models, root))
+
+    def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        """One bucket: the training count of each word and the log probability of each n-gram, for each batch that asked; the bucket's totals go with the first row."""
+        model, frame = frame[frame["batch"].isna()].iloc[0], frame[frame["batch"].notna()]
+        hashes = [np.frombuffer(h, np.uint64) for h in frame["hashes"]]
+        words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(at, np.concatenate([unpacked(c, np.uint32) for c in frame["counts"]]), len(words)).astype(np.int64)
+        ends = np.cumsum([len(h) for h in hashes])
+        codes = unstepped(model["codes"])
+        logs = log10_probabilities(codes, unpacked(model["learned"], np.int64), depth, top.value).astype(np.float32)
+        out = pd.DataFrame({"batch": frame["batch"].astype("int64"), "bucket": frame["bucket"], "counts": [packed(x) for x in np.split(total[at], ends[:-1])], "codes": frame["codes"]})
+        out["logs"] = [packed(logs[np.searchsorted(codes, unstepped(c))]) for c in frame["codes"]]
+        first = np.arange(len(out)) == 0
+        out["n"], out["kinds"] = np.where(first, int(total.sum()), 0), np.where(first, int((total > 0).sum()), 0)
+        return out
+
+    none = F.lit(None).cast("binary")
+    with_models = asked.drop("learned").withColumn("learned", none).unionByName(models.select(F.lit(None).cast("bigint").alias("batch"), "bucket", none.alias("hashes"), none.alias("counts"), "codes", "learned"))
+    replies = materialise(with_models.groupBy("bucket").applyInPandas(answer, "batch bigint, bucket int, counts binary, codes binary, logs binary, n bigint, kinds bigint"))
     n, kinds = replies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     unit = math.log10(n + kinds + 1)
     null_id = -(1 << 63)
@@ -259,18 +281,35 @@ def lm_scores(docs: DataFrame, held, depth: int = DEPTH, buckets: int = 256) ->
         whole = frame[frame["bucket"] == WHOLE].iloc[0]
         asked = frame[frame["bucket"] != WHOLE].sort_values("bucket")
         counts = np.concatenate([unpacked(c, np.int64) for c in asked["counts"]])[unpacked(whole["places"], np.uint32)]
-        refs, tokens = unpacked(whole["refs"], np.uint32), np.frombuffer(whole["tokens"], np.uint32).astype(np.int64)
+        data, lengths = unpacked(whole["data"], np.uint8), np.frombuffer(whole["lengths"], np.int64)
+        text_starts = np.cumsum(lengths + depth + 1) - lengths - 1
+        _, refs, tokens = word_refs(data[i : i + k].tobytes() for i, k in zip(text_starts, lengths, strict=True))
         starts = np.cumsum(tokens) - tokens
         logs, known = np.log10(counts + 1.0)[refs], (counts > 0)[refs].astype(np.int64)
         ids = pd.Series(np.frombuffer(whole["doc_ids"], np.int64)).astype("Int64")
         return pd.DataFrame({
             "doc_id": ids.mask(ids == null_id), "held_out": np.frombuffer(whole["held"], bool), "n_tokens": tokens, "n_known": np.add.reduceat(known, starts), "train_tokens": int(n),
-            "base_score": np.add.reduceat(logs, starts) - tokens * unit, "score": np.frombuffer(whole["scores"], np.float64),
+            "base_score": np.add.reduceat(logs, starts) - tokens * unit, "score": byte_scores(data, text_starts, lengths, asked, depth),
         })
 
-    texts = parts.where(F.col("bucket") == WHOLE).select("batch", "bucket", F.lit(None).cast("binary").alias("counts"), "refs", "places", "tokens", "doc_ids", "held", "scores")
-    none = [F.lit(None).cast("binary").alias(c) for c in ("refs", "places", "tokens", "doc_ids", "held", "scores")]
-    return texts.unionByName(replies.select("batch", "bucket", "counts", *none)).groupBy("batch").applyInPandas(finish, SCORES)
+    texts = parts.where(F.col("bucket") == WHOLE).select("batch", "bucket", *[none.alias(c) for c in ("counts", "codes", "logs")], *TEXTS)
+    return texts.unionByName(replies.select("batch", "bucket", "counts", "codes", "logs", *[none.alias(c) for c in TEXTS])).groupBy("batch").applyInPandas(finish, SCORES)
+
+
+TEXTS = ("places", "doc_ids", "held", "lengths", "data")
+
+
+def byte_scores(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, asked: pd.DataFrame, depth: int) -> np.ndarray:
+    """Log10 probability of each text of a batch (A-Z lower-cased, from depth zero bytes on) and a zero byte that ends it."""
+    codes = np.concatenate([unstepped(c) for c in asked["codes"]])
+    order = np.argsort(codes)
+    codes, logs = codes[order], np.append(np.concatenate([unpacked(x, np.float32) for x in asked["logs"]])[order], np.float32(0))
+    # the commonest are found fastest; where they are told by the first of the text
+    some, n = run_lengths(ngram_codes(data[: 1 << 20], depth).astype(np.uint64))
+    often, at = np.zeros(len(codes), np.int64), np.minimum(np.searchsorted(codes, some), len(codes) - 1)
+    often[at] = np.where(codes[at] == some, n, often[at])
+    table_ = CodeTable(codes, often)
+    return block_sums(data, depth, starts, lengths + 1, lambda x: logs[table_.find(x)])  # -1: between texts, in no sum
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -501,6 +501,36 @@ def test_lm_scores(spark, docs, rows, no_docs):
     assert ctw.lm_scores(df, F.lit(True), depth=2).first().train_tokens == 0
 
 
+def test_lm_scores_below_the_shared_contexts(spark):
+    train = [" ".join(f"w{i * k % 17}" for i in range(12)) for k in range(1, 9)]
+    asked = ["w3 w6 zebra w1", "Ü \x00 w16", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(train + asked)], "doc_id bigint, text string").repartition(3)
+    for depth in (0, 1, 4):
+        found = {r.doc_id: r.score for r in ctw.lm_scores(df, F.col("doc_id") >= len(train), depth=depth, buckets=7).collect()}
+        for i, t in enumerate(train + asked):
+            assert found[i] == pytest.approx(slow_ctw([x.encode() for x in train], t.encode().lower(), depth), rel=1e-5)
+
+
+def test_lm_scores_keep_every_ngram(spark):
+    """More distinct n-grams than 2^20, nearly all of them seen once: as told by one machine that holds them all."""
+    letters = np.random.default_rng(1).integers(97, 123, 1_400_000, dtype=np.uint8).tobytes()
+    train = [letters[i : i + 100_000].decode() for i in range(0, len(letters), 100_000)]
+    asked = [train[3][500:600], "zz top", letters[::-1][:80].decode()]
+    codes, n = common.run_lengths(common.training_codes(pa.array(train), 5, 1))
+    assert len(codes) > 1 << 20
+    want, _ = common.run_lengths(common.training_codes(pa.array(asked), 5, 1))
+    every = np.union1d(codes, want)
+    counts = np.zeros(len(every), np.int64)
+    counts[np.searchsorted(every, codes)] = n
+    logs = ctw.log10_probabilities(every, counts, 5, ctw.Top(*[np.zeros(0)] * 4, 0))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(train + asked)], "doc_id bigint, text string").repartition(4)
+    found = {r.doc_id: r.score for r in ctw.lm_scores(df, F.col("doc_id") >= len(train)).where(F.col("doc_id") >= len(train)).collect()}
+    for i, t in enumerate(asked):
+        mine = common.training_codes(pa.array([t]), 5, 1)
+        assert found[len(train) + i] == pytest.approx(logs[np.searchsorted(every, mine)].sum(), rel=1e-5)
+    assert found[len(train)] > -0.9 * 101 * 2.4  # a text learned from is no even guess
+
+
 def test_log_gamma():
     x = np.array([0.5, 1.0, 1.5, 7.25, 1e3 + 0.5, 1e8])
     assert ctw.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-12)
