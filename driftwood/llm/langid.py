@@ -96,21 +96,17 @@ class Trees:
         return block_sums(data, self.order, starts, lengths, cost), lengths
 
 
-def collect_trees(counts: DataFrame, order: int = ORDER, most: int = 1 << 20) -> Trees:
-    """The trees of (lang, code, n) rows, at most `most` n-grams of them: the most frequent, by a count that all kept ones reach."""
-    sizes = counts.groupBy("n").agg(F.count("*").alias("rows")).groupBy(F.expr("cast(log2(n) * 8 as int)").alias("step")).agg(F.min("n").alias("n"), F.sum("rows").alias("rows")).collect()
-    left, least = most, 1
-    for r in sorted(sizes, key=lambda r: -r["n"]):
-        left -= r["rows"]
-        if left < 0:
-            break
-        least = r["n"]
-    got = counts.where(F.col("n") >= least).toArrow()
-    langs = sorted(set(got["lang"].to_pylist()))
+def collect_trees(counts: DataFrame, order: int = ORDER) -> Trees:
+    """The trees of all (lang, code, n) rows, of every language and count."""
+    got = counts.toArrow()
+    lang = got["lang"].combine_chunks().dictionary_encode()
+    names = lang.dictionary.to_pylist()
+    langs = sorted(names)
+    rank = np.array([langs.index(x) for x in names], np.int64)
     codes, at = np.unique(got["code"].to_numpy().astype(np.uint64), return_inverse=True)
     n = np.zeros((len(codes), len(langs)))
-    index = {x: i for i, x in enumerate(langs)}
-    n[at, np.array([index[x] for x in got["lang"].to_pylist()], np.int64)] = got["n"].to_numpy()
+    if langs:
+        n[at, rank[lang.indices.to_numpy()]] = got["n"].to_numpy()
     return Trees(langs, codes, n, order)
 
 

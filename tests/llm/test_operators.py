@@ -420,6 +420,16 @@ def test_ppm_costs(spark):
         assert costs[:, i] == pytest.approx([slow_cost(mine, p.encode().lower(), 3) for p in probes], rel=1e-5)
 
 
+def test_trees_keep_small_languages(spark):
+    """More rows than 2^20 of a large language, each more frequent than the rows of a small one."""
+    many = spark.range((1 << 20) + 5).select(F.lit("en").alias("lang"), (F.col("id") + 1000).alias("code"), F.lit(3).cast("bigint").alias("n"))
+    few = spark.createDataFrame([("de", 1, 1), ("de", 2, 2)], "lang string, code bigint, n bigint")
+    trees = langid.collect_trees(many.unionByName(few))
+    assert trees.langs == ["de", "en"] and len(trees.table.codes) == (1 << 20) + 7
+    total = lambda k, i: sum(np.exp(-trees.costs(np.array([c], np.uint64))[0, i]) for c in k)
+    assert total([1], 0) == pytest.approx(1 / 5) and total([2], 0) == pytest.approx(2 / 5)
+
+
 def test_identify(docs, rows, no_docs):
     trees = langid.learn(docs)
     found = langid.identify(docs, trees).collect()
