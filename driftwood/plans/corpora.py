@@ -35,7 +35,7 @@ FIL = f"""fil AS (SELECT doc_id // 5 AS commit_id, doc_id, source AS repo,
 EV = """ev AS (SELECT user_id AS repo, event_id, event_type AS type, 'k' || regexp_extract(props, '[0-9]+', 0) AS path, value,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events)"""
 SUB = f"""sub AS (SELECT conv_id, turn, role, replace(replace({_sql_list(SUBJECT_STARTS)}[(conv_id * 3 + turn) % {len(SUBJECT_STARTS)} + 1], '{{r}}', role), '{{c}}', conv_id::VARCHAR)
-    || substr(replace(text, chr(10), ' '), 1, 60) AS subject FROM conversations)"""
+    || replace(text, chr(10), ' ') AS subject FROM conversations)"""
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +86,7 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as subjects, with one of several kinds of header."""
     c = read(spark, sf_dir, "conversations")
     start = _form(SUBJECT_STARTS, ((F.col("conv_id") * 3 + F.col("turn")) % len(SUBJECT_STARTS)).cast("int"), r=F.col("role"), c=F.col("conv_id").cast("string"))
-    return c.select("conv_id", "turn", "role", F.concat(start, F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60)).alias("subject"))
+    return c.select("conv_id", "turn", "role", F.concat(start, F.replace("text", F.lit("\n"), F.lit(" "))).alias("subject"))
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,15 @@ def test_query(spark, duck, name):
         assert plain(found) == plain(duck.sql(queries.ORACLE_SQL[name]).df())
 
 
+def test_subjects_hold_whole_turns(spark):
+    from driftwood.plans import corpora
+
+    whole = {(r.conv_id, r.turn): r.text.replace("\n", " ") for r in corpora.read(spark, SF, "conversations").collect() if r.text is not None}
+    assert any(len(t) > 60 for t in whole.values())
+    for r in corpora.subjects(spark, SF).collect():
+        assert r.subject is None or r.subject.endswith(whole[r.conv_id, r.turn])
+
+
 def test_entry(spark):
     import __spark_entry__
 
