@@ -95,7 +95,7 @@ def demux(media: bytes) -> dict[int, Stream]:
     """Logical streams by serial number; every page is checked, packets are put together from the lacing values.
 
     A page's granule position is that of the last packet that ends in it; packets that end earlier in the
-    page get theirs by Stream.timed(). Raises BadOgg for a wrong checksum, a gap in page numbers, a page cut short, a
+    page get theirs by timed(). Raises BadOgg for a wrong checksum, a gap in page numbers, a page cut short, a
     packet that does not end or bytes between pages.
     """
     streams: dict[int, Stream] = {}
@@ -136,27 +136,42 @@ def demux(media: bytes) -> dict[int, Stream]:
 
 
 def timed(packets: list[Packet], length) -> list[tuple[int, int]]:
-    """(first, end) granule of each packet; length(packet) is its length in samples. Known ends come from pages."""
-    spans, end = [], 0
-    for p in packets:
-        first, end = end, end + length(p)
-        if p.granule != NO_PACKET_ENDS and p.granule != end:
+    """(first, end) granule of each packet; length(packet) is its length in samples.
+
+    A page's granule position is the end of the last packet that ends in it; those before it in the page are told backwards from there,
+    so a stream may start anywhere and have gaps between pages. On the last page, a position below what its packets hold cuts their end off.
+    """
+    spans: list[tuple[int, int]] = []
+    lengths: list[int] = []
+    at = 0
+    for k, p in enumerate(packets):
+        lengths.append(length(p))
+        if p.granule == NO_PACKET_ENDS:
+            continue
+        first = p.granule - sum(lengths)
+        if first < at and (k + 1 < len(packets) or p.granule < at):
             raise BadOgg("granule position")
-        spans.append((first, end))
+        end = max(first, at)
+        for n in lengths:
+            first, end = end, min(end + n, p.granule)
+            spans.append((first, end))
+        at, lengths = p.granule, []
+    if lengths:
+        raise BadOgg("no granule position")
     return spans
 
 
-def to_media(payload: bytes, n_bytes: int) -> bytes:
-    """8-bit samples in one logical stream, beside a second that says where each block of samples starts."""
+def to_media(payload: bytes, n_bytes: int, first: int = 0) -> bytes:
+    """8-bit samples in one logical stream that starts at granule `first`, beside a second that says where each block of samples starts."""
     head = SAMPLE_HEAD.pack(b"SAMPLES8", RATE, 1, 8, n_bytes)
     blocks = [payload[k : k + BLOCK] for k in range(0, len(payload), BLOCK)]
-    ends = [min(len(payload), k + BLOCK) for k in range(0, len(payload), BLOCK)]
-    index = np.array([0, *ends[:-1]], "<u8").tobytes()
-    return mux({SAMPLES: [(head, 0), *zip(blocks, ends, strict=True)], INDEX: [(INDEX_HEAD.pack(b"SEEKINDX", BLOCK), 0), (index, len(payload))]})
+    ends = [first + min(len(payload), k + BLOCK) for k in range(0, len(payload), BLOCK)]
+    index = np.array([first, *ends[:-1]], "<u8").tobytes()
+    return mux({SAMPLES: [(head, 0), *zip(blocks, ends, strict=True)], INDEX: [(INDEX_HEAD.pack(b"SEEKINDX", BLOCK), 0), (index, first + len(payload))]})
 
 
 def from_media(media: bytes) -> dict:
-    """The payload, the unpadded length and the timing that the stored bytes hold."""
+    """The payload, the unpadded length and the timing that the stored bytes hold; spans: first and end granule of each packet of samples."""
     streams = demux(media)
     samples, index = streams[SAMPLES].packets, streams[INDEX].packets
     magic, rate, channels, bits, n_bytes = SAMPLE_HEAD.unpack(samples[0].data)
@@ -169,12 +184,13 @@ def from_media(media: bytes) -> dict:
 
 
 def features(stored: dict) -> str:
-    """Duration, packets, and of the samples: mean, RMS around 128, zero crossings and peak."""
+    """Duration by granule positions, packets, and of the samples: mean, RMS around 128, zero crossings and peak."""
     x = np.frombuffer(stored["payload"], np.uint8).astype(np.int16) - 128
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
     power = int(np.dot(x.astype(np.float64), x))
     peak = int(max(x.max(), -x.min()))
-    return f"ms={1000 * len(x) / stored['rate']:.3f};packets={stored['packets']};mean={x.mean(dtype=np.float64):.6f};rms={(power / len(x)) ** 0.5:.6f};zc={crossings};peak={peak}"
+    spans = stored["spans"]
+    return f"ms={1000 * (spans[-1][1] - spans[0][0]) / stored['rate']:.3f};packets={stored['packets']};mean={x.mean(dtype=np.float64):.6f};rms={(power / len(x)) ** 0.5:.6f};zc={crossings};peak={peak}"
 
 
 def encode(docs: DataFrame) -> DataFrame:
@@ -191,12 +207,13 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, media binary")
 
 
-FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, packet_starts array<bigint>, packet_ends array<bigint>"
 
 
 def decode(media: DataFrame) -> DataFrame:
     """Reads (doc_id, media) back: digests and features, from the stored bytes alone.
 
+    packet_starts and packet_ends: the granules (samples at RATE a second) of each packet, told from the pages' granule positions.
     Null media and bytes that are not whole pages give a row of nulls but for doc_id, media_bytes and media_sha256.
     Repeated rows are kept; an empty table gives an empty result.
     """
@@ -204,15 +221,15 @@ def decode(media: DataFrame) -> DataFrame:
 
     def row(doc_id, blob):
         if blob is None:
-            return (doc_id, *[None] * 7)
+            return (doc_id, *[None] * 9)
         try:
             got = from_media(blob)
         except (BadOgg, KeyError, IndexError, struct.error):
-            return (doc_id, None, None, None, None, len(blob), sha(blob), None)
+            return (doc_id, None, None, None, None, len(blob), sha(blob), None, None, None)
         payload = got["payload"]
-        return (doc_id, got["n_bytes"], len(payload), sha(payload), crc32_of(payload[-64:]), len(blob), sha(blob), features(got))
+        return (doc_id, got["n_bytes"], len(payload), sha(payload), crc32_of(payload[-64:]), len(blob), sha(blob), features(got), *zip(*got["spans"], strict=True))
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     names = [c.split()[0] for c in FEATURES.split(", ")]
 
     def run(batches):
