@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwood.llm.common import CodeTable, Recent, as_bytes, chunks, table
+from driftwood.llm.common import CodeTable, Recent, as_bytes, chunks, digest_of, kept_table, ragged, table
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
@@ -78,11 +78,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in seen else chr(0x100 + hidden.index(b)) for b in range(256)]
 
 
-def merge_many(pieces: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all pieces, one after another, and how many each has; none is empty. One segment tree a row, as wide as the longest piece needs."""
-    n, lengths = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+def merge_many(data: np.ndarray, lengths: np.ndarray, ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all pieces, one after another, and how many each has; none is empty. data: the bytes of all. One segment tree a row, as wide as the longest piece needs."""
+    n = len(lengths)
     width = 1 << int(lengths.max() - 1).bit_length()
-    data = np.frombuffer(b"".join(pieces), np.uint8)
     row = np.repeat(np.arange(n), lengths)
     column = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     # column width is a sentinel: no token, so no pair
@@ -178,27 +177,43 @@ def merge_one(piece: bytes, ranks: Ranks) -> list[int]:
     return [t for t in token if t >= 0]
 
 
-def merge_all(pieces: list[tuple[str, bytes]], ranks: Ranks, into: dict[str, bytes]) -> None:
-    """Puts the ids of each piece (little-endian uint32) into a dict under its name; pieces of like length are merged together."""
-    by_width: dict[int, list[tuple[str, bytes]]] = {}
-    for name, data in pieces:
-        if len(data) > LONG:
-            into[name] = np.array(merge_one(data, ranks), "<u4").tobytes()
-        else:
-            by_width.setdefault((len(data) - 1).bit_length(), []).append((name, data))
-    for bits, some in by_width.items():
-        step = max(1, (1 << 21) >> bits)
+def merge_flat(data: np.ndarray, lengths: np.ndarray, ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """As merge_many(), for pieces of any lengths; those of like length are merged together, those longer than LONG one by one."""
+    if not len(lengths):
+        return np.zeros(0, np.int32), lengths
+    starts, counts = np.cumsum(lengths) - lengths, np.zeros(len(lengths), np.int64)
+    bits = np.where(lengths > LONG, -1, np.ceil(np.log2(lengths))).astype(np.int64)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    for width in np.unique(bits).tolist():
+        some = np.flatnonzero(bits == width)
+        step = 1 if width < 0 else max(1, (1 << 20) >> width)
         for at in range(0, len(some), step):
             part = some[at : at + step]
-            ids, counts = merge_many([d for _, d in part], ranks)
-            flat, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            into.update(zip([p for p, _ in part], map(flat.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+            if width < 0:
+                i = int(part[0])
+                ids = np.array(merge_one(data[starts[i] : starts[i] + lengths[i]].tobytes(), ranks), np.int32)
+                counts[i] = len(ids)
+            else:
+                ids, counts[part] = merge_many(data[ragged(starts[part], lengths[part])], lengths[part], ranks)
+            done.append((part, ids))
+    out, begin = np.empty(int(counts.sum()), np.int32), np.cumsum(counts) - counts
+    for part, ids in done:
+        out[ragged(begin[part], counts[part])] = ids
+    return out, counts
+
+
+def merge_all(pieces: list[tuple[str, bytes]], ranks: Ranks, into: dict[str, bytes]) -> None:
+    """Puts the ids of each piece (little-endian uint32) into a dict under its name."""
+    data = np.frombuffer(b"".join(d for _, d in pieces), np.uint8)
+    ids, counts = merge_flat(data, np.fromiter((len(d) for _, d in pieces), np.int64, len(pieces)), ranks)
+    flat, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+    into.update(zip([p for p, _ in pieces], map(flat.__getitem__, map(slice, [0, *ends], ends)), strict=False))
 
 
 class PieceIds:
     """Piece (str) -> the bytes of its ids, little-endian uint32; common pieces are kept from call to call."""
 
-    def __init__(self, file_text: bytes, pattern: str, most: int = 240_000):
+    def __init__(self, file_text: bytes, pattern: str, most: int = 160_000):
         self.ranks, self.pattern, self.kept = Ranks(file_text), regex.compile(pattern), Recent(most)
         size = max(self.ranks.token) + 1
         self.tokens = [self.ranks.token.get(k, b"") for k in range(size)]
@@ -226,21 +241,17 @@ class PieceIds:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-_pieces: dict[tuple[int, str], PieceIds] = {}
 ENCODED = "doc_id bigint, n_tokens bigint, ids array<int>"
 DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
 def _run(docs: DataFrame, file_text: bytes, pattern: str, schema: str, rows) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(file_text)
-    key = (len(file_text), pattern)
+    shared, digest = docs.sparkSession.sparkContext.broadcast(file_text), digest_of(file_text, pattern)
     arrow = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     names, kinds = zip(*((c.split()[0], arrow[c.split()[1]]) for c in schema.split(", ")), strict=True)
 
     def run(batches):
-        if key not in _pieces:
-            _pieces[key] = PieceIds(shared.value, pattern)
-        bpe = _pieces[key]
+        bpe = kept_table("pieces", digest, lambda: PieceIds(shared.value, pattern))
         for batch in chunks(batches, 3 << 20):
             texts = [t.decode("utf-8", "replace") for t in as_bytes(batch.column(1))]
             out = [rows(bpe, doc_id, ids) for doc_id, ids in zip(batch.column(0).to_pylist(), bpe.encode(texts), strict=True)]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +130,12 @@ class Tally:
         return codes[edges], np.add.reduceat(n, edges) if len(edges) else n
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions starts[i] to starts[i] + lengths[i], for all i."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
 def run_lengths(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values and how often each occurs."""
     if not len(values):
@@ -227,5 +234,27 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
 
 
+_tables: dict[tuple[str, str], object] = {}
+
+
+def digest_of(*texts: str | bytes) -> str:
+    return hashlib.sha256(b"\0".join(t if isinstance(t, bytes) else t.encode() for t in texts)).hexdigest()
+
+
+def kept_table(kind: str, digest: str, build: Callable[[], object], most: int = 2):
+    """build(), kept in this Python worker from task to task under the digest of what it is built from; the `most` newest are kept.
+
+    Functions that tasks run must reach this by its module: what they hold themselves is built anew in each task.
+    """
+    key = (kind, digest)
+    if key in _tables:
+        _tables[key] = _tables.pop(key)
+    else:
+        while len(_tables) >= most:
+            _tables.pop(next(iter(_tables)))
+        _tables[key] = build()
+    return _tables[key]
+
+
 def crc32_of(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF

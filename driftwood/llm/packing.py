@@ -9,9 +9,9 @@ into another one, so a node sends up its small bins and the emptiest others as h
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +21,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwood.llm.bpe import WordRanks, merge_all
-from driftwood.llm.common import Recent, as_bytes, chunks, crc32_of, materialise, table
+from driftwood.llm.bpe import WordRanks, merge_flat
+from driftwood.llm.common import Recent, as_bytes, chunks, crc32_of, digest_of, kept_table, materialise, ragged, table
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", bin bigint, offset bigint, node int, bin_fill bigint"
@@ -33,66 +33,177 @@ BIN_BITS = 40
 # str.split() also splits at these, which the tokenizer keeps as text
 ODD_SPACE = re.compile(b"[\x1c-\x1f]")
 SPACE = regex.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-# what the tokenizer's own pattern takes apart from letters, if no quote is near
-ALNUM = re.compile("[0-9A-Za-z]")
-APART_ASCII = re.compile(r"[a-z]+|[0-9]|[^\sa-z0-9]+")
-APART = regex.compile(r"[^\s\p{L}\p{N}]+|\p{N}")
-
-
-def parts(text: bytes) -> list[str]:
-    """Pieces of a text whose token ids, one after another, are the text's: words, or their runs of letters and marks.
-
-    A-Z is lower-cased, as the tokenizer does. Words are taken apart only in composed texts without quotes and dotted capital I,
-    where neither composition, contractions nor lower case reach across such a cut.
-    """
-    low = text.lower()
-    odd, quoted = ODD_SPACE.search(low), b"'" in low
-    if low.isascii() and not odd:
-        return low.decode().split() if quoted else APART_ASCII.findall(low.decode())
+# beyond Latin letters and general punctuation, libraries differ in what they hold for a letter or a mark, and characters compose
+BEYOND = re.compile("[^\0-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e]")
+#: Of each character that is not beyond: 0 space, 1 letter, 2 number (a word of its own), 3 anything else.
+KINDS = np.array([0 if c.isspace() else 1 if c.isalpha() else 2 if regex.match(r"\p{N}", c) else 3 for c in map(chr, range(0x2060))], np.uint8)
+#: Whether the tokenizer leaves it as it is.
+AS_IS = np.array([c == c.lower() and (c.isascii() or c.isalpha()) for c in map(chr, range(0x2060))])
+QUOTE, ALONE, PAIRED = ord("'"), [ord(c) for c in "stmd"], [(ord(a), ord(b)) for a, b in ("re", "ve", "ll")]
+STEP = 0x9E3779B97F4A7C15
+
+
+def plain(low: bytes) -> str | None:
+    """The text, if its words can be told by kinds of characters: Latin, without dotted capital I and combining marks."""
+    if ODD_SPACE.search(low):
+        return None
     t = low.decode("utf-8", "replace")
-    if odd:
-        return SPACE.split(t.strip(" \t\n\r"))
-    if not quoted and "\u0130" not in t and unicodedata.is_normalized("NFC", t):
-        t = APART.sub(r" \g<0> ", t)
-    return t.split()
+    return t if t.isascii() or not BEYOND.search(t) else None
 
 
-def one_word(part: str) -> bool:
-    """Whether the tokenizer leaves a part as it is: a run of lower-case Latin letters, a digit, or ASCII marks without quotes."""
-    return part.isascii() and (part.isalpha() or len(part) == 1 or not (part.isalnum() or "'" in part or ALNUM.search(part))) or part.isalpha() and part == part.lower() and max(part) < "\u0250"
+def parts(low: bytes) -> list[str]:
+    """Pieces of any text whose token ids, one after another, are the text's. A-Z is lower-cased already."""
+    t = low.decode("utf-8", "replace")
+    return SPACE.split(t.strip(" \t\n\r")) if ODD_SPACE.search(low) else t.split()
+
+
+def word_starts(letters: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where words start: runs of letters, single numbers, runs of marks; and contractions, a quote that no mark is before with the letters that belong to it."""
+    new = kind > 0
+    new[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    quotes = np.flatnonzero(new & (letters == QUOTE))
+    if len(quotes):
+        behind = np.append(letters, np.zeros(2, letters.dtype))
+        one, two = behind[quotes + 1], behind[quotes + 2]
+        size = np.isin(one, ALONE) + 2 * np.logical_or.reduce([(one == a) & (two == b) for a, b in PAIRED])
+        quotes, size = quotes[size > 0], size[size > 0]
+        new[quotes + 1] = False
+        rest = quotes + 1 + size
+        rest = rest[rest < len(new)]
+        new[rest] = kind[rest] > 0
+    return np.flatnonzero(new)
+
+
+def plain_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of plain texts (characters of all, and each one's length), the words of all texts by number, and how many each text has.
+
+    Words are told apart by a 64-bit hash, and each is then compared with the first one of its hash.
+    """
+    letters = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+    kind = KINDS[letters]
+    starts = word_starts(letters, kind)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    counts = np.diff(np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes)))))
+    if not len(starts):
+        return letters[:0], starts, starts, counts
+    spoken = kind > 0
+    first = (np.cumsum(spoken) - 1)[starts]
+    letters = letters[spoken]
+    lengths = np.diff(np.append(first, len(letters)))
+    powers = np.cumprod(np.full(int(lengths.max()), STEP, np.uint64))
+    hashes = np.add.reduceat((letters + np.uint64(1)) * powers[ragged(np.zeros_like(first), lengths)], first)
+    coded = pa.array(hashes).dictionary_encode()
+    refs = coded.indices.to_numpy().astype(np.int64)
+    firsts = np.empty(len(coded.dictionary), np.int64)
+    firsts[refs[::-1]] = np.arange(len(refs))[::-1]
+    model = firsts[refs]
+    if (lengths[model] != lengths).any() or (letters[ragged(first[model], lengths)] != letters).any():
+        raise ArithmeticError("two words of one hash")
+    return letters[ragged(first[firsts], lengths[firsts])], lengths[firsts], refs, counts
+
+
+def added_tokens(model: dict) -> dict[bytes, int]:
+    """The tokens that the tokenizer finds in a text as it stands, before it lower-cases or composes anything, and their ids."""
+    found = {}
+    for t in model.get("added_tokens") or []:
+        if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]:
+            raise ValueError(f"added token of another kind: {t['content']}")
+        found[t["content"].encode()] = t["id"]
+    return found
 
 
 class PartIds:
     """Part -> the bytes of its token ids (little-endian uint32), filled by ids(); common parts are kept from call to call.
 
-    What is one word of the tokenizer goes straight to its merges, many at a time; all else through the library.
+    A text is first split at added tokens, whose ids stand for themselves. Words of Latin texts go straight to the tokenizer's merges,
+    all distinct ones of a call at a time; all else through the library, which no longer knows the added tokens: lower-cased text is none.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 240_000):
+    def __init__(self, tokenizer_json: str, most: int = 50_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.ranks, self.kept = Tokenizer.from_str(tokenizer_json), WordRanks(tokenizer_json), Recent(most)
+        model = json.loads(tokenizer_json)
+        self.added = {name: np.array([id_], "<u4").tobytes() for name, id_ in added_tokens(model).items()}
+        # the longest first: of two that start at one place it is found
+        self.split = re.compile(b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) or b"(?!)")
+        self.tokenizer = Tokenizer.from_str(json.dumps(model | {"added_tokens": []}))
+        self.ranks, self.kept = WordRanks(tokenizer_json), Recent(most)
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [parts(t) for t in texts]
-        plain, other = [], []
-        for w in self.kept.lacking(set().union(*split)):
-            if w and one_word(w):
-                plain.append((w, w.encode()))
+        """The ids of each whole text."""
+        pieces, ends, between = [], [], []
+        for t in texts:
+            at = 0
+            for m in self.split.finditer(t):
+                pieces.append(t[at : m.start()])
+                between.append(self.added[m[0]])
+                at = m.end()
+            pieces.append(t[at:] if at else t)
+            between.append(b"")
+            ends.append(len(pieces))
+        found = self.ids_between(pieces)
+        at = 0
+        for end in ends:
+            if end == at + 1:
+                yield next(found)
             else:
-                other.append(w)
+                yield b"".join(next(found) + between[k] for k in range(at, end))
+            at = end
+
+    def ids_of_words(self, letters: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many each has."""
+        if not len(lengths):
+            return np.zeros(0, "<u4"), lengths
+        first = np.cumsum(lengths) - lengths
+        simple = np.logical_and.reduceat(AS_IS[letters], first)
+        other = np.flatnonzero(~simple)
+        words = letters[ragged(first[other], lengths[other])].tobytes().decode("utf-32-le")
+        bounds = np.concatenate(([0], np.cumsum(lengths[other]))).tolist()
+        by_library = self.by_library([words[i:j] for i, j in zip(bounds, bounds[1:], strict=False)])
+        inside = np.repeat(simple, lengths)
+        data = np.frombuffer(letters[inside].tobytes().decode("utf-32-le").encode(), np.uint8)
+        wide = 1 + (letters >= 0x80).astype(np.int64) + (letters >= 0x800)
+        ids, counts = merge_flat(data, np.add.reduceat(wide, first)[simple], self.ranks)
+        every = np.zeros(len(lengths), np.int64)
+        every[simple], every[other] = counts, [len(x) for x in by_library]
+        out = np.empty(int(every.sum()), "<u4")
+        begin = np.cumsum(every) - every
+        out[ragged(begin[simple], counts)] = ids
+        out[ragged(begin[other], every[other])] = [i for x in by_library for i in x]
+        return out, every
+
+    def by_library(self, words: list[str]) -> list[list[int]]:
+        found = []
+        for at in range(0, len(words), 20_000):
+            found += [x.ids for x in self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
+        return found
+
+    def ids_between(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of texts without added tokens."""
+        lows = [t.lower() for t in texts]
+        told = [plain(t) for t in lows]
+        try:
+            letters, lengths, refs, counts = plain_words([t for t in told if t is not None])
+        except ArithmeticError:
+            told, (letters, lengths, refs, counts) = [None] * len(texts), plain_words([])
+        flat, sizes = self.ids_of_words(letters, lengths)
+        each = sizes[refs]
+        ids = flat[ragged((np.cumsum(sizes) - sizes)[refs], each)].tobytes()
+        ends = np.concatenate(([0], np.cumsum(each)))
+        bounds = iter((4 * ends[np.concatenate(([0], np.cumsum(counts)))]).tolist())
+        odd = {i: parts(lows[i]) for i, t in enumerate(told) if t is None}
+        new = self.kept.lacking(set().union(*odd.values()))
         known = self.kept.young
-        merge_all(plain, self.ranks, known)
-        for at in range(0, len(other), 20_000):
-            some = other[at : at + 20_000]
-            for w, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(found.ids, "<u4").tobytes()
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
-
-
-_words: dict[int, PartIds] = {}
+        known.update(zip(new, (np.array(x, "<u4").tobytes() for x in self.by_library(new)), strict=True))
+        at = next(bounds)
+        for i in range(len(texts)):
+            if i in odd:
+                yield b"".join(map(known.__getitem__, odd[i]))
+            else:
+                end = next(bounds)
+                yield ids[at:end]
+                at = end
 
 
 def pieces(docs: DataFrame, tokenizer_json: str, size: int = 4096, end_id: int = 1) -> DataFrame:
@@ -101,15 +212,14 @@ def pieces(docs: DataFrame, tokenizer_json: str, size: int = 4096, end_id: int =
     Null and empty texts give one piece with the end id alone; repeated rows each give their own pieces. Other
     columns of docs are not read. Columns: doc_id, piece, start, length, ids_crc32.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    shared, digest = docs.sparkSession.sparkContext.broadcast(tokenizer_json), digest_of(tokenizer_json)
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        if 0 not in _words:
-            _words[0] = PartIds(shared.value)
-        for batch in chunks(batches, 3 << 20):
+        words = kept_table("words", digest, lambda: PartIds(shared.value))
+        for batch in chunks(batches, 2 << 20):
             out: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), _words[0].ids(list(as_bytes(batch.column(1)))), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.ids(list(as_bytes(batch.column(1)))), strict=True):
                 ids += end
                 for k in range(0, len(ids), 4 * size):
                     part = ids[k : k + 4 * size]
@@ -147,16 +257,16 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, li
     return bins, offsets, fills
 
 
-def pack(items: DataFrame, size: int = 4096, slack: int = 0, hosts: int = 256, fan_in: int = 16, partitions: int | None = None) -> DataFrame:
+def pack(items: DataFrame, size: int = 4096, slack: int = 0, hosts: int = 256, fan_in: int = 16, group: int = 100_000) -> DataFrame:
     """Adds sequence_id and offset to items (rows of PIECES), each sequence at most `size` long and gapless from 0.
 
     A bin with at most `slack` room is nearly full and never travels. A node sends up at most one bin that is
     at most half full and its `hosts` emptiest others; all other bins are final as they stand, so nothing
-    is dropped and no node grows beyond fan_in * (hosts + 1) bins. Lengths must be 1 to size. An empty
-    table gives an empty result.
+    is dropped and no node grows beyond fan_in * (hosts + 1) bins. The first groups have about `group` items each, however many there are.
+    Lengths must be 1 to size. An empty table gives an empty result.
     """
-    spark = items.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    items = materialise(items)
+    n = max(1, -(-items.count() // group))
 
     def local(frames):
         got = [f for f in frames if len(f)]
