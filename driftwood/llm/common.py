@@ -16,19 +16,41 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, as in tests, it is a temporary one, but only where all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="driftwood-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder and read back: lineage is cut, lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    """df written as a table in the shared folder and read back: lineage is cut, lost executors lose nothing.
+
+    The table goes by discard(), or else when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, where = _hadoop_path(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() that nothing reads any more, results still to be computed included."""
+    for df in tables:
+        files, where = _hadoop_path(df.sparkSession, df.written_to)
+        files.delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

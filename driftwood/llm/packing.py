@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwood.llm.bpe import WordRanks, merge_flat
-from driftwood.llm.common import Recent, as_bytes, chunks, crc32_of, digest_of, kept_table, materialise, ragged, table
+from driftwood.llm.common import Recent, as_bytes, chunks, crc32_of, digest_of, discard, kept_table, materialise, ragged, table
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", bin bigint, offset bigint, node int, bin_fill bigint"
@@ -268,20 +268,17 @@ def pack(items: DataFrame, size: int = 4096, slack: int = 0, hosts: int = 256, f
     items = materialise(items)
     n = max(1, -(-items.count() // group))
 
-    def local(frames):
-        got = [f for f in frames if len(f)]
-        if not got:
-            return
-        frame = pd.concat(got, ignore_index=True)
+    def local(frame: pd.DataFrame) -> pd.DataFrame:
         bins, offsets, fills = best_fit(frame["length"].to_numpy(), size)
         node = int(frame["deal"].iloc[0])
         frame = frame.drop(columns="deal")
         frame["bin"], frame["offset"], frame["node"] = bins + (node << BIN_BITS), offsets, node
         frame["bin_fill"] = np.where(offsets == 0, np.array(fills)[bins], 0)
-        yield frame
+        return frame
 
     dealt = items.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
-    packed = materialise(dealt.groupBy("deal").applyInPandas(lambda f: next(local([f])), PACKED))
+    packed = materialise(dealt.groupBy("deal").applyInPandas(local, PACKED))
+    discard(items)
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         """One node's bins as items of a best-fit round; gives the bins that result."""
@@ -306,6 +303,7 @@ def pack(items: DataFrame, size: int = 4096, slack: int = 0, hosts: int = 256, f
     while level > 1:
         level = -(-level // fan_in)
         merged = materialise(bins.withColumn("node", (F.col("node") / fan_in).cast("int")).groupBy("node").applyInPandas(merge, NODE))
+        discard(bins)
         moved.append(merged)
         bins = materialise(merged.groupBy("node").applyInPandas(travellers, NODE)) if level > 1 else merged
     if not moved:

@@ -3,7 +3,8 @@
 Groups of equal texts are atomic and ordered by a 64-bit hash of the text. The smallest shard capacity for which
 a greedy sweep needs no more than the wanted shards is found by binary search, and the sweep's cuts
 are the shards' bounds. The groups are too many for the driver, so it sees intervals of the hash space: first
-2**first_bits equal ones, then, again and again, only those near a cut, split finer, until those hold single groups.
+2**first_bits equal ones, then, again and again, only those near a cut, split finer, until those hold single groups. So the
+binary search has the result that it would have over all groups.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import materialise, table
+from driftwood.llm.common import discard, materialise, table
 
 TOP = 1 << 64
 
@@ -48,10 +49,10 @@ def smallest_capacity(sizes: list[int], shards: int) -> tuple[int, list[int]]:
     return low, sweep(ends, low, shards)
 
 
-def least_capacity(total: int, single: list[int], shards: int) -> int:
-    """No sweep can do with less: an even share of what stays when larger groups stand alone."""
+def least_capacity(total: int, sizes: list[int], shards: int) -> int:
+    """No sweep can do with less: an even share of what stays when the largest stand alone. sizes: of intervals, each of which might be one group."""
     rest, left = total, shards
-    for size in sorted(single, reverse=True):
+    for size in sorted(sizes, reverse=True):
         if left < 2 or size * left <= rest:
             break
         rest, left = rest - size, left - 1
@@ -59,7 +60,7 @@ def least_capacity(total: int, single: list[int], shards: int) -> int:
 
 
 def near(ends: list[int], least: int, capacity: int, shards: int) -> set[int]:
-    """Positions of intervals in which a cut can lie, for any capacity from `least` to `capacity`."""
+    """Positions of intervals in which a cut can lie, for any capacity from `least` to `capacity`, and of those that might hold a group above it."""
     found, last, high = {k for k in range(len(ends) - 1) if ends[k + 1] - ends[k] > least}, len(ends) - 2, 0
     for cut in [*sweep(ends, least, shards), last]:
         high = max(high + capacity, ends[cut])
@@ -67,34 +68,49 @@ def near(ends: list[int], least: int, capacity: int, shards: int) -> set[int]:
     return {k for k in found if 0 <= k <= last}
 
 
-def minimax_bounds(groups: DataFrame, shards: int, first_bits: int = 14, step_bits: int = 4, most_intervals: int = 200_000) -> list[int]:
-    """Hash values (0 to 2**64) at which shards 1, 2, ... start; groups: (h bigint: its bits are the hash, size bigint).
+def split(groups: DataFrame, known: dict[int, tuple[int, int, bool]], starts: list[int], step_bits: int) -> dict[int, tuple[int, int, bool]]:
+    """The given intervals cut into 2**step_bits each (as far as 64 bits go); they may differ in width."""
+    spans = [(64 - (known[s][0] - s).bit_length() + 1, s) for s in starts]
+    # (bits, the interval's leading bits); no two intervals overlap, so a group is in one at most
+    tops = groups.sparkSession.createDataFrame([(bits, s >> (64 - bits), min(64, bits + step_bits)) for bits, s in spans], "bits int, top bigint, then int")
+    wide = [F.struct(F.lit(bits).alias("bits"), F.shiftrightunsigned("h", 64 - bits).alias("top")) for bits in sorted({bits for bits, _ in spans})]
+    inside = groups.select("h", "size", F.explode(F.array(*wide)).alias("x")).select("h", "size", "x.*").join(F.broadcast(tops), ["bits", "top"])
+    found = inside.groupBy("then", F.expr("if(then < 64, shiftrightunsigned(h, 64 - then), h)").alias("k")).agg(F.sum("size").alias("size"), F.min("h").alias("low"), F.max("h").alias("high"))
+    out = {}
+    for r in found.collect():
+        width = TOP >> r["then"]
+        start = r["k"] % TOP * width
+        out[start] = (start + width, r["size"], r["low"] == r["high"])
+    return out
 
-    Rows of one hash are one group. If more than most_intervals intervals would come to the driver, the bounds
-    found so far are used: they are off the optimum by less than one interval's size.
+
+def minimax_bounds(groups: DataFrame, shards: int, first_bits: int = 14, step_bits: int = 4, at_once: int = 20_000) -> list[int]:
+    """Hash values (0 to 2**64) at which shards 1, 2, ... start; groups: (h bigint: its bits are the hash, size bigint), better a written table.
+
+    Rows of one hash are one group. Intervals near a cut are split until only single groups are, so the bounds are those of a sweep over
+    all groups. At most at_once intervals are split in a pass, those at the present cuts first; the others wait for the next.
     """
-    spark, bits, spans = groups.sparkSession, 0, None
+    width = TOP >> first_bits
     known: dict[int, tuple[int, int, bool]] = {}  # start -> end, size, is one group
-    while True:
-        old, bits = bits, min(64, bits + (step_bits if bits else first_bits))
-        wanted = groups
-        if spans is not None:
-            tops = spark.createDataFrame([(a >> (64 - old),) for a in spans], "top bigint")
-            wanted = groups.withColumn("top", F.shiftrightunsigned("h", 64 - old)).join(F.broadcast(tops), "top", "left_semi")
-            for a in spans:
-                del known[a]
-        key = F.shiftrightunsigned("h", 64 - bits) if bits < 64 else F.col("h")
-        width = TOP >> bits
-        for r in wanted.groupBy(key.alias("k")).agg(F.sum("size").alias("size"), F.min("h").alias("low"), F.max("h").alias("high")).collect():
-            start = r["k"] % TOP * width
-            known[start] = (start + width, r["size"], r["low"] == r["high"])
+    for r in groups.groupBy(F.shiftrightunsigned("h", 64 - first_bits).alias("k")).agg(F.sum("size").alias("size"), F.min("h").alias("low"), F.max("h").alias("high")).collect():
+        known[r["k"] * width] = (r["k"] * width + width, r["size"], r["low"] == r["high"])
+    while known:
         starts = sorted(known)
-        ends = running([known[s][1] for s in starts])
-        capacity, cuts = smallest_capacity([known[s][1] for s in starts], shards) if starts else (0, [])
-        least = least_capacity(ends[-1], [size for _, size, one in known.values() if one], shards)
-        spans = [starts[k] for k in sorted(near(ends, least, capacity, shards)) if not known[starts[k]][2] and known[starts[k]][0] - starts[k] == width] if starts else []
-        if not spans or bits == 64 or len(spans) << step_bits > most_intervals:
+        sizes = [known[s][1] for s in starts]
+        ends = running(sizes)
+        capacity, cuts = smallest_capacity(sizes, shards)
+        least = least_capacity(ends[-1], sizes, shards)
+        open_ = [k for k in near(ends, least, capacity, shards) if not known[starts[k]][2]]
+        if not open_:
             return [starts[c] for c in cuts]
+        at = sorted([0, *cuts, *sweep(ends, least, shards)])
+        open_.sort(key=lambda k: (sizes[k] <= least, min(abs(k - at[i]) for i in (bisect_right(at, k) - 1, min(bisect_right(at, k), len(at) - 1)))))
+        some = [starts[k] for k in open_[:at_once]]
+        finer = split(groups, known, some, step_bits)
+        for s in some:
+            del known[s]
+        known |= finer
+    return []
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
@@ -105,7 +121,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, overhead: int = 16) -> Dat
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = materialise(docs.select("doc_id", (F.octet_length(text) + F.lit(overhead)).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h")))
-    bounds = minimax_bounds(rows.groupBy("h").agg(F.sum("size").alias("size")), shards)
+    groups = materialise(rows.groupBy("h").agg(F.sum("size").alias("size")))
+    bounds = minimax_bounds(groups, shards)
+    discard(groups)
     # signed hashes order as unsigned ones once the top bit is flipped
     signed = F.array(*[F.lit(b - (TOP >> 1)) for b in bounds]) if bounds else F.array().cast("array<bigint>")
     flipped = F.col("h").bitwiseXOR(F.lit(-(TOP >> 1)))

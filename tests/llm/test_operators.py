@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
@@ -201,6 +202,8 @@ def test_simhash(docs, rows, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
+    tagged = common.materialise(simhash.fingerprints(docs))
+    same_multiset([tuple(r) for r in simhash.link(tagged, often=10**9).select("doc_id", "component_id").collect()], [(r.doc_id, r.component_id) for r in found])
     named = {roots[f] for r, f in zip(rows, fps, strict=True)}
     assert kept.count() == len(named)
 
@@ -278,6 +281,33 @@ def test_certified_cutoffs_hold_the_risk(spark):
     assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.05
 
 
+def test_small_strata_share_cutoffs_and_no_value_is_clipped(spark):
+    """Ten languages too small for cutoffs of their own; bad documents are told by words of 30 characters and more."""
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(2400):
+        bad = i % 4 == 0
+        rows.append((i, " ".join("x" * (r.randrange(30, 60) if bad else r.randrange(22, 28)) + str(r.randrange(10**6)) for _ in range(r.randrange(20, 40))), f"l{i % 10}"))
+        labels.append((i, int(not bad), 0))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = {x.doc_id: x for x in quality.judge(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
+    assert all(x.level is not None for x in found.values())
+    assert sum(found[i].kept for i in range(2400) if i % 4) > 0.98 * 1800 and sum(found[i].kept for i in range(0, 2400, 4)) < 0.05 * 600
+
+
+def test_proposed_cutoffs(spark):
+    """Against a plain search: the least of the values that the level's share of good documents may exceed, and halfway up to the next bad one."""
+    r = random.Random(8)
+    values = [(r.randrange(40), int(r.random() < 0.7)) for _ in range(900)] + [(v, 0) for v in range(30, 60)]
+    frame = pd.DataFrame([("s", "marks", v, g, b) for v, (g, b) in {v: (sum(q for x, q in values if x == v), sum(1 - q for x, q in values if x == v)) for v, _ in values}.items()], columns=["stratum", "rule", "value", "good", "bad"])
+    found = quality.propose(frame)
+    good, bad = [v for v, q in values if q], [v for v, q in values if not q]
+    for level, share in enumerate(quality.LEVELS):
+        safe = min(v for v in good if sum(g > v for g in good) <= int(share * len(good)))
+        assert found["marks"][level] == (safe + min(v for v in bad if v > safe)) / 2
+    assert found["symbols"].isna().all()
+
+
 # --- 5 chat
 
 
@@ -336,17 +366,21 @@ def test_smallest_capacity(sizes, shards):
     assert len(cuts) < shards
 
 
-def test_minimax_bounds_are_exact(spark):
+@pytest.mark.parametrize(("hot", "first_bits", "step_bits", "at_once"), [(0, 5, 4, 20_000), (3_000_000, 6, 4, 12)])
+def test_minimax_bounds_are_exact(spark, hot, first_bits, step_bits, at_once):
+    """Also with one group of a third of all bytes and another of a tenth that lie close to others, and with few intervals split at a time."""
     r = random.Random(1)
     hashes = sorted({r.getrandbits(64) for _ in range(2000)})
     sizes = [r.randrange(16, 4000) for _ in hashes]
+    sizes[701] += hot
+    sizes[703] += hot // 4
     signed = [(h - (1 << 64) if h >> 63 else h, s) for h, s in zip(hashes, sizes, strict=True)]
-    groups = spark.createDataFrame(signed, "h bigint, size bigint")
-    bounds = sharding.minimax_bounds(groups, 8, first_bits=5, step_bits=3)
-    loads = Counter()
-    for h, s in zip(hashes, sizes, strict=True):
-        loads[sum(b <= h for b in bounds)] += s
-    assert max(loads.values()) == sharding.smallest_capacity(sizes, 8)[0]
+    groups = spark.createDataFrame(signed, "h bigint, size bigint").cache()
+    bounds = sharding.minimax_bounds(groups, 8, first_bits, step_bits, at_once)
+    capacity, cuts = sharding.smallest_capacity(sizes, 8)
+    cell = lambda b: sum(h < b for h in hashes)
+    assert [cell(b) for b in bounds] == cuts
+    groups.unpersist()
 
 
 def test_shards(docs, rows, no_docs):
