@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import as_bytes, as_row, chunks, materialise, table, text_of, with_text
+from driftwood.llm.common import as_bytes, as_row, chunks, discard, materialise, table, text_of, with_text
 
 SEED, WORDS, BITS = 42, 3, 64
 
@@ -114,7 +114,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialise(small.where("u <> v").distinct())
+        old, edges = edges, materialise(small.where("u <> v").distinct())
+        discard(old)
         now = edges.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -131,14 +132,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, crowded: int = 1000) ->
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def link(rows: DataFrame, crowded: int = 1000) -> DataFrame:
-    """rows (doc_id, fp, ...; a written table) with component_id."""
-    fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def link(rows: DataFrame, crowded: int = 1000, often: int = 1000) -> DataFrame:
+    """rows (doc_id, fp, ...; a written table) with component_id.
+
+    Fingerprints that more than one in `often` rows have, less than `often` of them whatever the input, are sent to every task, so
+    that their rows stay where they are; the others' rows are dealt by fingerprint.
+    """
+    fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     rooted = materialise(components(near_pairs(fps.select("fp"), crowded)))
     named = rooted.join(fps, rooted["node"] == fps["fp"]).groupBy("root").agg(F.min("least").alias("component"))
     linked = rooted.join(named, "root").select(F.col("node").alias("fp"), "component")
-    ids = fps.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(ids, "fp")
+    ids = materialise(fps.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "n"))
+    discard(rooted, fps)
+    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    many = F.broadcast(ids.where(F.col("n") > total // often).select("fp", "component_id"))
+    few = rows.join(many.select("fp"), "fp", "left_anti").join(ids.where(F.col("n") <= total // often).select("fp", "component_id"), "fp")
+    return rows.join(many, "fp").unionByName(few)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, crowded: int = 1000) -> DataFrame:
