@@ -33,8 +33,10 @@ RULES = {
     "long_words": ("word_chars", "n_words"),
     "short_words": ("n_words", "word_chars"),
 }
-HIGHEST = 20_000
+#: Values of so many bits or fewer are exact, of larger ones the leading bits: a stratum has at most some 30,000 values, none is cut off.
+EXACT_BITS = 10
 #: Shares of good documents of the first half that a single rule may reject, by level.
+OWN, POOL = "=", "pooled"
 LEVELS = (0.0, 0.0005, 0.001, 0.002, 0.005)
 
 
@@ -81,7 +83,9 @@ def base_failed() -> Column:
 
 def rule_value(rule: str) -> Column:
     top, bottom = RULES[rule]
-    return F.least(F.lit(HIGHEST), F.coalesce(F.expr(f"try_divide(1000 * {top}, {bottom})"), F.lit(0))).cast("int")
+    value = f"coalesce(1000 * {top} div nullif({bottom}, 0), 0L)"
+    extra = f"greatest(length(bin({value})) - {EXACT_BITS}, 0)"
+    return F.expr(f"shiftleft(shiftright({value}, {extra}), {extra})")
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -106,7 +110,7 @@ def propose(frame: pd.DataFrame) -> pd.DataFrame:
             allowed = int(share * mine["good"].sum())
             over = mine["good"].cumsum() > allowed
             safe = int(mine["value"][over].iloc[0]) if over.any() else None
-            above = mine[(mine["value"] > (safe if safe is not None else HIGHEST)) & (mine["bad"] > 0)]
+            above = mine[(mine["value"] > safe) & (mine["bad"] > 0)] if safe is not None else mine[:0]
             row[rule] = float((safe + above["value"].min()) / 2) if len(above) else None
         out.append(row)
     return pd.DataFrame(out)
@@ -123,18 +127,28 @@ def rejected(prefix: str = "") -> Column:
     return found
 
 
+def strata(docs: DataFrame, stratum: str | None) -> Column:
+    """The stratum of a row by name; null is one of its own."""
+    return F.concat(F.lit(OWN), F.coalesce(F.col(stratum).cast("string"), F.lit(""))) if stratum else F.lit(OWN)
+
+
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
-    """(stratum, level, a cutoff for each rule) of the strata that have a certified level; at most one row each.
+    """(stratum, level, a cutoff for each rule; null: off) of each stratum with labels enough to certify something, and of the others together (POOL).
 
-    measured: doc_id, stratum, the counts. labels: doc_id, quality (1: good, 0: bad; null ones are not used). Of the certified levels
-    that which rejects most bad held-out documents is taken; of equal ones the mildest.
+    measured: doc_id, stratum, the counts. labels: doc_id, quality (1: good, 0: bad; null ones are not used). Enough are so many good
+    held-out documents that losing none of them would do; that counts labels, not what rules do to them. Of the certified levels that
+    which rejects most bad held-out documents is taken; of equal ones the mildest. Without a certified level, level and cutoffs are null.
     """
     graded = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     seen = materialise(measured.where(~base_failed()).join(graded, "doc_id").select("doc_id", "stratum", "quality", *[rule_value(r).alias(f"v_{r}") for r in RULES]).withColumn("held_out", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1))
+    sizes = materialise(seen.groupBy("stratum").agg(F.count_if(F.col("held_out") & (F.col("quality") == 1)).alias("good")))
+    tests = len(LEVELS) * (sizes.count() + 1)
+    enough = sizes.where(F.col("good") >= math.log(doubt / tests) / math.log1p(-risk)).select("stratum")
+    joined = seen.join(enough.withColumn("own", F.lit(True)), "stratum", "left")
+    seen = joined.withColumn("stratum", F.when(F.col("own"), F.col("stratum")).otherwise(F.lit(POOL)))
     values = seen.where("not held_out").select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"v_{r}").alias("value")) for r in RULES])).alias("x"))
     histogram = values.groupBy("stratum", "x.rule", "x.value").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     proposed = materialise(histogram.groupBy("stratum").applyInPandas(propose, CUTOFFS))
-    tests = max(1, proposed.count())
     tried = seen.where("held_out").join(proposed, "stratum").withColumn("out", rejected())
     tried = tried.groupBy("stratum", "level").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if((F.col("quality") == 1) & F.col("out")).alias("lost"), F.count_if((F.col("quality") == 0) & F.col("out")).alias("caught"))
 
@@ -143,23 +157,32 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02
         best = frame[safe].sort_values(["caught", "level"], ascending=[False, True]).head(1)
         return best[["stratum", "level"]]
 
-    return proposed.join(tried.groupBy("stratum").applyInPandas(certify, "stratum string, level int"), ["stratum", "level"])
+    certified = proposed.join(tried.groupBy("stratum").applyInPandas(certify, "stratum string, level int"), ["stratum", "level"])
+    every = enough.unionByName(measured.sparkSession.range(1).select(F.lit(POOL).alias("stratum")))
+    return every.join(certified, "stratum", "left")
 
 
 def with_cutoffs(valued: DataFrame, cutoffs: DataFrame, most: int = 20_000) -> DataFrame:
-    """Joins the strata's cutoffs, sent to every task if there are at most `most` (a few MB); beyond, rows are dealt by stratum, the large ones split."""
+    """Joins each row's cutoffs: its stratum's, or else those of POOL, a single row.
+
+    The strata's are sent to every task if there are at most `most` (a few MB); beyond, rows are dealt by stratum, the large ones split.
+    """
+    names = [c.split()[0] for c in CUTOFFS.split(", ")][1:]
     cutoffs = materialise(cutoffs)
-    return valued.join(F.broadcast(cutoffs) if cutoffs.count() <= most else cutoffs, "stratum", "left")
+    own = cutoffs.where(F.col("stratum") != POOL).withColumn("own", F.lit(True))
+    pool = cutoffs.where(F.col("stratum") == POOL).first()
+    found = valued.join(F.broadcast(own) if own.count() <= most else own, "stratum", "left")
+    kinds = dict(cutoffs.dtypes)
+    return found.select(*valued.columns, *[F.when(F.col("own"), F.col(c)).otherwise(F.lit(pool[c]).cast(kinds[c])).alias(c) for c in names])
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
-    """doc_id, the counts of BASE, base_failed, kept, level (of the stratum's cutoffs; null: none is certified).
+    """doc_id, the counts of BASE, base_failed, kept, level (of the cutoffs used; null: none is certified).
 
-    stratum: the column of docs whose values are the strata, null being one (None: all documents are one). Without labels
-    or with too few, a stratum has no cutoffs and the base rules decide alone. Repeated rows stay; an empty table gives an empty result.
+    stratum: the column of docs whose values are the strata, null being one (None: all documents are one). Strata with too few
+    labels share cutoffs; where even these have too few, the base rules decide alone. Repeated rows stay; an empty table gives an empty result.
     """
-    name = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
-    measured = materialise(measure(docs.select("doc_id", name.alias("stratum"), "text"), ["doc_id", "stratum"]))
+    measured = materialise(measure(docs.select("doc_id", strata(docs, stratum).alias("stratum"), "text"), ["doc_id", "stratum"]))
     cutoffs = certified_cutoffs(measured, labels, risk, doubt)
     valued = measured.select("*", *[rule_value(r).alias(f"v_{r}") for r in RULES])
     return with_cutoffs(valued, cutoffs).select("doc_id", *BASE, base_failed().alias("base_failed"), (~base_failed() & ~rejected()).alias("kept"), "level")
@@ -167,7 +190,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", risk
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
     """The rows of docs, all their columns, that judge() keeps. Texts are measured twice rather than shuffled."""
-    name = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
+    name = strata(docs, stratum)
     cutoffs = certified_cutoffs(materialise(measure(docs.select("doc_id", name.alias("stratum"), "text"), ["doc_id", "stratum"])), labels, risk, doubt)
     valued = measure(as_row(docs, name.alias("stratum")), ["row", "stratum"]).select("*", *[rule_value(r).alias(f"v_{r}") for r in RULES])
     return with_cutoffs(valued, cutoffs).where(~base_failed() & ~rejected()).select("row.*")
