@@ -4,6 +4,9 @@ Each language has a byte context tree of variable order: how often each byte fol
 bytes in the training texts. The probability of a byte comes from the longest context that has it; each longer context that is known
 but lacks it costs its escape (method C: distinct followers / (count + distinct followers)). The statistics are frozen
 when texts are scored, so the code length of a byte depends on its n-gram alone and is worked out once for each n-gram.
+
+The trees are fitted on a bounded sample: of a language with more than MOST_BYTES of labelled text, as many documents as hold about so
+much, by a hash of id and text. So the trees that go to the driver and every task don't grow with the input.
 """
 
 from __future__ import annotations
@@ -14,11 +17,22 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import CodeTable, Tally, as_bytes, block_sums, chunks, crc_fold, joined, materialise, table, text_of, training_codes, with_text
+from driftwood.llm.common import CodeTable, Tally, as_bytes, block_sums, chunks, crc_fold, discard, joined, materialise, table, text_of, training_codes, with_text
 
 ORDER = 3
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
+MOST_BYTES = 16 << 20
+#: A score says how sure so many bytes of the text would make it, or the whole text, if shorter.
+EVIDENCE = 64
+
+
+def training_sample(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(lang, text) of labelled documents: all of a language with at most most_bytes of text, else a share of them by hash that holds about so much."""
+    labelled = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text").cast("bigint")).alias("size"))
+    share = F.broadcast(sizes.select("lang", F.least(F.lit(1.0), F.lit(float(most_bytes)) / F.col("size")).alias("share")))
+    return labelled.join(share, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
 
 
 def ngram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
@@ -97,7 +111,7 @@ class Trees:
 
 
 def collect_trees(counts: DataFrame, order: int = ORDER) -> Trees:
-    """The trees of all (lang, code, n) rows, of every language and count."""
+    """The trees of all (lang, code, n) rows, of every language and count; as many as the sample's bound allows."""
     got = counts.toArrow()
     lang = got["lang"].combine_chunks().dictionary_encode()
     names = lang.dictionary.to_pylist()
@@ -110,13 +124,10 @@ def collect_trees(counts: DataFrame, order: int = ORDER) -> Trees:
     return Trees(langs, codes, n, order)
 
 
-_trees: dict[str, Trees] = {}
-
-
 def identify(docs: DataFrame, trees: Trees, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` (doc_id) and lang_pred, score, nats_per_byte for each whole text.
 
-    score: the best language's share of the languages' likelihoods, all equally likely before. Texts that are null or have no letter
+    score: the best language's share of the languages' likelihoods of EVIDENCE average bytes (of the whole text, if shorter), all equally likely before. Texts that are null or have no letter
     are `und` with score 0, as are all where no language was learned. Ties: the first language by name. Repeated rows
     stay, columns neither kept nor `text` are not read; an empty table gives an empty result.
     """
@@ -135,7 +146,8 @@ def identify(docs: DataFrame, trees: Trees, keep: list[str] | None = None) -> Da
                 nats, lengths = t.score(text_of(batch, keep))
                 best = nats.argmin(axis=1)
                 least = nats.min(axis=1)
-                share = 1.0 / np.exp(np.maximum(least[:, None] - nats, -700.0)).sum(axis=1)
+                part = np.minimum(1.0, EVIDENCE / np.maximum(lengths, 1))
+                share = 1.0 / np.exp(np.maximum((least[:, None] - nats) * part[:, None], -700.0)).sum(axis=1)
                 per_byte = least / np.maximum(lengths, 1)
                 names = np.array(t.langs, object)[best]
             else:
@@ -150,9 +162,12 @@ def identify(docs: DataFrame, trees: Trees, keep: list[str] | None = None) -> Da
     return with_text(docs, keep).mapInArrow(run, schema)
 
 
-def learn(docs: DataFrame, order: int = ORDER) -> Trees:
-    """Trees from docs' text and non-null lang."""
-    return collect_trees(materialise(ngram_counts(docs.where("lang is not null and text is not null"), order)), order)
+def learn(docs: DataFrame, order: int = ORDER, most_bytes: int = MOST_BYTES) -> Trees:
+    """Trees from docs' text and non-null lang, at most about most_bytes of text of each language."""
+    counts = materialise(ngram_counts(training_sample(docs, most_bytes), order))
+    trees = collect_trees(counts, order)
+    discard(counts)
+    return trees
 
 
 def held_out():

@@ -500,6 +500,22 @@ def test_trees_keep_small_languages(spark):
     assert total([1], 0) == pytest.approx(1 / 5) and total([2], 0) == pytest.approx(2 / 5)
 
 
+def test_training_sample_and_score(spark):
+    """A sample bounded in bytes, of each language; it tells languages as all texts do, and a text of two languages gets a lower score."""
+    r = random.Random(2)
+    make = lambda x: " ".join("".join(r.choice(x) for _ in range(r.randrange(2, 8))) for _ in range(60))
+    rows = [(i, make("abcde" if i % 3 else "defgh"), "one" if i % 3 else "two") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    size = {x: sum(len(t) for _, t, y in rows if y == x) for x in ("one", "two")}
+    bound = size["two"] // 4
+    found = langid.training_sample(df, bound).collect()
+    assert all(0.7 * bound < sum(len(x.text) for x in found if x.lang == y) < 1.3 * bound for y in ("one", "two"))
+    assert langid.training_sample(df, 10**9).count() == 900
+    trees = langid.learn(df, most_bytes=bound)
+    told = {x.doc_id: x for x in langid.identify(df.unionByName(spark.createDataFrame([(-1, rows[0][1][:150] + " " + rows[1][1][:150], None)], df.schema)), trees).collect()}
+    assert all(told[i].lang_pred == y and told[i].score > 0.9 for i, _, y in rows) and told[-1].score < min(told[i].score for i, _, _ in rows)
+
+
 def test_identify(docs, rows, no_docs):
     trees = langid.learn(docs)
     found = langid.identify(docs, trees).collect()
