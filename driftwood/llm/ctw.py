@@ -6,7 +6,8 @@ training texts. The training counts are frozen when texts are scored, so that th
 n-gram alone. Beside it, the add-one unigram score over words. Each batch of texts sends its distinct words, as hashes, and its
 distinct n-grams to their buckets for counting, and gets counts and log probabilities back: a bucket has all n-grams below the contexts of
 ROOT bytes that fall to it, so it works out their trees alone, but for the shortest contexts, which are summed from all buckets.
-No n-gram is left out, and none but those shortest contexts' sums are ever in one place.
+Counts are merged few batches at a time, answers are given batch by batch as they stream by, and there are the more buckets the more text there
+is. No n-gram is left out, and none but those shortest contexts' sums are ever in one place.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import CodeTable, Tally, as_bytes, block_sums, chunks, crc_fold, joined, materialise, ngram_codes, packed, run_lengths, table, training_codes, unpacked
+from driftwood.llm.common import CodeTable, Tally, as_bytes, block_sums, chunks, crc_fold, discard, joined, materialise, ngram_codes, packed, run_lengths, table, training_codes, unpacked
 
 DEPTH = 5
 ROOT = 2
@@ -182,10 +183,10 @@ def score_parts(docs: DataFrame, depth: int, root: int, buckets: int) -> DataFra
             codes = codes.astype(np.uint64)
             seen, refs, tokens = word_refs(text.lower() for text in as_bytes(batch.column(1)))
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
-            counts = np.bincount(refs[np.repeat(~held, tokens)], minlength=len(seen)).astype(np.uint32)
+            counts = np.bincount(refs[np.repeat(~held, tokens)], minlength=len(seen)).astype(np.int64)
             # refs count words as they came; places lead from that to their buckets' order
             bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((hashes, bucket))
             places = np.empty(len(order), np.uint32)
             places[order] = np.arange(len(order), dtype=np.uint32)
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -194,7 +195,7 @@ def score_parts(docs: DataFrame, depth: int, root: int, buckets: int) -> DataFra
             bucket = ((context * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             code_bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            codes, learned = codes[order], learned[order].astype(np.uint32)
+            codes, learned = codes[order], learned[order].astype(np.int64)
             batch_key = (task << 24) + number
             number += 1
             ids = np.array([null_id if x is None else x for x in batch.column(0).to_pylist()], np.int64)
@@ -202,30 +203,57 @@ def score_parts(docs: DataFrame, depth: int, root: int, buckets: int) -> DataFra
             rows = [(batch_key, WHOLE, *[None] * 4, packed(places), ids.tobytes(), held.tobytes(), lengths.tobytes(), packed(data))]
             for b, (i, j, k, m) in enumerate(zip(bounds, bounds[1:], code_bounds, code_bounds[1:], strict=False)):
                 if i < j or k < m:
-                    rows.append((batch_key, b, hashes[i:j].tobytes(), packed(counts[i:j]), packed(np.diff(codes[k:m], prepend=np.uint64(0))), packed(learned[k:m]), *[None] * 5))
+                    rows.append((batch_key, b, stepped(hashes[i:j]), packed(counts[i:j]), stepped(codes[k:m]), packed(learned[k:m]), *[None] * 5))
             kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 9]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in PARTS.split(", ")])
 
     return docs.select("doc_id", "text", "held").mapInArrow(run, PARTS)
 
 
+COUNTED = "batch bigint, bucket int, hashes binary, counts binary, codes binary, learned binary"
+
+
+def stepped(values: np.ndarray) -> bytes:
+    """Sorted integers, packed by their differences."""
+    return packed(np.diff(values, prepend=np.uint64(0)))
+
+
 def unstepped(steps: bytes) -> np.ndarray:
     return np.cumsum(unpacked(steps, np.uint64), dtype=np.uint64)
 
 
-def bucket_models(parts: DataFrame, depth: int, root: int) -> DataFrame:
-    """A row for each bucket: all its n-grams, sorted, with their training counts (0: only asked for), and what roots_say() of them."""
+def merge_counts(parts: DataFrame, batches: int, fan_in: int = 32) -> DataFrame:
+    """(bucket, hashes, counts, codes, learned): one row a bucket, of all batches. About fan_in rows are merged at a time, in rounds."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        tally = Tally()
-        for steps, learned in zip(frame["codes"], frame["learned"], strict=True):
-            tally.put(unstepped(steps), unpacked(learned, np.uint32).astype(np.int64))
-        codes, n = tally.total()
-        keys, zeros, ones, below = roots_say(codes[n > 0], n[n > 0].astype(np.float64), depth, root)
-        row = {"bucket": frame["bucket"].iloc[0], "codes": packed(np.diff(codes, prepend=np.uint64(0))), "learned": packed(n), "keys": packed(keys), "zeros": zeros.tobytes(), "ones": ones.tobytes(), "below": below.tobytes()}
-        return pd.DataFrame([row])
+        words, grams = Tally(), Tally()
+        for hashes, counts, steps, learned in zip(frame["hashes"], frame["counts"], frame["codes"], frame["learned"], strict=True):
+            words.put(unstepped(hashes), unpacked(counts, np.int64))
+            grams.put(unstepped(steps), unpacked(learned, np.int64))
+        (hashes, counts), (codes, learned) = words.total(), grams.total()
+        return pd.DataFrame([(frame["batch"].iloc[0], frame["bucket"].iloc[0], stepped(hashes), packed(counts), stepped(codes), packed(learned))], columns=["batch", "bucket", "hashes", "counts", "codes", "learned"])
+
+    merge = lambda rows, group: rows.withColumn("batch", group).groupBy("bucket", "batch").applyInPandas(run, COUNTED)
+    groups = max(1, -(-batches // fan_in))
+    merged = merge(parts, F.pmod(F.xxhash64("batch"), F.lit(groups)))
+    while groups > 1:
+        groups = -(-groups // fan_in)
+        merged = merge(merged, F.expr(f"batch div {fan_in}"))
+    return merged
+
+
+def with_reports(counted: DataFrame, depth: int, root: int) -> DataFrame:
+    """Adds what roots_say() of a bucket's n-grams to merge_counts()' rows."""
 
-    return parts.select("bucket", "codes", "learned").groupBy("bucket").applyInPandas(run, "bucket int, codes binary, learned binary, keys binary, zeros binary, ones binary, below binary")
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                codes, n = unstepped(row.column(4)[0].as_py()), unpacked(row.column(5)[0].as_py(), np.int64)
+                keys, zeros, ones, below = roots_say(codes[n > 0], n[n > 0].astype(np.float64), depth, root)
+                yield pa.RecordBatch.from_arrays([*row.columns, *(pa.array([x], pa.binary()) for x in (packed(keys), zeros.tobytes(), ones.tobytes(), below.tobytes()))], [*row.schema.names, "keys", "zeros", "ones", "below"])
+
+    return counted.mapInArrow(run, COUNTED + ", keys binary, zeros binary, ones binary, below binary")
 
 
 def top_of(models: DataFrame, root: int) -> Top:
@@ -242,7 +270,18 @@ def top_of(models: DataFrame, root: int) -> Top:
     return Top(got["key"].to_numpy().astype(np.uint64), *(got[c].to_numpy() for c in ("zeros", "ones", "below")), root)
 
 
-def lm_scores(docs: DataFrame, held, depth: int = DEPTH, buckets: int = 256) -> DataFrame:
+def buckets_for(n_bytes: int, least: int = 256, each: int = 64 << 20) -> int:
+    """How many buckets so much text is dealt to: a power of two, at most one for each of the contexts of ROOT bytes."""
+    return min(1 << 8 * ROOT, max(least, 1 << (-(-n_bytes // each) - 1).bit_length()))
+
+
+def dealt(df: DataFrame, buckets: int) -> DataFrame:
+    """By bucket, a bucket's own row first, then its batches in order. As many partitions as the session sets, or one a bucket if those are more than the least number."""
+    spread_ = df.repartition("bucket") if buckets <= 256 else df.repartition(buckets, "bucket")
+    return spread_.sortWithinPartitions("bucket", F.col("batch").asc_nulls_first())
+
+
+def lm_scores(docs: DataFrame, held, depth: int = DEPTH, buckets: int | None = None, fan_in: int = 32) -> DataFrame:
     """SCORES for every row of docs; held: a boolean Column, true for rows that are not learned from (null: true).
 
     Null texts are empty: one token, the end. Words are told apart by 64-bit hashes. Repeated rows stay and, outside the held-out
@@ -250,29 +289,35 @@ def lm_scores(docs: DataFrame, held, depth: int = DEPTH, buckets: int = 256) ->
     """
     rows = docs.select("doc_id", "text", F.coalesce(held, F.lit(True)).alias("held"))
     root = min(ROOT, depth)
+    if buckets is None:
+        buckets = buckets_for(int(docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]))
     parts = materialise(score_parts(rows, depth, root, buckets))
     asked = parts.where(F.col("bucket") != WHOLE).select("batch", "bucket", "hashes", "counts", "codes", "learned")
-    models = materialise(bucket_models(asked, depth, root))
+    counted = merge_counts(asked, parts.where(F.col("bucket") == WHOLE).count(), fan_in)
+    models = materialise(with_reports(counted, depth, root))
     top = docs.sparkSession.sparkContext.broadcast(top_of(models, root))
 
-    def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        """One bucket: the training count of each word and the log probability of each n-gram, for each batch that asked; the bucket's totals go with the first row."""
-        model, frame = frame[frame["batch"].isna()].iloc[0], frame[frame["batch"].notna()]
-        hashes = [np.frombuffer(h, np.uint64) for h in frame["hashes"]]
-        words, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(at, np.concatenate([unpacked(c, np.uint32) for c in frame["counts"]]), len(words)).astype(np.int64)
-        ends = np.cumsum([len(h) for h in hashes])
-        codes = unstepped(model["codes"])
-        logs = log10_probabilities(codes, unpacked(model["learned"], np.int64), depth, top.value).astype(np.float32)
-        out = pd.DataFrame({"batch": frame["batch"].astype("int64"), "bucket": frame["bucket"], "counts": [packed(x) for x in np.split(total[at], ends[:-1])], "codes": frame["codes"]})
-        out["logs"] = [packed(logs[np.searchsorted(codes, unstepped(c))]) for c in frame["codes"]]
-        first = np.arange(len(out)) == 0
-        out["n"], out["kinds"] = np.where(first, int(total.sum()), 0), np.where(first, int((total > 0).sum()), 0)
-        return out
+    def answer(batches):
+        """Row by row: a bucket's model, then for each batch that asked the training count of each word and the log probability of each n-gram. The bucket's totals go with the model's row."""
+        names = ["batch", "bucket", "counts", "codes", "logs", "n", "kinds"]
+        kinds_ = [pa.int64(), pa.int32(), *[pa.binary()] * 3, *[pa.int64()] * 2]
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                number, bucket, hashes, counts, codes, learned = (batch.column(k)[i].as_py() for k in range(6))
+                if number is None:
+                    words, total = unstepped(hashes), unpacked(counts, np.int64)
+                    grams = unstepped(codes)
+                    logs = log10_probabilities(grams, unpacked(learned, np.int64), depth, top.value).astype(np.float32)
+                    out.append((None, bucket, None, None, None, int(total.sum()), int((total > 0).sum())))
+                else:
+                    out.append((number, bucket, packed(total[np.searchsorted(words, unstepped(hashes))]), codes, packed(logs[np.searchsorted(grams, unstepped(codes))]), 0, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_, strict=True)], names)
 
     none = F.lit(None).cast("binary")
-    with_models = asked.drop("learned").withColumn("learned", none).unionByName(models.select(F.lit(None).cast("bigint").alias("batch"), "bucket", none.alias("hashes"), none.alias("counts"), "codes", "learned"))
-    replies = materialise(with_models.groupBy("bucket").applyInPandas(answer, "batch bigint, bucket int, counts binary, codes binary, logs binary, n bigint, kinds bigint"))
+    with_models = asked.unionByName(models.select(F.lit(None).cast("bigint").alias("batch"), *asked.columns[1:]))
+    replies = materialise(dealt(with_models, buckets).mapInArrow(answer, "batch bigint, bucket int, counts binary, codes binary, logs binary, n bigint, kinds bigint"))
+    discard(models)
     n, kinds = replies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     unit = math.log10(n + kinds + 1)
     null_id = -(1 << 63)
@@ -293,7 +338,7 @@ def lm_scores(docs: DataFrame, held, depth: int = DEPTH, buckets: int = 256) ->
         })
 
     texts = parts.where(F.col("bucket") == WHOLE).select("batch", "bucket", *[none.alias(c) for c in ("counts", "codes", "logs")], *TEXTS)
-    return texts.unionByName(replies.select("batch", "bucket", "counts", "codes", "logs", *[none.alias(c) for c in TEXTS])).groupBy("batch").applyInPandas(finish, SCORES)
+    return texts.unionByName(replies.where("batch is not null").select("batch", "bucket", "counts", "codes", "logs", *[none.alias(c) for c in TEXTS])).groupBy("batch").applyInPandas(finish, SCORES)
 
 
 TEXTS = ("places", "doc_ids", "held", "lengths", "data")
