@@ -1,8 +1,9 @@
 """Main text of web pages by tag-path ratios (operator 8).
 
-The text of a page is aggregated by root-to-leaf tag path: characters and punctuation per text node. Each ratio is smoothed over
-paths that lie next to each other in the page; their product, weighted by what the names on the path say, is thresholded,
-and the text nodes of the paths that pass are the content, in page order, one line a block.
+The text of a page is aggregated by root-to-leaf tag path: characters, punctuation and characters in links, per text node. Text length and
+punctuation are smoothed over paths that lie next to each other in the page and fused by their product; what the path's names and links say
+weighs it. The paths that reach a share of the highest are the content, in page order, one line a block. Elements that never hold an
+article's text (menus, page headers and footers, sidebars, forms, scripts) are left out as the page is read; names of classes only weigh.
 """
 
 from __future__ import annotations
@@ -32,67 +33,117 @@ CLOSES = {
 CLOSES_P = BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "title", "option", "optgroup", "legend", "summary"}
 SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
 DROPPED = frozenset("script style noscript template title head nav footer aside form button select option textarea iframe noembed noframes svg math canvas object audio video menu dialog input map datalist".split())
-#: Names (of classes, ids and roles) of what is not the article, cut at anything but letters.
+#: Whole class and id names, or all their parts between hyphens, that say "not the article"; those of GENERAL say nothing by themselves.
 BOILERPLATE = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright "
-    "disclaimer disqus footer footnav gdpr header masthead menu menubar nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted "
-    "promotion related recommend recommended recommendations replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar "
-    "widget widgets complementary contentinfo alert alertdialog".split()
+    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright "
+    "disclaimer disqus footer footnav gdpr masthead menu menubar nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted "
+    "promotion recommend recommended recommendations replies reply respond share sharing sidebar signup sponsor sponsored subscribe subscription toc toolbar "
+    "complementary contentinfo alert alertdialog".split()
 )
-ARTICLE = frozenset("article main content entry story post articlebody maincontent".split())
+GENERAL = frozenset("area block bottom box container item items left list main page reader right section site top user widget wrap wrapper".split())
+ARTICLE = frozenset("article main content entry story post articlebody article-body maincontent main-content post-content entry-content".split())
+#: What paths count for: in boilerplate by name; outside the article elements of a page that has some; prose and headings.
+BY_NAME, OUTSIDE, PROSE_WEIGHT, LINKS_ONLY = 0.01, 0.01, 3.0, 0.05
+#: The share of the highest fused ratio that makes a path content: on a page with an article element, and without one.
+SHARE_INSIDE, SHARE_ELSE = 0.04, 0.12
+SMOOTH = 3
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
-LETTERS = re.compile(r"[a-z]+")
-PROSE = re.compile(r"/(?:p|h[1-6]|blockquote|pre)(?:[./]|$)")
-LINK_LIST = re.compile(r"/(?:li|ul|ol)[./](?:.*/)?a(?:[./]|$)")
+HYPHENS = re.compile(r"[-_]+")
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption summary".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؟।]")
+LEGAL = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
+
+
+@dataclass(slots=True)
+class Path:
+    """A tag path, by its last step and its parent; weight: what the names on it say."""
+
+    parent: int
+    label: str
+    article: bool
+    weight: float
+    prose: bool
 
 
 @dataclass(slots=True)
 class Node:
-    """A run of text and the path that it is at."""
+    """A run of text, the number of the path that it is at, its block, and whether it is in a link."""
 
-    path: str
+    path: int
     text: str
     block: int
+    link: bool
 
 
 @dataclass(slots=True)
 class Open:
     tag: str
-    step: str
+    path: int
     dropped: bool
-    article: bool
+    link: bool
 
 
-def names(attributes: str) -> set[str]:
+def names(attributes: str) -> list[str]:
+    """The values of class, id and role, cut at spaces."""
     if "=" not in attributes:
-        return set()
-    found = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)).lower()
-    return set(LETTERS.findall(found)) if found else set()
-
-
-def text_nodes(page: str) -> tuple[list[Node], dict[str, bool]]:
-    """All text outside dropped elements, with paths and block numbers; and which paths lie in an article element."""
-    stack: list[Open] = [Open("", "", False, False)]
+        return []
+    return " ".join(a or b or c for a, b, c in NAMED.findall(attributes)).lower().split()
+
+
+def boilerplate(name: str) -> bool:
+    parts = HYPHENS.split(name)
+    return not BOILERPLATE.isdisjoint(parts) and all(x in BOILERPLATE or x in GENERAL for x in parts)
+
+
+class Stack:
+    """The open elements. Where the last one of each tag, and the last block, is open is known without a search."""
+
+    def __init__(self):
+        self.open = [Open("", 0, False, False)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.others: list[int] = []  # what is not inline
+
+    def last(self, *tags: str) -> int:
+        """The place of the newest open one of these tags; 0: none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, item: Open) -> None:
+        k = len(self.open)
+        self.open.append(item)
+        self.places.setdefault(item.tag, []).append(k)
+        if item.tag in BLOCK:
+            self.blocks.append(k)
+        if item.tag not in INLINE:
+            self.others.append(k)
+
+    def pop_to(self, k: int) -> bool:
+        """Closes all from place k on; whether a block was among them."""
+        for item in self.open[k:]:
+            self.places[item.tag].pop()
+        del self.open[k:]
+        found = bool(self.blocks) and self.blocks[-1] >= k
+        for places in (self.blocks, self.others):
+            while places and places[-1] >= k:
+                places.pop()
+        return found
+
+
+def text_nodes(page: str) -> tuple[list[Node], list[Path]]:
+    """All text outside dropped elements, and the page's tag paths, the parents first."""
+    stack = Stack()
+    paths = [Path(-1, "", False, 1.0, False)]
+    numbers: dict[tuple[int, str], int] = {}
     nodes: list[Node] = []
-    inside: dict[str, bool] = {}
     block, at, n = 0, 0, len(page)
 
     def add(raw: str) -> None:
-        top = stack[-1]
-        if top.dropped or not raw:
-            return
-        nodes.append(Node(top.step, entities.unescape(raw) if "&" in raw else raw, block))
-        inside[top.step] = top.article
-
-    def pop_to(k: int) -> None:
-        nonlocal block
-        if any(o.tag in BLOCK for o in stack[k:]):
-            block += 1
-        del stack[k:]
+        top = stack.open[-1]
+        if raw and not top.dropped:
+            nodes.append(Node(top.path, entities.unescape(raw) if "&" in raw else raw, block, top.link))
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -109,12 +160,9 @@ def text_nodes(page: str) -> tuple[list[Node], dict[str, bool]]:
             continue
         tag = tag.lower()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    pop_to(k)
-                    break
-                if tag in INLINE and stack[k].tag in BLOCK:
-                    break
+            k = stack.last(tag)
+            if k and not (tag in INLINE and stack.blocks and stack.blocks[-1] > k):
+                block += stack.pop_to(k)
             if tag == "br":
                 add(" ")
             continue
@@ -129,71 +177,99 @@ def text_nodes(page: str) -> tuple[list[Node], dict[str, bool]]:
             at = end.end() if end else n
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    pop_to(k)
-                    break
-                if stack[k].tag not in INLINE:
-                    break
-        for k in range(len(stack) - 1, 0, -1) if tag in CLOSES else ():
-            if stack[k].tag in CLOSES[tag]:
-                pop_to(k)
-                break
-            if stack[k].tag in SCOPE.get(tag, ()):
-                break
+            k = stack.last("p")
+            if k and k == (stack.others[-1] if stack.others else 0):
+                block += stack.pop_to(k)
+        if tag in CLOSES:
+            k = stack.last(*CLOSES[tag])
+            if k and k > stack.last(*SCOPE.get(tag, ())):
+                block += stack.pop_to(k)
         if tag in BLOCK:
             block += 1
-        top, said = stack[-1], names(attributes)
-        article = top.article or tag in ("article", "main") or bool(said & ARTICLE and tag != "body")
-        bad = said & BOILERPLATE and tag not in ("html", "body", "main", "article")
-        dropped = top.dropped or tag in DROPPED or bool(bad) or (tag == "header" and not top.article) or ("=" in attributes or "hidden" in attributes) and bool(HIDDEN.search(attributes))
-        label = tag if not said else f"{tag}.{'.'.join(sorted(said)[:3])}"
+        top, said = stack.open[-1], names(attributes)
+        above = paths[top.path]
+        dropped = top.dropped or tag in DROPPED or (tag == "header" and not above.article) or ("=" in attributes or "hidden" in attributes) and bool(HIDDEN.search(attributes))
+        path = top.path
         # inline marks are no step of a path: they'd split a paragraph's statistics
-        step = top.step if tag in INLINE and tag != "a" else f"{top.step}/{label}"
-        stack.append(Open(tag, step, dropped, article))
-    return nodes, inside
-
-
-def smooth(values: list[float]) -> list[float]:
-    """A Gaussian of width 1 over neighbours."""
-    w = [math.exp(-d * d / 2) for d in range(4)]
+        if tag not in INLINE and not dropped:
+            label = " ".join([tag, *sorted(said)[:3]])
+            path = numbers.get((top.path, label), -1)
+            if path < 0:
+                path = numbers[top.path, label] = len(paths)
+                article = above.article or tag in ("article", "main") or (tag != "body" and not ARTICLE.isdisjoint(said))
+                weight = min(above.weight, BY_NAME if any(map(boilerplate, said)) else 1.0)
+                paths.append(Path(top.path, label, article, weight, above.prose or tag in PROSE))
+        stack.push(Open(tag, path, dropped, top.link or tag == "a"))
+    return nodes, paths
+
+
+@dataclass
+class Ratios:
+    """Of a path: text nodes, and their characters without spaces, punctuation marks and characters in links."""
+
+    nodes: int = 0
+    chars: int = 0
+    marks: int = 0
+    linked: int = 0
+    legal: bool = True
+
+
+def ratios(nodes: list[Node]) -> dict[int, Ratios]:
+    """By path, in the order in which paths first have text."""
+    found: dict[int, Ratios] = {}
+    for node in nodes:
+        chars = sum(map(len, node.text.split()))
+        if chars:
+            r = found.setdefault(node.path, Ratios())
+            r.nodes += 1
+            r.chars += chars
+            r.marks += len(PUNCTUATION.findall(node.text))
+            r.linked += chars * node.link
+            r.legal &= bool(LEGAL.match(node.text))
+    return found
+
+
+def smoothed(values: list[float]) -> list[float]:
+    """A Gaussian of width 1 over up to SMOOTH neighbours on each side."""
+    w = [math.exp(-d * d / 2) for d in range(SMOOTH + 1)]
     out = []
     for i in range(len(values)):
-        near = [(w[abs(i - j)], values[j]) for j in range(max(0, i - 3), min(len(values), i + 4))]
+        near = [(w[abs(i - j)], values[j]) for j in range(max(0, i - SMOOTH), min(len(values), i + SMOOTH + 1))]
         out.append(sum(a * b for a, b in near) / sum(a for a, _ in near))
     return out
 
 
-def content_paths(nodes: list[Node], inside: dict[str, bool]) -> set[str]:
-    """The paths whose fused ratio passes. If an article element has text, only paths in it are content, links in lists aside."""
-    stats: dict[str, list[float]] = {}
-    for node in nodes:
-        chars = len(node.text) - node.text.count(" ")
-        if not node.text.strip():
-            continue
-        s = stats.setdefault(node.path, [0, 0, 0])
-        s[0] += chars
-        s[1] += len(PUNCTUATION.findall(node.text))
-        s[2] += 1
-    if not stats:
-        return set()
-    own = [p for p in stats if inside[p]]
-    paths = own or list(stats)
-    text = smooth([stats[p][0] / stats[p][2] for p in paths])
-    marks = smooth([(stats[p][1] + 1) / stats[p][2] for p in paths])
-    weight = {p: (4.0 if PROSE.search(p) else 1.0) * (0.001 if LINK_LIST.search(p) else 1.0) for p in paths}
-    fused = {p: t * m * weight[p] for p, t, m in zip(paths, text, marks, strict=True)}
-    # in an article only what is next to nothing beside its largest path falls; elsewhere the spread is the bar
-    top = max(fused.values())
-    mean = sum(fused.values()) / len(fused)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / len(fused))
-    bar = min(1e-5 * top if own else 0.01 * top, spread)
+def fused_ratios(found: dict[int, Ratios], paths: list[Path]) -> dict[int, float]:
+    """Smoothed text length times smoothed punctuation of each path, weighted.
+
+    Only paths that their names and the article elements say the same of are smoothed together: an advert gains nothing by standing next to the article.
+    """
+    some = any(paths[p].article for p in found)
+    said = {p: paths[p].weight * (OUTSIDE if some and not paths[p].article else 1.0) for p in found}
+    out: dict[int, float] = {}
+    for weight in set(said.values()):
+        mine = [p for p in found if said[p] == weight]
+        length = smoothed([math.log2(1 + found[p].chars / found[p].nodes) for p in mine])
+        marks = smoothed([math.log2(2 + found[p].marks / found[p].nodes) for p in mine])
+        for p, a, b in zip(mine, length, marks, strict=True):
+            r = found[p]
+            out[p] = a * b * weight * max(LINKS_ONLY, 1 - r.linked / r.chars) * (PROSE_WEIGHT if paths[p].prose else 1.0) * (BY_NAME if r.legal else 1.0)
+    return out
+
+
+def content_paths(nodes: list[Node], paths: list[Path], share: float | None = None) -> set[int]:
+    """The paths whose fused ratio reaches `share` of the highest (by default as the page has an article element with text, or not)."""
+    found = ratios(nodes)
+    fused = fused_ratios(found, paths)
+    if share is None:
+        share = SHARE_INSIDE if any(paths[p].article for p in found) else SHARE_ELSE
+    bar = share * max(fused.values(), default=0.0)
     return {p for p, x in fused.items() if x >= bar}
 
 
-def main_text(page: str) -> str:
-    nodes, inside = text_nodes(page)
-    chosen = content_paths(nodes, inside)
+def main_text(page: str, share: float | None = None) -> str:
+    nodes, paths = text_nodes(page)
+    chosen = content_paths(nodes, paths, share)
     blocks: dict[int, list[str]] = {}
     for node in nodes:
         if node.path in chosen:

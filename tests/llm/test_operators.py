@@ -445,6 +445,75 @@ def test_html():
     assert html.main_text("<p>unclosed <a href='x") != None  # noqa: E711
 
 
+def slow_content(chunks: list[tuple[str, str, str]]) -> list[str]:
+    """The content of (path, text, weight group) runs of an article page, plainly: ratios, a Gaussian over neighbours, product, share of the highest."""
+    import re
+
+    found = {}
+    for path, text, group in chunks:
+        chars, marks, n = found.get((path, group), (0, 0, 0))
+        found[path, group] = (chars + len("".join(text.split())), marks + len(re.findall("[.,;:!?]", text)), n + 1)
+    keys, fused = list(found), {}
+    for key in keys:
+        mine = [k for k in keys if k[1] == key[1]]
+        at, total = mine.index(key), [0.0, 0.0, 0.0]
+        for i, k in enumerate(mine):
+            if abs(i - at) <= 3:
+                w = math.exp(-((i - at) ** 2) / 2)
+                c, m, n = found[k]
+                total = [total[0] + w, total[1] + w * math.log2(1 + c / n), total[2] + w * math.log2(2 + m / n)]
+        prose = key[0].split("/")[-1].split(".")[0] in ("p", "h1", "h2", "li")
+        weight = {"in": 1.0, "out": 0.01, "named": 0.01, "both": 0.0001}[key[1]]
+        fused[key] = total[1] / total[0] * total[2] / total[0] * weight * (3 if prose else 1)
+    bar = 0.04 * max(fused.values())
+    return [text for path, text, group in chunks if fused[path, group] >= bar]
+
+
+def test_html_ratios_by_brute_force():
+    r = random.Random(6)
+    for _ in range(60):
+        sentence = lambda most: "".join(r.choice(["word ", "more, ", "end. ", "x ", "why? "]) for _ in range(r.randrange(1, most)))
+        parts, chunks = [], []
+        for _ in range(r.randrange(1, 12)):
+            kind = r.randrange(6)
+            text = sentence(40)
+            if kind == 0:
+                parts.append(f"<div class=note{kind}>{text}</div>")
+                chunks.append(("div.note", text, "in"))
+            elif kind == 1:
+                parts.append(f"<div class='comments'>{text}</div>")
+                chunks.append(("div.comments", text, "named"))
+            else:
+                tag = ("h1", "p", "li", "h2")[kind - 2]
+                parts.append(f"<{tag}>{text}</{tag}>")
+                chunks.append((tag, text, "in"))
+        before, after = sentence(9), sentence(60)
+        page = f"<body><div class=ad>{before}</div><article>{''.join(parts)}</article><div>{after}</div></body>"
+        chunks = [("div.ad", before, "both"), *chunks, ("div", after, "out")]
+        assert html.main_text(page).split("\n") == [" ".join(x.split()) for x in slow_content(chunks)]
+
+
+def test_html_names_only_weigh():
+    long = "Long text, which goes on, and on. And more of it, then."
+    assert html.main_text(f"<div class='page comments-enabled'><div class=content><p>{long}</p></div></div>") == long
+    assert html.main_text(f"<body class=comments><div class='comment-list ad'><p>{long}</p></div></body>") == long
+    assert html.main_text(f"<div class='social-sciences'><p>{long}</p></div>") == long
+    assert html.main_text(f"<article><div class='section-header'><h2>Heading</h2></div><p>{long}</p></article>") == f"Heading\n{long}"
+    assert html.main_text(f"<main><p>{long}</p><div class='related-work'><h2>Related</h2><p>Others, too.</p></div></main>") == f"{long}\nRelated\nOthers, too."
+    assert html.main_text(f"<div><h1>Title</h1><p>{long}</p></div><div class='cookie-notice'>We use cookies, as all do. Fine?</div><div>Copyright 2020</div>") == f"Title\n{long}"
+    assert "cookies" in html.main_text(f"<div><p>{long}</p></div><div class='cookie-notice'>We use cookies.</div>", share=0.0)
+
+
+def test_html_of_deep_and_broken_pages():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert html.main_text("<div>" * 100_000 + "deep, text." + "</div>" * 100_000) == "deep, text."
+    assert html.main_text("<b>" * 30_000 + "</i></p></x>" * 30_000 + "<p>x" * 30_000).count("x") == 30_000
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "c"), (2, None, None, "c"), (None, "u", "", None), (1, "u", PAGE, "c")], "page_id bigint, url string, html string, text string")
     found = html.extract(df).collect()
@@ -575,7 +644,7 @@ def test_lm_scores(spark, docs, rows, no_docs):
     small = [(r[0], r[1][:3000] if r[1] else r[1]) for r in rows]
     df = spark.createDataFrame([(i, t, "x") for i, t in small], "doc_id bigint, text string, held string").repartition(3)
     held = F.col("doc_id") % 4 == 2
-    found = ctw.lm_scores(df, held, depth=2, buckets=5).collect()
+    found = ctw.lm_scores(df, held, depth=2, buckets=5, fan_in=2).collect()
     is_held = lambda i: i is None or i % 4 == 2
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
     c = Counter(w for i, t in small if not is_held(i) for w in tokens(t))
