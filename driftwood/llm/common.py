@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,18 @@ def discard(*tables: DataFrame) -> None:
         files.delete(where, True)
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, most: int) -> Iterator[None]:
+    """For actions inside: at most so many rows in a batch that goes to a Python worker, where rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(before))) if int(before) > 0 else str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

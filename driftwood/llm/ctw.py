@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import CodeTable, Tally, as_bytes, block_sums, chunks, crc_fold, discard, joined, materialise, ngram_codes, packed, run_lengths, table, training_codes, unpacked
+from driftwood.llm.common import CodeTable, Tally, as_bytes, block_sums, chunks, crc_fold, discard, joined, materialise, ngram_codes, packed, rows_at_once, run_lengths, table, training_codes, unpacked
 
 DEPTH = 5
 ROOT = 2
@@ -172,7 +172,7 @@ def score_parts(docs: DataFrame, depth: int, root: int, buckets: int) -> DataFra
 
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
-        for batch in chunks(batches, 6 << 20):
+        for batch in chunks(batches, 8 << 20):
             held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             tally = Tally()
             for part in chunks([batch], 1 << 20):
@@ -222,8 +222,12 @@ def unstepped(steps: bytes) -> np.ndarray:
     return np.cumsum(unpacked(steps, np.uint64), dtype=np.uint64)
 
 
-def merge_counts(parts: DataFrame, batches: int, fan_in: int = 32) -> DataFrame:
-    """(bucket, hashes, counts, codes, learned): one row a bucket, of all batches. About fan_in rows are merged at a time, in rounds."""
+def bucket_models(parts: DataFrame, batches: int, depth: int, root: int, fan_in: int = 32) -> DataFrame:
+    """One row a bucket: COUNTED of all batches, and what roots_say() of its n-grams.
+
+    About fan_in rows are merged at a time, in rounds, so none holds a row of every batch. The last round also gives the reports: a second Python step in its tasks would
+    need workers of its own.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         words, grams = Tally(), Tally()
@@ -233,27 +237,18 @@ def merge_counts(parts: DataFrame, batches: int, fan_in: int = 32) -> DataFrame:
         (hashes, counts), (codes, learned) = words.total(), grams.total()
         return pd.DataFrame([(frame["batch"].iloc[0], frame["bucket"].iloc[0], stepped(hashes), packed(counts), stepped(codes), packed(learned))], columns=["batch", "bucket", "hashes", "counts", "codes", "learned"])
 
-    merge = lambda rows, group: rows.withColumn("batch", group).groupBy("bucket", "batch").applyInPandas(run, COUNTED)
-    groups = max(1, -(-batches // fan_in))
-    merged = merge(parts, F.pmod(F.xxhash64("batch"), F.lit(groups)))
+    def last(frame: pd.DataFrame) -> pd.DataFrame:
+        row = run(frame)
+        codes, n = unstepped(row["codes"].iloc[0]), unpacked(row["learned"].iloc[0], np.int64)
+        keys, zeros, ones, below = roots_say(codes[n > 0], n[n > 0].astype(np.float64), depth, root)
+        return row.assign(keys=packed(keys), zeros=zeros.tobytes(), ones=ones.tobytes(), below=below.tobytes())
+
+    groups, place = max(1, -(-batches // fan_in)), None
     while groups > 1:
+        place = F.pmod(F.xxhash64("batch"), F.lit(groups)) if place is None else F.expr(f"batch div {fan_in}")
+        parts = parts.withColumn("batch", place).groupBy("bucket", "batch").applyInPandas(run, COUNTED)
         groups = -(-groups // fan_in)
-        merged = merge(merged, F.expr(f"batch div {fan_in}"))
-    return merged
-
-
-def with_reports(counted: DataFrame, depth: int, root: int) -> DataFrame:
-    """Adds what roots_say() of a bucket's n-grams to merge_counts()' rows."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                codes, n = unstepped(row.column(4)[0].as_py()), unpacked(row.column(5)[0].as_py(), np.int64)
-                keys, zeros, ones, below = roots_say(codes[n > 0], n[n > 0].astype(np.float64), depth, root)
-                yield pa.RecordBatch.from_arrays([*row.columns, *(pa.array([x], pa.binary()) for x in (packed(keys), zeros.tobytes(), ones.tobytes(), below.tobytes()))], [*row.schema.names, "keys", "zeros", "ones", "below"])
-
-    return counted.mapInArrow(run, COUNTED + ", keys binary, zeros binary, ones binary, below binary")
+    return parts.withColumn("batch", F.lit(0).cast("bigint")).groupBy("bucket").applyInPandas(last, COUNTED + ", keys binary, zeros binary, ones binary, below binary")
 
 
 def top_of(models: DataFrame, root: int) -> Top:
@@ -291,11 +286,12 @@ def lm_scores(docs: DataFrame, held, depth: int = DEPTH, buckets: int | None = N
     root = min(ROOT, depth)
     if buckets is None:
         buckets = buckets_for(int(docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]))
-    parts = materialise(score_parts(rows, depth, root, buckets))
+    with rows_at_once(docs.sparkSession, 4000):
+        parts = materialise(score_parts(rows, depth, root, buckets))
     asked = parts.where(F.col("bucket") != WHOLE).select("batch", "bucket", "hashes", "counts", "codes", "learned")
-    counted = merge_counts(asked, parts.where(F.col("bucket") == WHOLE).count(), fan_in)
-    models = materialise(with_reports(counted, depth, root))
-    top = docs.sparkSession.sparkContext.broadcast(top_of(models, root))
+    models = materialise(bucket_models(asked, parts.where(F.col("bucket") == WHOLE).count(), depth, root, fan_in))
+    spark = docs.sparkSession
+    top = spark.sparkContext.broadcast(top_of(models, root))
 
     def answer(batches):
         """Row by row: a bucket's model, then for each batch that asked the training count of each word and the log probability of each n-gram. The bucket's totals go with the model's row."""
@@ -316,7 +312,8 @@ def lm_scores(docs: DataFrame, held, depth: int = DEPTH, buckets: int | None = N
 
     none = F.lit(None).cast("binary")
     with_models = asked.unionByName(models.select(F.lit(None).cast("bigint").alias("batch"), *asked.columns[1:]))
-    replies = materialise(dealt(with_models, buckets).mapInArrow(answer, "batch bigint, bucket int, counts binary, codes binary, logs binary, n bigint, kinds bigint"))
+    with rows_at_once(spark, 200):
+        replies = materialise(dealt(with_models, buckets).mapInArrow(answer, "batch bigint, bucket int, counts binary, codes binary, logs binary, n bigint, kinds bigint"))
     discard(models)
     n, kinds = replies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     unit = math.log10(n + kinds + 1)
