@@ -36,11 +36,16 @@ def laplace(commits: DataFrame, classes: list[str]) -> DataFrame:
 
 
 def with_prior(commits: DataFrame, classes: list[str], window: int = fixed.WINDOW) -> DataFrame:
-    """Adds size (commits before, within the window) and prior, an array over classes: (n + 1) / (size + C)."""
-    w = before(window)
-    size = F.coalesce(F.count("*").over(w), F.lit(0))
-    counts = [F.coalesce(F.sum((F.col("type") == c).cast("bigint")).over(w), F.lit(0)) for c in classes]
-    return commits.withColumns({"size": size, "counts": F.array(*counts)}).withColumn("prior", F.transform("counts", lambda n: (n + 1) / (F.col("size") + len(classes)))).drop("counts")
+    """Adds size (commits before, within the window) and prior, an array over classes: (n + 1) / (size + C).
+
+    pos numbers a repo's commits without gaps. Counts are running sums less those of `window` commits ago: one addition a row, whatever the window.
+    """
+    order = Window.partitionBy("repo").orderBy("pos")
+    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
+    running = {f"_n{i}": F.coalesce(F.sum((F.col("type") == c).cast("bigint")).over(so_far), F.lit(0)) for i, c in enumerate(classes)}
+    summed = commits.withColumns(running).withColumns({f"_m{i}": F.col(f"_n{i}") - F.coalesce(F.lag(f"_n{i}", window).over(order), F.lit(0)) for i in range(len(classes))})
+    sized = summed.withColumn("size", F.least(F.row_number().over(order) - 1, F.lit(window)).cast("bigint"))
+    return sized.select(*commits.columns, "size", F.array(*[(F.col(f"_m{i}") + 1) / (F.col("size") + len(classes)) for i in range(len(classes))]).alias("prior"))
 
 
 def argmax(values: str | Column) -> Column:

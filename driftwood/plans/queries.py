@@ -390,7 +390,7 @@ META_PREDICT = f"WITH {FILE_CTE}, z AS (SELECT event_id, {', '.join(f'{x} AS z{c
 
 @query(META_PREDICT)
 def meta_predict(spark, sf_dir):
-    rows = event_meta(spark, sf_dir).select("event_id", scoring.affine_softmax(F.col("meta"), META_W, [(c - 2) / 10 for c in range(N5)]).alias("p"))
+    rows = scoring.second_stage(event_meta(spark, sf_dir).select("event_id", "meta"), "meta", META_W, [(c - 2) / 10 for c in range(N5)])
     return rows.select("event_id", *[r6(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(N5)])
 
 
@@ -404,11 +404,11 @@ def index_missing(spark, sf_dir):
     return history.missing(e, e.where((F.col("ts") % 2 == 0) & (F.col("pos") <= 40)).select("repo", "sha")).select("repo", "sha", "type")
 
 
-@query(f"WITH {C.EV}, x AS (SELECT repo, event_id::VARCHAR AS sha, event_id AS ts, type, path, row_number() OVER (PARTITION BY repo ORDER BY event_id DESC, event_id::VARCHAR) AS age FROM ev) SELECT repo, sha, ts, type, path FROM x WHERE age <= 30")
+@query(f"WITH {C.EV}, x AS (SELECT repo, event_id::VARCHAR AS sha, event_id AS ts, type, path, row_number() OVER (PARTITION BY repo ORDER BY event_id DESC, event_id::VARCHAR) AS age FROM ev) SELECT repo, sha, ts, type, path FROM x WHERE age <= 1000")
 def index_refresh(spark, sf_dir):
     e = event_index(spark, sf_dir)
     entry = e.select("repo", "sha", "ts", F.lit("stale").alias("type"), "path")
-    return history.refreshed(e, entry.where("pos <= 40"), entry.where("pos > 40"), 30).select("repo", "sha", "ts", "type", "path")
+    return history.refreshed(e, entry.where("pos <= 40"), entry.where("pos > 40")).select("repo", "sha", "ts", "type", "path")
 
 
 # --- neighbours
@@ -418,7 +418,7 @@ EMB = "emb AS (SELECT 0 AS repo, vec_id AS pos, label::VARCHAR AS type, embeddin
 
 def embedding_neighbours(spark, sf_dir):
     e = C.read(spark, sf_dir, "embeddings").select(F.lit(0).alias("repo"), F.col("vec_id").alias("pos"), F.col("label").cast("string").alias("type"), F.col("embedding").alias("vec"))
-    return e, neighbours.nearest(neighbours.dense_pairs(e))
+    return e, neighbours.dense_nearest(e)
 
 
 @query(f"WITH {EMB} SELECT pos AS vec_id, other, rank::INT AS rank, {s6('sim')} AS sim FROM near")
@@ -444,7 +444,7 @@ def knn_accuracy(spark, sf_dir):
 
 
 SPARSE = f"""WITH {HASHED}, pos AS (SELECT doc_id AS commit_id, source AS repo, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents), u AS (SELECT repo, pos, bucket, weight / sqrt(sum(weight * weight) OVER (PARTITION BY repo, pos)) AS weight FROM hashed JOIN pos USING (commit_id)),
-  sims AS (SELECT q.repo, q.pos, h.pos AS other, sum(q.weight * h.weight) AS sim FROM u q JOIN u h ON q.repo = h.repo AND q.bucket = h.bucket AND h.pos < q.pos AND h.pos >= q.pos - 50 GROUP BY ALL)
+  sims AS (SELECT q.repo, q.pos, h.pos AS other, sum(q.weight * h.weight) AS sim FROM u q JOIN u h ON q.repo = h.repo AND q.bucket = h.bucket AND h.pos < q.pos AND h.pos >= q.pos - 1000 GROUP BY ALL)
   SELECT repo, pos, other, (row_number() OVER (PARTITION BY repo, pos ORDER BY round(sim, 9) DESC, other DESC))::INT AS rank, {s6('sim')} AS sim FROM sims QUALIFY rank <= 15"""
 
 
@@ -452,7 +452,7 @@ SPARSE = f"""WITH {HASHED}, pos AS (SELECT doc_id AS commit_id, source AS repo,
 def knn_sparse(spark, sf_dir):
     docs = history.numbered(C.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("commit_id"), F.col("source").alias("repo")), ["commit_id"])
     weights = hashed(spark, sf_dir).join(docs, "commit_id").select("repo", "pos", "bucket", "weight")
-    return neighbours.nearest(neighbours.sparse_pairs(weights, 50)).select("repo", "pos", "other", "rank", r6("sim").alias("sim"))
+    return neighbours.sparse_nearest(weights).select("repo", "pos", "other", "rank", r6("sim").alias("sim"))
 
 
 # --- the linear model, with weights made by a formula
@@ -461,27 +461,29 @@ CLASSES = fixed.CLASSES
 LINEAR_CTE = f"""{HASHED}, cl AS (SELECT unnest({C._sql_list(CLASSES)}) AS class, unnest(range({len(CLASSES)})) AS c), lz AS (SELECT commit_id, class, c, (c - 5) / 20 + sum(weight * (((bucket * (c + 7)) % 201) - 100) / 100) AS z FROM hashed, cl GROUP BY commit_id, class, c)"""
 
 
-def class_table(spark):
-    return spark.createDataFrame([(c, i, (i - 5) / 20) for i, c in enumerate(CLASSES)], "class string, c int, bias double")
+BIASES = [(c, (i - 5) / 20) for i, c in enumerate(CLASSES)]
+
+
+def model_table(spark):
+    """The weights of all 2**20 buckets, a row a bucket."""
+    return spark.range(1 << fixed.HASH_BITS).select(F.col("id").alias("bucket"), *[((F.col("id") * (c + 7) % 201 - 100) / 100.0).alias(f"w{c}") for c in range(len(CLASSES))])
 
 
 def linear(spark, sf_dir):
-    h = hashed(spark, sf_dir)
-    weights = h.select("bucket").distinct().crossJoin(F.broadcast(class_table(spark))).select("bucket", "class", (((F.col("bucket") * (F.col("c") + 7)) % 201 - 100) / 100.0).alias("w"))  # 11 classes
-    return h, weights, scoring.logits(h, weights, class_table(spark).select("class", "bias"))
+    return scoring.logits(hashed(spark, sf_dir), model_table(spark), BIASES)
 
 
 @query(f"WITH {LINEAR_CTE} SELECT commit_id, class, {s6('z')} AS z FROM lz")
 def linear_logits(spark, sf_dir):
-    return linear(spark, sf_dir)[2].select("commit_id", "class", r6("z").alias("z"))
+    return linear(spark, sf_dir).select("commit_id", "class", r6("z").alias("z"))
 
 
-RANK_CTE = f"{LINEAR_CTE}, sm AS (SELECT *, exp(z / 1.5) / sum(exp(z / 1.5)) OVER (PARTITION BY commit_id) AS p FROM lz), rk AS (SELECT *, row_number() OVER (PARTITION BY commit_id ORDER BY round(p, 12) DESC, class) AS rank FROM sm)"
+RANK_CTE = f"{LINEAR_CTE}, sm AS (SELECT *, exp(z / 1.5) / sum(exp(z / 1.5)) OVER (PARTITION BY commit_id) AS p FROM lz), rk AS (SELECT *, row_number() OVER (PARTITION BY commit_id ORDER BY round(p, 12) DESC, c) AS rank FROM sm)"
 
 
 @query(f"WITH {RANK_CTE} SELECT commit_id, class, rank::INT AS rank, {s6('p')} AS p FROM rk")
 def softmax_rank(spark, sf_dir):
-    return scoring.rank(scoring.softmax(linear(spark, sf_dir)[2], 1.5)).select("commit_id", "class", "rank", r6("p").alias("p"))
+    return scoring.rank(scoring.softmax(linear(spark, sf_dir), 1.5)).select("commit_id", "class", "rank", r6("p").alias("p"))
 
 
 EXPLAIN = f"""WITH {RANK_CTE}, wl AS (SELECT a.commit_id, a.c AS won, b.c AS lost FROM rk a JOIN rk b USING (commit_id) WHERE a.rank = 1 AND b.rank = 2), mg AS (SELECT commit_id, bucket, weight * (((bucket * (won + 7)) % 201) - ((bucket * (lost + 7)) % 201)) / 100 AS margin FROM hashed JOIN wl USING (commit_id)),
@@ -490,21 +492,24 @@ EXPLAIN = f"""WITH {RANK_CTE}, wl AS (SELECT a.commit_id, a.c AS won, b.c AS los
 
 @query(EXPLAIN)
 def explain_topk(spark, sf_dir):
-    h, weights, z = linear(spark, sf_dir)
-    return scoring.explain(h, weights, scoring.rank(scoring.softmax(z, 1.5))).select("commit_id", "bucket", r6("margin").alias("margin"), "side", "rank")
+    ranked = scoring.rank(scoring.softmax(linear(spark, sf_dir), 1.5))
+    return scoring.explain(hashed(spark, sf_dir), model_table(spark), ranked, len(CLASSES)).select("commit_id", "bucket", r6("margin").alias("margin"), "side", "rank")
 
 
 @query(f"WITH {LINEAR_CTE}, tr AS (SELECT commit_id, max(c) AS n FROM lz GROUP BY commit_id), m AS (SELECT *, z - max(z) OVER (PARTITION BY commit_id) AS d FROM lz), g AS (SELECT unnest(range(91)) AS i), s AS (SELECT i, commit_id, ln(sum(exp(d / (0.5 + 4.5 * i / 90)))) AS ls, max(d) FILTER (WHERE c = commit_id % {len(CLASSES)}) / (0.5 + 4.5 * i / 90) AS own FROM m, g GROUP BY i, commit_id) SELECT round(0.5 + 4.5 * i / 90, 6) AS temperature, {s6('avg(ls - own)')} AS nll FROM s GROUP BY i")
 def temperature_grid(spark, sf_dir):
-    z = linear(spark, sf_dir)[2]
+    z = linear(spark, sf_dir)
     names = F.array(*[F.lit(c) for c in CLASSES])
-    truth = z.select("commit_id").distinct().withColumn("class", F.get(names, (F.col("commit_id") % len(CLASSES)).cast("int")))
+    truth = C.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("commit_id")).withColumn("class", F.get(names, (F.col("commit_id") % len(CLASSES)).cast("int")))
     return scoring.temperature_grid(z, truth).select(F.round("temperature", 6).alias("temperature"), r6("nll").alias("nll"))
 
 
 @query(f"WITH {HASHED}, cl AS (SELECT unnest({C._sql_list(CLASSES)}) AS class, unnest(range({len(CLASSES)})) AS c), wt AS (SELECT DISTINCT bucket, class, (((bucket * (c + 7)) % 201) - 100) / 100 AS w FROM hashed, cl), bb AS (SELECT bucket FROM wt GROUP BY bucket ORDER BY max(abs(w)) DESC, bucket LIMIT 500), kept AS (SELECT * FROM wt JOIN bb USING (bucket)) SELECT bucket, class, round(w / ((SELECT max(abs(w)) FROM kept) / 32767))::INT AS q FROM kept")
 def prune_quantise(spark, sf_dir):
-    return scoring.quantise(scoring.prune(linear(spark, sf_dir)[1], 500)).select("bucket", "class", "q")
+    buckets = counts(spark, sf_dir).select("feature").distinct().select(text.bucket(F.col("feature")).alias("bucket")).distinct()
+    each = [F.struct(F.lit(c).alias("class"), F.col(f"w{i}").alias("w")) for i, c in enumerate(CLASSES)]
+    weights = model_table(spark).join(buckets, "bucket", "left_semi").select("bucket", F.explode(F.array(*each)).alias("x")).select("bucket", "x.*")
+    return scoring.quantise(scoring.prune(weights, 500)).select("bucket", "class", "q")
 
 
 # --- training data

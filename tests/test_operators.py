@@ -126,14 +126,42 @@ def test_neighbours(spark):
     assert all(x.s == pytest.approx(1) for x in v)
 
 
+def test_nearest_in_blocks(spark):
+    """Block by block as by pairs: ties, zero vectors, gaps, several repos, an empty table."""
+    import random
+
+    r = random.Random(3)
+    rows = [(x, 3 * i + i % 2, [float(r.randrange(3)) for _ in range(3)]) for x in ("r", "s") for i in range(50)]
+    df = spark.createDataFrame(rows, "repo string, pos bigint, vec array<float>")
+    columns = ["repo", "pos", "other", "rank"]
+    for k, window in ((3, 20), (15, 1000)):
+        by_pairs = neighbours.nearest(neighbours.dense_pairs(df, window), k)
+        found = neighbours.dense_nearest(df, k, window)
+        assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, by_pairs.select(*columns).collect()))
+        sparse = df.select("repo", "pos", F.posexplode("vec").alias("bucket", "weight")).where("weight > 0")
+        by_pairs = neighbours.nearest(neighbours.sparse_pairs(sparse, window), k)
+        found = neighbours.sparse_nearest(sparse, k, window, columns=2)
+        assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, by_pairs.select(*columns).collect()))
+    assert neighbours.dense_nearest(df.limit(0)).count() == 0 and neighbours.sparse_nearest(sparse.limit(0)).count() == 0
+
+
+def test_second_stage(spark):
+    x = spark.createDataFrame([(1, [0.5, -1.0])], "id int, x array<double>")
+    p = scoring.second_stage(x, "x", [[1.0, 0.0, 2.0], [0.5, 1.0, 0.0]], [0.1, 0.2, 0.3]).first().p
+    import math
+
+    z = [0.1 + 0.5 - 0.5, 0.2 - 1.0, 0.3 + 1.0]
+    assert p == pytest.approx([math.exp(v) / sum(map(math.exp, z)) for v in z])
+
+
 def test_scoring(spark):
     f = spark.createDataFrame([(1, 7, 0.5), (1, 8, 2.0), (2, 9, 1.0)], "commit_id bigint, bucket bigint, weight double")
     w = spark.createDataFrame([(7, "a", 2.0), (7, "b", -1.0), (8, "b", 1.0)], "bucket bigint, class string, w double")
-    b = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "class string, bias double")
-    z = scoring.logits(f, w, b)
+    wide = scoring.wide(w, ["a", "b"])
+    z = scoring.logits(f, wide, [("a", 0.1), ("b", 0.2)])
     assert {(r.commit_id, r["class"]): round(r.z, 6) for r in z.collect()} == {(1, "a"): 1.1, (1, "b"): 1.7, (2, "a"): 0.1, (2, "b"): 0.2}
     ranked = scoring.rank(scoring.softmax(z))
-    told = scoring.explain(f, w, ranked).collect()
+    told = scoring.explain(f, wide, ranked, 2).collect()
     assert {(r.bucket, r.side, round(r.margin, 6)) for r in told} == {(7, "against", -1.5), (8, "for", 2.0)}
     assert {(r.bucket, r["class"], r.q) for r in scoring.quantise(scoring.prune(w, 1)).collect()} == {(7, "a", 32767), (7, "b", -16384)}
 
