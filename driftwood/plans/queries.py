@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwood.functions import fixed, headers, paths, text
-from driftwood.operators import decisions, diffs, features, history, neighbours, scoring, training
+from driftwood.operators import decisions, diffs, features, history, neighbours, reports, scoring, training
 from driftwood.plans import corpora as C
 from driftwood.plans import duck as K
 
@@ -369,6 +369,47 @@ def lint_commits(spark, sf_dir):
     return decisions.lint(rows, 0.3).select("event_id", "declared", "first", r6("p").alias("p"), "status")
 
 
+@query(f"""WITH {RANKED_CTE} SELECT event_id, c AS type, rank::INT AS rank, least(99, floor(p * 100 + 0.5))::INT AS percent, repeat('█', floor(p * 20 + 0.5)::INT) || repeat('░', 20 - floor(p * 20 + 0.5)::INT) AS bar, rank = 1 AND p < 0.55 AS needs_review
+  FROM (SELECT event_id, c, rank, round(p, 9) AS p FROM rk) WHERE rank <= 3 AND p >= 0.01 AND (rank = 1 OR p >= 0.03)""")
+def shown_candidates(spark, sf_dir):
+    e = event_file(spark, sf_dir).where(F.col("size") >= fixed.MIN_ENTRIES)
+    best = history.ranked(F.zip_with("prior", "file", lambda a, b: F.round((a + b) / 2, 9)), C.EVENT_TYPES)
+    each = e.select("event_id", F.posexplode(best).alias("at", "x")).select("event_id", "x.type", (F.col("at") + 1).alias("rank"), "x.p")
+    return reports.shown(each).drop("p")
+
+
+@query(f"""WITH {RANKED_CTE}, one AS (SELECT type AS c, count(*) AS n, count(*) FILTER (WHERE first = type) AS hits FROM best GROUP BY type), two AS (SELECT first AS c, count(*) AS guessed FROM best GROUP BY first),
+  m AS (SELECT c AS type, coalesce(n, 0) AS n, coalesce(hits / nullif(guessed, 0), 0) AS precision, coalesce(hits / n, 0) AS recall, 2 * coalesce(hits, 0) / (coalesce(n, 0) + coalesce(guessed, 0)) AS f1 FROM one FULL JOIN two USING (c))
+  SELECT type, n::BIGINT AS n, {s6('precision')} AS precision, {s6('recall')} AS recall, {s6('f1')} AS f1 FROM m UNION ALL SELECT 'macro', sum(n)::BIGINT, {s6('avg(precision)')}, {s6('avg(recall)')}, {s6('avg(f1)')} FROM m""")
+def class_measures(spark, sf_dir):
+    return reports.class_measures(replay(spark, sf_dir)).select("type", "n", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _sweep_sql(ways: dict[str, list[str]], more: str = "") -> str:
+    """ways: the unnormalised probability of each class."""
+    every = " UNION ALL ".join(f"SELECT type, '{name}' AS way, [{', '.join(p)}] AS raw FROM file{more} WHERE size >= 20" for name, p in ways.items())
+    return f"""w AS ({every}), q AS (SELECT type, way, list_transform(raw, lambda x: round(x / list_sum(raw), 9)) AS p FROM w), g AS (SELECT *, list_position({C._sql_list(C.EVENT_TYPES)}, type) AS own, list_position(p, list_max(p)) AS guess FROM q)
+  SELECT way, count(*) AS n, {s6('avg((own = guess)::INT)')} AS top1, {s6('avg(-ln(p[own]))')} AS nll FROM g GROUP BY way"""
+
+
+@query(f"WITH {FILE_CTE}, " + _sweep_sql({"prior": [f"p{i}" for i in range(N5)], "file": [f"q{i}" for i in range(N5)], "mean": [f"p{i} + q{i}" for i in range(N5)], "product": [f"p{i} * q{i}" for i in range(N5)], "larger": [f"greatest(p{i}, q{i})" for i in range(N5)]}))
+def blend_replay(spark, sf_dir):
+    e = event_file(spark, sf_dir).where(F.col("size") >= fixed.MIN_ENTRIES)
+    return reports.sweep(e, reports.blends(F.col("prior"), F.col("file")), C.EVENT_TYPES).select("way", "n", r6("top1").alias("top1"), r6("nll").alias("nll"))
+
+
+_TRAIN = ", ".join(f"count(*) FILTER (WHERE type = '{t}') / count(*) AS t{i}" for i, t in enumerate(C.EVENT_TYPES))
+
+
+@query(f"WITH {FILE_CTE}, tr AS (SELECT {_TRAIN} FROM ev), " + _sweep_sql({str(x): [f"q{i} * pow(p{i} / CASE WHEN t{i} > 0 THEN t{i} ELSE 1e-4 END, {x})" for i in range(N5)] for x in (0.0, 0.3, 0.5, 0.7, 1.0)}, ", tr"))
+def prior_sweep(spark, sf_dir):
+    """The files' distribution adapted to the repo's shares so far, by several powers."""
+    e = event_file(spark, sf_dir).where(F.col("size") >= fixed.MIN_ENTRIES)
+    shares = C.read(spark, sf_dir, "events").agg(F.array(*[F.avg((F.col("event_type") == t).cast("double")) for t in C.EVENT_TYPES]).alias("train"))
+    rows = e.crossJoin(F.broadcast(shares))  # one row
+    return reports.sweep(rows, reports.prior_powers(F.col("file"), F.col("prior"), F.col("train")), C.EVENT_TYPES).select("way", "n", r6("top1").alias("top1"), r6("nll").alias("nll"))
+
+
 META_SQL = f"""WITH {FILE_CTE} SELECT event_id, {', '.join(f'{s6(f"ln(p{i} + 1e-6)")} AS m{i}' for i in range(N5))}, {', '.join(f'{s6(f"ln(q{i} + 1e-6)")} AS m{3 * N5 + i}' for i in range(N5))}, (seen::INT)::DOUBLE AS m{4 * N5}, {s6('ln(1 + size) / 8')} AS m{4 * N5 + 1} FROM file"""
 
 
