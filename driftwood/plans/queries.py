@@ -327,10 +327,14 @@ def confusion_matrix(spark, sf_dir):
 
 @query(f"WITH {CONFUSION_CTE}, z AS (SELECT repo, event_id, unnest({C._sql_list(C.EVENT_TYPES)}) AS guess, unnest([{', '.join(f'p{i}' for i in range(N5))}]) AS p FROM prior WHERE size >= 20) SELECT event_id, conf.type, {s6('sum(z.p * conf.p)')} AS p FROM z JOIN conf USING (repo, guess) GROUP BY ALL")
 def confusion_correct(spark, sf_dir):
+    return corrected_events(spark, sf_dir).select(F.col("commit_id").alias("event_id"), "type", r6("p").alias("p"))
+
+
+def corrected_events(spark, sf_dir):
     g = event_guesses(spark, sf_dir)
     matrix = history.confusion(g.select("repo", "guess", "type"), C.EVENT_TYPES)
     scored = g.select("repo", F.col("event_id").alias("commit_id"), F.explode(F.arrays_zip(F.array(*[F.lit(t) for t in C.EVENT_TYPES]).alias("guess"), F.col("prior").alias("p"))).alias("x")).select("repo", "commit_id", "x.guess", "x.p")
-    return history.corrected(scored, matrix).select(F.col("commit_id").alias("event_id"), "type", r6("p").alias("p"))
+    return history.corrected(scored, matrix)
 
 
 RANKED_CTE = f"""{FILE_CTE}, mix AS (SELECT event_id, repo, type, size, unnest({C._sql_list(C.EVENT_TYPES)}) AS c, unnest(range({N5})) AS ord, unnest([{', '.join(f'(p{i} + q{i}) / 2' for i in range(N5))}]) AS p FROM file WHERE size >= 20),
@@ -410,23 +414,37 @@ def prior_sweep(spark, sf_dir):
     return reports.sweep(rows, reports.prior_powers(F.col("file"), F.col("prior"), F.col("train")), C.EVENT_TYPES).select("way", "n", r6("top1").alias("top1"), r6("nll").alias("nll"))
 
 
-META_SQL = f"""WITH {FILE_CTE} SELECT event_id, {', '.join(f'{s6(f"ln(p{i} + 1e-6)")} AS m{i}' for i in range(N5))}, {', '.join(f'{s6(f"ln(q{i} + 1e-6)")} AS m{3 * N5 + i}' for i in range(N5))}, (seen::INT)::DOUBLE AS m{4 * N5}, {s6('ln(1 + size) / 8')} AS m{4 * N5 + 1} FROM file"""
+_CASES = lambda x: ", ".join(x(i, t) for i, t in enumerate(C.EVENT_TYPES))
+#: Besides the prior and the files: the types of the nearest earlier events (of one path), and the prior through the repo's confusion matrix.
+EVIDENCE_CTE = f"""{FILE_CTE}, {CONFUSION_CTE.removeprefix(PRIOR_CTE + ', ')}, z AS (SELECT repo, event_id, unnest({C._sql_list(C.EVENT_TYPES)}) AS guess, unnest([{', '.join(f'p{i}' for i in range(N5))}]) AS p FROM prior WHERE size >= 20),
+  cor AS (SELECT event_id, conf.type, sum(z.p * conf.p) AS p FROM z JOIN conf USING (repo, guess) GROUP BY ALL), corw AS (SELECT event_id, {_CASES(lambda i, t: f"max(p) FILTER (WHERE type = '{t}') AS c{i}")} FROM cor GROUP BY event_id),
+  nb AS (SELECT q.event_id, h.type, row_number() OVER (PARTITION BY q.event_id ORDER BY h.pos DESC) AS r FROM ev q JOIN ev h ON q.repo = h.repo AND q.path = h.path AND h.pos < q.pos AND h.pos >= q.pos - 1000 QUALIFY r <= 15),
+  kn AS (SELECT event_id, {_CASES(lambda i, t: f"(count(*) FILTER (WHERE type = '{t}') + 0.3) / (count(*) + {0.3 * N5}) AS k{i}")} FROM nb GROUP BY event_id),
+  evidence AS (SELECT file.*, {_CASES(lambda i, t: f'coalesce(k{i}, p{i}) AS k{i}, coalesce(c{i}, p{i}) AS c{i}')}, (kn.event_id IS NOT NULL)::INT::DOUBLE AS sim FROM file LEFT JOIN kn USING (event_id) LEFT JOIN corw USING (event_id))"""
+_META = [*(f"ln({k}{i} + 1e-6)" for k in "pkcq" for i in range(N5)), "(seen::INT)::DOUBLE", "ln(1 + size) / 8", "sim"]
 
 
 def event_meta(spark, sf_dir):
+    """Every event with its evidence: prior, nearest neighbours, corrected prior, files. Where one kind is missing, the prior stands in."""
+    e, all_ = event_file(spark, sf_dir), C.events(spark, sf_dir)
+    near = neighbours.sparse_nearest(all_.select("repo", "pos", F.col("path").alias("bucket"), F.lit(1.0).alias("weight")))
+    by_type = lambda name: F.array(*[F.max(F.when(F.col("type") == t, F.col("p"))) for t in C.EVENT_TYPES]).alias(name)
+    knn = neighbours.votes(near, all_.select("repo", "pos", "type"), C.EVENT_TYPES).groupBy("repo", "pos").agg(by_type("knn"))
+    knn = knn.join(near.where("rank = 1").select("repo", "pos", "sim"), ["repo", "pos"])
+    conf = corrected_events(spark, sf_dir).groupBy(F.col("commit_id").alias("event_id")).agg(by_type("conf"))
+    held = e.join(knn, ["repo", "pos"], "left").join(conf, "event_id", "left")
     p = F.col("prior")
-    return event_file(spark, sf_dir).withColumn("meta", history.meta_features(p, p, p, F.col("file"), F.col("seen"), F.col("size"), F.lit(0.0)))
+    return held.withColumn("meta", history.meta_features(p, F.coalesce("knn", p), F.coalesce("conf", p), F.col("file"), F.col("seen"), F.col("size"), F.coalesce("sim", F.lit(0.0))))
 
 
-@query(META_SQL)
+@query(f"WITH {EVIDENCE_CTE} SELECT event_id, {', '.join(f'{s6(x)} AS m{i}' for i, x in enumerate(_META))} FROM evidence")
 def meta_features(spark, sf_dir):
-    pick = [*range(N5), *range(3 * N5, 4 * N5), 4 * N5, 4 * N5 + 1]
-    return event_meta(spark, sf_dir).select("event_id", *[r6(F.get("meta", F.lit(i))).alias(f"m{i}") for i in pick])
+    return event_meta(spark, sf_dir).select("event_id", *[r6(F.get("meta", F.lit(i))).alias(f"m{i}") for i in range(4 * N5 + 3)])
 
 
 META_W = [[((i * 7 + c * 3) % 11 - 5) / 10 for c in range(N5)] for i in range(4 * N5 + 3)]
-_MZ = [f"{(c - 2) / 10} + " + " + ".join(f"({META_W[i][c]}) * {x}" for i, x in [*((k * N5 + j, f"ln(p{j} + 1e-6)") for k in range(3) for j in range(N5)), *((3 * N5 + j, f"ln(q{j} + 1e-6)") for j in range(N5)), (4 * N5, "seen::INT"), (4 * N5 + 1, "ln(1 + size) / 8")]) for c in range(N5)]
-META_PREDICT = f"WITH {FILE_CTE}, z AS (SELECT event_id, {', '.join(f'{x} AS z{c}' for c, x in enumerate(_MZ))} FROM file), m AS (SELECT *, greatest({', '.join(f'z{c}' for c in range(N5))}) AS m FROM z) SELECT event_id, {', '.join(s6(f'exp(z{c} - m) / (' + ' + '.join(f'exp(z{k} - m)' for k in range(N5)) + ')') + f' AS p{c}' for c in range(N5))} FROM m"
+_MZ = [f"{(c - 2) / 10} + " + " + ".join(f"({META_W[i][c]}) * {x}" for i, x in enumerate(_META)) for c in range(N5)]
+META_PREDICT = f"WITH {EVIDENCE_CTE}, s AS (SELECT event_id, {', '.join(f'{x} AS z{c}' for c, x in enumerate(_MZ))} FROM evidence), m AS (SELECT *, greatest({', '.join(f'z{c}' for c in range(N5))}) AS m FROM s) SELECT event_id, {', '.join(s6(f'exp(z{c} - m) / (' + ' + '.join(f'exp(z{k} - m)' for k in range(N5)) + ')') + f' AS p{c}' for c in range(N5))} FROM m"
 
 
 @query(META_PREDICT)
