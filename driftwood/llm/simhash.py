@@ -73,7 +73,8 @@ def _pairs(keys: DataFrame, extra: list[str], most: int) -> DataFrame:
         match = near
         for c in on:
             match = match & (F.col(c) == F.col(f"r_{c}"))
-        return left.join(r, match & (F.col("a") < F.col("b")) if ordered else match).select("a", "b")
+        # keys are many times the fingerprints that Spark sizes them by: never to be sent to all tasks
+        return left.join(r.hint("merge"), match & (F.col("a") < F.col("b")) if ordered else match).select("a", "b")
 
     equal = joined(side("a", "place = 32"), side("b", "place = 32"), True)
     return equal.unionByName(joined(side("a", "place < 32 and bit = 0"), side("b", "place < 32 and bit = 1"), False))
@@ -146,7 +147,8 @@ def link(rows: DataFrame, crowded: int = 1000, often: int = 1000) -> DataFrame:
     discard(rooted, fps)
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     many = F.broadcast(ids.where(F.col("n") > total // often).select("fp", "component_id"))
-    few = rows.join(many.select("fp"), "fp", "left_anti").join(ids.where(F.col("n") <= total // often).select("fp", "component_id"), "fp")
+    # no side of these joins is bounded, so they are merge joins at every size
+    few = rows.join(many.select("fp"), "fp", "left_anti").join(ids.where(F.col("n") <= total // often).select("fp", "component_id").hint("merge"), "fp")
     return rows.join(many, "fp").unionByName(few)
 
 
@@ -159,7 +161,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, crowded: int = 1000) -> DataFr
     linked = link(tagged.select("row_id", "doc_id", "fp"), crowded)
     # the components of rows without any doc_id are told apart by fingerprint
     chosen = linked.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min_by("row_id", F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("row_id"))
-    return tagged.join(chosen.select("row_id"), "row_id", "left_semi").select("row.*")
+    return tagged.join(chosen.select("row_id").hint("merge"), "row_id", "left_semi").select("row.*")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
