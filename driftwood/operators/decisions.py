@@ -152,7 +152,9 @@ def dependency(parser: Column, line: Column) -> Column:
 
 def dependency_changes(lines: DataFrame) -> DataFrame:
     """(commit_id, name, old, new, kind) of lines (commit_id, ln, path, added, text) of manifests; the last line of a name wins."""
-    parsed = lines.select("commit_id", "ln", "added", dependency(manifest(F.col("path")), F.col("text")).alias("d")).where("d is not null")
+    # from a generator, as the optimiser would copy the parser's expression into each of its uses otherwise
+    told = lines.select("commit_id", "ln", "added", "text", F.explode(F.array_compact(F.array(manifest(F.col("path"))))).alias("parser"))
+    parsed = told.select("commit_id", "ln", "added", dependency(F.col("parser"), F.col("text")).alias("d")).where("d is not null")
     last = lambda cond: F.coalesce(F.max_by(F.when(cond, F.col("d.version")), F.when(cond, F.col("ln"))), F.lit(""))
     by = parsed.groupBy("commit_id", F.col("d.name").alias("name")).agg(last(~F.col("added")).alias("old"), last(F.col("added")).alias("new"))
     major = lambda v: F.regexp_extract(v, "[0-9]+", 0)
@@ -171,6 +173,24 @@ def dependency_emoji(changes: DataFrame) -> DataFrame:
     return changes.groupBy("commit_id").agg(code.alias("dependency"))
 
 
+def release_only(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """(commit_id, version_bump): whether all that changed is version files, changelogs, lock files and the version lines of manifests.
+
+    files: commit_id, path, added, removed; lines: commit_id, path, text. At least one version must have changed. Where fewer lines are
+    there than were changed, nothing can be told: false. So it is for a commit with any other file.
+    """
+    said = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    versions = said.rlike('^(?:"version"|version[ =:])')
+    by_file = lines.groupBy("commit_id", "path").agg(F.count("*").alias("n"), F.count_if(said != "").alias("full"), F.count_if(versions).alias("versions"))
+    held = files.select("commit_id", "path", "added", "removed").join(by_file, ["commit_id", "path"], "left")
+    cat, n = paths.category(F.col("path")), lambda c: F.coalesce(c, F.lit(0))
+    free = cat.isin("version", "changelog", "lock")
+    fits = free | (manifest(F.col("path")).isNotNull() & (n("full") == n("versions")))
+    bumped = (cat == "version") | (~free & (n("versions") > 0))
+    whole = n("n") >= n("added") + n("removed")
+    return held.groupBy("commit_id").agg((F.bool_and(fits & whole) & F.bool_or(bumped)).alias("version_bump"))
+
+
 def lint(commits: DataFrame, disputed_from: float = fixed.DISPUTE_FROM) -> DataFrame:
     """Adds status: missing (no declared type), disputed (not among the two best guesses, the best being sure), ok. commits: declared, first, p, second."""
     missing = F.col("declared").isNull() | (F.col("declared") == "")

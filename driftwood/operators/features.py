@@ -42,10 +42,23 @@ def vocabulary_difference(lines: DataFrame) -> DataFrame:
 
 
 def shape_counts(lines: DataFrame) -> DataFrame:
-    """(commit_id, feature, n): A1:/R1: and the line's shape; long lines are <long>."""
+    """(commit_id, feature, n): A1:/R1: and the line's shape; long lines are <long>. If lines have a path, also AL:/RL:, its language and the shape (long lines have none)."""
     trimmed = text.trim(F.col("text"))
-    shape = F.when(F.octet_length(trimmed) > fixed.LONG_LINE, "<long>").otherwise(text.shape(trimmed))
-    return lines.groupBy("commit_id", F.concat(F.when(F.col("added"), "A1:").otherwise("R1:"), shape).alias("feature")).agg(F.count("*").alias("n"))
+    long = F.octet_length(trimmed) > fixed.LONG_LINE
+    shape = F.when(long, "<long>").otherwise(text.shape(trimmed))
+    plain = F.concat(F.when(F.col("added"), "A1:").otherwise("R1:"), shape)
+    if "path" not in lines.columns:
+        return lines.groupBy("commit_id", plain.alias("feature")).agg(F.count("*").alias("n"))
+    of_language = F.when(~long, F.concat(F.when(F.col("added"), "AL:").otherwise("RL:"), paths.language(paths.extension(F.col("path"))), F.lit(":"), shape))
+    names = lines.select("commit_id", F.explode(F.array(plain, of_language)).alias("feature")).where("feature is not null")
+    return names.groupBy("commit_id", "feature").agg(F.count("*").alias("n"))
+
+
+def hunk_counts(files: DataFrame) -> DataFrame:
+    """(commit_id, feature, n) of files (commit_id, hunks array<string>): h: each token of a hunk's context, hs: its shape. Files without contexts have none."""
+    each = files.select("commit_id", F.explode("hunks").alias("hunk")).where("hunk is not null")
+    names = F.concat(F.transform(text.tokens(F.col("hunk")), lambda t: F.concat(F.lit("h:"), t)), F.array(F.concat(F.lit("hs:"), text.shape(F.col("hunk")))))
+    return each.select("commit_id", F.explode(names).alias("feature")).groupBy("commit_id", "feature").agg(F.count("*").alias("n"))
 
 
 def message_counts(messages: DataFrame) -> DataFrame:
@@ -63,23 +76,31 @@ def message_counts(messages: DataFrame) -> DataFrame:
 
 
 def path_counts(files: DataFrame) -> DataFrame:
-    """(commit_id, feature, n) of the path group; files need commit_id, path, status, binary."""
+    """(commit_id, feature, n) of the path group; files need commit_id, path, status, binary. With old_path (empty for none) also ren: features of moves."""
     p, low = F.col("path"), F.lower("path")
     base, ext = paths.base_name(low), paths.extension(p)
     lang, cat = paths.language(ext), paths.category(p)
     segments = F.filter(F.split(paths.directory(low), "/"), lambda s: s != "")
-    base_words = text.tokens(paths.base_name(p))
+    base_words = text.tokens(F.when(ext != "", F.substr(base, F.lit(1), F.length(base) - F.length(ext) - 1)).otherwise(base))
     tag = lambda t, *c: F.concat(F.lit(f"{t}:"), *c)
     n = F.size(segments)
+    last = F.when(n > 0, F.element_at(segments, -1)).otherwise("<root>")
+    none = F.array().cast("array<string>")
+    moved = none
+    if "old_path" in files.columns:
+        old = F.lower("old_path")
+        told = F.array(F.when(paths.directory(old) == paths.directory(low), "ren:samedir").otherwise("ren:moved"), F.when(paths.extension(old) != ext, "ren:ext"))
+        moved = F.when(old != "", F.filter(told, lambda x: x.isNotNull())).otherwise(none)
     names = F.concat(
         F.transform(segments, lambda s: tag("p", s)),
         F.when(n > 0, F.array(tag("p0", F.get(segments, F.lit(0))))).otherwise(F.array().cast("array<string>")),
         F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: tag("pp", F.element_at(segments, i), F.lit("/"), F.element_at(segments, i + 1)))).otherwise(F.array().cast("array<string>")),
-        F.array(tag("pl", F.when(n > 0, F.element_at(segments, -1)).otherwise("<root>"))),
+        F.array(tag("pl", last), tag("fe", last, F.lit("/"), ext)),
         F.array(tag("f", base), tag("e", ext), tag("l", lang), tag("c", cat), tag("s", F.col("status"))),
         F.transform(base_words, lambda w: tag("fw", w)),
         F.array(tag("cs", cat, F.lit("_"), F.col("status")), tag("es", ext, F.lit("_"), F.col("status")), tag("ce", cat, F.lit("_"), ext), tag("ls", lang, F.lit("_"), F.col("status"))),
-        F.when(F.col("binary"), F.array(F.lit("bin"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("binary"), F.array(F.lit("bin"))).otherwise(none),
+        moved,
     )
     return files.select("commit_id", F.explode(names).alias("feature")).groupBy("commit_id", "feature").agg(F.count("*").alias("n"))
 

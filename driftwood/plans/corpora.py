@@ -119,6 +119,36 @@ def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side.where((F.col("side") == 1) | (k % 5 != 0)).select(F.floor(k / 8).cast("bigint").alias("commit_id"), (k * 2 + F.col("side")).alias("ln"), F.lit("web/package.json").alias("path"), (F.col("side") == 1).alias("added"), line.alias("text"))
 
 
+#: One for each kind of message, and some that say nothing.
+PHRASES = [
+    "wip parser", "fix typo in guide", "hotfix for login", "fix broken build", "improve a11y of menus", "translate the menus", "add telemetry", "add feature flag", "animate the header", "responsive grid", "better seo", "check permissions",
+    "validate input", "deprecate old call", "remove dead code", "new architecture", "fix lint warnings", "release 1.2.3", "add failing test", "bump things", "downgrade things", "pin things", "update docs", "say nothing",
+]
+
+
+def changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, lines and subjects of commits: documents as files, parts eight to a manifest, and each part as a manifest of its own."""
+    i = F.col("doc_id")
+    files = document_files(spark, sf_dir).select(i.alias("commit_id"), "path", "status", "added", "removed")
+    path = _form(PATH_FORMS, (i % len(PATH_FORMS)).cast("int"), s=F.col("source"), d=i.cast("string"))
+    docs = read(spark, sf_dir, "documents")
+    lines = docs.select(i.alias("commit_id"), path.alias("path"), F.posexplode(F.split("text", "\n")).alias("ln", "text")).select("commit_id", F.col("ln").cast("bigint").alias("ln"), "path", (F.col("ln") % 3 != 2).alias("added"), "text")
+    parts = manifest_lines(spark, sf_dir)
+    each = F.explode(F.array(-1 - F.col("commit_id"), -1000000000 - F.floor(F.col("ln") / 2).cast("bigint"))).alias("commit_id")
+    manifests = parts.select(each, "ln", "path", "added", "text")
+    own = manifests.groupBy("commit_id", "path").agg(F.count_if("added").alias("added"), F.count_if(~F.col("added")).alias("removed")).withColumn("status", F.lit("modified"))
+    n = F.abs("commit_id")
+    phrase = F.element_at(F.array(*[F.lit(x) for x in PHRASES]), (F.floor(n / 11) % len(PHRASES) + 1).cast("int"))
+    said = docs.select(i.alias("commit_id"), F.coalesce(F.get(F.split("text", "\n"), F.lit(0)), F.lit("")).alias("more")).unionByName(own.select("commit_id", F.lit("web").alias("more")))
+    return files.unionByName(own), lines.unionByName(manifests), said.select("commit_id", F.concat(phrase, F.lit(" "), "more").alias("subject"))
+
+
 MAN = f"""man AS (SELECT p_partkey // 8 AS commit_id, p_partkey * 2 + side AS ln, side = 1 AS added,
     replace(replace({_sql_list(MANIFEST_LINES)}[p_partkey % {len(MANIFEST_LINES)} + 1], '{{k}}', (p_partkey % 97)::VARCHAR), '{{v}}', '1.' || (CASE WHEN side = 0 THEN p_size % 4 ELSE p_partkey % 4 END)::VARCHAR) AS text
   FROM part, (VALUES (0), (1)) s(side) WHERE side = 1 OR p_partkey % 5 <> 0)"""
+
+CHANGES = f"""{FIL}, {TXT}, {MAN}, cl AS (SELECT t.commit_id, t.ln, f.path, t.added, t.text FROM txt t JOIN fil f ON f.doc_id = t.commit_id
+    UNION ALL SELECT -1 - commit_id, ln, 'web/package.json', added, text FROM man UNION ALL SELECT -1000000000 - ln // 2, ln, 'web/package.json', added, text FROM man),
+  own AS (SELECT commit_id, path, 'modified' AS status, count(*) FILTER (WHERE added) AS added, count(*) FILTER (WHERE NOT added) AS removed FROM cl WHERE commit_id < 0 GROUP BY ALL),
+  cf AS (SELECT doc_id AS commit_id, path, status, added, removed FROM fil UNION ALL SELECT * FROM own),
+  say AS (SELECT commit_id, {_sql_list(PHRASES)}[(abs(commit_id) // 11) % {len(PHRASES)} + 1] || ' ' || more AS subject FROM (SELECT doc_id AS commit_id, coalesce(string_split(text, chr(10))[1], '') AS more FROM documents UNION ALL SELECT commit_id, 'web' FROM own))"""

@@ -89,18 +89,39 @@ def line_shapes(spark, sf_dir):
     return features.shape_counts(C.page_lines(spark, sf_dir))
 
 
+_DOC_LINES = f"x AS (SELECT t.commit_id, t.added, {K.trim('t.text')} AS t, f.path FROM txt t JOIN fil f ON f.doc_id = t.commit_id)"
+
+
+@query(f"""WITH {C.FIL}, {C.TXT}, {_DOC_LINES}, n AS (SELECT commit_id, CASE WHEN added THEN 'A' ELSE 'R' END AS side, CASE WHEN strlen(t) > 400 THEN '<long>' ELSE {K.shape('t')} END AS s, {K.language('(' + K.extension('path') + ')')} AS l FROM x)
+  SELECT commit_id, feature, count(*) AS n FROM (SELECT commit_id, side || '1:' || s AS feature FROM n UNION ALL SELECT commit_id, side || 'L:' || l || ':' || s FROM n WHERE s <> '<long>') GROUP BY ALL""")
+def language_shapes(spark, sf_dir):
+    return features.shape_counts(C.changes(spark, sf_dir)[1].where("commit_id >= 0"))
+
+
+@query(f"""WITH {C.TXT}, x AS (SELECT commit_id, {K.trim('text')} AS t FROM txt WHERE ln < 64), y AS (SELECT * FROM x WHERE t <> '')
+  SELECT commit_id, feature, count(*) AS n FROM (SELECT commit_id, 'h:' || unnest({K.tokens('t')}) AS feature FROM y UNION ALL SELECT commit_id, 'hs:' || {K.shape('t')} FROM y) GROUP BY ALL""")
+def hunk_features(spark, sf_dir):
+    """The first 64 lines of a document stand for the contexts of as many hunks, all that a file may have."""
+    hunks = F.filter(F.transform(F.slice(F.split("text", "\n"), 1, fixed.MAX_HUNKS), text.trim), lambda h: h != "")
+    return features.hunk_counts(C.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("commit_id"), hunks.alias("hunks")))
+
+
 LOW = "lower(t)"
 COUNT_IF = lambda cond: f"count(*) FILTER (WHERE {cond})"
 
 
-@query(f"""WITH {C.HTM}, x AS ({TRIMMED}) SELECT commit_id,
+#: Of x(commit_id, added, t).
+KEYWORDS = f"""SELECT commit_id,
   {COUNT_IF(f"added AND ({K.any_word(LOW, fixed.TEST_WORDS)} OR contains({LOW}, 'require.') AND contains({LOW}, '(t,'))")} AS n_test, {COUNT_IF("added AND " + K.any_word(LOW, fixed.ERROR_WORDS))} AS n_error,
   {COUNT_IF("added AND " + K.any_word(LOW, fixed.NULL_WORDS))} AS n_null, {COUNT_IF("added AND " + K.any_word(LOW, fixed.LOG_WORDS))} AS n_log, {COUNT_IF("added AND " + K.any_word(LOW, fixed.TYPE_WORDS))} AS n_type,
   {COUNT_IF(f"contains({LOW}, 'deprecat')")} AS n_deprecated, {COUNT_IF('added AND regexp_matches(t, $$["' + chr(39) + '`]$$)')} AS n_string,
   {COUNT_IF("added AND (t = '' OR strlen(t) <= 2 AND NOT regexp_matches(t, '[A-Za-z0-9]'))")} AS n_trivial,
   {COUNT_IF("added AND " + K.is_comment('t'))} AS n_comment_added, {COUNT_IF("NOT added AND " + K.is_comment('t'))} AS n_comment_removed,
   {COUNT_IF("added AND " + K.matches('t', text.IMPORT))} AS n_import_added, {COUNT_IF("NOT added AND " + K.matches('t', text.IMPORT))} AS n_import_removed,
-  sum(CASE WHEN added THEN strlen(t) ELSE 0 END)::BIGINT AS added_bytes FROM x WHERE strlen(t) <= 400 GROUP BY commit_id""")
+  sum(CASE WHEN added THEN strlen(t) ELSE 0 END)::BIGINT AS added_bytes FROM x WHERE strlen(t) <= 400 GROUP BY commit_id"""
+
+
+@query(f"WITH {C.HTM}, x AS ({TRIMMED}) {KEYWORDS}")
 def keyword_counts(spark, sf_dir):
     return features.keyword_counts(C.page_lines(spark, sf_dir))
 
@@ -136,8 +157,8 @@ def path_category(spark, sf_dir):
 
 _BASE, _DIR = "regexp_extract(lower(path), '([^/]*)$', 1)", "regexp_replace(lower(path), '/?[^/]*$', '')"
 _EXT, _CAT = f"({K.extension('path')})", f"({K.category('path')})"
-PATH_FEATURES = f"""WITH {C.FIL}, f AS (SELECT commit_id, status, "binary", list_filter(string_split({_DIR}, '/'), lambda s: s <> '') AS d, {_BASE} AS b, {_EXT} AS e, {K.language(_EXT)} AS l, {_CAT} AS c, {K.tokens("regexp_extract(path, '([^/]*)$', 1)")} AS w FROM fil),
-names AS (SELECT commit_id, unnest(list_concat(list_transform(d, lambda s: 'p:' || s), CASE WHEN len(d) > 0 THEN ['p0:' || d[1]] ELSE [] END, list_transform(range(1, len(d)), lambda i: 'pp:' || d[i] || '/' || d[i + 1]), ['pl:' || CASE WHEN len(d) > 0 THEN d[-1] ELSE '<root>' END],
+PATH_FEATURES = f"""WITH {C.FIL}, f AS (SELECT commit_id, status, "binary", list_filter(string_split({_DIR}, '/'), lambda s: s <> '') AS d, {_BASE} AS b, {_EXT} AS e, {K.language(_EXT)} AS l, {_CAT} AS c, {K.tokens(f"(CASE WHEN {_EXT} <> '' THEN left({_BASE}, length({_BASE}) - length({_EXT}) - 1) ELSE {_BASE} END)")} AS w FROM fil),
+names AS (SELECT commit_id, unnest(list_concat(list_transform(d, lambda s: 'p:' || s), CASE WHEN len(d) > 0 THEN ['p0:' || d[1]] ELSE [] END, list_transform(range(1, len(d)), lambda i: 'pp:' || d[i] || '/' || d[i + 1]), ['pl:' || CASE WHEN len(d) > 0 THEN d[-1] ELSE '<root>' END, 'fe:' || CASE WHEN len(d) > 0 THEN d[-1] ELSE '<root>' END || '/' || e],
   ['f:' || b, 'e:' || e, 'l:' || l, 'c:' || c, 's:' || status], list_transform(w, lambda t: 'fw:' || t), ['cs:' || c || '_' || status, 'es:' || e || '_' || status, 'ce:' || c || '_' || e, 'ls:' || l || '_' || status], CASE WHEN "binary" THEN ['bin'] ELSE [] END)) AS feature FROM f)
 SELECT commit_id, feature, count(*) AS n FROM names GROUP BY ALL"""
 
@@ -165,33 +186,46 @@ def file_counters(spark, sf_dir):
     return features.file_counters(C.orders(spark, sf_dir))
 
 
-_SHARE = lambda cat, what: f"coalesce(max({what}) FILTER (WHERE category = '{cat}'), 0)"
-DENSE_SLOTS = {
-    "log_files": (0, "least(1, ln(1 + max(files)) / ln(201))"), "log_added": (1, "least(1, ln(1 + max(added)) / ln(20001))"), "add_ratio": (3, "CASE WHEN max(added + removed) = 0 THEN 0 ELSE max(added) / max(added + removed) END"),
-    "new_share": (5, "max(new_files) / max(files)"), "docs_share": (11, _SHARE("docs", "n") + " / max(files)"), "only_docs": (30, f"({_SHARE('docs', 'n')} = max(files))::INT"), "similarity": (47, "max(similarity)"), "jaccard": (48, "max(jaccard)"),
-    "largest_share": (57, "CASE WHEN max(added + removed) = 0 THEN 0 ELSE max(largest_file) / max(added + removed) END"), "languages": (56, "least(1, max(languages) / 5)"), "single": (63, "(max(files) = 1)::INT"),
-    "net": (79, "least(1, greatest(0, 0.5 + max(added - removed) / greatest(max(added + removed), 1) / 2))"), "executable": (65, "max(executable_files) / max(files)"), "mean_length": (66, "CASE WHEN max(added) = 0 THEN 0 ELSE least(1, max(added_bytes) / max(added) / 120) END"),
-}
-DENSE_SQL = f"""WITH {C.FIL}, {C.TXT}, byc AS (SELECT t.commit_id // 5 AS commit_id, added, text FROM txt t), {K.token_rows('byc')}, counters AS ({file_counter_sql('fil')}),
-  cats AS (SELECT commit_id, {_CAT} AS category, count(*) AS n FROM fil GROUP BY ALL), one AS (SELECT commit_id, token, bool_or(added) AS x, bool_or(NOT added) AS y FROM tok GROUP BY ALL), jac AS (SELECT commit_id, count(*) FILTER (WHERE x AND y) / count(*) AS jaccard FROM one GROUP BY commit_id),
-  ln0 AS (SELECT commit_id, added, {K.trim('text')} AS t FROM byc WHERE strlen({K.trim('text')}) <= 400), ln1 AS (SELECT commit_id, regexp_replace(t, '\\s', '', 'g') AS line, count(*) FILTER (WHERE added) AS a, count(*) FILTER (WHERE NOT added) AS r FROM ln0 GROUP BY ALL),
-  sim AS (SELECT commit_id, 2 * sum(least(a, r)) / sum(a + r) AS similarity FROM ln1 GROUP BY commit_id), len AS (SELECT commit_id, sum(CASE WHEN added THEN strlen(t) ELSE 0 END) AS added_bytes FROM ln0 GROUP BY commit_id)
-  SELECT commit_id, {', '.join(f"round(({x})::DOUBLE + 1e-9, 6) AS {name}" for name, (_, x) in DENSE_SLOTS.items())}
-  FROM counters JOIN cats USING (commit_id) LEFT JOIN (SELECT commit_id, coalesce(jaccard, 0) AS jaccard FROM (SELECT DISTINCT commit_id FROM fil) LEFT JOIN jac USING (commit_id)) USING (commit_id)
-  LEFT JOIN (SELECT commit_id, coalesce(similarity, 0) AS similarity FROM (SELECT DISTINCT commit_id FROM fil) LEFT JOIN sim USING (commit_id)) USING (commit_id) LEFT JOIN (SELECT commit_id, coalesce(added_bytes, 0) AS added_bytes FROM (SELECT DISTINCT commit_id FROM fil) LEFT JOIN len USING (commit_id)) USING (commit_id) GROUP BY commit_id"""
+_PER = lambda top, bottom: f"CASE WHEN coalesce({bottom}, 0) = 0 THEN 0.0 ELSE coalesce({top}, 0) / ({bottom}) END"
+_LOG = lambda x, most: f"least(1, ln(1 + coalesce({x}, 0)) / ln({most + 1}))"
+_IN = lambda *cats: _PER(" + ".join(f"coalesce(l_{c}, 0)" for c in cats), "added + removed")
+_FLAG = lambda cond: f"coalesce(({cond})::INT, 0)"
+#: The 88 slots, in order.
+DENSE_SLOTS = [
+    _LOG("files", 200), _LOG("added", 20000), _LOG("removed", 20000), _PER("added", "added + removed"), _LOG("added + removed", 40000), *(_PER(x, "files") for x in ("new_files", "deleted_files", "renamed_files", "binary_files")),
+    *(_PER(f"n_{c}", "files") for c in fixed.CATEGORIES), *(_FLAG(f"n_{c} = files") for c in fixed.CATEGORIES), "coalesce(similarity, 0)", "coalesce(jaccard, 0)", _PER("n_comment_added", "added"), _PER("n_comment_removed", "removed"), _PER("n_import_added", "added"), _PER("n_import_removed", "removed"),
+    _PER("pure_add_files", "files"), _PER("pure_delete_files", "files"), _FLAG("version_bump"), "least(1, languages / 5)", _PER("largest_file", "added + removed"), _FLAG("has_message"), _IN("test", "snapshot"), _IN("docs"), _IN("source"), _FLAG("truncated"), _FLAG("files = 1"), _LOG("hunks", 2000),
+    _PER("executable_files", "files"), f"least(1, ({_PER('added_bytes', 'added')}) / 120)", _PER("n_trivial", "added"), _PER("n_test_words", "added"), _FLAG("extensions = 1"), _IN("ci"), _IN("build", "lock", "version"), *(_IN(c) for c in ("config", "style", "schema", "generated", "i18n", "changelog")), _PER("n_string", "added"),
+    "least(1, greatest(0, 0.5 + (added - removed) / greatest(added + removed, 1) / 2))", *(_PER(f"n_{k}", "added") for k in ("error", "null", "log")), "least(1, coalesce(n_deprecated, 0) / 3)", _PER("n_type", "added"), _FLAG("removed = 0 AND added > 0"), _FLAG("added = 0 AND removed > 0"), _FLAG("n_test > 0 AND n_source > 0"),
+]
+DENSE_SQL = f"""WITH {C.FIL}, {C.TXT}, byc AS (SELECT t.commit_id // 5 AS commit_id, t.commit_id AS doc_id, ln, added, text FROM txt t), {K.token_rows('byc')}, counters AS ({file_counter_sql('fil')}),
+  cats AS (SELECT commit_id, {', '.join(f"count(*) FILTER (WHERE c = '{c}') AS n_{c}, sum(added + removed) FILTER (WHERE c = '{c}') AS l_{c}" for c in fixed.CATEGORIES)} FROM (SELECT *, {_CAT} AS c FROM fil) GROUP BY commit_id),
+  one AS (SELECT commit_id, token, bool_or(added) AS x, bool_or(NOT added) AS y FROM tok GROUP BY ALL), jac AS (SELECT commit_id, count(*) FILTER (WHERE x AND y) / count(*) AS jaccard FROM one GROUP BY commit_id),
+  x AS (SELECT commit_id, added, {K.trim('text')} AS t FROM byc), kw AS (SELECT * RENAME (n_test AS n_test_words) FROM ({KEYWORDS})), ln1 AS (SELECT commit_id, regexp_replace(t, '\\s', '', 'g') AS line, count(*) FILTER (WHERE added) AS a, count(*) FILTER (WHERE NOT added) AS r FROM x WHERE strlen(t) <= 400 GROUP BY ALL),
+  sim AS (SELECT commit_id, 2 * sum(least(a, r)) / sum(a + r) AS similarity FROM ln1 GROUP BY commit_id),
+  bm AS (SELECT f.commit_id, path, bool_or(b.added) AS x, bool_or(NOT b.added) AS y FROM byc b JOIN fil f USING (doc_id) WHERE {_CAT} IN ('build', 'version', 'lock', 'config') AND contains(lower(text), 'version') AND regexp_matches(text, '[0-9]') GROUP BY ALL), bump AS (SELECT commit_id, bool_or(x AND y) AS version_bump FROM bm GROUP BY commit_id),
+  more AS (SELECT commit_id, count(DISTINCT doc_id) AS hunks, bool_or(ln >= 400 OR strlen(text) > 1000) AS truncated FROM byc GROUP BY commit_id), msg AS (SELECT doc_id // 5 AS commit_id, bool_or(lang IS NOT NULL) AS has_message FROM documents GROUP BY 1)
+  SELECT commit_id, {', '.join(f"round(({x})::DOUBLE + 1e-9, 6) AS d{i}" for i, x in enumerate(DENSE_SLOTS))}
+  FROM counters JOIN cats USING (commit_id) LEFT JOIN kw USING (commit_id) LEFT JOIN sim USING (commit_id) LEFT JOIN jac USING (commit_id) LEFT JOIN bump USING (commit_id) LEFT JOIN more USING (commit_id) LEFT JOIN msg USING (commit_id)"""
 
 
 def dense_vectors(spark, sf_dir):
     files = C.document_files(spark, sf_dir)
-    lines = C.document_lines(spark, sf_dir).select(F.floor(F.col("commit_id") / 5).cast("bigint").alias("commit_id"), "added", "text")
-    bump = files.select("commit_id", "doc_id", "path").join(C.document_lines(spark, sf_dir).select(F.col("commit_id").alias("doc_id"), "added", "text"), "doc_id")
-    more = files.groupBy("commit_id").agg(F.lit(0).alias("hunks"), F.lit(False).alias("truncated"), F.lit(False).alias("has_message"))
+    by_five = F.floor(F.col("commit_id") / 5).cast("bigint").alias("commit_id")
+    lines = C.document_lines(spark, sf_dir).select(by_five, "added", "text")
+    bump = C.changes(spark, sf_dir)[1].where("commit_id >= 0").select(by_five, "path", "added", "text")
+    numbered = diffs.numbered_lines(C.patches(spark, sf_dir))
+    parsed = diffs.files(numbered).groupBy(by_five).agg(F.sum(F.size("hunks")).alias("hunks"))
+    cut = diffs.truncated(numbered).groupBy(by_five).agg(F.bool_or("truncated").alias("truncated"))
+    said = C.read(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 5).cast("bigint").alias("commit_id")).agg(F.bool_or(F.col("lang").isNotNull()).alias("has_message"))
+    more = said.join(parsed, "commit_id", "left").join(cut, "commit_id", "left")
     return features.dense(features.file_counters(files), features.keyword_counts(lines), features.category_shares(files), features.space_only_similarity(lines), features.token_jaccard(lines), features.version_bump(bump), more)
 
 
 @query(DENSE_SQL)
 def dense_core(spark, sf_dir):
-    return dense_vectors(spark, sf_dir).select("commit_id", *[r6(F.get("dense", F.lit(i))).alias(name) for name, (i, _) in DENSE_SLOTS.items()])
+    """All 88 structural features."""
+    return dense_vectors(spark, sf_dir).select("commit_id", *[r6(F.get("dense", F.lit(i))).alias(f"d{i}") for i in range(len(DENSE_SLOTS))])
 
 
 # --- diffs
@@ -634,17 +668,6 @@ def scope_guess(spark, sf_dir):
     return decisions.guess_scope(C.document_files(spark, sf_dir).withColumn("commit_id", F.col("doc_id")))
 
 
-
-@query()
-def emoji_pick(spark, sf_dir):
-    """All kinds of change over documents' files; the tests hold the rules against a table of cases."""
-    files = C.document_files(spark, sf_dir).withColumn("commit_id", F.col("doc_id"))
-    signals = decisions.line_signals(C.document_lines(spark, sf_dir))
-    names = F.array(*[F.lit(c) for c in CLASSES])
-    rows = decisions.file_predicates(files).join(signals, "commit_id", "left").withColumns({"type": F.get(names, (F.col("commit_id") % len(CLASSES)).cast("int")), "breaking": F.col("commit_id") % 37 == 0, "subject": F.lit(""), "dependency": F.lit(None).cast("string"), "version_bump": F.lit(False)})
-    return decisions.pick_emoji(rows).select("commit_id", "type", "emoji")
-
-
 _CODES = [(code, kind, i) for i, (_, code, kind) in enumerate(fixed.EMOJI)]
 _TABLE = ", ".join(f"({K.quoted(c)}, {K.quoted(k)}, {i})" for c, k, i in _CODES)
 ADAPT_SQL = f"""WITH tb(code, kind, ord) AS (VALUES {_TABLE}), ev AS (SELECT user_id AS repo, event_id, (event_id * 7 + user_id) % 75 AS e, event_id % 11 AS c FROM events), used AS (SELECT repo, code, count(*) AS n FROM ev JOIN tb ON ord = e GROUP BY ALL),
@@ -672,17 +695,26 @@ def compare_sql(a: str, b: str) -> str:
 
 
 _RNG = lambda v: f"({v} IN ('*', 'latest') OR regexp_matches({v}, '[\\^~<>*x]') OR contains({v}, ' - ') OR contains({v}, '||'))"
-DEPENDENCY_CTE = f"""{C.MAN}, pd AS (SELECT commit_id, ln, added, regexp_extract(text, {K.quoted(_J)}, 1) AS name, regexp_extract(text, {K.quoted(_J)}, 2) AS version FROM man), ok AS (SELECT * FROM pd WHERE name <> '' AND lower(name) NOT IN {K.strings(fixed.NO_DEPENDENCY['json'])} AND (regexp_matches(trim(version), {K.quoted(fixed.VERSION_LIKE)}) OR regexp_matches(trim(version), {K.quoted(fixed.VERSION_WORDS)}))),
+def dependency_cte(lines: str) -> str:
+    """Changes of what JSON manifests name, of a CTE `lines`."""
+    return f"""pd AS (SELECT commit_id, ln, added, regexp_extract(text, {K.quoted(_J)}, 1) AS name, regexp_extract(text, {K.quoted(_J)}, 2) AS version FROM {lines}), ok AS (SELECT * FROM pd WHERE name <> '' AND lower(name) NOT IN {K.strings(fixed.NO_DEPENDENCY['json'])} AND (regexp_matches(trim(version), {K.quoted(fixed.VERSION_LIKE)}) OR regexp_matches(trim(version), {K.quoted(fixed.VERSION_WORDS)}))),
   dc AS (SELECT commit_id, name, coalesce(arg_max(version, ln) FILTER (WHERE NOT added), '') AS old, coalesce(arg_max(version, ln) FILTER (WHERE added), '') AS new FROM ok GROUP BY ALL),
   ch AS (SELECT *, CASE WHEN old = '' AND new <> '' THEN 'added' WHEN new = '' AND old <> '' THEN 'removed' WHEN old = new THEN 'other' WHEN {_RNG('old')} AND NOT {_RNG('new')} AND regexp_extract(old, '\\d+') = regexp_extract(new, '\\d+') THEN 'pinned' WHEN {compare_sql('old', 'new')} = 1 THEN 'up' WHEN {compare_sql('old', 'new')} = -1 THEN 'down' ELSE 'other' END AS kind FROM dc)"""
 
 
+DEPENDENCY_CTE = f"{C.MAN}, {dependency_cte('man')}"
+
+
 @query(f"WITH {DEPENDENCY_CTE} SELECT commit_id, name, old, new, kind FROM ch")
 def dependency_changes(spark, sf_dir):
     return decisions.dependency_changes(C.manifest_lines(spark, sf_dir))
 
 
-@query(f"WITH {DEPENDENCY_CTE}, k AS (SELECT commit_id, count(*) AS t, count(*) FILTER (WHERE kind = 'added') AS a, count(*) FILTER (WHERE kind = 'removed') AS r, count(*) FILTER (WHERE kind = 'up') AS u, count(*) FILTER (WHERE kind = 'down') AS d, count(*) FILTER (WHERE kind = 'pinned') AS p FROM ch GROUP BY 1) SELECT commit_id, CASE WHEN a = t THEN 'heavy_plus_sign' WHEN r = t THEN 'heavy_minus_sign' WHEN u > 0 AND u + p = t THEN 'arrow_up' WHEN d = t THEN 'arrow_down' WHEN p = t THEN 'pushpin' ELSE 'package' END AS dependency FROM k")
+DEPENDENCY_KIND = """k AS (SELECT commit_id, count(*) AS t, count(*) FILTER (WHERE kind = 'added') AS a, count(*) FILTER (WHERE kind = 'removed') AS r, count(*) FILTER (WHERE kind = 'up') AS u, count(*) FILTER (WHERE kind = 'down') AS d, count(*) FILTER (WHERE kind = 'pinned') AS p FROM ch GROUP BY 1),
+  dep AS (SELECT commit_id, CASE WHEN a = t THEN 'heavy_plus_sign' WHEN r = t THEN 'heavy_minus_sign' WHEN u > 0 AND u + p = t THEN 'arrow_up' WHEN d = t THEN 'arrow_down' WHEN p = t THEN 'pushpin' ELSE 'package' END AS dependency FROM k)"""
+
+
+@query(f"WITH {DEPENDENCY_CTE}, {DEPENDENCY_KIND} SELECT * FROM dep")
 def dependency_emoji(spark, sf_dir):
     return decisions.dependency_emoji(decisions.dependency_changes(C.manifest_lines(spark, sf_dir)))
 
@@ -698,3 +730,44 @@ def version_compare(spark, sf_dir):
     b = F.concat(s(z % 3), F.lit("."), s(z % 7), F.when(z % 4 == 0, ".1").when(z % 5 == 0, "-rc.1").otherwise(""))
     rows = C.read(spark, sf_dir, "part").select("p_partkey", a.alias("a"), b.alias("b"))
     return rows.withColumn("way", headers.compare_versions(F.col("a"), F.col("b")).cast("int"))
+
+
+_PB = "regexp_extract(lower(path), '([^/]*)$', 1)"
+_MANIFEST = f"""({_PB} IN {K.strings(fixed.MANIFESTS)} OR regexp_matches({_PB}, '^requirements.*\\.txt$') OR {_PB} = 'constraints.txt' OR starts_with({_PB}, 'dockerfile') OR ends_with({_PB}, '.dockerfile') OR regexp_matches({_PB}, '\\.ya?ml$') AND {_CAT} = 'ci')"""
+_NAMED = {"i18n", "asset", "style", "ci", "docs", "changelog", "snapshot", "build", "lock"}
+_SAYS = lambda k: f"regexp_matches(lower(subject), {K.quoted(fixed.MESSAGE[k])})"
+_ALL = lambda c: f"(files > 0 AND n_{c} = files)"
+EMOJI_CTE = f"""{C.CHANGES}, json AS (SELECT * FROM cl WHERE {_PB} IN {K.strings([k for k, v in fixed.MANIFESTS.items() if v == 'json'])}), {dependency_cte('json')}, {DEPENDENCY_KIND},
+  lf AS (SELECT commit_id, path, count(*) AS n, count(*) FILTER (WHERE {K.trim('text')} <> '') AS full, count(*) FILTER (WHERE regexp_matches({K.trim('text')}, '^("version"|version[ =:])')) AS versions FROM cl GROUP BY ALL),
+  vf AS (SELECT cf.*, {_CAT} AS c, {_MANIFEST} AS m, coalesce(n, 0) AS n, coalesce(lf.full, 0) AS f, coalesce(versions, 0) AS v FROM cf LEFT JOIN lf USING (commit_id, path)),
+  bump AS (SELECT commit_id, bool_and((c IN ('version', 'changelog', 'lock') OR m AND f = v) AND n >= coalesce(added, 0) + coalesce(removed, 0)) AND bool_or(c = 'version' OR c NOT IN ('changelog', 'lock') AND v > 0) AS version_bump FROM vf GROUP BY commit_id),
+  fp AS (SELECT commit_id, count(*) AS files, sum(added) AS added, sum(removed) AS removed, count(*) FILTER (WHERE status IN ('renamed', 'copied')) AS renamed, max(added + removed) AS largest, bool_and({_PB} = '.gitignore') AS gitignore,
+    bool_and({_PB} IN {K.strings(fixed.LICENSE_NAMES)} OR regexp_matches(lower(path), '^licenses?/')) AS license, bool_and({_PB} IN {K.strings(fixed.CONTRIBUTOR_NAMES)}) AS contributors, bool_and(regexp_matches({_PB}, '^(dependabot\\.ya?ml|renovate\\.json5?|\\.renovaterc.*)$')) AS bot,
+    bool_and(regexp_matches(lower(path), '\\.(d\\.ts|d\\.mts|d\\.cts|pyi|flow)$|(^|/)@?types/')) AS types, bool_and(regexp_matches(lower(path), '\\.(sql|prisma)$|migration|db/migrate/|alembic/versions/|/seeds/|/seeders/')) AS db, bool_and(regexp_matches(lower(path), '__mocks__/|/mocks/|(mock|stub|fake)[^/]*$')) AS mock,
+    {', '.join(COUNT_IF(f"c = '{c}'") + f' AS n_{c}' for c in sorted(_NAMED))} FROM (SELECT *, {_CAT} AS c FROM cf) GROUP BY commit_id),
+  ls AS (SELECT commit_id, CASE WHEN bool_or(NOT lg) THEN 0 WHEN bool_or(added) THEN 1 ELSE -1 END AS logs, bool_and(cm) AS comments FROM (SELECT commit_id, added, regexp_matches(text, {K.quoted(fixed.LOG_LINE)}) AS lg, regexp_matches(text, {K.quoted(fixed.COMMENT_LINE)}) AS cm FROM cl WHERE regexp_matches(text, '\\S')) GROUP BY commit_id),
+  row0 AS (SELECT fp.*, coalesce(logs, 0) AS logs, coalesce(comments, false) AS comments, dependency, version_bump, subject, {C._sql_list(CLASSES)}[abs(commit_id) % 11 + 1] AS type, abs(commit_id) % 37 = 0 AS breaking, fp.removed > 0 AND fp.added = 0 AS gone FROM fp JOIN say USING (commit_id) LEFT JOIN ls USING (commit_id) LEFT JOIN dep USING (commit_id) LEFT JOIN bump USING (commit_id)),
+  usual(type, code) AS (VALUES {', '.join(f"('{t}', '{e}')" for t, e in fixed.EMOJI_OF_TYPE.items())})"""
+_MADE = "type IN ('build', 'chore', 'ci') AND dependency IS NULL"
+EMOJI_SQL = f"""WITH {EMOJI_CTE} SELECT commit_id, type, CASE WHEN {_SAYS('wip')} THEN 'construction' WHEN type = 'revert' THEN 'rewind' WHEN breaking THEN 'boom' WHEN gitignore THEN 'see_no_evil' WHEN license THEN 'page_facing_up' WHEN contributors THEN 'busts_in_silhouette' WHEN bot THEN 'wrench'
+  WHEN renamed > 0 AND 2 * renamed >= files AND largest <= 10 THEN 'truck' WHEN {_ALL('i18n')} AND type <> 'test' THEN 'globe_with_meridians' WHEN {_ALL('asset')} AND type NOT IN ('docs', 'test') THEN 'bento' WHEN logs <> 0 AND type NOT IN ('docs', 'test', 'ci', 'build') THEN CASE WHEN logs > 0 THEN 'loud_sound' ELSE 'mute' END
+  WHEN type = 'feat' AND types THEN 'label' WHEN type = 'feat' AND db THEN 'card_file_box' WHEN type = 'feat' AND {_ALL('style')} THEN 'lipstick' {' '.join(f"WHEN type = 'feat' AND {_SAYS(k)} THEN '{e}'" for k, e in (('i18n', 'globe_with_meridians'), ('a11y', 'wheelchair'), ('analytics', 'chart_with_upwards_trend'), ('flag', 'triangular_flag_on_post'), ('animation', 'dizzy'), ('responsive', 'iphone'), ('seo', 'mag'), ('authz', 'passport_control'), ('validation', 'safety_vest'), ('deprecate', 'wastebasket')))}
+  WHEN type = 'feat' AND gone THEN 'fire' WHEN type = 'fix' AND {_SAYS('hotfix')} THEN 'ambulance' WHEN type = 'fix' AND {_ALL('ci')} THEN 'green_heart' WHEN type = 'docs' AND {_SAYS('typo')} THEN 'pencil2' WHEN type = 'docs' AND n_docs = 0 AND n_changelog = 0 AND comments THEN 'bulb'
+  WHEN type = 'style' AND {_ALL('style')} THEN 'lipstick' WHEN type = 'style' AND {_SAYS('lint')} THEN 'rotating_light' WHEN type = 'style' AND {_SAYS('typo')} THEN 'pencil2' WHEN type = 'refactor' AND {_SAYS('dead_code')} AND gone THEN 'coffin' WHEN type = 'refactor' AND gone THEN 'fire' WHEN type = 'refactor' AND {_SAYS('deprecate')} THEN 'wastebasket'
+  WHEN type = 'refactor' AND {_SAYS('architecture')} THEN 'building_construction' WHEN type = 'refactor' AND types THEN 'label' WHEN type = 'refactor' AND db THEN 'card_file_box' WHEN type = 'test' AND mock THEN 'clown_face' WHEN type = 'test' AND {_ALL('snapshot')} THEN 'camera_flash' WHEN type = 'test' AND {_SAYS('failing')} THEN 'test_tube'
+  WHEN type = 'ci' AND dependency IS NULL AND {_SAYS('ci_fix')} THEN 'green_heart' WHEN {_MADE} AND (version_bump OR {_SAYS('release')} AND type <> 'ci') THEN 'bookmark' WHEN {_MADE} AND {_SAYS('bump')} AND n_build + n_lock + n_ci > 0 THEN 'arrow_up' WHEN {_MADE} AND {_SAYS('downgrade')} AND n_build + n_lock > 0 THEN 'arrow_down'
+  WHEN {_MADE} AND {_SAYS('pin')} AND n_build + n_lock > 0 THEN 'pushpin' WHEN type = 'ci' AND dependency IS NULL AND {_ALL('ci')} THEN 'construction_worker' WHEN type = 'chore' AND dependency IS NULL AND {_SAYS('typo')} THEN 'pencil2' WHEN type = 'chore' AND dependency IS NULL AND {_SAYS('deprecate')} THEN 'wastebasket'
+  WHEN type = 'chore' AND dependency IS NULL AND types THEN 'label' WHEN type IN ('build', 'chore', 'ci') AND dependency IS NOT NULL THEN dependency ELSE usual.code END AS emoji, version_bump, dependency FROM row0 LEFT JOIN usual USING (type)"""
+
+
+@query(EMOJI_SQL)
+def emoji_pick(spark, sf_dir):
+    """Every type of change, with subjects of each kind, dependencies and releases."""
+    files, lines, subjects = C.changes(spark, sf_dir)
+    dependency = decisions.dependency_emoji(decisions.dependency_changes(lines))
+    rows = decisions.file_predicates(files).join(subjects, "commit_id")
+    for more in (decisions.line_signals(lines), dependency, decisions.release_only(files, lines)):
+        rows = rows.join(more, "commit_id", "left")
+    n, names = F.abs("commit_id"), F.array(*[F.lit(c) for c in CLASSES])
+    rows = rows.withColumns({"type": F.get(names, (n % len(CLASSES)).cast("int")), "breaking": n % 37 == 0})
+    return decisions.pick_emoji(rows).select("commit_id", "type", "emoji", "version_bump", "dependency")

@@ -79,6 +79,17 @@ def test_features(spark):
     assert {(r.commit_id, r.feature) for r in features.message_counts(m).collect()} == {(1, "m1:fix"), (1, "m:fix"), (1, "m:login"), (1, "m2:fix_login"), (2, "m:<empty>")}
 
 
+def test_path_hunk_and_language_features(spark):
+    files = spark.createDataFrame([(1, "lib/new/fooBar.py", "lib/foo.rs", "renamed", False), (2, "lib/a.py", "lib/b.py", "renamed", False), (3, "Makefile", "", "added", True)], "commit_id bigint, path string, old_path string, status string, binary boolean")
+    found = {(r.commit_id, r.feature) for r in features.path_counts(files).collect()}
+    assert {(1, "ren:moved"), (1, "ren:ext"), (1, "fe:new/py"), (1, "fw:foobar"), (2, "ren:samedir"), (3, "fe:<root>/"), (3, "fw:makefile"), (3, "bin")} <= found
+    assert not {(1, "ren:samedir"), (1, "fw:py"), (2, "ren:ext")} & found and not [f for c, f in found if c == 3 and f.startswith("ren:")]
+    hunks = spark.createDataFrame([(1, ["func Run(x int)", "func Stop()"]), (2, []), (3, None)], "commit_id bigint, hunks array<string>")
+    assert {(r.feature, r.n) for r in features.hunk_counts(hunks).collect()} == {("h:func", 2), ("h:run", 1), ("h:int", 1), ("h:stop", 1), ("hs:func", 2)}
+    lines = spark.createDataFrame([(1, "a.go", True, "}"), (1, "b", False, "# x"), (1, "a.go", True, "z" * 500), (2, "a.go", True, None)], "commit_id bigint, path string, added boolean, text string")
+    assert {r.feature for r in features.shape_counts(lines).where("commit_id = 1").collect()} == {"A1:<close>", "AL:go:<close>", "R1:<comment>", "RL:none:<comment>", "A1:<long>"}
+
+
 def test_history_has_no_leak(spark):
     rows = [("r", i, "a" if i % 3 else "b", f"p{i % 2}") for i in range(50)] + [("s", 1, "a", "p")]
     commits = history.numbered(spark.createDataFrame(rows, "repo string, ts bigint, type string, path string"), ["ts"])
@@ -215,6 +226,20 @@ def test_dependency_lines(spark):
     assert [found[i] for i in range(len(DEPENDENCIES))] == [want for _, _, want in DEPENDENCIES]
 
 
+RELEASES = [
+    ([("version.txt", 1, 1, ["1", "2"])], True), ([("CHANGELOG.md", 1, 0, ["x"])], False), ([("package.json", 1, 1, [' "version": "1",', ' "version": "2",']), ("CHANGELOG.md", 1, 0, ["x"])], True), ([("package.json", 1, 0, ['"version": "2"', ""])], True),
+    ([("package.json", 1, 1, ['"version": "1"', '"name": "x"'])], False), ([("version.txt", 1, 1, ["1", "2"]), ("a.go", 1, 0, ["version = 1"])], False), ([("version.txt", 500, 0, ["1"])], False), ([("go.sum", 1, 0, ["x"]), ("Cargo.toml", 1, 0, ["version = 1"])], True), ([("version.png", 0, 0, [])], False),
+]
+
+
+def test_release_only(spark):
+    files = spark.createDataFrame([(i, p, a, r) for i, (held, _) in enumerate(RELEASES) for p, a, r, _ in held], "commit_id int, path string, added bigint, removed bigint")
+    lines = spark.createDataFrame([(i, p, x) for i, (held, _) in enumerate(RELEASES) for p, _, _, some in held for x in some], "commit_id int, path string, text string")
+    found = {r.commit_id: r.version_bump for r in decisions.release_only(files, lines).collect()}
+    assert [found[i] for i in range(len(RELEASES))] == [want for _, want in RELEASES]
+    assert not decisions.release_only(files.limit(0), lines).count()
+
+
 def test_lint_and_calibration(spark):
     rows = spark.createDataFrame([("feat", "fix", 0.9, "docs"), ("feat", "fix", 0.6, "docs"), ("docs", "fix", 0.9, "docs"), (None, "fix", 0.9, "docs")], "declared string, first string, p double, second string")
     assert [r.status for r in decisions.lint(rows).collect()] == ["disputed", "ok", "ok", "missing"]
