@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwood.functions import fixed, headers, paths, text
-from driftwood.operators import decisions, diffs, features, history, neighbours, reports, scoring, training
+from driftwood.operators import classify, decisions, diffs, features, history, neighbours, reports, scoring, training
 from driftwood.plans import corpora as C
 from driftwood.plans import duck as K
 
@@ -771,3 +771,49 @@ def emoji_pick(spark, sf_dir):
     n, names = F.abs("commit_id"), F.array(*[F.lit(c) for c in CLASSES])
     rows = rows.withColumns({"type": F.get(names, (n % len(CLASSES)).cast("int")), "breaking": n % 37 == 0})
     return decisions.pick_emoji(rows).select("commit_id", "type", "emoji", "version_bump", "dependency")
+
+
+# --- from patches to a guess
+
+_N, _CL = len(CLASSES), C._sql_list(CLASSES)
+_EACH = lambda x: ", ".join(x(i) for i in range(_N))
+_PATH_CTE = PATH_FEATURES.removeprefix(f"WITH {C.FIL}, ").replace("FROM fil)", "FROM pfil)").split("\nSELECT")[0].replace("names AS", "pn AS")
+GUESS_W = [[((i * 7 + c * 3) % 11 - 5) / 40 for c in range(_N)] for i in range(4 * _N + 3)]
+_GX = [*(f"ln({k}{i} + 1e-6)" for k in "pkcq" for i in range(_N)), "seen", "ln(1 + size) / 8", "sim"]
+CLASSIFY_SQL = f"""WITH {C.TXT}, pfil AS (SELECT doc_id AS commit_id, 'src/' || source || '/f ' || doc_id::VARCHAR || '.py' AS path, 'modified' AS status, false AS "binary" FROM documents WHERE text IS NOT NULL), lt AS (SELECT commit_id, added, left(text, 1000) AS text FROM txt WHERE ln < 400), {K.token_rows('lt')}, {_PATH_CTE},
+  one AS (SELECT commit_id, token, bool_or(added) AS x, bool_or(NOT added) AS y FROM tok GROUP BY ALL), sh AS (SELECT commit_id, added, CASE WHEN strlen(t) > 400 THEN '<long>' ELSE {K.shape('t')} END AS s FROM (SELECT commit_id, added, {K.trim('text')} AS t FROM lt)),
+  fe AS (SELECT commit_id, 'path' AS grp, feature FROM pn UNION ALL SELECT commit_id, 'code', {A_R} || token FROM tok UNION ALL SELECT commit_id, 'code', CASE WHEN x THEN 'x:' ELSE 'y:' END || token FROM one WHERE x <> y UNION ALL SELECT commit_id, 'shape', CASE WHEN added THEN 'A1:' ELSE 'R1:' END || s FROM sh
+    UNION ALL SELECT commit_id, 'shape', CASE WHEN added THEN 'AL:py:' ELSE 'RL:py:' END || s FROM sh WHERE s <> '<long>' UNION ALL SELECT commit_id, 'hunk', unnest(['h:def', 'hs:def']) FROM pfil),
+  n0 AS (SELECT commit_id, grp, feature, count(*) AS n FROM fe GROUP BY ALL), wt AS (SELECT commit_id, feature, ln(1 + n) / sqrt(sum(ln(1 + n) * ln(1 + n)) OVER (PARTITION BY commit_id, grp)) AS weight FROM n0), nm AS (SELECT feature, {K.bucket('feature')} AS bucket FROM (SELECT DISTINCT feature FROM wt)),
+  hs AS (SELECT commit_id, bucket, sum(weight) AS weight FROM wt JOIN nm USING (feature) GROUP BY ALL), lz AS (SELECT commit_id, {_EACH(lambda i: f'{(i - 5) / 20} + sum(weight * (((bucket * {i + 7}) % 201) - 100) / 100) AS z{i}')} FROM hs GROUP BY commit_id),
+  pw AS (SELECT commit_id, {_EACH(lambda i: f"exp(z{i} - m) / ({' + '.join(f'exp(z{j} - m)' for j in range(_N))}) AS p{i}")} FROM (SELECT *, greatest({_EACH(lambda i: f'z{i}')}) AS m FROM lz)),
+  co AS (SELECT doc_id AS commit_id, source AS repo, {_CL}[doc_id % {_N} + 1] AS type, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents WHERE text IS NOT NULL),
+  ow AS (SELECT co.*, pw.* EXCLUDE (commit_id), {_EACH(lambda i: f"count(*) FILTER (WHERE type = '{CLASSES[i]}') OVER w AS n{i}")}, count(*) OVER w AS size FROM co JOIN pw USING (commit_id) WINDOW w AS ({FRAME})),
+  u AS (SELECT repo, pos, bucket, weight / sqrt(sum(weight * weight) OVER (PARTITION BY repo, pos)) AS weight FROM hs JOIN co USING (commit_id)), si AS (SELECT q.repo, q.pos, h.pos AS other, sum(q.weight * h.weight) AS sim FROM u q JOIN u h ON q.repo = h.repo AND q.bucket = h.bucket AND h.pos < q.pos AND h.pos >= q.pos - 1000 GROUP BY ALL),
+  ne AS (SELECT *, row_number() OVER (PARTITION BY repo, pos ORDER BY round(sim, 9) DESC, other DESC) AS rank FROM si QUALIFY rank <= 15),
+  kn AS (SELECT ne.repo, ne.pos, max(sim) FILTER (WHERE rank = 1) AS sim, {_EACH(lambda i: f"(coalesce(sum(greatest(sim, 0) ** 2) FILTER (WHERE type = '{CLASSES[i]}'), 0) + 0.3) / (sum(greatest(sim, 0) ** 2) + {0.3 * _N}) AS k{i}")} FROM ne JOIN co ON co.repo = ne.repo AND co.pos = ne.other GROUP BY ALL),
+  ex AS (SELECT repo, pos, type, list_position(pl, list_max(pl)) - 1 AS guess, unnest(range({_N})) AS g, unnest(pl) AS pg FROM (SELECT *, [{_EACH(lambda i: f'p{i}')}] AS pl FROM ow)),
+  cx AS (SELECT repo, pos, pg, {_EACH(lambda i: f"count(*) FILTER (WHERE guess = g AND type = '{CLASSES[i]}') OVER w + 0.2 + CASE WHEN g = {i} THEN 2.0 ELSE 0.0 END AS x{i}")} FROM ex WINDOW w AS (PARTITION BY repo, g ORDER BY pos RANGE BETWEEN 1000 PRECEDING AND 1 PRECEDING)),
+  cf AS (SELECT repo, pos, {_EACH(lambda i: f"sum(pg * x{i} / ({' + '.join(f'x{j}' for j in range(_N))})) AS c{i}")} FROM cx GROUP BY ALL),
+  pa AS (SELECT commit_id, repo, pos, type, {{p}} AS path FROM co), fc AS (SELECT repo, pos, count(*) OVER w AS fn, {_EACH(lambda i: f"count(*) FILTER (WHERE type = '{CLASSES[i]}') OVER w AS f{i}")} FROM pa WINDOW w AS (PARTITION BY repo, path ORDER BY pos RANGE BETWEEN 1000 PRECEDING AND 1 PRECEDING)),
+  ev AS (SELECT commit_id, ow.repo, ow.pos, size, {_EACH(lambda i: f'p{i}, (n{i} + 1) / (size + {_N}) AS r{i}, coalesce(k{i}, {1 / _N}) AS k{i}, c{i}, CASE WHEN fn > 0 THEN (f{i} / fn + 0.05) / {1 + 0.05 * _N} ELSE (n{i} + 1) / (size + {_N}) END AS q{i}')}, (fn > 0)::INT::DOUBLE AS seen, coalesce(sim, 0) AS sim FROM ow JOIN cf USING (repo, pos) JOIN fc USING (repo, pos) LEFT JOIN kn USING (repo, pos)),
+  ms AS (SELECT *, {_EACH(lambda c: f'{(c - 5) / 20} + ' + ' + '.join(f'({GUESS_W[i][c]}) * {x}' for i, x in enumerate(_GX)) + f' AS m{c}')} FROM ev),
+  ws AS (SELECT commit_id, CASE WHEN size >= 20 THEN 'meta' WHEN 2 * size >= 30 THEN 'prior' ELSE 'global' END AS way, [{_EACH(lambda i: f'exp(m{i} - greatest({_EACH(lambda j: f"m{j}")}))')}] AS me, [{_EACH(lambda i: f'p{i} * pow(r{i} * {_N}, 0.7)')}] AS pr, [{_EACH(lambda i: f'p{i}')}] AS gl FROM ms),
+  gu AS (SELECT commit_id, way, CASE way WHEN 'meta' THEN list_transform(me, lambda x: x / list_sum(me)) WHEN 'prior' THEN list_transform(pr, lambda x: x / list_sum(pr)) ELSE gl END AS g FROM ws),
+  rk AS (SELECT commit_id, way, c, p, row_number() OVER (PARTITION BY commit_id ORDER BY round(p, 9) DESC, c) AS rank FROM (SELECT commit_id, way, unnest(range({_N})) AS c, unnest(g) AS p FROM gu))
+  SELECT commit_id, way, rank::INT AS rank, {_CL}[c + 1] AS type, {s6('p')} AS p FROM rk WHERE rank <= 3""".replace("{p}", "CASE WHEN commit_id % 3 = 0 THEN 'hot' ELSE 'f' || (commit_id % 97)::VARCHAR END")
+
+
+@query(CLASSIFY_SQL)
+def classify_commits(spark, sf_dir):
+    """Documents as patches, a source as a repo: the three best types of each. Every third patch touches one path, the others one of 97."""
+    hashed_, files = classify.patch_features(C.patches(spark, sf_dir))
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    docs = C.read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("commit_id"), F.col("source").alias("repo"), F.get(names, (F.col("doc_id") % _N).cast("int")).alias("type"))
+    i = F.col("commit_id")
+    touched = files.select("commit_id", "file_no", F.when(i % 3 == 0, "hot").otherwise(F.concat(F.lit("f"), (i % 97).cast("string"))).alias("path"))
+    rows = classify.gather(history.numbered(docs, ["commit_id"]), hashed_, touched, model_table(spark), BIASES)
+    train = F.array(*[F.lit(1.0 / _N)] * _N)
+    told = classify.guess(rows, GUESS_W, [(c - 5) / 20 for c in range(_N)], train, 2 * F.col("size"))
+    best = history.ranked(F.transform("guess", lambda p: F.round(p, 9)), CLASSES)
+    return told.select("commit_id", "way", F.posexplode(F.slice(best, 1, 3)).alias("at", "x")).select("commit_id", "way", (F.col("at") + 1).alias("rank"), "x.type", r6(F.col("x.p")).alias("p"))
