@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwood import sinks, sources, streaming
 from driftwood.functions import fixed
-from driftwood.operators import decisions, diffs, features, history, neighbours, scoring, training
+from driftwood.operators import classify, decisions, diffs, features, history, neighbours, scoring, training
 
 PATCH = '''some preamble
 diff --git a/src/a b.py b/src/a b.py
@@ -284,3 +284,32 @@ def test_stream_refresh(spark, tmp_path):
         streaming.refresh_index(stream, str(tmp_path / "index"), str(tmp_path / "checkpoint"), 4).awaitTermination(60)
     found = spark.read.schema(schema).json(str(source)).count(), {r.sha for r in spark.read.parquet(str(tmp_path / "index" / "batch=1")).collect()}
     assert found == (10, {"s4", "s5", "s6", "s7"})
+
+
+def test_earlier_confusion(spark):
+    shares = [0.9, 0.2, 0.6, 0.5, 0.1, 0.7, 0.8, 0.3]
+    rows = [("r", k + 1, "ab"[(k * 5) % 3 % 2], [p, 1 - p]) for k, p in enumerate(shares)] + [("q", 1, "b", [0.25, 0.75])]
+    found = {(r.repo, r.pos): r.conf for r in classify.earlier_confusion(spark.createDataFrame(rows, "repo string, pos bigint, type string, p array<double>"), ["a", "b"], 3).collect()}
+    for repo, pos, _, p in rows:
+        cells = [[fixed.CONF_SMOOTH + (fixed.CONF_DIAGONAL if g == t else 0) for t in range(2)] for g in range(2)]
+        for other, at, kind, q in rows:
+            if other == repo and pos - 3 <= at < pos:
+                cells[0 if q[0] >= q[1] else 1]["ab".index(kind)] += 1
+        assert found[repo, pos] == pytest.approx([sum(p[g] * cells[g][t] / sum(cells[g]) for g in range(2)) for t in range(2)])
+    assert len(found) == len(rows)
+
+
+def test_patches_to_guesses(spark):
+    patch = "diff --git a/{p} b/{p}\n--- a/{p}\n+++ b/{p}\n@@ -1 +1 @@ def f():\n-{x}\n+{y}\n"
+    rows = [(k, patch.format(p=f"src/{'ab'[k % 2]}.py", x="old", y=("docs" if k % 2 else "fix"))) for k in range(6)] + [(6, None), (7, "")]
+    hashed, files = classify.patch_features(spark.createDataFrame(rows, "commit_id bigint, patch string"), spark.createDataFrame([(0, "fix it")], "commit_id bigint, message string"))
+    assert {r.commit_id for r in hashed.select("commit_id").distinct().collect()} == set(range(6)) and files.count() == 6
+    kinds = [("a", 0.0), ("b", 0.0)]
+    weights = spark.range(1 << fixed.HASH_BITS).selectExpr("id as bucket", "0.0D as w0", "0.0D as w1")
+    commits = spark.createDataFrame([("r", k + 1, k, "ab"[k % 2]) for k in range(6)], "repo string, pos bigint, commit_id bigint, type string")
+    evidence = classify.gather(commits, hashed, files.select("commit_id", "file_no", "path"), weights, kinds)
+    told = {r.pos: r for r in classify.guess(evidence, [[1.0, 0.0], [0.0, 1.0]] + [[0.0, 0.0]] * 9, [0.0, 0.0], F.array(F.lit(0.9), F.lit(0.1)), F.when(F.col("pos") > 1, 30).otherwise(0), 3).collect()}
+    assert [told[k].way for k in range(1, 7)] == ["global", "prior", "prior", "meta", "meta", "meta"] and told[1].guess == [0.5, 0.5]
+    assert told[1].knn == [0.5, 0.5] and told[1].sim == 0 and not told[1].seen and told[3].seen and told[3].file[0] > told[3].file[1]
+    assert told[4].knn[1] > told[4].knn[0] and 0.99 < told[5].sim < 1.01
+    assert told[2].guess[0] / told[2].guess[1] == pytest.approx((2 / 3 / 0.9) ** 0.7 / (1 / 3 / 0.1) ** 0.7)
