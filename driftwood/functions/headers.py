@@ -75,13 +75,31 @@ def is_bot(author: Column) -> Column:
 
 def is_skipped_subject(subject: Column) -> Column:
     """What a message hook leaves alone: fixups, squashes, reverts."""
-    return subject.rlike(r"^(?:fixup!|squash!|amend!|Revert |Reapply )")
+    return subject.rlike(r"^(?:fixup! |squash! |amend! |Revert \"|Reapply \")")
+
+
+def is_dependency_subject(subject: Column) -> Column:
+    """Whether a bot's update of a dependency speaks so."""
+    low = F.lower(subject)
+    return low.startswith("bump ") | low.startswith("update dependency") | low.contains("renovate")
 
 
 def first_content_line(message: Column, comment: str = "#") -> Column:
+    """The first line that is neither blank nor a comment."""
     return F.get(F.filter(F.split(message, "\n"), lambda x: (F.trim(x) != "") & ~x.startswith(comment)), F.lit(0))
 
 
+def subject_line(message: Column, comment: str = "#") -> Column:
+    """What a message hook takes as subject: the first line that is no comment, trimmed; blank if nothing was written there. Empty if all are comments."""
+    lines = F.transform(F.split(message, "\n"), lambda x: F.when(~x.startswith(comment), F.trim(x)))
+    return F.coalesce(F.get(F.filter(lines, lambda x: x.isNotNull()), F.lit(0)), F.when(message.isNotNull(), ""))
+
+
+def has_header(subject: Column) -> Column:
+    """Whether a subject already says its type, in words or by an emoji."""
+    return F.coalesce(header(subject).isNotNull() | emoji_header(subject).isNotNull(), F.lit(False))
+
+
 def format_header(kind: Column, scope: Column, breaking: Column, subject: Column) -> Column:
     """type(scope)!: subject; an empty scope is left out."""
     return F.concat(kind, F.when(scope != "", F.concat(F.lit("("), scope, F.lit(")"))).otherwise(""), F.when(breaking, "!").otherwise(""), F.lit(": "), subject)

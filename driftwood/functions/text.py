@@ -138,3 +138,9 @@ def clamp(x: Column) -> Column:
 def ratio(top: Column, bottom: Column) -> Column:
     """0 where the denominator is 0 or null."""
     return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
+
+
+def cut(value: Column, most: int) -> Column:
+    """At most `most` bytes of a text; a character that doesn't fit whole is left out."""
+    held = F.substring(value.cast("binary"), 1, most).cast("string")
+    return F.when(F.octet_length(value) <= most, value).when(F.is_valid_utf8(held), held).otherwise(F.regexp_replace(F.make_valid_utf8(held), "\ufffd$", ""))

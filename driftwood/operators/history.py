@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwood.functions import fixed
+from driftwood.functions import fixed, headers
 
 
 def numbered(commits: DataFrame, order: list[str]) -> DataFrame:
@@ -27,6 +27,30 @@ def habits(commits: DataFrame) -> DataFrame:
     return by.groupBy("repo").agg(F.sum("n").alias("commits"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("type").isNotNull(), F.struct("type", "n"))))).alias("types"))
 
 
+def recent(commits: DataFrame, most: int = fixed.WINDOW, skip: int = 0) -> DataFrame:
+    """The `most` newest commits of each repo, without the `skip` newest: what is older than a range that is checked."""
+    age = F.row_number().over(Window.partitionBy("repo").orderBy(F.col("pos").desc()))
+    return commits.withColumn("age", age).where((F.col("age") > skip) & (F.col("age") <= skip + most)).drop("age")
+
+
+def subject_habits(commits: DataFrame, known: list[str] = fixed.CLASSES) -> DataFrame:
+    """What a repo's subjects (repo, subject) usually say: (repo, commits, conventional, with_scope, types, scopes, emoji), the last three
+    array<struct<name, n>>, called type, scope and code, sorted by name.
+
+    Blank and null subjects don't count. One aggregation by name, of which each repo has few, then one by repo.
+    """
+    said = F.trim("subject")
+    full = commits.select("repo", headers.header(said, known).alias("h"), headers.emoji_header(said)["code"].alias("code")).where(said != "")
+    names = F.array(
+        F.struct(F.lit("commits").alias("kind"), F.lit("").alias("name")), F.struct(F.when(F.col("h").isNotNull(), "type").alias("kind"), F.col("h.type").alias("name")),
+        F.struct(F.when(F.col("h.scope") != "", "scope").alias("kind"), F.col("h.scope").alias("name")), F.struct(F.when(F.col("code").isNotNull(), "code").alias("kind"), F.col("code").alias("name")),
+    )
+    counted = full.select("repo", F.explode(names).alias("x")).where("x.kind is not null").groupBy("repo", "x.kind", "x.name").agg(F.count("*").alias("n"))
+    total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col("name").alias(kind), "n"))))
+    return counted.groupBy("repo").agg(total("commits").alias("commits"), total("type").alias("conventional"), total("scope").alias("with_scope"), listed("type").alias("types"), listed("scope").alias("scopes"), listed("code").alias("emoji"))
+
+
 def laplace(commits: DataFrame, classes: list[str]) -> DataFrame:
     """(repo, type, p) for every class: (n + 1) / (N + C)."""
     counted = commits.groupBy("repo").agg(*[F.count_if(F.col("type") == c).alias(f"n{i}") for i, c in enumerate(classes)], F.count_if(F.col("type").isin(*classes)).alias("total"))

@@ -9,14 +9,15 @@ from driftwood.functions import fixed
 from driftwood.operators.history import adapted_prior, argmax
 from driftwood.sinks import bar, percent
 
-#: Shares below which a candidate is not shown: the first one, and any other.
-SHOWN_FIRST, SHOWN_MORE = 0.01, 0.03
+#: Shares below which a candidate is not shown besides the first: the second one, and any other.
+SHOWN_SECOND, SHOWN_MORE = 0.01, 0.03
 
 
 def shown(candidates: DataFrame, most: int = 3, width: int = 20) -> DataFrame:
     """The candidates (..., rank, p) that are shown, with percent, bar and needs_review (of the first: too unsure to go unasked)."""
     p = F.col("p")
-    kept = candidates.where((F.col("rank") <= most) & (p >= SHOWN_FIRST) & ((F.col("rank") == 1) | (p >= SHOWN_MORE)))
+    least = F.when(F.col("rank") == 1, 0.0).when(F.col("rank") == 2, SHOWN_SECOND).otherwise(SHOWN_MORE)
+    kept = candidates.where((F.col("rank") <= most) & (p >= least))
     return kept.withColumns({"percent": percent(p), "bar": bar(p, width), "needs_review": (F.col("rank") == 1) & (p < fixed.ASK_BELOW)})
 
 
@@ -58,3 +59,57 @@ def blends(prior: Column, file: Column) -> dict[str, Column]:
 def prior_powers(p: Column, repo: Column, train: Column, powers: tuple[float, ...] = (0.0, 0.3, 0.5, 0.7, 1.0)) -> dict[str, Column]:
     """p adapted to the repo's shares by each power."""
     return {str(x): adapted_prior(p, repo, train, x) for x in powers}
+
+
+#: How features of each prefix are told; _ in the value reads as a space where the text ends in "_".
+WORDS = {
+    "only": "every file is ", "files": "share of ", "p": "directory ", "p0": "directory ", "pp": "directory ", "pl": "directory ", "f": "file ", "fw": "file name word ", "e": "extension .", "l": "language ", "c": "file kind ", "s": "file ",
+    "cs": "file _", "es": "file _", "ls": "file _", "ce": "file _", "fe": "file _", "a": "added token ", "r": "removed token ", "x": "new identifier ", "y": "dropped identifier ", "ab": 'added "_', "rb": 'removed "_',
+    "A1": "added line starting with ", "AL": "added line starting with ", "R1": "removed line starting with ", "RL": "removed line starting with ", "h": "in function ", "hs": "in function ", "m": "message word _", "m1": "message word _", "m2": "message word _",
+}
+
+
+def in_words(feature: Column) -> Column:
+    """A feature's name as a reader would say it; a name of an unknown prefix stays, an empty one is a hashed feature."""
+    prefix = F.substring_index(feature, ":", 1)
+    value = F.regexp_replace(feature, "^[^:]*:", "")
+    said = F.try_element_at(F.create_map(*[F.lit(x) for pair in WORDS.items() for x in pair]), prefix)
+    shape = F.when(prefix.isin("A1", "AL", "R1", "RL"), F.substring_index(value, ":", -1)).when(said.endswith("_"), F.replace(value, F.lit("_"), F.lit(" "))).otherwise(value)
+    after = F.when(prefix == "files", " files").when(prefix.isin("ab", "rb"), '"').otherwise("")
+    return (
+        F.when(feature == "", "(hashed feature)")
+        .when(feature.startswith("lines_in_"), F.concat(F.lit("lines changed in "), F.regexp_replace(feature, "^lines_in_", ""), F.lit(" files")))
+        .when(~feature.contains(":"), F.replace(feature, F.lit("_"), F.lit(" ")))
+        .when(said.isNull(), feature)
+        .otherwise(F.concat(F.regexp_replace(said, "_$", ""), shape, after))
+    )
+
+
+def eval_report(guesses: DataFrame, others: int = 2, width: int = 10) -> DataFrame:
+    """(type, hits, n, bar, guessed_as): each class's share of right guesses, and what it's most often taken for. guesses: (type, first).
+
+    guessed_as holds at most `others` names and counts, the most frequent first, ties by name.
+    """
+    by = guesses.groupBy("type", "first").agg(F.count("*").alias("k"))
+    wrong = F.array_sort(F.collect_list(F.when(F.col("first") != F.col("type"), F.struct((-F.col("k")).alias("k"), F.col("first").alias("first")))))
+    summed = by.groupBy("type").agg(F.coalesce(F.sum(F.when(F.col("first") == F.col("type"), F.col("k"))), F.lit(0)).alias("hits"), F.sum("k").alias("n"), wrong.alias("wrong"))
+    told = F.array_join(F.transform(F.slice("wrong", 1, others), lambda x: F.concat(x["first"], F.lit(" "), (-x["k"]).cast("string"))), ", ")
+    return summed.select("type", "hits", "n", bar(F.col("hits") / F.col("n"), width).alias("bar"), told.alias("guessed_as"))
+
+
+def check_summary(checked: DataFrame, strict: bool = False) -> DataFrame:
+    """(n, missing, disputed, failed) of checked commits (status): a type that is missing fails the check; if strict, a disputed one does too."""
+    counts = checked.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "disputed").alias("disputed"))
+    return counts.withColumn("failed", (F.col("missing") > 0) | (F.lit(strict) & (F.col("disputed") > 0)))
+
+
+def agreement(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, hits, rate): how often guess equals actual; rows without an actual value don't count."""
+    hit = F.col("guess").eqNullSafe(F.col("actual"))
+    return rows.where("actual is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.avg(hit.cast("double")).alias("rate"))
+
+
+def top_confusions(rows: DataFrame, most: int = 14) -> DataFrame:
+    """(actual, guess, n): the most frequent wrong guesses; ties by name."""
+    wrong = rows.where((F.col("actual") != F.col("guess")) | (F.col("actual").isNotNull() & F.col("guess").isNull()))
+    return wrong.groupBy("actual", "guess").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "actual", "guess").limit(most)

@@ -89,6 +89,21 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "role", F.concat(start, F.replace("text", F.lit("\n"), F.lit(" "))).alias("subject"))
 
 
+#: {s}: the document's source.
+DOCUMENT_STARTS = ["", "feat: ", "fix({s}): ", "docs(@{s}): ", "✨ ", ":bug: ({s}) ", "ENH: ", "perf({s})!: ", "wip ", "Bump "]
+DSUB = f"""dsub AS (SELECT doc_id, source, 'r' || (doc_id % 12)::VARCHAR AS repo, doc_id // 12 + 1 AS pos, replace({_sql_list(DOCUMENT_STARTS)}[CASE doc_id % 12 WHEN 0 THEN doc_id // 12 % 2 + 2 WHEN 1 THEN 1 ELSE doc_id // 12 % {len(DOCUMENT_STARTS)} END + 1], '{{s}}', CASE WHEN doc_id % 24 = 0 THEN upper(source) ELSE source END)
+    || coalesce(string_split(text, chr(10))[1], '') AS subject FROM documents)"""
+
+
+def document_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as commits of twelve repos, their first lines as subjects: one repo always says a scope, one never, the others do by turns."""
+    i = F.col("doc_id")
+    turn = F.floor(i / 12).cast("bigint")
+    start = F.when(i % 12 == 0, turn % 2 + 2).when(i % 12 == 1, 1).otherwise(turn % len(DOCUMENT_STARTS)).cast("int")
+    said = F.concat(_form(DOCUMENT_STARTS, start, s=F.when(i % 24 == 0, F.upper("source")).otherwise(F.col("source"))), F.coalesce(F.get(F.split("text", "\n"), F.lit(0)), F.lit("")))
+    return read(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("r"), (i % 12).cast("string")).alias("repo"), (turn + 1).alias("pos"), said.alias("subject"))
+
+
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as unified diffs of one file each."""
     lines = F.split("text", "\n")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwood.functions import fixed, headers, paths, text
-from driftwood.operators import classify, decisions, diffs, features, history, neighbours, reports, scoring, training
+from driftwood.operators import classify, decisions, diffs, features, history, messages, neighbours, reports, scoring, training
 from driftwood.plans import corpora as C
 from driftwood.plans import duck as K
 
@@ -408,7 +408,7 @@ def lint_commits(spark, sf_dir):
 
 
 @query(f"""WITH {RANKED_CTE} SELECT event_id, c AS type, rank::INT AS rank, least(99, floor(p * 100 + 0.5))::INT AS percent, repeat('█', floor(p * 20 + 0.5)::INT) || repeat('░', 20 - floor(p * 20 + 0.5)::INT) AS bar, rank = 1 AND p < 0.55 AS needs_review
-  FROM (SELECT event_id, c, rank, round(p, 9) AS p FROM rk) WHERE rank <= 3 AND p >= 0.01 AND (rank = 1 OR p >= 0.03)""")
+  FROM (SELECT event_id, c, rank, round(p, 9) AS p FROM rk) WHERE rank <= 3 AND p >= CASE rank WHEN 1 THEN 0.0 WHEN 2 THEN 0.01 ELSE 0.03 END""")
 def shown_candidates(spark, sf_dir):
     e = event_file(spark, sf_dir).where(F.col("size") >= fixed.MIN_ENTRIES)
     best = history.ranked(F.zip_with("prior", "file", lambda a, b: F.round((a + b) / 2, 9)), C.EVENT_TYPES)
@@ -817,3 +817,159 @@ def classify_commits(spark, sf_dir):
     told = classify.guess(rows, GUESS_W, [(c - 5) / 20 for c in range(_N)], train, 2 * F.col("size"))
     best = history.ranked(F.transform("guess", lambda p: F.round(p, 9)), CLASSES)
     return told.select("commit_id", "way", F.posexplode(F.slice(best, 1, 3)).alias("at", "x")).select("commit_id", "way", (F.col("at") + 1).alias("rank"), "x.type", r6(F.col("x.p")).alias("p"))
+
+
+# --- habits of subjects, messages, records, reports
+
+DHEAD = f"""{C.DSUB}, kinds(code, kind) AS (VALUES {_KIND_ROWS}), de AS MATERIALIZED (SELECT *, {_E['code']} AS code, {_E['scope']} AS emoji_scope FROM dsub), dh0 AS MATERIALIZED (SELECT de.*, CASE WHEN de.code IS NOT NULL THEN kinds.kind ELSE {K.alias(f"lower(regexp_extract(trim(subject), {K.quoted(_CC)}, 1))")} END AS kind,
+    CASE WHEN de.code IS NOT NULL THEN emoji_scope ELSE trim(regexp_extract(trim(subject), {K.quoted(_CC)}, 2)) END AS sc FROM de LEFT JOIN kinds ON kinds.code = de.code), dh AS (SELECT *, CASE WHEN kind IN {K.strings(fixed.CLASSES)} THEN kind END AS type, CASE WHEN kind IN {K.strings(fixed.CLASSES)} THEN sc END AS scope, row_number() OVER (PARTITION BY repo ORDER BY pos DESC) AS age FROM dh0),
+  old AS (SELECT * FROM dh WHERE age > 5 AND age <= 1005 AND trim(subject) <> ''), sco AS (SELECT repo, scope, count(*) AS n FROM old WHERE scope <> '' GROUP BY ALL),
+  hb AS (SELECT repo, count(*) AS commits, count(type) AS conventional, count(*) FILTER (WHERE scope <> '') AS with_scope FROM old GROUP BY repo)"""
+_LISTED = lambda name: f"coalesce((SELECT string_agg({name} || '=' || n, ',' ORDER BY {name}) FROM (SELECT {name}, count(*) AS n FROM old WHERE old.repo = hb.repo AND {name} <> '' GROUP BY {name})), '')"
+
+
+def habits_before(spark, sf_dir):
+    """Habits of each repo before its five newest commits, as a check of these takes them."""
+    return history.subject_habits(history.recent(C.document_subjects(spark, sf_dir), skip=5))
+
+
+@query(f"WITH {DHEAD} SELECT *, {_LISTED('type')} AS types, {_LISTED('scope')} AS scopes, {_LISTED('code')} AS emoji FROM hb")
+def subject_habits(spark, sf_dir):
+    listed = lambda column, name: F.array_join(F.transform(column, lambda x: F.concat(x[name], F.lit("="), x["n"].cast("string"))), ",").alias(column)
+    return habits_before(spark, sf_dir).select("repo", "commits", "conventional", "with_scope", listed("types", "type"), listed("scopes", "scope"), listed("emoji", "code"))
+
+
+@query(f"""WITH {SCOPE_CTE}, {DHEAD}, bs AS (SELECT *, row_number() OVER (PARTITION BY commit_id ORDER BY votes DESC, scope) AS n FROM vt JOIN nf USING (commit_id)), bt AS (SELECT *, 'r' || (commit_id % 12)::VARCHAR AS repo FROM bs WHERE n = 1 AND (2 * votes > files OR files = 1)),
+  sp AS (SELECT bt.commit_id, sco.scope AS spelled, row_number() OVER (PARTITION BY bt.commit_id ORDER BY sco.n DESC, sco.scope) AS k FROM bt JOIN sco ON sco.repo = bt.repo AND lower(regexp_replace(sco.scope, '^@', '')) = lower(bt.scope)),
+  ch AS (SELECT bt.commit_id, CASE WHEN coalesce(conventional, 0) >= 20 THEN coalesce(spelled, CASE WHEN with_scope / conventional >= 0.5 AND (strong OR votes = files) THEN bt.scope END) WHEN strong THEN bt.scope END AS scope FROM bt LEFT JOIN hb USING (repo) LEFT JOIN sp ON sp.commit_id = bt.commit_id AND k = 1)
+  SELECT commit_id, coalesce(scope, '') AS scope FROM nf LEFT JOIN ch USING (commit_id)""")
+def scope_by_habits(spark, sf_dir):
+    files = C.document_files(spark, sf_dir)
+    repo_of = files.select("commit_id", F.concat(F.lit("r"), (F.col("commit_id") % 12).cast("string")).alias("repo")).distinct()
+    return decisions.guess_scope(files, habits_before(spark, sf_dir), repo_of)
+
+
+#: Kinds of messages, by turn: {m}: the text.
+MESSAGES = ["{m}", "# note\n{m}", "\n# note", "fixup! {m}", "fix(x): {m}", "# note\n\n{m}", "{m}\n\nmore", "✨ {m}"]
+SOURCES = ["", "message", "template", "merge", "squash", "commit", ""]
+_MSG = f"""ms AS (SELECT conv_id, turn, replace({C._sql_list(MESSAGES)}[(conv_id + turn) % {len(MESSAGES)} + 1], '{{m}}', text) AS message, {C._sql_list(SOURCES)}[(conv_id * 3 + turn) % {len(SOURCES)} + 1] AS source, conv_id % 13 = 0 AS amends, {C._sql_list(CLASSES)}[(conv_id + turn) % {len(CLASSES)} + 1] AS type,
+    CASE WHEN conv_id % 3 = 0 THEN role ELSE '' END AS scope, conv_id % 7 = 0 AS breaking, (conv_id * 13 + turn) % 101 AS p, CASE WHEN turn % 2 = 0 THEN {C._sql_list(CLASSES)}[(conv_id + turn + 1) % {len(CLASSES)} + 1] END AS second FROM conversations),
+  ml AS (SELECT *, string_split(message, chr(10)) AS l, CASE WHEN source = 'message' THEN 1 ELSE coalesce(nullif(list_position(list_transform(string_split(message, chr(10)), lambda x: NOT starts_with(x, '#')), true), 0), 0) END AS fl FROM ms),
+  mf AS (SELECT *, CASE WHEN fl > 0 THEN trim(l[fl]) ELSE '' END AS subject FROM ml), mh AS (SELECT *, {_E['code']} AS code, {K.alias(f"lower(regexp_extract(subject, {K.quoted(_CC)}, 1))")} AS kind, type || CASE WHEN scope <> '' THEN '(' || scope || ')' ELSE '' END || CASE WHEN breaking THEN '!' ELSE '' END || ':' AS head FROM mf)"""
+_PC = lambda x: f"least(99, {x})::VARCHAR || '%)'"
+
+
+@query(f"""WITH {_MSG} SELECT conv_id, turn, CASE WHEN message IS NULL OR source IN ('merge', 'squash', 'commit') OR amends OR code IS NOT NULL OR kind IN {K.strings(fixed.CLASSES)} OR regexp_matches(subject, '^(fixup! |squash! |amend! |Revert "|Reapply ")') THEN message
+  WHEN subject = '' THEN head || ' ' || chr(10) || regexp_replace(message, '^\n', '') || '#' || chr(10) || '# guess: ' || type || ' (' || {_PC('p')} || CASE WHEN second IS NULL THEN '' ELSE ', or ' || second || ' (' || {_PC('100 - p')} END || chr(10)
+  ELSE list_aggregate(list_transform(l, lambda x, i: CASE WHEN i = greatest(fl, 1) THEN head || ' ' || subject ELSE x END), 'string_agg', chr(10)) END AS rewritten FROM mh""")
+def message_rewrite(spark, sf_dir):
+    """Turns as messages of every kind and source, with a guess for each."""
+    k, t = F.col("conv_id"), F.col("turn")
+    one_of = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), (i % len(values)).cast("int"))
+    p = ((k * 13 + t) % 101) / 100
+    rows = C.read(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.replace(one_of(MESSAGES, k + t), F.lit("{m}"), F.col("text")).alias("message"), one_of(SOURCES, k * 3 + t).alias("source"), (k % 13 == 0).alias("amends"), one_of(CLASSES, k + t).alias("type"),
+        F.when(k % 3 == 0, F.col("role")).otherwise("").alias("scope"), (k % 7 == 0).alias("breaking"), p.alias("p"), F.when(t % 2 == 0, one_of(CLASSES, k + t + 1)).alias("second"), (1 - p).alias("second_p"),
+    )
+    return messages.rewritten(rows).select("conv_id", "turn", "rewritten")
+
+
+_TRIMMED_CTE = """d0 AS (SELECT doc_id AS commit_id, source, string_split(text, chr(10)) AS l, 'src/' || source || '/f ' || doc_id::VARCHAR || '.py' AS path FROM documents WHERE text IS NOT NULL),
+  tr0 AS (SELECT commit_id, source, len(l) + 1 > 600 AS cut, 'diff --git a/' || path || ' b/' || path || chr(10) || 'index 1..2 100644' || chr(10) || '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || '@@ -1 +1 @@ def f():' || chr(10) || array_to_string(list_transform(l[1:599], lambda x, i: CASE WHEN (i - 1) % 3 <> 2 THEN '+' ELSE '-' END || x), chr(10)) AS whole FROM d0),
+  tr AS (SELECT commit_id, source, left(whole, 400000) AS patch, 1::BIGINT AS nfiles, cut OR length(whole) > 400000 AS truncated FROM tr0)"""
+
+
+@query(f"WITH {_TRIMMED_CTE} SELECT commit_id, substr(sha1(patch), 1, 16) AS patch_hash, length(patch)::INT AS n_chars, nfiles, truncated FROM tr")
+def patch_trim(spark, sf_dir):
+    return diffs.trimmed(C.patches(spark, sf_dir)).select("commit_id", training.patch_hash(F.col("patch")).alias("patch_hash"), F.length("patch").alias("n_chars"), "nfiles", "truncated")
+
+
+@query(f"""WITH {C.DSUB}, {_TRIMMED_CTE}, sc AS (SELECT *, {_CT} AS ct, {_SP} AS spx FROM dsub)
+  SELECT commit_id, repo, CASE WHEN ct IN {K.strings(fixed.CLASSES)} THEN ct ELSE spx END AS type, CASE WHEN ct IN {K.strings(fixed.CLASSES)} THEN trim(regexp_extract(subject, {K.quoted(_CP)}, 2)) ELSE '' END AS scope, CASE WHEN ct IN {K.strings(fixed.CLASSES)} THEN regexp_extract(subject, {K.quoted(_CP)}, 3) = '!' ELSE false END AS breaking,
+    CASE WHEN ct IN {K.strings(fixed.CLASSES)} THEN 'cc' ELSE 'scipy' END AS convention, doc_id % 5 = 0 AS bot, nfiles, truncated, substr(sha1(patch), 1, 16) AS patch_hash FROM sc JOIN tr ON tr.commit_id = doc_id WHERE ct IN {K.strings(fixed.CLASSES)} OR spx IS NOT NULL""")
+def corpus_records(spark, sf_dir):
+    said = C.document_subjects(spark, sf_dir).select(F.col("doc_id").alias("commit_id"), "repo", "subject", F.col("pos").alias("ts"), F.col("doc_id").cast("string").alias("sha"), F.when(F.col("doc_id") % 5 == 0, "dependabot[bot]").otherwise("someone").alias("author"))
+    return messages.records(said.join(C.patches(spark, sf_dir), "commit_id")).select("commit_id", "repo", "type", "scope", "breaking", "convention", "bot", "nfiles", "truncated", "patch_hash")
+
+
+_PX, _VX = "split_part(feature, ':', 1)", "regexp_replace(feature, '^[^:]*:', '')"
+_WORD_ROWS = ", ".join(f"({K.quoted(a)}, {K.quoted(b)})" for a, b in reports.WORDS.items())
+_PATH_NAMES = PATH_FEATURES.replace("SELECT commit_id, feature, count(*) AS n FROM names GROUP BY ALL", "SELECT DISTINCT feature FROM names")
+_CAT_NAMES = f"SELECT unnest(list_concat({C._sql_list(['only:' + c for c in fixed.CATEGORIES] + ['files:' + c for c in fixed.CATEGORIES] + ['lines_in_tests', 'has_message', ''])})) AS feature"
+
+
+@query(f"""WITH n AS ({_PATH_NAMES} UNION SELECT feature FROM ({MESSAGE}) UNION SELECT feature FROM ({BIGRAMS}) UNION {_CAT_NAMES}), w(prefix, said) AS (VALUES {_WORD_ROWS}), v AS (SELECT feature, {_PX} AS px, said, CASE WHEN ends_with(said, '_') THEN replace({_VX}, '_', ' ') ELSE {_VX} END AS val FROM n LEFT JOIN w ON prefix = {_PX})
+  SELECT feature, CASE WHEN feature = '' THEN '(hashed feature)' WHEN starts_with(feature, 'lines_in_') THEN 'lines changed in ' || feature[10:] || ' files' WHEN NOT contains(feature, ':') THEN replace(feature, '_', ' ') WHEN said IS NULL THEN feature ELSE rtrim(said, '_') || val || CASE WHEN px = 'files' THEN ' files' WHEN px IN ('ab', 'rb') THEN '"' ELSE '' END END AS words FROM v""")
+def feature_words(spark, sf_dir):
+    """Names of features of every kind but shapes, as a reader would say them."""
+    fixed_names = spark.createDataFrame([(x,) for x in ["only:" + c for c in fixed.CATEGORIES] + ["files:" + c for c in fixed.CATEGORIES] + ["lines_in_tests", "has_message", ""]], "feature string")
+    found = [features.path_counts(C.document_files(spark, sf_dir)), features.bigram_counts(C.document_lines(spark, sf_dir)), features.message_counts(C.subjects(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("commit_id"), F.col("subject").alias("message")))]
+    names = fixed_names
+    for f in found:
+        names = names.unionByName(f.select("feature"))
+    return names.distinct().select("feature", reports.in_words(F.col("feature")).alias("words"))
+
+
+@query(f"""WITH {RANKED_CTE}, k AS (SELECT type, first, count(*) AS k FROM best GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY k DESC, first) AS r FROM k WHERE first <> type), h AS (SELECT type, coalesce(sum(k) FILTER (WHERE first = type), 0)::BIGINT AS hits, sum(k)::BIGINT AS n FROM k GROUP BY type)
+  SELECT type, hits, n, repeat('█', floor(hits / n * 10 + 0.5)::INT) || repeat('░', 10 - floor(hits / n * 10 + 0.5)::INT) AS bar, coalesce((SELECT string_agg(first || ' ' || k, ', ' ORDER BY r) FROM o WHERE o.type = h.type AND r <= 2), '') AS guessed_as FROM h""")
+def eval_report(spark, sf_dir):
+    return reports.eval_report(replay(spark, sf_dir))
+
+
+@query(f"WITH {RANKED_CTE}, c AS (SELECT CASE WHEN event_id % 10 = 0 THEN 'missing' WHEN first <> type AND second <> type AND p >= 0.3 THEN 'disputed' ELSE 'ok' END AS status FROM best) SELECT count(*) AS n, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'disputed') AS disputed, count(*) FILTER (WHERE status <> 'ok') > 0 AS failed FROM c")
+def check_summary(spark, sf_dir):
+    rows = replay(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 10 != 0, F.col("type")).alias("declared"), "first", "second", "p")
+    return reports.check_summary(decisions.lint(rows, 0.3), strict=True)
+
+
+_DEP_SUBJECTS = ["bump x", "Update dependency y", "fix by renovate", "say nothing"]
+
+
+@query(f"SELECT event_id % 4 < 3 AS dependency, count(*) AS n, count(*) FILTER (WHERE emoji = adapted) AS hits, {s6('avg((emoji = adapted)::INT)')} AS rate FROM ({ADAPT_SQL}) GROUP BY 1")
+def emoji_agreement(spark, sf_dir):
+    """Adapted picks against those before, for dependency updates and others."""
+    said = F.get(F.array(*[F.lit(x) for x in _DEP_SUBJECTS]), (F.col("event_id") % 4).cast("int"))
+    rows = emoji_adapt(spark, sf_dir).select(F.col("emoji").alias("actual"), F.col("adapted").alias("guess"), headers.is_dependency_subject(said).alias("dependency"))
+    return reports.agreement(rows, ["dependency"]).withColumn("rate", r6("rate"))
+
+
+@query(f"SELECT emoji AS actual, adapted AS guess, count(*) AS n FROM ({ADAPT_SQL}) WHERE emoji <> adapted GROUP BY ALL ORDER BY n DESC, actual, guess LIMIT 14")
+def emoji_confusions(spark, sf_dir):
+    return reports.top_confusions(emoji_adapt(spark, sf_dir).select(F.col("emoji").alias("actual"), F.col("adapted").alias("guess")))
+
+
+_KEEPS = (200, 1000, 5000)
+_PW = lambda i: f"(((bucket * {i + 7}) % 201) - 100) / 100"
+
+
+@query(f"""WITH {HASHED}, bk AS (SELECT DISTINCT bucket, {', '.join(f'{_PW(i)} AS w{i}' for i in range(_N))} FROM hashed), bm AS (SELECT *, greatest({_EACH(lambda i: f'abs(w{i})')}) AS most FROM bk), bo AS (SELECT *, row_number() OVER (ORDER BY most DESC, bucket) AS ra FROM bm), st AS (SELECT max(most) / 32767 AS step FROM bm),
+  bq AS (SELECT bucket, ra, {_EACH(lambda i: f'round(w{i} / step) * step AS w{i}')} FROM bo, st WHERE ra <= {max(_KEEPS)}), kp AS (SELECT unnest({list(_KEEPS)}) AS keep), id AS (SELECT DISTINCT commit_id FROM hashed),
+  z AS (SELECT keep, commit_id, {_EACH(lambda i: f'round({(i - 5) / 20} + coalesce((SELECT sum(weight * w{i}) FROM hashed JOIN bq USING (bucket) WHERE hashed.commit_id = id.commit_id AND ra <= keep), 0), 9) AS z{i}')} FROM id, kp),
+  g AS (SELECT keep, commit_id, [{_EACH(lambda i: f'z{i}')}] AS z FROM z) SELECT keep::INT AS keep, count(*) AS n, {s6(f'avg((list_position(z, list_max(z)) - 1 = commit_id % {_N})::INT)')} AS top1 FROM g GROUP BY keep""")
+def prune_sweep(spark, sf_dir):
+    """How right the model is with ever fewer, quantised weights."""
+    h = hashed(spark, sf_dir)
+    each = [F.struct(F.lit(c).alias("class"), F.col(f"w{i}").alias("w")) for i, c in enumerate(CLASSES)]
+    weights = model_table(spark).join(h.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.explode(F.array(*each)).alias("x")).select("bucket", "x.*")
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    truth = C.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("commit_id")).withColumn("class", F.get(names, (F.col("commit_id") % _N).cast("int")))
+    return scoring.pruned_sweep(h, weights, BIASES, truth, _KEEPS).select("keep", "n", r6("top1").alias("top1"))
+
+
+@query()
+def train_meta(spark, sf_dir):
+    """The second stage fitted on the evidence of training repos, and its probabilities for all."""
+    rows = training.split_by(event_meta(spark, sf_dir).where(F.col("size") >= fixed.MIN_ENTRIES), "repo", 0.3)
+    names = F.array(*[F.lit(t) for t in C.EVENT_TYPES])
+    labelled = rows.select("event_id", "fold", "type", "meta", (F.array_position(names, F.col("type")) - 1).cast("double").alias("label"))
+    weights, bias = training.train_second_stage(labelled.where("fold = 'train'"), "meta", "label")
+    told = scoring.second_stage(labelled, "meta", weights, bias)
+    return told.select("event_id", "fold", "type", F.get(names, history.argmax("p")).alias("guess"), F.array_max("p").alias("p"))
+
+
+@query()
+def out_of_fold(spark, sf_dir):
+    """Every event scored by the model of the other half of the repos."""
+    names = F.array(*[F.lit(t) for t in C.EVENT_TYPES])
+    rows = event_file(spark, sf_dir).select("event_id", "repo", F.concat("prior", "file").alias("x"), (F.array_position(names, F.col("type")) - 1).cast("double").alias("label"))
+    return training.out_of_fold(rows, "repo", "x", "label", iterations=10).select("event_id", "repo", "fold", F.get(names, history.argmax("p")).alias("guess"), F.array_max("p").alias("p"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwood.sources import INDEX_PARTS
+
 
 def percent(p: Column) -> Column:
     return F.least(F.lit(99), F.floor(p * 100 + 0.5)).cast("int")
@@ -28,7 +30,10 @@ def check_lines(checked: DataFrame) -> DataFrame:
 
 
 def write_index(index: DataFrame, path: str, version: int) -> None:
-    index.withColumn("version", F.lit(version)).write.mode("overwrite").partitionBy("repo").parquet(path)
+    """A folder for each part of the repos, by a hash; sorted by repo within."""
+    part = F.pmod(F.xxhash64("repo"), F.lit(INDEX_PARTS)).alias("part")
+    held = index.select("*", part, F.lit(version).alias("version"))
+    held.repartition("part").sortWithinPartitions("part", "repo").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def write_features(features: DataFrame, path: str) -> None:

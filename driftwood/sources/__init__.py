@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwood.functions import text
+
 RECORD = "repo string, sha string, type string, scope string, breaking boolean, subject string, convention string, bot boolean, ts bigint, nfiles int, truncated boolean, patch_hash string, patch string"
 LONGEST_COMMIT = 8 << 20
+#: Folders of an index: repos share them, as one each would be millions of small files.
+INDEX_PARTS = 256
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -19,7 +23,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     records = spark.read.option("lineSep", "\x1e").text(path).where(F.length("value") > 0)
     first = F.substring_index("value", "\n", 1)
     parts = F.split(first, "\x00")
-    patch = F.expr(f"substring(value, length(substring_index(value, '\n', 1)) + 2, {LONGEST_COMMIT})")
+    patch = text.cut(F.expr("substring(value, length(substring_index(value, '\n', 1)) + 2)"), LONGEST_COMMIT)
     return records.select(F.get(parts, F.lit(0)).alias("sha"), F.get(parts, F.lit(1)).try_cast("bigint").alias("ts"), F.get(parts, F.lit(2)).alias("subject"), patch.alias("patch")).where(F.length("sha") >= 7)
 
 
@@ -34,7 +38,9 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(~F.trim("value").rlike("^(#|$)")).select(word.alias("repo")).distinct()
 
 
-def read_index(spark: SparkSession, path: str, version: int) -> DataFrame | None:
-    """The history index, or None if it was written by another version of the features."""
+def read_index(spark: SparkSession, path: str, version: int, repo: str | None = None) -> DataFrame | None:
+    """The history index (of one repo, from its part alone), or None if it was written by another version of the features."""
     held = spark.read.parquet(path)
-    return held.drop("version") if held.where(F.col("version") != version).isEmpty() else None
+    if repo is not None:
+        held = held.where((F.col("part") == F.pmod(F.xxhash64(F.lit(repo)), F.lit(INDEX_PARTS))) & (F.col("repo") == repo))
+    return held.drop("version", "part") if held.where(F.col("version") != version).isEmpty() else None
