@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwood.llm import bpe, chat, ctw, html, langid, media, packing, quality, resample, sharding, simhash
+from driftwood.llm import bpe, chat, ctw, divergence, html, langid, media, packing, quality, resample, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -19,7 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": html.op8_html_extraction,
     "op9_language_id": langid.op9_language_id,
     "op10_lm_scoring": ctw.op10_lm_scoring,
+    "op11_source_divergence": divergence.op11_source_divergence,
     "op12_importance_resampling": resample.op12_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": chat.OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": chat.OP5_SQL, "op11_source_divergence": divergence.OP11_SQL}
