@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwood.llm import bpe, chat, ctw, divergence, html, langid, media, packing, quality, resample, sharding, simhash
+from driftwood.llm import bpe, chat, ctw, divergence, html, langid, media, packing, quality, resample, sharding, simhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": ctw.op10_lm_scoring,
     "op11_source_divergence": divergence.op11_source_divergence,
     "op12_importance_resampling": resample.op12_importance_resampling,
+    "op13_suffix_array_dedup": suffix.op13_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": chat.OP5_SQL, "op11_source_divergence": divergence.OP11_SQL}
