@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from driftwood.llm import bpe, chat, common, ctw, html, langid, media, packing, quality, sharding, simhash  # noqa: E402
+from tests.llm.conftest import words  # noqa: E402
+from driftwood.llm import bpe, chat, common, ctw, divergence, html, langid, media, packing, quality, resample, sharding, simhash, suffix  # noqa: E402
 
 
 def crc(b: bytes) -> int:
@@ -709,3 +711,164 @@ def test_code_table_and_packing_of_integers(values):
     want = {int(c): i for i, c in enumerate(codes)}
     assert t.find(probe).tolist() == [want.get(int(p), -1) for p in probe]
     assert common.unpacked(common.packed(probe), np.uint64).tolist() == probe.tolist()
+
+
+# --- 11 source divergence
+
+
+def brute_divergence(rows):
+    fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    docs = [(r[2] or "", r[3] or "", re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", (r[1] or "").translate(fold))) for r in rows]
+    out = []
+    for lang in {d[0] for d in docs}:
+        mine = [d for d in docs if d[0] == lang]
+        seen, total, groups = Counter(), Counter(), defaultdict(Counter)
+        for _, source, terms in mine:
+            seen.update(set(terms))
+            total.update(terms)
+            groups[source].update(terms)
+        kept = [t for t in total if seen[t] >= 3]
+        share = lambda c: {t: 1 + 1_000_000_000 * (c[t] + 1) // (sum(c[x] for x in kept) + len(kept)) for t in kept}
+        p, q = {s: share(c) for s, c in groups.items()}, share(total)
+        f = lambda a, b: (a - b) ** 2 // b
+        for s in groups:
+            pair = sorted(((-sum(f(p[s][t], p[o][t]) for t in kept), o.encode()) for o in groups if o != s))
+            term = sorted(((-f(p[s][t], q[t]), t.encode()) for t in kept if groups[s][t] and p[s][t] > q[t]))[:200]
+            out += [(lang, s, part, item.decode(), -v, k) for part, found in (("pair", pair), ("term", term)) for k, (v, item) in enumerate(found, 1)]
+    return out
+
+
+@pytest.mark.parametrize("tile,block", [(128, 2048), (2, 5)])
+def test_divergence(spark, no_docs, monkeypatch, tile, block):
+    monkeypatch.setattr(divergence, "TILE", tile)
+    monkeypatch.setattr(divergence, "BLOCK", block)
+    r = random.Random(7)
+    pool = [f"{a}{b}" for a in "abcdefghijkl" for b in ("x", "É", "ZZ", "中")] + ["don't", "x1y", ""]
+    rows = [(k, " ".join(r.choices(pool, k=r.randrange(60))), r.choice(["en", "de", None]), r.choice(["s", "t", "u", None, "vé", "w"]), 7) for k in range(80)]
+    rows += [(None, None, "fr", "a", 1), (1, "only once", "fr", "b", 1), (2, "", "xx", None, 1), *[(3, "same same SAME", "one", "a", 1)] * 3, (4, "alone", None, "alone", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, value bigint").repartition(3)
+    found = [tuple(x) for x in divergence.audit(df).select("lang", "source", "part", "item", "value", "rank").collect()]
+    same_multiset(found, brute_divergence(rows))
+    assert not divergence.audit(no_docs).count()
+
+
+def test_divergence_shares_are_exact():
+    r = random.Random(1)
+    for _ in range(2000):
+        total = r.randrange(1, 1 << r.randrange(1, 53))
+        count = r.randrange(1, total + 1)
+        assert int(divergence.shares(np.array([count]), np.array([total]))[0]) == 1 + 1_000_000_000 * count // total
+
+
+def test_divergence_keeps_the_best_terms(spark):
+    rows = [(k, " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400) for _ in range(1 + (i * k) % 3)), "en", f"s{k % 4}") for k in range(12)]
+    found = [tuple(x) for x in divergence.audit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).select("lang", "source", "part", "item", "value", "rank").collect()]
+    same_multiset(found, brute_divergence(rows))
+
+
+# --- 12 importance resampling
+
+
+def brute_resampling(rows, target, percent=5):
+    fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+    def features(text):
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(fold))
+        return len(w), [" ".join(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+
+    bucket = lambda fs: Counter(zlib.crc32(f.encode()) % 10_000 for f in fs)
+    mine = [(i, *features(t)) for i, t in rows]
+    s, t = sum((bucket(f) for _, _, f in mine), Counter()), sum((bucket(features(x)[1]) for x in target), Counter())
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = lambda k: math.floor(1000 * math.log((t[k] + 1.0) * (big_s + 10_000.0) / ((s[k] + 1.0) * (big_t + 10_000.0))))
+    out = []
+    for i, n, f in mine:
+        weight = sum(gain(k) * c for k, c in bucket(f).items())
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append((i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n))
+    able = sorted((r for r in out if r[4] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    drawn = able[: percent * len(able) // 100]
+    return [(*r[:4], k) for k, r in enumerate(drawn, 1)] + [(*r[:4], None) for r in [*able[len(drawn) :], *(r for r in out if r[4] < 20)]]
+
+
+@pytest.mark.parametrize("some", [{}, {"samples": 20, "merged": 7, "percent": 40}, {"samples": 3, "merged": 1, "percent": 100}])
+def test_resampling(spark, docs, rows, no_docs, some):
+    target = ["w1 w2 w3 don't", None, "w1 w2 É", " ".join(f"w{k}" for k in range(60))]
+    benchmark = spark.createDataFrame([(t, k) for k, t in enumerate(target)], "text string, score int")
+    found = resample.draw(resample.weigh(docs, benchmark), **some).collect()
+    same_multiset(map(tuple, found), brute_resampling([(r[0], r[1]) for r in rows], target, some.get("percent", 5)))
+    assert not resample.draw(resample.weigh(no_docs, benchmark), **some).count()
+
+
+def test_resampling_splits_ties(spark):
+    """A third of the rows share an id, so a score; the draw ends among them."""
+    rows = [(7, "a b c d e f g h i j k l m n o p q r s t u")] * 100 + [(k, " ".join(f"v{(k * j) % 50}" for j in range(25))) for k in range(100, 300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = resample.draw(resample.weigh(df, df.limit(3)), 50, samples=60, merged=10).where("rank is not null").collect()
+    assert sorted(r.rank for r in found) == list(range(1, 151))
+    assert [(-r.score, r.doc_id) for r in sorted(found, key=lambda r: r.rank)] == sorted((-r.score, r.doc_id) for r in found)
+
+
+@given(st.lists(st.binary(min_size=1, max_size=200), min_size=1, max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_crc_of_joined_strings(parts):
+    joined = resample.Crc()
+    state = np.array([zlib.crc32(parts[0])], np.uint32)
+    for p in parts[1:]:
+        state = joined.shifted(state, np.array([len(p)])) ^ np.uint32(zlib.crc32(p))
+    assert int(state[0]) == zlib.crc32(b"".join(parts))
+
+
+@given(st.lists(st.lists(st.integers(0, 20)), max_size=9))
+@settings(max_examples=60, deadline=None)
+def test_tournament(runs):
+    assert list(resample.Tournament([[(x,) for x in sorted(r)] for r in runs])) == [(x,) for x in sorted(sum(runs, []))]
+
+
+# --- 13 suffix-array dedup
+
+
+def brute_repeats(rows):
+    docs = [(-(1 << 63) if i is None else i, i, (t or "").encode()) for i, t in rows]
+    first = {}
+    for i, _, b in docs:
+        for p in range(len(b) - 99):
+            w = b[p : p + 100]
+            first[w] = min(first.get(w, (i, p)), (i, p))
+    out = []
+    for i, name, b in docs:
+        gone = np.zeros(len(b) + 1, np.int8)
+        for p in range(len(b) - 99):
+            if first[b[p : p + 100]] < (i, p):
+                gone[p : p + 100] = 1
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone))))
+        out.append((name, len(b), tuple(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)), bytes(np.frombuffer(b, np.uint8)[gone[:-1] == 0])))
+    return out
+
+
+@pytest.mark.parametrize("some", [{}, {"often": 20}, {"often": 20, "sorted_bytes": 2000}])
+def test_suffix_dedup(spark, docs, rows, no_docs, some):
+    r = random.Random(3)
+    line, base = " ".join(words(5, 12)), " ".join(words(6, 300))
+    extra = [(2000 + k, " ".join(words(k, r.randrange(60))) + line + " " + line + " ".join(words(k + 500, r.randrange(100)))) for k in range(150)]
+    extra += [(3000, "ab" * 3000), (3001, "z" * 150), (3002, " ".join(words(7, 40)) + "ab ab " * 40), (3003, "abcdefghi" * 18 + "end"), (3004, "é中" * 300), (3005, base + base[:99]), (3006, base[50:150]), (3007, base[50:149]), (3008, base[20:]), (3009, base), (3009, base), (3009, base[7:])]
+    mine = spark.createDataFrame(extra, "doc_id bigint, text string")
+    all_docs = docs.select("doc_id", "text", F.lit("clash").alias("spans"), F.lit(1).alias("batch")).unionByName(mine, allowMissingColumns=True).repartition(4)
+    found = suffix.remove_repeats(all_docs, **some).collect()
+    same_multiset([(x.doc_id, x.n_bytes, tuple((s.start, s.stop) for s in x.spans), bytes(x.kept)) for x in found], brute_repeats([(x[0], x[1]) for x in rows] + extra))
+    assert not suffix.remove_repeats(no_docs).count()
+
+
+@pytest.mark.parametrize("most", [1 << 18, 300])
+def test_blockwise_suffix_order(most):
+    r = np.random.default_rng(2)
+    data = np.concatenate([np.tile(r.integers(97, 99, n).astype(np.uint8), k) for n, k in ((40, 9), (300, 3), (7, 60), (1000, 1), (300, 2))] + [np.zeros(200, np.uint8)])
+    raw, at = data.tobytes(), np.arange(len(data) - 299)
+    seen, before = [], None
+    for mine, same in suffix.equal_windows(data, at, most):
+        for j, s in zip(mine.tolist(), same.tolist(), strict=True):
+            window = raw[j : j + 100]
+            assert s == (window == before)
+            seen.append(window)
+            before = window
+    assert seen == sorted(raw[j : j + 100] for j in at.tolist())
