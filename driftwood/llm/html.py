@@ -4,6 +4,7 @@ The text of a page is aggregated by root-to-leaf tag path: characters, punctuati
 punctuation are smoothed over paths that lie next to each other in the page and fused by their product; what the path's names and links say
 weighs it. The paths that reach a share of the highest are the content, in page order, one line a block. Elements that never hold an
 article's text (menus, page headers and footers, sidebars, forms, scripts) are left out as the page is read; names of classes only weigh.
+Text that a style or an attribute hides is text like any other.
 """
 
 from __future__ import annotations
@@ -25,14 +26,17 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label map mark math object output picture q rp rt ruby s samp small span strike strong sub sup svg time tt u var video "
+    "annotation g maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms msqrt mspace mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics text tspan".split()
+)
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"), "body": ("head",),
 }
 CLOSES_P = BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "title", "option", "optgroup", "legend", "summary"}
 SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
-DROPPED = frozenset("script style noscript template title head nav footer aside form button select option textarea iframe noembed noframes svg math canvas object audio video menu dialog input map datalist".split())
+DROPPED = frozenset("script style noscript template title head nav footer aside form button select option textarea iframe noembed noframes menu dialog input datalist".split())
 #: Whole class and id names, or all their parts between hyphens, that say "not the article"; those of GENERAL say nothing by themselves.
 BOILERPLATE = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright "
@@ -49,8 +53,7 @@ SHARE_INSIDE, SHARE_ELSE = 0.04, 0.12
 SMOOTH = 3
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 HYPHENS = re.compile(r"[-_]+")
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption summary".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؟।]")
@@ -87,10 +90,14 @@ class Open:
 
 
 def names(attributes: str) -> list[str]:
-    """The values of class, id and role, cut at spaces."""
+    """The values of class, id and role, cut at spaces; of two attributes of one name the first counts."""
     if "=" not in attributes:
         return []
-    return " ".join(a or b or c for a, b, c in NAMED.findall(attributes)).lower().split()
+    seen: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(attributes):
+        seen.setdefault(name.lower(), "".join(values))
+    said = " ".join(seen.get(x, "") for x in ("class", "id", "role")).lower()
+    return (entities.unescape(said) if "&" in said else said).split()
 
 
 def boilerplate(name: str) -> bool:
@@ -188,11 +195,11 @@ def text_nodes(page: str) -> tuple[list[Node], list[Path]]:
             block += 1
         top, said = stack.open[-1], names(attributes)
         above = paths[top.path]
-        dropped = top.dropped or tag in DROPPED or (tag == "header" and not above.article) or ("=" in attributes or "hidden" in attributes) and bool(HIDDEN.search(attributes))
+        dropped = top.dropped or tag in DROPPED or (tag == "header" and not above.article)
         path = top.path
         # inline marks are no step of a path: they'd split a paragraph's statistics
         if tag not in INLINE and not dropped:
-            label = " ".join([tag, *sorted(said)[:3]])
+            label = " ".join([tag, *sorted(set(said))])
             path = numbers.get((top.path, label), -1)
             if path < 0:
                 path = numbers[top.path, label] = len(paths)
@@ -253,7 +260,8 @@ def fused_ratios(found: dict[int, Ratios], paths: list[Path]) -> dict[int, float
         marks = smoothed([math.log2(2 + found[p].marks / found[p].nodes) for p in mine])
         for p, a, b in zip(mine, length, marks, strict=True):
             r = found[p]
-            out[p] = a * b * weight * max(LINKS_ONLY, 1 - r.linked / r.chars) * (PROSE_WEIGHT if paths[p].prose else 1.0) * (BY_NAME if r.legal else 1.0)
+            links = 1.0 if paths[p].article else max(LINKS_ONLY, 1 - r.linked / r.chars)  # an article may hold a list of references
+            out[p] = a * b * weight * links * (PROSE_WEIGHT if paths[p].prose else 1.0) * (BY_NAME if r.legal else 1.0)
     return out
 
 
