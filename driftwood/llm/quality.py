@@ -1,10 +1,11 @@
 """Quality rules with risk-controlled thresholds (operator 4).
 
 Each rule rejects documents whose value is above a cutoff. On one half of the labelled documents (by a hash of
-the id), cutoffs are proposed for each stratum at several levels of strictness. The other half is held out: a
+the text), cutoffs are proposed for each stratum at several levels of strictness. The other half is held out: a
 level may be used in a stratum only if the exact binomial bound on how often all its rules together reject a good
-document is at most `risk`. All levels of all strata are tested at once (Bonferroni), so with probability 1 - `doubt` no stratum
-loses more than `risk` of its good documents to the rules.
+text is at most `risk`. All levels of all strata are tested at once (Bonferroni), so with probability 1 - `doubt` no stratum
+loses more than `risk` of its good texts to the rules. The bound needs independent trials, so copies and near copies (SimHash components of
+the labelled documents) are one trial, and both halves are dealt by component: no text is proposed on and certified on.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import as_bytes, as_row, chunks, materialise, table, text_of, with_text
+from driftwood.llm import simhash
+from driftwood.llm.common import as_bytes, as_row, chunks, discard, materialise, table, text_of, with_text
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_upper", "n_marks")
@@ -63,16 +66,18 @@ def counts(text: bytes) -> tuple[int, ...]:
     return n, chars, less(SYMBOLS), len(lines) - len(set(lines)), repeat, len(lines), less(UPPER), less(MARKS)
 
 
-def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs and the counts of each whole text; null text has no words."""
-    schema = docs.select(*keep).schema
-    for c in (*BASE, *MORE):
+def measure(docs: DataFrame, keep: list[str], marked: bool = False) -> DataFrame:
+    """Columns `keep` of docs and the counts of each whole text, if marked its fingerprint as well; null text has no words."""
+    schema, more = docs.select(*keep).schema, (*BASE, *MORE, *(("fp",) if marked else ()))
+    for c in more:
         schema = schema.add(c, "long")
 
     def run(batches):
         for batch in chunks(batches):
-            found = list(zip(*map(counts, as_bytes(text_of(batch, keep))), strict=True))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, pa.int64()) for c in found]], [*keep, *BASE, *MORE])
+            found = [pa.array(c, pa.int64()) for c in zip(*map(counts, as_bytes(text_of(batch, keep))), strict=True)]
+            if marked:
+                found.append(pa.array(np.array([simhash.fingerprint(t) for t in as_bytes(text_of(batch, keep))], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *found], [*keep, *more])
 
     return with_text(docs, keep).mapInArrow(run, schema)
 
@@ -132,34 +137,52 @@ def strata(docs: DataFrame, stratum: str | None) -> Column:
     return F.concat(F.lit(OWN), F.coalesce(F.col(stratum).cast("string"), F.lit(""))) if stratum else F.lit(OWN)
 
 
+def certify(frame: pd.DataFrame, alpha: float, risk: float) -> pd.DataFrame:
+    """Of one stratum's levels (good, lost, caught: held-out trials), the certified one that catches most; of equal ones the mildest."""
+    safe = [binomial_tail(int(k), int(n), risk) <= alpha if n else False for k, n in zip(frame["lost"], frame["good"], strict=True)]
+    return frame[safe].sort_values(["caught", "level"], ascending=[False, True]).head(1)[["stratum", "level"]]
+
+
+def trials(seen: DataFrame) -> DataFrame:
+    """seen with `trial`, what its near copies share: the least fingerprint of its component; and `held_out`, dealt by that."""
+    fps = seen.select("fp").distinct()
+    rooted = simhash.components(simhash.near_pairs(materialise(fps)))
+    named = seen.join(rooted.select(F.col("node").alias("fp"), "root").hint("merge"), "fp", "left").withColumn("trial", F.coalesce("root", "fp"))
+    return named.drop("root").withColumn("held_out", F.pmod(F.xxhash64("trial"), F.lit(2)) == 1)
+
+
+def once_each(seen: DataFrame) -> DataFrame:
+    """One row for each trial of a stratum: good if one of its documents is; its values are those of its least fingerprint, so that ids and the number of copies don't matter."""
+    values = [f"v_{r}" for r in RULES]
+    first = F.min(F.struct("fp", *values)).alias("first")
+    return seen.groupBy("stratum", "trial", "held_out").agg(first, F.max("quality").alias("quality")).select("stratum", "held_out", "quality", *[f"first.{v}" for v in values])
+
+
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
     """(stratum, level, a cutoff for each rule; null: off) of each stratum with labels enough to certify something, and of the others together (POOL).
 
-    measured: doc_id, stratum, the counts. labels: doc_id, quality (1: good, 0: bad; null ones are not used). Enough are so many good
-    held-out documents that losing none of them would do; that counts labels, not what rules do to them. Of the certified levels that
-    which rejects most bad held-out documents is taken; of equal ones the mildest. Without a certified level, level and cutoffs are null.
+    measured: doc_id, stratum, the counts, fp. labels: doc_id, quality (1: good, 0: bad; null ones are not used). Enough are so many good
+    held-out trials that losing none of them would do; that counts labels, not what rules do to them. Of the certified levels that
+    which rejects most bad held-out trials is taken; of equal ones the mildest. Without a certified level, level and cutoffs are null.
     """
     graded = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    seen = materialise(measured.where(~base_failed()).join(graded, "doc_id").select("doc_id", "stratum", "quality", *[rule_value(r).alias(f"v_{r}") for r in RULES]).withColumn("held_out", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1))
-    sizes = materialise(seen.groupBy("stratum").agg(F.count_if(F.col("held_out") & (F.col("quality") == 1)).alias("good")))
-    tests = len(LEVELS) * (sizes.count() + 1)
-    enough = sizes.where(F.col("good") >= math.log(doubt / tests) / math.log1p(-risk)).select("stratum")
+    labelled = materialise(measured.where(~base_failed()).join(graded, "doc_id").select("fp", "stratum", "quality", *[rule_value(r).alias(f"v_{r}") for r in RULES]))
+    seen = materialise(trials(labelled))
+    sizes = materialise(once_each(seen).groupBy("stratum").agg(F.count_if(F.col("held_out") & (F.col("quality") == 1)).alias("good")))
+    alpha = doubt / (len(LEVELS) * (sizes.count() + 1))
+    enough = sizes.where(F.col("good") >= math.log(alpha) / math.log1p(-risk)).select("stratum")
     joined = seen.join(enough.withColumn("own", F.lit(True)), "stratum", "left")
-    seen = joined.withColumn("stratum", F.when(F.col("own"), F.col("stratum")).otherwise(F.lit(POOL)))
-    values = seen.where("not held_out").select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"v_{r}").alias("value")) for r in RULES])).alias("x"))
+    single = materialise(once_each(joined.withColumn("stratum", F.when(F.col("own"), F.col("stratum")).otherwise(F.lit(POOL)))))
+    values = single.where("not held_out").select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"v_{r}").alias("value")) for r in RULES])).alias("x"))
     histogram = values.groupBy("stratum", "x.rule", "x.value").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     proposed = materialise(histogram.groupBy("stratum").applyInPandas(propose, CUTOFFS))
-    tried = seen.where("held_out").join(proposed, "stratum").withColumn("out", rejected())
+    tried = single.where("held_out").join(proposed, "stratum").withColumn("out", rejected())
     tried = tried.groupBy("stratum", "level").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if((F.col("quality") == 1) & F.col("out")).alias("lost"), F.count_if((F.col("quality") == 0) & F.col("out")).alias("caught"))
-
-    def certify(frame: pd.DataFrame) -> pd.DataFrame:
-        safe = [binomial_tail(int(k), int(n), risk) <= doubt / tests if n else False for k, n in zip(frame["lost"], frame["good"], strict=True)]
-        best = frame[safe].sort_values(["caught", "level"], ascending=[False, True]).head(1)
-        return best[["stratum", "level"]]
-
-    certified = proposed.join(tried.groupBy("stratum").applyInPandas(certify, "stratum string, level int"), ["stratum", "level"])
+    certified = proposed.join(tried.groupBy("stratum").applyInPandas(lambda frame: certify(frame, alpha, risk), "stratum string, level int"), ["stratum", "level"])
     every = enough.unionByName(measured.sparkSession.range(1).select(F.lit(POOL).alias("stratum")))
-    return every.join(certified, "stratum", "left")
+    out = materialise(every.join(certified, "stratum", "left"))
+    discard(labelled, seen, sizes, single, proposed)
+    return out
 
 
 def with_cutoffs(valued: DataFrame, cutoffs: DataFrame, most: int = 20_000) -> DataFrame:
@@ -168,7 +191,6 @@ def with_cutoffs(valued: DataFrame, cutoffs: DataFrame, most: int = 20_000) -> D
     The strata's are sent to every task if there are at most `most` (a few MB); beyond, rows are dealt by stratum, the large ones split.
     """
     names = [c.split()[0] for c in CUTOFFS.split(", ")][1:]
-    cutoffs = materialise(cutoffs)
     own = cutoffs.where(F.col("stratum") != POOL).withColumn("own", F.lit(True))
     pool = cutoffs.where(F.col("stratum") == POOL).first()
     found = valued.join(F.broadcast(own) if own.count() <= most else own, "stratum", "left")
@@ -182,7 +204,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", risk
     stratum: the column of docs whose values are the strata, null being one (None: all documents are one). Strata with too few
     labels share cutoffs; where even these have too few, the base rules decide alone. Repeated rows stay; an empty table gives an empty result.
     """
-    measured = materialise(measure(docs.select("doc_id", strata(docs, stratum).alias("stratum"), "text"), ["doc_id", "stratum"]))
+    measured = materialise(measure(docs.select("doc_id", strata(docs, stratum).alias("stratum"), "text"), ["doc_id", "stratum"], True))
     cutoffs = certified_cutoffs(measured, labels, risk, doubt)
     valued = measured.select("*", *[rule_value(r).alias(f"v_{r}") for r in RULES])
     return with_cutoffs(valued, cutoffs).select("doc_id", *BASE, base_failed().alias("base_failed"), (~base_failed() & ~rejected()).alias("kept"), "level")
@@ -191,7 +213,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", risk
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
     """The rows of docs, all their columns, that judge() keeps. Texts are measured twice rather than shuffled."""
     name = strata(docs, stratum)
-    cutoffs = certified_cutoffs(materialise(measure(docs.select("doc_id", name.alias("stratum"), "text"), ["doc_id", "stratum"])), labels, risk, doubt)
+    measured = materialise(measure(docs.select("doc_id", name.alias("stratum"), "text"), ["doc_id", "stratum"], True))
+    cutoffs = certified_cutoffs(measured, labels, risk, doubt)
+    discard(measured)
     valued = measure(as_row(docs, name.alias("stratum")), ["row", "stratum"]).select("*", *[rule_value(r).alias(f"v_{r}") for r in RULES])
     return with_cutoffs(valued, cutoffs).where(~base_failed() & ~rejected()).select("row.*")
 
