@@ -297,6 +297,53 @@ def test_small_strata_share_cutoffs_and_no_value_is_clipped(spark):
     assert sum(found[i].kept for i in range(2400) if i % 4) > 0.98 * 1800 and sum(found[i].kept for i in range(0, 2400, 4)) < 0.05 * 600
 
 
+def test_copies_add_no_evidence(spark):
+    """Copies and near copies of a labelled table leave levels and cutoffs as they are; what is too little stays too little."""
+    r = random.Random(5)
+
+    def table_of(good, bad):
+        rows = []
+        for i in range(good + bad):
+            n = r.randrange(30, 90)
+            rows.append((i, " ".join(f"w{r.randrange(10**6)}" + ("***" if i >= good and r.random() < 0.8 else "") for _ in range(n)), int(i < good)))
+        return rows
+
+    def cutoffs(rows):
+        docs = spark.createDataFrame([(i, t, "en") for i, t, _ in rows], "doc_id bigint, text string, lang string")
+        labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id bigint, quality int")
+        measured = quality.measure(docs.select("doc_id", quality.strata(docs, "lang").alias("stratum"), "text"), ["doc_id", "stratum"], True)
+        return sorted(map(tuple, quality.certified_cutoffs(measured, labels).collect()))
+
+    small, large = table_of(300, 100), table_of(900, 300)
+    once = cutoffs(small)
+    assert [x[1] for x in once] == [None]
+    assert cutoffs([(i + 10_000 * k, t, q) for k in range(3) for i, t, q in small]) == once
+    once = cutoffs(large)
+    assert any(x[1] is not None for x in once)
+    assert cutoffs([(i + 10_000 * k, t, q) for k in range(3) for i, t, q in large]) == once
+
+
+def test_the_risk_holds_over_many_draws():
+    """Labels drawn again and again from rule values whose true rejections are known: at most `doubt` of the certified cutoffs lose more than `risk`."""
+    r = np.random.default_rng(6)
+    broken = certified = 0
+    risk, doubt, n = 0.02, 0.05, 400
+    for _ in range(300):
+        good = r.geometric(0.02, (2, n))  # halves; P(value > v) = 0.98 ** v
+        bad = r.geometric(0.004, (2, n // 4))
+        values, counts = np.unique(np.concatenate((good[0], bad[0])), return_counts=True)
+        frame = pd.DataFrame({"stratum": "s", "rule": "marks", "value": values, "good": [(good[0] == v).sum() for v in values]})
+        frame["bad"] = counts - frame["good"]
+        proposed = quality.propose(frame)
+        cut = proposed["marks"].fillna(np.inf).to_numpy()
+        tried = pd.DataFrame({"stratum": "s", "level": range(len(cut)), "good": n, "lost": [(good[1] > c).sum() for c in cut], "caught": [(bad[1] > c).sum() for c in cut]})
+        best = quality.certify(tried, doubt / len(quality.LEVELS), risk)
+        if len(best) and np.isfinite(cut[best["level"].iloc[0]]):
+            certified += 1
+            broken += 0.98 ** math.floor(cut[best["level"].iloc[0]]) > risk
+    assert certified > 100 and broken <= doubt * 300
+
+
 def test_proposed_cutoffs(spark):
     """Against a plain search: the least of the values that the level's share of good documents may exceed, and halfway up to the next bad one."""
     r = random.Random(8)
@@ -447,6 +494,48 @@ def test_html():
     assert html.main_text("<p>unclosed <a href='x") != None  # noqa: E711
 
 
+LEAD = "<h1>Head</h1><p>This is the first long paragraph, with some words. It goes on, and on, until it ends.</p>"
+
+
+@pytest.mark.parametrize(
+    "extra,lines",
+    [
+        ("<p title='a hidden gem'>Told anyway, here.</p>", ["Told anyway, here."]),
+        ("<p data-note='display: none; aria-hidden=true'>Told as well, here.</p>", ["Told as well, here."]),
+        ("<p>The sum <math><mi>a</mi><mo>+</mo><msup><mi>b</mi><mn>2</mn></msup></math> is known.</p>", ["The sum a+b2 is known."]),
+        ("<p>A drawing <svg><text>of axes</text></svg> and <video src=x>a film</video>.</p>", ["A drawing of axes and a film."]),
+        ("<ul><li><a href='/r1'>Smith, 1999. On trees.</a></li><li><a href='/r2'>Jones, 2004. On leaves.</a></li></ul>", ["Smith, 1999. On trees.", "Jones, 2004. On leaves."]),
+        ("<div class='a b c'><p>Kept, as it is said.</p></div><div class='a b c sidebar'><p>Gone, as it is said.</p></div>", ["Kept, as it is said."]),
+        ("<div class='a b c sidebar'><p>Gone, as it is said.</p></div><div class='a b c'><p>Kept, as it is said.</p></div>", ["Kept, as it is said."]),
+        ("<div title='class=sidebar' class=x><p>Kept, whatever a title says.</p></div>", ["Kept, whatever a title says."]),
+    ],
+)
+def test_html_keeps_what_is_not_listed(extra, lines):
+    first = ["Head", "This is the first long paragraph, with some words. It goes on, and on, until it ends."]
+    assert html.main_text(f"<body><article>{LEAD}{extra}</article></body>").split("\n") == first + lines
+
+
+QUOTED = st.sampled_from(["class", "id", "role", "title", "data-class", "hidden", "CLASS"])
+VALUE = st.text(alphabet="ab -:='\"/><&;", max_size=12)
+
+
+@given(st.lists(st.tuples(QUOTED, VALUE, st.sampled_from("\"'")), max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_html_attributes_against_a_plain_reader(parts):
+    from html.parser import HTMLParser
+
+    text = " ".join(f"{name}={q}{value.replace(q, '')}{q}" for name, value, q in parts)
+    found = {}
+
+    class Plain(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            for k, v in attrs:
+                found.setdefault(k, v or "")
+
+    Plain().feed(f"<p {text}>")
+    assert html.names(f" {text}") == " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().split()
+
+
 def slow_content(chunks: list[tuple[str, str, str]]) -> list[str]:
     """The content of (path, text, weight group) runs of an article page, plainly: ratios, a Gaussian over neighbours, product, share of the highest."""
     import re
