@@ -1,14 +1,15 @@
 """Suffix-array dedup (operator 13): removes each byte of a 100-byte string that starts earlier as well.
 
 A window is a 100-byte string at one place. Its anchor is the least hash among its 16-byte grams, so equal windows have equal anchors,
-and some forty neighbouring windows share one. Windows whose anchor occurs once in the corpus are unique; they never leave
-their document. The others travel as stretches (the text of a run of windows with one anchor), dealt by anchor, so that all
+and some forty neighbouring windows share one: a stretch. First each batch of documents sends its anchors with a digest of the stretch. An anchor
+that occurs once, or always in the same stretch, needs no more: its windows are unique, or repeats but for the earliest stretch.
+The stretches of the other anchors, the earliest of each text, travel as text, dealt by anchor, so that all
 occurrences of a window meet in one task. That task takes whole anchors, a few MB of text at a time, and sorts their suffixes
 blockwise: the ranks of a difference cover's suffixes are worked out first, then one bucket of suffixes at a time is sorted by
 eight bytes and, where these tie, by the cover ranks at the distance that both suffixes share. Equal windows are then neighbours.
 
-Copies are merged before they travel: a batch of documents sends an anchor once, and of equal stretches the earliest. Stretches of an
-anchor that occurs very often are dealt window by window, by the hash of the whole window.
+A batch sends an anchor once, whatever it has of it, so that a frequent one is merged before it travels. Stretches of an
+anchor that has very many are dealt window by window, by the hash of the whole window.
 """
 
 from __future__ import annotations
@@ -27,12 +28,17 @@ WINDOW, GRAM = 100, 16
 GRAMS = WINDOW - GRAM + 1
 #: Bytes of a batch of documents and of the text that is sorted at once; windows of a bucket.
 BATCH, SORTED, BUCKET = 4 << 20, 4 << 20, 1 << 18
-#: Windows of a stretch at most; occurrences of an anchor beyond which its windows are dealt one by one.
-STRETCH, OFTEN = 128, 1 << 15
+#: Windows of a stretch at most, so few that the first and the last hold all its bytes; stretches of an anchor beyond which its windows are dealt one by one.
+STRETCH, OFTEN = 96, 1 << 15
+#: How well texts are compressed that travel.
+LEVEL = 3
+#: What becomes of a batch's stretches of an anchor.
+GONE, SENT_ON, SPREAD = 1, 2, 3
 #: Every difference modulo 7 is one between two of these.
 COVER, PERIOD = (0, 1, 3), 7
 SHARED = [[next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER and (s + d) % PERIOD in COVER) for s in range(PERIOD)] for r in range(PERIOD)]
 NO_ID = -(1 << 63)
+ANCHOR = "anchor bigint, body bigint, doc_id bigint, start bigint, batch bigint, place int, n int"
 ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 BATCHES = "batch bigint, doc_id array<bigint>, size array<bigint>, texts binary"
@@ -125,7 +131,7 @@ def pack(docs: DataFrame) -> DataFrame:
             body = b"".join(texts)
             one = lambda v, kind: pa.array([v], kind)
             yield pa.RecordBatch.from_arrays(
-                [one(first + k, pa.int64()), one(batch.column(0).to_pylist(), pa.list_(pa.int64())), one([len(t) for t in texts], pa.list_(pa.int64())), one(pa.compress(body, codec="zstd", asbytes=True), pa.binary())],
+                [one(first + k, pa.int64()), one(batch.column(0).to_pylist(), pa.list_(pa.int64())), one([len(t) for t in texts], pa.list_(pa.int64())), one(pa.Codec("zstd", compression_level=LEVEL).compress(body, asbytes=True), pa.binary())],
                 [c.split()[0] for c in BATCHES.split(", ")],
             )
 
@@ -144,53 +150,98 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
+def owners(row: dict) -> np.ndarray:
+    return np.array([NO_ID if i is None else i for i in row["doc_id"]], np.int64)
+
+
+def batch_anchors(row: dict) -> tuple[np.ndarray, ...]:
+    """A row for each distinct anchor of a batch, in order: the anchor, the digest of its stretch, the earliest one's document and start, and n.
+
+    n is 1 where all stretches of the anchor are the same text and no two windows in it can be equal. Else it is at least 2, and the digest one of its own.
+    """
+    data, sizes = texts_of(row)
+    doc, place, windows, anchor = stretches(data, sizes)
+    known, places = anchor_counts(data, sizes)
+    number = np.searchsorted(known, anchor)
+    body = mixed(digest(data, place) * ODD[0] ^ digest(data, place + windows - 1)) ^ windows.astype(np.uint64)
+    owner, start = owners(row)[doc], place - (np.cumsum(sizes) - sizes)[doc]
+    order = np.lexsort((start, owner, body, number))
+    first = np.flatnonzero(np.diff(number[order], prepend=-1))
+    new = np.ones(len(order), bool)
+    new[1:] = (body[order][1:] != body[order][:-1]) | (np.diff(number[order]) != 0)
+    texts = np.add.reduceat(new.astype(np.int64), first) if len(first) else first
+    # more places than stretches, or a stretch longer than one place reaches: equal windows may lie in one stretch
+    inner = (places > np.bincount(number, minlength=len(known))) | (np.maximum.reduceat(windows[order], first) > GRAMS if len(first) else False)
+    n = np.where(inner | (texts > 1), np.maximum(texts, 2), 1)
+    mine = order[first]
+    own = mixed((known ^ np.uint64(row["batch"])) * ODD[1])
+    return known, np.where(n > 1, own, body[mine]), owner[mine], start[mine], n
+
+
 def repeated_anchors(packed: DataFrame, often: int) -> DataFrame:
-    """batch, places: the numbers (among a batch's distinct anchors, in order) of those that occur twice or more in all; -1 less these if more than `often` times."""
+    """batch, told: for the anchors of a batch that occur elsewhere too, 4 * their number among its distinct anchors + what becomes of their stretches.
+
+    GONE: all, as the same text has an earlier one elsewhere. SENT_ON: the earliest of each text is compared with others. SPREAD: likewise, but window by
+    window, as the anchor has more than `often` texts.
+    """
 
     def find(batches):
         for row in rows_of(batches):
-            anchor, n = anchor_counts(*texts_of(row))
+            anchor, body, owner, start, n = batch_anchors(row)
+            columns = [anchor.view(np.int64), body.view(np.int64), owner, start, np.full(len(anchor), row["batch"]), np.arange(len(anchor), dtype=np.int32), np.minimum(n, 1 << 30).astype(np.int32)]
             for at in range(0, len(anchor), 1 << 16):
-                some = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[some].view(np.int64)), pa.array(np.full(len(anchor[some]), row["batch"])), pa.array(np.arange(len(anchor))[some].astype(np.int32)), pa.array(np.minimum(n[some], 1 << 30).astype(np.int32))], ["anchor", "batch", "place", "n"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], [c.split()[0] for c in ANCHOR.split(", ")])
 
-    def tell(batch, place, hot):
-        return pa.RecordBatch.from_arrays([pa.array(batch), pa.array(np.where(hot, -1 - place, place).astype(np.int32))], ["batch", "place"])
+    def tell(rows, some, what):
+        return pa.RecordBatch.from_arrays([pa.array(rows[4][some]), pa.array((4 * rows[5][some] + what).astype(np.int32))], ["batch", "told"])
 
-    def count(batches):
-        """Rows by anchor; those of the last anchor wait for the next batch until it is known to be frequent."""
-        wait = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64)]
+    def decide(batches):
+        """Rows by anchor and digest, the earliest first. Of the last anchor the first row of each digest waits until it is known how many there are."""
+        wait = [np.zeros(0, np.int64) for _ in ANCHOR.split(",")] + [np.zeros(0, bool)]  # the last: told already
         hot = None
+
+        def settle(rows, edge, end):
+            """What is told of whole anchors, the rows before `end`."""
+            nonlocal hot
+            group = np.searchsorted(edge, np.arange(end), "right") - 1
+            firsts = np.ones(len(rows[0]), bool)
+            firsts[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            total = np.bincount(group, (rows[6] * firsts)[:end]).astype(np.int64)[group]
+            frequent = (total > often) | (rows[0][:end] == hot if hot is not None else False)
+            left = ~rows[7][:end]
+            for what, some in ((SPREAD, frequent & left), (SENT_ON, ~frequent & (total > 1) & left)):
+                if some.any():
+                    yield tell(rows, np.flatnonzero(some), what)
+
         for b in batches:
-            rows = [np.concatenate((w, b.column(k).to_numpy().astype(w.dtype))) for k, w in enumerate(wait)]
-            if hot is not None:
-                end = int(np.argmax(rows[0] != hot)) if (rows[0] != hot).any() else len(rows[0])
-                if end:
-                    yield tell(rows[1][:end], rows[2][:end], np.True_)
-                rows = [r[end:] for r in rows]
-                hot = hot if not len(rows[0]) else None
+            rows = [np.concatenate((w, b.column(k).to_numpy() if k < 7 else np.zeros(b.num_rows, bool))) for k, w in enumerate(wait)]
             if not len(rows[0]):
-                wait = rows
                 continue
+            new = np.ones(len(rows[0]), bool)
+            new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            gone = (rows[2] != rows[2][first]) | (rows[3] != rows[3][first])
+            if gone.any():
+                yield tell(rows, np.flatnonzero(gone), GONE)
+                rows = [r[~gone] for r in rows]
             edge = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
-            total = np.add.reduceat(rows[3], edge)
-            size = np.diff(np.append(edge, len(rows[0])))
-            if total[-1] > often:
-                hot, done = int(rows[0][-1]), len(rows[0])
-            else:
-                done = int(edge[-1])
-            each = np.repeat(total, size)[:done]
-            some = each > 1
-            if some.any():
-                yield tell(rows[1][:done][some], rows[2][:done][some], each[some] > often)
-            wait = [r[done:] for r in rows]
-        if len(wait[0]) and (total := wait[3].sum()) > 1:
-            yield tell(wait[1], wait[2], total > often)
-
-    found = packed.mapInArrow(find, "anchor bigint, batch bigint, place int, n int").repartition("anchor").sortWithinPartitions("anchor")
-    return found.mapInArrow(count, "batch bigint, place int").groupBy("batch").agg(F.collect_list("place").alias("places"))
+            end = int(edge[-1])
+            if end:
+                yield from settle(rows, edge, end)
+            rows = [r[end:] for r in rows]
+            hot = hot if hot == int(rows[0][0]) else None
+            if hot is not None or rows[6].sum() > often:
+                hot = int(rows[0][0])
+                yield from settle(rows, np.zeros(1, np.int64), len(rows[0]))
+                rows = [r[-1:] for r in rows]
+                rows[7] = np.ones(1, bool)
+            wait = rows
+        if len(wait[0]):
+            yield from settle(wait, np.zeros(1, np.int64), len(wait[0]))
+
+    order = ["anchor", "body", "doc_id", "start"]
+    found = packed.mapInArrow(find, ANCHOR).repartition("anchor").sortWithinPartitions(*order)
+    return found.mapInArrow(decide, "batch bigint, told int").groupBy("batch").agg(F.collect_list("told").alias("told"))
 
 
 def earliest(keys: list, places: list[tuple]) -> np.ndarray:
@@ -223,28 +274,33 @@ def sent(packed: DataFrame, repeated: DataFrame) -> DataFrame:
             data, sizes = texts_of(row)
             doc, place, windows, anchor = stretches(data, sizes)
             number = np.unique(anchor, return_inverse=True)[1]
+            told = np.array(row["told"] or (), np.int64)
             kind = np.zeros(len(anchor) and number.max() + 1, np.int8)
-            told = np.array(row["places"], np.int64)
-            kind[told[told >= 0]], kind[-1 - told[told < 0]] = 1, 2
+            kind[told >> 2] = told & 3
             kind = kind[number]
-            hot = np.flatnonzero(kind == 2)
+            start = place - (np.cumsum(sizes) - sizes)[doc]
+            over = [(doc[kind == GONE], start[kind == GONE], (start + windows + WINDOW - 1)[kind == GONE])]
+            hot = np.flatnonzero(kind == SPREAD)
             once = ragged(place[hot], windows[hot])
-            some = np.flatnonzero(kind == 1)
+            # anchors of one text that others don't have either: only the earliest of the batch stays, nothing is sent
+            here = np.flatnonzero((kind == 0) & (np.bincount(number)[number] > 1)) if len(number) else hot
+            some = np.concatenate((here, np.flatnonzero(kind == SENT_ON)))
             key = np.concatenate((anchor[some], digest(data, once)))
             doc = np.concatenate((doc[some], np.repeat(doc[hot], windows[hot])))
             place, windows = np.concatenate((place[some], once)), np.concatenate((windows[some], np.ones(len(once), np.int64)))
             raw = data.tobytes()
             bodies = [raw[p : p + m + WINDOW - 1] for p, m in zip(place.tolist(), windows.tolist(), strict=True)]
-            ids = [NO_ID if i is None else i for i in row["doc_id"]]
             start = place - (np.cumsum(sizes) - sizes)[doc]
-            owner = np.array(ids, np.int64)[doc]
+            owner = owners(row)[doc]
             first = earliest(bodies, list(zip(owner.tolist(), start.tolist(), strict=True)))
-            gone = joined_spans(*(x[~first] for x in (doc, start, start + windows + WINDOW - 1)))
+            over.append(tuple(x[~first] for x in (doc, start, start + windows + WINDOW - 1)))
+            gone = joined_spans(*map(np.concatenate, zip(*over, strict=True)))
             spread = mixed((np.arange(len(gone[0])) + row["batch"]).astype(np.uint64) * ODD[0])
+            first[: len(here)] = False
             yield from sent_rows(1, key[first], [b for b, f in zip(bodies, first, strict=True) if f], owner[first], row["batch"], doc[first], start[first], windows[first])
             yield from sent_rows(0, spread, None, np.zeros(len(spread), np.int64), row["batch"], gone[0], gone[1], gone[2] - gone[1])
 
-    return packed.join(repeated, "batch").mapInArrow(run, SENT)
+    return packed.join(repeated, "batch", "left").mapInArrow(run, SENT)
 
 
 def sent_rows(kind, key, bodies, owner, batch, doc, start, windows, step: int = 1 << 13):
