@@ -9,6 +9,8 @@ SCIPY_PREFIXES = {"ENH": "feat", "FEA": "feat", "FEAT": "feat", "BUG": "fix", "F
 BOTS = r"(?i)\[bot\]|dependabot|renovate|github-actions|semantic-release|greenkeeper|allcontributors|snyk-bot|pre-commit-ci|copybara|gcf-owl-bot|release-please|weblate|transifex"
 
 HASH_BITS = 20
+#: The structural slot that tells whether a message is among the features.
+DENSE_MESSAGE = 58
 FNV_START, FNV_STEP = 140069, 435  # of 64-bit FNV-1a, the low 20 bits and the multiplier's
 MAX_FILES, MAX_LINES, MAX_LINE, MAX_HUNKS, MAX_TOKENS, LONG_LINE, MAX_PATHS = 200, 400, 1000, 64, 40, 400, 50
 WINDOW, MIN_ENTRIES, NEIGHBOURS = 1000, 20, 15

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from driftwood.functions import fixed
 
@@ -114,17 +115,16 @@ def fnv_low(texts: list[bytes]) -> np.ndarray:
 def bucket(feature: Column) -> Column:
     """The low 20 bits of FNV-1a/64 of the UTF-8 bytes: they depend on nothing above them. Null stays null.
 
-    Built-in functions would fold over bytes one by one, interpreted; Arrow batches of distinct names are hashed at once.
+    Built-in functions would fold over bytes one by one, interpreted; an Arrow batch's distinct names are hashed at once.
     """
+    return _buckets(feature)
 
-    @F.pandas_udf("bigint")
-    def run(names: pd.Series) -> pd.Series:
-        known = names.notna().to_numpy()
-        out = pd.Series(pd.NA, index=names.index, dtype="Int64")
-        out[known] = fnv_low([x.encode() for x in names[known]])
-        return out
 
-    return run(feature)
+@F.pandas_udf(LongType())
+def _buckets(names: pd.Series) -> pd.Series:
+    code, known = pd.factorize(names)
+    hashes = np.append(fnv_low([x.encode() for x in known]), 0)
+    return pd.Series(hashes[code], index=names.index).astype("Int64").mask(code < 0)
 
 
 def log_scale(n: Column, most: int) -> Column:

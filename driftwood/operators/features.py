@@ -113,9 +113,9 @@ def log_tf_l2(counts: DataFrame) -> DataFrame:
 
 
 def hashed(weighted: DataFrame) -> DataFrame:
-    """(commit_id, bucket, weight): features that share a bucket are summed. Each distinct name is hashed once."""
-    names = weighted.select("feature").distinct().withColumn("bucket", text.bucket(F.col("feature")))
-    return weighted.join(names, "feature").groupBy("commit_id", "bucket").agg(F.sum("weight").alias("weight"))
+    """(commit_id, bucket, weight): features that share a bucket are summed. Each Arrow batch hashes its distinct names once, so rows stay where log_tf_l2 dealt them: by commit."""
+    named = weighted.select("commit_id", "weight", text.bucket(F.col("feature")).alias("bucket"))
+    return named.groupBy("commit_id", "bucket").agg(F.sum("weight").alias("weight"))
 
 
 def token_jaccard(lines: DataFrame) -> DataFrame:

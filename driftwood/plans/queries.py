@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwood.functions import fixed, headers, paths, text
-from driftwood.operators import classify, decisions, diffs, features, history, messages, neighbours, reports, scoring, training
+from driftwood.operators import classify, decisions, diffs, features, history, messages, neighbours, reports, scoring, softmax, tables, training
 from driftwood.plans import corpora as C
 from driftwood.plans import duck as K
 
@@ -198,15 +198,16 @@ DENSE_SLOTS = [
     _PER("executable_files", "files"), f"least(1, ({_PER('added_bytes', 'added')}) / 120)", _PER("n_trivial", "added"), _PER("n_test_words", "added"), _FLAG("extensions = 1"), _IN("ci"), _IN("build", "lock", "version"), *(_IN(c) for c in ("config", "style", "schema", "generated", "i18n", "changelog")), _PER("n_string", "added"),
     "least(1, greatest(0, 0.5 + (added - removed) / greatest(added + removed, 1) / 2))", *(_PER(f"n_{k}", "added") for k in ("error", "null", "log")), "least(1, coalesce(n_deprecated, 0) / 3)", _PER("n_type", "added"), _FLAG("removed = 0 AND added > 0"), _FLAG("added = 0 AND removed > 0"), _FLAG("n_test > 0 AND n_source > 0"),
 ]
-DENSE_SQL = f"""WITH {C.FIL}, {C.TXT}, byc AS (SELECT t.commit_id // 5 AS commit_id, t.commit_id AS doc_id, ln, added, text FROM txt t), {K.token_rows('byc')}, counters AS ({file_counter_sql('fil')}),
+DENSE_CTE = f"""{C.FIL}, {C.TXT}, byc AS (SELECT t.commit_id // 5 AS commit_id, t.commit_id AS doc_id, ln, added, text FROM txt t), {K.token_rows('byc')}, counters AS ({file_counter_sql('fil')}),
   cats AS (SELECT commit_id, {', '.join(f"count(*) FILTER (WHERE c = '{c}') AS n_{c}, sum(added + removed) FILTER (WHERE c = '{c}') AS l_{c}" for c in fixed.CATEGORIES)} FROM (SELECT *, {_CAT} AS c FROM fil) GROUP BY commit_id),
   one AS (SELECT commit_id, token, bool_or(added) AS x, bool_or(NOT added) AS y FROM tok GROUP BY ALL), jac AS (SELECT commit_id, count(*) FILTER (WHERE x AND y) / count(*) AS jaccard FROM one GROUP BY commit_id),
   x AS (SELECT commit_id, added, {K.trim('text')} AS t FROM byc), kw AS (SELECT * RENAME (n_test AS n_test_words) FROM ({KEYWORDS})), ln1 AS (SELECT commit_id, regexp_replace(t, '\\s', '', 'g') AS line, count(*) FILTER (WHERE added) AS a, count(*) FILTER (WHERE NOT added) AS r FROM x WHERE strlen(t) <= 400 GROUP BY ALL),
   sim AS (SELECT commit_id, 2 * sum(least(a, r)) / sum(a + r) AS similarity FROM ln1 GROUP BY commit_id),
   bm AS (SELECT f.commit_id, path, bool_or(b.added) AS x, bool_or(NOT b.added) AS y FROM byc b JOIN fil f USING (doc_id) WHERE {_CAT} IN ('build', 'version', 'lock', 'config') AND contains(lower(text), 'version') AND regexp_matches(text, '[0-9]') GROUP BY ALL), bump AS (SELECT commit_id, bool_or(x AND y) AS version_bump FROM bm GROUP BY commit_id),
-  more AS (SELECT commit_id, count(DISTINCT doc_id) AS hunks, bool_or(ln >= 400 OR strlen(text) > 1000) AS truncated FROM byc GROUP BY commit_id), msg AS (SELECT doc_id // 5 AS commit_id, bool_or(lang IS NOT NULL) AS has_message FROM documents GROUP BY 1)
-  SELECT commit_id, {', '.join(f"round(({x})::DOUBLE + 1e-9, 6) AS d{i}" for i, x in enumerate(DENSE_SLOTS))}
-  FROM counters JOIN cats USING (commit_id) LEFT JOIN kw USING (commit_id) LEFT JOIN sim USING (commit_id) LEFT JOIN jac USING (commit_id) LEFT JOIN bump USING (commit_id) LEFT JOIN more USING (commit_id) LEFT JOIN msg USING (commit_id)"""
+  more AS (SELECT commit_id, count(DISTINCT doc_id) AS hunks, bool_or(ln >= 400 OR strlen(text) > 1000) AS truncated FROM byc GROUP BY commit_id), msg AS (SELECT doc_id // 5 AS commit_id, bool_or(lang IS NOT NULL) AS has_message FROM documents GROUP BY 1),
+  slots AS (SELECT commit_id, {', '.join(f"({x})::DOUBLE AS d{i}" for i, x in enumerate(DENSE_SLOTS))}
+  FROM counters JOIN cats USING (commit_id) LEFT JOIN kw USING (commit_id) LEFT JOIN sim USING (commit_id) LEFT JOIN jac USING (commit_id) LEFT JOIN bump USING (commit_id) LEFT JOIN more USING (commit_id) LEFT JOIN msg USING (commit_id))"""
+DENSE_SQL = f"WITH {DENSE_CTE} SELECT commit_id, {', '.join(f'round(d{i} + 1e-9, 6) AS d{i}' for i in range(len(DENSE_SLOTS)))} FROM slots"
 
 
 def dense_vectors(spark, sf_dir):
@@ -570,6 +571,31 @@ def linear(spark, sf_dir):
 def linear_logits(spark, sf_dir):
     return linear(spark, sf_dir).select("commit_id", "class", r6("z").alias("z"))
 
+_SLOT_W = lambda i, c: f"((({i}) * (({c}) + 3)) % 23 - 11) / 20"
+DENSE_LINEAR = f"""WITH {DENSE_CTE}, dcounts AS (SELECT commit_id, {A_R} || token AS feature, count(*) AS n FROM tok GROUP BY ALL), dweights AS (SELECT commit_id, feature, ln(1 + n) / sqrt(sum(ln(1 + n) * ln(1 + n)) OVER (PARTITION BY commit_id)) AS weight FROM dcounts),
+  dnames AS (SELECT feature, {K.bucket('feature')} AS bucket FROM (SELECT DISTINCT feature FROM dweights)), dhashed AS (SELECT commit_id, bucket, sum(weight) AS weight FROM dweights JOIN dnames USING (feature) WHERE bucket % 8 = 0 GROUP BY ALL), cl AS (SELECT unnest({C._sql_list(CLASSES)}) AS class, unnest(range({len(CLASSES)})) AS c),
+  st AS (SELECT commit_id, c, sum(weight * (((bucket * (c + 7)) % 201) - 100) / 100) AS z FROM dhashed, cl GROUP BY ALL), sv AS (SELECT commit_id, unnest([{', '.join(f'd{i}' for i in range(88))}]) AS v, unnest(range(88)) AS i FROM slots), dt AS (SELECT commit_id, c, sum(v * {_SLOT_W('i', 'c')}) AS z FROM sv, cl GROUP BY ALL)
+  SELECT commit_id, class, {s6('(c - 5) / 20 + coalesce(st.z, 0) + dt.z')} AS z FROM dt JOIN cl USING (c) LEFT JOIN st USING (commit_id, c)"""
+
+
+def slot_weights(spark, keep):
+    """Formula weights of every bucket that `keep` says, the structural slots and the bias, as the sparse model has them: (id, w)."""
+    classes = range(len(CLASSES))
+    buckets = spark.range(1 << fixed.HASH_BITS).where(keep).select(F.col("id").cast("int").alias("id"), F.array(*[(F.col("id") * (c + 7) % 201 - 100) / 100.0 for c in classes]).alias("w"))
+    slots = spark.range(88).select((F.col("id") + softmax.SLOTS).cast("int").alias("id"), F.array(*[(F.col("id") * (c + 3) % 23 - 11) / 20.0 for c in classes]).alias("w"))
+    bias = spark.range(1).select(F.lit(softmax.BIAS).alias("id"), F.array(*[F.lit((c - 5) / 20) for c in classes]).alias("w"))
+    return buckets.unionByName(slots).unionByName(bias)
+
+
+@query(DENSE_LINEAR)
+def linear_logits_dense(spark, sf_dir):
+    """Both terms of the linear model, of five documents a commit: the structural slots, and the tokens whose buckets a pruned model keeps."""
+    lines = C.document_lines(spark, sf_dir).select(F.floor(F.col("commit_id") / 5).cast("bigint").alias("commit_id"), "added", "text")
+    rows = softmax.sparse_rows(features.hashed(features.log_tf_l2(features.token_counts(lines))), dense_vectors(spark, sf_dir))
+    z = softmax.score(rows, slot_weights(spark, F.col("id") % 8 == 0), len(CLASSES))
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    return z.select("commit_id", F.posexplode("z").alias("c", "z")).select("commit_id", F.get(names, F.col("c")).alias("class"), r6("z").alias("z"))
+
 
 RANK_CTE = f"{LINEAR_CTE}, sm AS (SELECT *, exp(z / 1.5) / sum(exp(z / 1.5)) OVER (PARTITION BY commit_id) AS p FROM lz), rk AS (SELECT *, row_number() OVER (PARTITION BY commit_id ORDER BY round(p, 12) DESC, c) AS rank FROM sm)"
 
@@ -650,6 +676,52 @@ def train_lr(spark, sf_dir):
     return model.transform(rows.withColumn("features", array_to_vector("x"))).select("commit_id", "quality", F.get(vector_to_array("probability"), F.lit(1)).alias("p"), F.col("prediction").cast("int").alias("guess"))
 
 
+#: What a model can learn: the language, and whether a document is long; the longest are a class of their own.
+_LEARN = "CASE WHEN n_chars > 8000 THEN 10 ELSE 2 * CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END + (n_chars > 1500)::INT END"
+
+
+def training_examples(spark, sf_dir):
+    """Documents as commits of their source: EXAMPLE rows with repo and fold, each commit without its message, and a sample of the training ones with it."""
+    files, lines, said = (df.where("commit_id >= 0") for df in C.changes(spark, sf_dir))
+    docs = C.read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("commit_id"), F.col("source").alias("repo"), F.expr(_LEARN.replace("::INT", "").replace("(n_chars > 1500)", "int(n_chars > 1500)")).alias("label"))
+    docs = training.split_by(docs, "repo", 0.15)
+    whole = features.file_counters(files.withColumns({"binary": F.lit(False), "mode": F.lit("")}))
+    shares = features.category_shares(files)
+    base = features.log_tf_l2(features.token_counts(lines).withColumn("grp", F.lit("code")).unionByName(features.path_counts(files.withColumn("binary", F.lit(False))).withColumn("grp", F.lit("path"))))
+    hashed_ = features.hashed(base)
+    message = features.hashed(features.log_tf_l2(features.message_counts(said.withColumnRenamed("subject", "message"))))
+    both = training.with_message_dropout(hashed_, message)
+    more = files.select("commit_id").distinct().select("commit_id", F.lit(None).cast("bigint").alias("hunks"), F.lit(False).alias("truncated"), F.lit(False).alias("has_message"))
+    dense = features.dense(whole, features.keyword_counts(lines), shares, features.space_only_similarity(lines), features.token_jaccard(lines), features.version_bump(lines), more)
+    key = F.col("commit_id") * 2 + F.col("has_message").cast("bigint")
+    slot = fixed.DENSE_MESSAGE
+    twice = dense.select("commit_id", "dense", F.explode(F.array(F.lit(False), F.lit(True))).alias("has_message")).withColumn("dense", F.transform("dense", lambda v, i: F.when((i == slot) & F.col("has_message"), 1.0).otherwise(v)))
+    rows = softmax.sparse_rows(both.select(key.alias("commit_id"), "bucket", "weight"), twice.select(key.alias("commit_id"), "dense"))
+    kept = both.select(key.alias("commit_id"), "has_message").distinct()
+    named = rows.join(kept, "commit_id").select(F.expr("commit_id div 2").alias("commit_id"), "has_message", "ids", "x").join(docs, "commit_id")
+    return named.where("fold = 'train' or not has_message")
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_LEARN} AS label, CASE WHEN ('0x' || substr(md5(source), 1, 8))::BIGINT / 4294967296 < 0.15 THEN 'test' ELSE 'train' END AS fold FROM documents WHERE text IS NOT NULL)
+  SELECT fold, {C._sql_list(CLASSES)}[label + 1] AS class, count(*) AS n, true AS better FROM d GROUP BY ALL""")
+def train_sparse(spark, sf_dir):
+    """The global model on the hashed vector and the structural slots, trained on four fifths and more of the repos: how many commits each fold and class has, and
+    whether the model's mean log loss on the fold, message left out, is lower than that of the training set's shares of the classes."""
+    rows = tables.written(training_examples(spark, sf_dir))
+    learn = rows.where("fold = 'train'")
+    weight = softmax.balance(learn)
+    by_class = F.element_at(F.create_map(*[F.lit(x) for pair in weight.items() for x in pair]), F.col("label"))
+    fitted = softmax.fit(learn.select((F.col("commit_id") * 2 + F.col("has_message").cast("bigint")).alias("commit_id"), "label", by_class.alias("weight"), "ids", "x"), CLASSES, l2=1e-4, iterations=12, tolerance=1e-3)
+    alone = rows.where("not has_message")
+    told = softmax.score(alone, fitted.weights, len(CLASSES), keep=("fold", "label")).withColumn("p", softmax.probabilities("z"))
+    share = learn.where("not has_message").groupBy("label").agg(F.count("*").alias("k"))
+    total = share.agg(F.sum("k").alias("total"))
+    judged = told.join(share, "label", "left").crossJoin(F.broadcast(total))  # total: one row
+    loss = judged.groupBy("fold").agg((F.avg(-F.log(F.get("p", F.col("label")) + 1e-12)) < F.avg(-F.log(F.coalesce("k", F.lit(1)) / F.col("total")))).alias("better"))
+    counted = told.groupBy("fold", F.get(F.array(*[F.lit(c) for c in CLASSES]), F.col("label")).alias("class")).agg(F.count("*").alias("n"))
+    return counted.join(loss, "fold").select("fold", "class", "n", "better")
+
+
 # --- scope, emoji, dependencies
 
 _SEG = f"string_split({_DIR}, '/')"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftwood import sinks, sources, streaming
 from driftwood.functions import fixed, text
-from driftwood.operators import classify, decisions, diffs, features, history, messages, neighbours, reports, scoring, training
+from driftwood.operators import classify, decisions, diffs, features, history, messages, neighbours, reports, scoring, softmax, training
 
 PATCH = '''some preamble
 diff --git a/src/a b.py b/src/a b.py
@@ -450,3 +450,86 @@ def test_text_cut(spark):
     values = ["", "abc", "é" * 600, "a" + "é" * 600, "x" * 2000, "€" * 400, "\U0001f600" * 300, None]
     found = [r.c for r in spark.createDataFrame([(v,) for v in values], "v string").coalesce(1).select(text.cut(F.col("v"), 1000).alias("c")).collect()]
     assert found == [None if v is None else v.encode()[:1000].decode(errors="ignore") for v in values]
+
+
+# --- the sparse model
+
+
+def plain_softmax(rows, classes, l2, l1, steps=1500):
+    """The least penalised loss by proximal gradient steps on a dense matrix."""
+    cols = {j: k for k, j in enumerate(sorted({j for r in rows for j in r[3]}))}
+    x, y = np.zeros((len(rows), len(cols))), np.eye(classes)[[r[1] for r in rows]]
+    weight = np.array([r[2] for r in rows])
+    weight = weight / weight.sum()
+    for i, r in enumerate(rows):
+        for j, v in zip(r[3], r[4]):
+            x[i, cols[j]] += v
+    free = np.ones((len(cols), 1))
+    free[cols[softmax.BIAS]] = 0
+    step = 1 / (0.5 * np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 + l2)
+    w = z = np.zeros((len(cols), classes))
+    t = 1.0
+
+    def logs(w):
+        s = x @ w
+        s -= s.max(1, keepdims=True)
+        return s - np.log(np.exp(s).sum(1, keepdims=True))
+
+    for _ in range(steps):
+        g = x.T @ ((np.exp(logs(z)) - y) * weight[:, None]) + l2 * free * z
+        new = z - step * g
+        new = np.sign(new) * np.maximum(np.abs(new) - step * l1 * free, 0)
+        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        z, w, t = new + (t - 1) / after * (new - w), new, after
+    return -(y * logs(w) * weight[:, None]).sum() + l2 / 2 * (free * w**2).sum() + l1 * (free * np.abs(w)).sum()
+
+
+def sparse_examples(n, classes, seed=1):
+    r = np.random.default_rng(seed)
+    truth = r.normal(0, 3, (300, classes))
+    out = []
+    for i in range(n):
+        ids = r.choice(300, r.integers(5, 20), replace=False)
+        x = np.abs(r.normal(0, 1, len(ids)))
+        x /= np.sqrt((x**2).sum())
+        p = np.exp((truth[ids] * x[:, None]).sum(0))
+        out.append((i, int(r.choice(classes, p=p / p.sum())), float(1 + i % 3), [*map(int, ids), int(ids[0]), softmax.SLOTS + 3, softmax.BIAS], [*map(float, x), 0.5, float(i % 2), 1.0]))
+    return out
+
+
+@pytest.mark.parametrize("l2,l1,block", [(1e-3, 0.0, 90), (1e-4, 1e-3, 4096)])
+def test_sparse_softmax_finds_the_least_loss(spark, l2, l1, block):
+    rows = sparse_examples(400, 11)
+    df = spark.createDataFrame(rows, softmax_schema).unionByName(spark.createDataFrame([(9999, None, 1.0, [1, 2], [1.0, 1.0])], softmax_schema))
+    found = softmax.fit(df, [str(c) for c in range(11)], l2, l1, iterations=20, tolerance=1e-4, block=block)
+    assert found.loss <= 1.01 * plain_softmax(rows, 11, l2, l1)
+    assert all(b <= a + 1e-12 for a, b in zip(found.steps, found.steps[1:]))
+    if l1:
+        told = [abs(v) for r in found.weights.collect() for v in r.w]
+        assert sum(v == 0 for v in told) > 0.2 * len(told)
+
+
+def test_sparse_softmax_of_nothing(spark):
+    found = softmax.fit(spark.createDataFrame([], softmax_schema), ["a", "b"])
+    assert found.loss == 0 and not found.weights.count()
+    assert softmax.score(spark.createDataFrame([(1, [softmax.BIAS], [1.0])], "commit_id bigint, ids array<int>, x array<double>"), found.weights, 2).first().z == [0.0, 0.0]
+
+
+softmax_schema = "commit_id bigint, label int, weight double, ids array<int>, x array<double>"
+
+
+@pytest.mark.parametrize("most", [150_000, 5])
+def test_scores_have_both_terms(spark, most):
+    """Buckets, repeated ones too, structural slots and the bias, by either way; what the model lacks is 0."""
+    weights = {i: [i * 0.25, -0.5 * i] for i in (1, 4, 9)} | {softmax.SLOTS + k: [1.0 + k, 2.0] for k in (0, 87)} | {softmax.BIAS: [0.125, -0.25]}
+    hashed = spark.createDataFrame([(1, 1, 0.5), (1, 4, 0.25), (1, 7, 3.0), (2, 9, 1.0), (2, 9, 0.5)], "commit_id bigint, bucket bigint, weight double")
+    dense = spark.createDataFrame([(1, [0.5] + [0.0] * 86 + [0.25]), (3, [0.0] * 88)], "commit_id bigint, dense array<double>")
+    table = spark.createDataFrame([(i, w) for i, w in weights.items()], "id int, w array<double>")
+    rows = softmax.sparse_rows(hashed, dense)
+    found = {r.commit_id: r.z for r in softmax.score(rows, table, 2, most).collect()}
+    want = {
+        1: [0.5 * 0.25 + 0.25 * 1.0 + 0.5 * 1.0 + 0.25 * 88 + 0.125, 0.5 * -0.5 + 0.25 * -2.0 + 0.5 * 2 + 0.25 * 2 - 0.25],
+        2: [1.5 * 2.25 + 0.125, 1.5 * -4.5 - 0.25],
+        3: [0.125, -0.25],
+    }
+    assert {k: [round(v, 9) for v in z] for k, z in found.items()} == {k: [round(v, 9) for v in z] for k, z in want.items()}
