@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwood.functions import fixed, headers
+from driftwood.operators import scan
 
 
-def numbered(commits: DataFrame, order: list[str]) -> DataFrame:
-    """Adds pos: 1, 2, ... within repo, by `order` (which must be total)."""
+def numbered(commits: DataFrame, order: list[str], wide: bool = False) -> DataFrame:
+    """Adds pos: 1, 2, ... within repo, by `order` (which must be total). wide: all tasks share a large repo; else a repo is one task's."""
+    if wide:
+        return scan.numbered(commits, ["repo"], order)
     return commits.withColumn("pos", F.row_number().over(Window.partitionBy("repo").orderBy(*order)).cast("bigint"))
 
 
@@ -59,11 +62,21 @@ def laplace(commits: DataFrame, classes: list[str]) -> DataFrame:
     )
 
 
-def with_prior(commits: DataFrame, classes: list[str], window: int = fixed.WINDOW) -> DataFrame:
+def _counts(rows: DataFrame, classes: list[str]) -> DataFrame:
+    """rows with _t0, _t1, ...: 1 for a row of that class."""
+    return rows.withColumns({f"_t{i}": F.coalesce((F.col("type") == c).cast("bigint"), F.lit(0).cast("bigint")) for i, c in enumerate(classes)})
+
+
+def with_prior(commits: DataFrame, classes: list[str], window: int = fixed.WINDOW, wide: bool = False) -> DataFrame:
     """Adds size (commits before, within the window) and prior, an array over classes: (n + 1) / (size + C).
 
     pos numbers a repo's commits without gaps. Counts are running sums less those of `window` commits ago: one addition a row, whatever the window.
+    wide: all tasks share a large repo.
     """
+    if wide:
+        found = scan.windowed(_counts(commits, classes), ["repo"], "pos", {f"_m{i}": f"_t{i}" for i in range(len(classes))}, window, True)
+        sized = commits.join(found, ["repo", "pos"]).withColumn("size", F.least(F.col("pos") - 1, F.lit(window)).cast("bigint"))
+        return sized.select(*commits.columns, "size", F.array(*[(F.col(f"_m{i}") + 1) / (F.col("size") + len(classes)) for i in range(len(classes))]).alias("prior"))
     order = Window.partitionBy("repo").orderBy("pos")
     so_far = order.rowsBetween(Window.unboundedPreceding, -1)
     running = {f"_n{i}": F.coalesce(F.sum((F.col("type") == c).cast("bigint")).over(so_far), F.lit(0)) for i, c in enumerate(classes)}
@@ -84,15 +97,14 @@ def ranked(values: str | Column, classes: list[str]) -> Column:
     return F.transform(F.reverse(F.array_sort(pairs)), lambda x: F.struct(x["p"].alias("p"), F.element_at(names, 1 - x["back"]).alias("type")))
 
 
-def file_evidence(commits: DataFrame, touched: DataFrame, classes: list[str], window: int = fixed.WINDOW, smooth: float = fixed.FILE_SMOOTH) -> DataFrame:
+def file_evidence(commits: DataFrame, touched: DataFrame, classes: list[str], window: int = fixed.WINDOW, smooth: float = fixed.FILE_SMOOTH, wide: bool = False) -> DataFrame:
     """(repo, pos, seen, file): how the types of earlier commits spread over the files that a commit touches.
 
     commits: with prior. touched: (repo, pos, path, type), a row a path. For each path that was seen, the shares of its types are
     taken; their mean is smoothed. Without such a path it is the prior. The frame is a range over pos: it holds
-    the last `window` commits, not touches, and none of the commit's own.
+    the last `window` commits, not touches, and none of the commit's own. Counts are differences of running sums by path. wide: all tasks share a large path.
     """
-    w = before(window, "path")
-    per_path = touched.select("repo", "pos", "path", *[F.coalesce(F.sum((F.col("type") == c).cast("bigint")).over(w), F.lit(0)).alias(f"n{i}") for i, c in enumerate(classes)])
+    per_path = scan.windowed(_counts(touched, classes), ["repo", "path"], "pos", {f"n{i}": f"_t{i}" for i in range(len(classes))}, window, wide)
     counts = [F.col(f"n{i}") for i in range(len(classes))]
     total = sum(counts[1:], counts[0])
     shares = per_path.where(total > 0).groupBy("repo", "pos").agg(F.array(*[F.avg(n / total) for n in counts]).alias("mean"))
@@ -121,12 +133,28 @@ def missing(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.join(cache, ["repo", "sha"], "left_anti")
 
 
+def newest(entries: DataFrame, window: int = fixed.WINDOW) -> DataFrame:
+    """The `window` newest entries of each repo, ties by sha."""
+    age = F.row_number().over(Window.partitionBy("repo").orderBy(F.col("ts").desc(), F.col("sha")))
+    return entries.withColumn("_age", age).where(F.col("_age") <= window).drop("_age")
+
+
+def wanted(log: DataFrame, known: list[str] = fixed.CLASSES, skip: int = 0, window: int = fixed.WINDOW) -> DataFrame:
+    """(repo, sha, ts, type): what an index of each repo should hold. log: (repo, sha, ts, subject), and merge if the log tells.
+
+    Merges don't count. Without its `skip` newest commits, the next 2 * window of a repo are looked at, and of those with a type in their subject the newest `window` taken.
+    """
+    plain = log.where(~F.coalesce("merge", F.lit(False))) if "merge" in log.columns else log
+    age = F.row_number().over(Window.partitionBy("repo").orderBy(F.col("ts").desc(), F.col("sha")))
+    seen = plain.withColumn("_age", age).where((F.col("_age") > skip) & (F.col("_age") <= skip + 2 * window))
+    typed = seen.select("repo", "sha", "ts", headers.header(F.trim("subject"), known)["type"].alias("type")).where("type is not null")
+    return newest(typed, window)
+
+
 def refreshed(wanted: DataFrame, cache: DataFrame, fresh: DataFrame, window: int = fixed.WINDOW) -> DataFrame:
-    """The index after a refresh: entries of cache and fresh that are wanted, with the wanted ts and type, the newest `window` a repo."""
+    """The index after a refresh: of the newest `window` wanted commits a repo those that cache or fresh has, with the wanted ts and type. What has no entry leaves a gap."""
     entries = cache.unionByName(fresh).dropDuplicates(["repo", "sha"]).drop("ts", "type")
-    rebuilt = wanted.select("repo", "sha", "ts", "type").join(entries, ["repo", "sha"])
-    newest = F.row_number().over(Window.partitionBy("repo").orderBy(F.col("ts").desc(), F.col("sha")))
-    return rebuilt.withColumn("age", newest).where(F.col("age") <= window).drop("age")
+    return newest(wanted.select("repo", "sha", "ts", "type"), window).join(entries, ["repo", "sha"])
 
 
 def adapted_prior(p: Column, repo: Column, train: Column, power: float = fixed.PRIOR_POWER) -> Column:

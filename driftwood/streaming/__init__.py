@@ -11,25 +11,18 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftwood.functions import fixed
-from driftwood.operators import history
+from driftwood.sources.index import VersionedIndex
 
 
-def refresh_index(commits: DataFrame, path: str, checkpoint: str, window: int = fixed.WINDOW) -> StreamingQuery:
+def refresh_index(commits: DataFrame, path: str, checkpoint: str, window: int = fixed.WINDOW, features: int = 1, parts: int = 256) -> StreamingQuery:
     """commits: a stream of (repo, sha, ts, type, ...). Each batch adds what the index at `path` lacks and keeps the newest `window` a repo.
 
-    Every batch writes a new table, path/batch=N, from that of the batch before, so that one that is run again gives the same; older tables are
-    deleted, so two are kept. An index has at most `window` rows a repo, and so many are written a batch: take large batches.
+    A batch writes the parts of the repos that it touches, and one that is run again after a failure changes nothing (VersionedIndex).
     """
+    schema = commits.schema
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(["repo", "sha"])
-        if number:
-            held = spark.read.schema(new.schema).parquet(f"{path}/batch={number - 1}")
-            new = held.unionByName(history.missing(new, held))
-        history.refreshed(new, new.limit(0), new, window).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number - 2}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        VersionedIndex(batch.sparkSession, path, schema, features, parts).update(batch, window, number)
 
     return commits.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

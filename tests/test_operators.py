@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwood import sinks, sources, streaming
+from driftwood.sources import log as logs
+from driftwood.sources.index import VersionedIndex
 from driftwood.functions import fixed, text
 from driftwood.operators import classify, decisions, diffs, features, history, messages, neighbours, reports, scoring, softmax, training
 
@@ -113,7 +115,8 @@ def test_history_index(spark):
     cache = spark.createDataFrame([("r", "s1", 0, "old", 1), ("r", "gone", 0, "old", 9)], schema)
     assert history.missing(wanted, cache).count() == 5
     fresh = spark.createDataFrame([("r", "s2", 0, "old", 2), ("r", "s5", 0, "old", 5)], schema)
-    assert {(r.sha, r.ts, r.type, r.v) for r in history.refreshed(wanted, cache, fresh, 2).collect()} == {("s5", 5, "fix", 5), ("s2", 2, "fix", 2)}
+    assert {(r.sha, r.ts, r.type, r.v) for r in history.refreshed(wanted, cache, fresh, 4).collect()} == {("s5", 5, "fix", 5), ("s2", 2, "fix", 2)}
+    assert {r.sha for r in history.refreshed(wanted, cache, fresh, 2).collect()} == {"s5"}  # the window is of wanted commits, entries or not
 
 
 def test_confusion_and_priors(spark):
@@ -285,8 +288,9 @@ def test_stream_refresh(spark, tmp_path):
         spark.createDataFrame(commits[k * 3 : k * 3 + 5], schema).coalesce(1).write.mode("append").json(str(source))
         stream = spark.readStream.schema(schema).json(str(source))
         streaming.refresh_index(stream, str(tmp_path / "index"), str(tmp_path / "checkpoint"), 4).awaitTermination(60)
-    assert sorted(x.name for x in (tmp_path / "index").iterdir()) == ["batch=0", "batch=1"]
-    found = spark.read.schema(schema).json(str(source)).count(), {r.sha for r in spark.read.parquet(str(tmp_path / "index" / "batch=1")).collect()}
+    index = VersionedIndex(spark, str(tmp_path / "index"), schema, 1)
+    assert index.versions() == [1, 2]
+    found = spark.read.schema(schema).json(str(source)).count(), {r.sha for r in index.read().collect()}
     assert found == (10, {"s4", "s5", "s6", "s7"})
 
 
@@ -533,3 +537,111 @@ def test_scores_have_both_terms(spark, most):
         3: [0.125, -0.25],
     }
     assert {k: [round(v, 9) for v in z] for k, z in found.items()} == {k: [round(v, 9) for v in z] for k, z in want.items()}
+
+
+# --- large repos, logs and the index
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Small shuffles stay as they are dealt."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_large_repo_is_shared(spark, many_partitions):
+    """Positions, priors, confusion and files by ranges of rows equal those by windows; the rows of the largest repo lie in several partitions."""
+    import random
+
+    r = random.Random(2)
+    kinds = ["a", "b", "c"]
+    rows = [("big", i) for i in range(1500)] + [(f"r{k}", i) for k in range(12) for i in range(r.randrange(1, 40))] + [(None, i) for i in range(9)]
+    rows = [(a, b, r.choice([*kinds, None, "other"]), [r.random() for _ in kinds]) for a, b in rows]
+    df = spark.createDataFrame(rows, "repo string, ts bigint, type string, p array<double>").repartition(5)
+    same = lambda a, b, c=None: [sorted(map(str, (d.withColumn(c, F.transform(c, lambda x: F.round(x, 9))) if c else d).select(*a.columns).collect())) for d in (a, b)]
+    wide = history.numbered(df, ["ts"], True)
+    assert wide.where("repo = 'big'").select(F.spark_partition_id()).distinct().count() > 1
+    one, two = same(history.numbered(df, ["ts"]), wide)
+    assert one == two
+    n = history.numbered(df, ["ts"]).where("repo is not null").cache()
+    one, two = same(history.with_prior(n, kinds, 50), history.with_prior(n, kinds, 50, True), "prior")
+    assert one == two
+    one, two = same(classify.earlier_confusion(n, kinds, 50), classify.earlier_confusion(n, kinds, 50, True), "conf")
+    assert one == two
+    touched = n.select("repo", "pos", "type", F.explode(F.array_distinct(F.array(F.lit("hot"), (F.col("ts") % 7).cast("string")))).alias("path"))
+    own = history.with_prior(n, kinds, 50).select("repo", "pos", "prior")
+    one, two = same(history.file_evidence(own, touched, kinds, 50), history.file_evidence(own, touched, kinds, 50, wide=True), "file")
+    assert one == two
+    assert not history.numbered(df.limit(0), ["ts"], True).count()
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 7, 64])
+def test_ranges_of_a_log_lose_and_repeat_nothing(piece):
+    import io
+    import random
+
+    r = random.Random(4)
+    held = [bytes(r.choices(b"ab\n\0", k=r.choice([0, 1, 5, 90]))) for _ in range(60)]
+    data = b"junk ahead" + b"".join(logs.SEPARATOR + h for h in held)
+    for split in (1, 13, 100, 10**6):
+        found = [x for part in logs.ranges("f", 0, len(data), split) for x in logs.records(io.BytesIO(data), part.low, part.high, 40, piece)]
+        assert [x[1] for x in found] == [h[:40] for h in held] and [x[2] for x in found] == [len(h) > 40 for h in held]
+        assert all(data[x[0] : x[0] + 1] == logs.SEPARATOR for x in found)
+
+
+def test_large_log(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    text = "".join(f"\x1e{i:040d}\0{i}\0{'p' * 40}{' ' + 'q' * 40 if i % 5 == 0 else ''}\0feat: {i}\n\n" + f"x{i} é\n" * (i % 7 * 40) for i in range(200))
+    (folder / "a.log").write_text(text)
+    found = logs.read_large_log(spark, str(folder), splitBytes=3000, longestCommit=900)
+    rows = found.orderBy("at").collect()
+    assert [x.ts for x in rows] == list(range(200)) and [x.merge for x in rows] == [i % 5 == 0 for i in range(200)]
+    assert all(x.truncated or x.patch == f"x{i} é\n" * (i % 7 * 40) for i, x in enumerate(rows)) and any(x.truncated for x in rows)
+    assert found.select(F.spark_partition_id()).distinct().count() > 5
+    assert [x.ts for x in logs.read_large_log(spark, str(folder), 2, 5, False, splitBytes=3000).collect()] == [3, 4, 6, 7, 8]
+    assert logs.read_large_log(spark, str(folder)).where("merge = false").count() == 160
+    with pytest.raises(Exception, match="nothing"):
+        logs.read_large_log(spark, str(tmp_path / "nothing")).count()
+    went = lambda: spark.readStream.format("commit_log").option("splitBytes", "4000").load(str(folder)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "t")).start()
+    for more in ("", f"and more\n\x1e{200:040d}\0{200}\0p\0last\n"):
+        with open(folder / "a.log", "a") as f:
+            f.write(more)
+        stream = went()
+        stream.processAllAvailable()
+        stream.stop()
+    told = spark.read.parquet(str(tmp_path / "t")).orderBy("ts").collect()
+    assert [x.ts for x in told] == list(range(200)) and told[-1].patch.endswith("and more\n")
+
+
+def test_wanted_of_a_log(spark):
+    subjects = ["feat: a", "no type", "fix: b", "docs: c", "feat: merge", "fix: d", "nothing", "nothing", "feat: too far"]
+    log = spark.createDataFrame([("r", f"s{i}", 100 - i, s, i == 4) for i, s in enumerate(subjects)], "repo string, sha string, ts bigint, subject string, merge boolean")
+    assert [(x.sha, x.type) for x in history.wanted(log, skip=1, window=3).orderBy(F.desc("ts")).collect()] == [("s2", "fix"), ("s3", "docs"), ("s5", "fix")]
+    assert [x.sha for x in history.wanted(log, window=2).orderBy(F.desc("ts")).collect()] == ["s0", "s2"]
+
+
+def test_index_versions(spark, tmp_path):
+    schema = "repo string, sha string, ts bigint, type string"
+    rows = lambda repos, ages: spark.createDataFrame([(f"r{k}", f"s{a}", a, "fix") for k in repos for a in ages], schema)
+    index = VersionedIndex(spark, str(tmp_path / "index"), schema, 3, parts=64)
+    assert index.read().count() == 0
+    assert index.update(rows(range(100), range(5)), window=4) == 1
+    before = index.manifest()
+    assert index.update(rows([7], [5, 6]), window=4, batch=0) == 2 and index.update(rows([8], [9]), window=4, batch=0) == 2
+    after = index.manifest()
+    assert sum(before["folders"][p] != f for p, f in after["folders"].items()) == 1
+    assert {x.sha for x in index.read("r7").collect()} == {"s3", "s4", "s5", "s6"} and {x.sha for x in index.read("r7", 1).collect()} == {"s1", "s2", "s3", "s4"}
+    assert index.read().count() == 400 and not index.read("none").count()
+    # a batch that dies before its manifest is renamed leaves the old version
+    index._commit = lambda manifest: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        index.update(rows([9], [11]), window=4)
+    again = VersionedIndex(spark, str(tmp_path / "index"), schema, 3, parts=8)
+    assert again.manifest() == after and again.read().count() == 400
+    assert again.update(rows([9], [12]), window=4) == 3 and again.versions() == [2, 3]
+    assert {x.sha for x in again.read("r9").collect()} == {"s2", "s3", "s4", "s12"}
+    named = {f for v in again.versions() for f in again.manifest(v)["folders"].values()}
+    assert {f"data/{d.name}/{p.name}" for d in (tmp_path / "index" / "data").iterdir() for p in d.iterdir() if p.is_dir()} == named
+    assert VersionedIndex(spark, str(tmp_path / "index"), schema, 4).read() is None
