@@ -339,17 +339,22 @@ def by_cover(at: np.ndarray, run: np.ndarray, rank: np.ndarray) -> np.ndarray:
     before = np.zeros(len(at), np.int64)
     members = [np.flatnonzero(at % PERIOD == r) for r in range(PERIOD)]
     runs = run.max() + 1 if len(run) else 0
-    for s, theirs in enumerate(members):
-        ahead = np.concatenate(([0], np.cumsum(np.bincount(run[theirs], minlength=runs))))
-        for d in range(PERIOD):
-            asking = [r for r in range(PERIOD) if SHARED[r][s] == d and len(members[r])]
-            if asking and len(theirs):
-                known = np.sort(run[theirs] << 32 | rank[at[theirs] + d])
-                for r in asking:
-                    mine = members[r]
-                    want = run[mine] << 32 | rank[at[mine] + d]
-                    order = np.argsort(want)
-                    before[mine[order]] += np.searchsorted(known, want[order]) - ahead[run[mine[order]]]
+    ahead = [np.concatenate(([0], np.cumsum(np.bincount(run[m], minlength=runs)))) for m in members]
+    sorted_at: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def in_order(r: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """(run, rank d bytes on) of the suffixes of a residue, sorted, and whose they are."""
+        if (r, d) not in sorted_at:
+            key = run[members[r]] << 32 | rank[at[members[r]] + d]
+            order = np.argsort(key)
+            sorted_at[r, d] = key[order], members[r][order]
+        return sorted_at[r, d]
+
+    for r in range(PERIOD):
+        for s in range(PERIOD):
+            if len(members[r]) and len(members[s]):
+                want, whose = in_order(r, SHARED[r][s])
+                before[whose] += np.searchsorted(in_order(s, SHARED[r][s])[0], want) - ahead[s][run[whose]]
     return before
 
 
