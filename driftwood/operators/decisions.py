@@ -50,12 +50,21 @@ def file_predicates(files: DataFrame) -> DataFrame:
     )
 
 
-def line_signals(lines: DataFrame) -> DataFrame:
-    """(commit_id, logs, comments): logs is 1 if only log lines were added, -1 if only removed, else 0; comments: all lines are comments."""
+def line_signals(lines: DataFrame, truncated: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """(commit_id, logs, comments): logs is 1 if only log lines were added, -1 if only removed, else 0; comments: all lines are comments.
+
+    Lines that a diff's caps left out could be anything, so a commit that `truncated` (commit_id, truncated) names says nothing of logs; and one with a
+    binary file (files: commit_id, binary) isn't all comments.
+    """
     full = lines.where(F.col("text").rlike(r"\S"))
     is_log, added = F.col("text").rlike(fixed.LOG_LINE), F.col("added")
     by = full.groupBy("commit_id").agg(F.count_if(~is_log).alias("other"), F.count_if(is_log & added).alias("log_added"), F.bool_and(F.col("text").rlike(fixed.COMMENT_LINE)).alias("comments"))
-    return by.select("commit_id", F.when(F.col("other") > 0, 0).when(F.col("log_added") > 0, 1).otherwise(-1).alias("logs"), "comments")
+    by = by.join(truncated.select("commit_id", "truncated"), "commit_id", "left") if truncated is not None else by.withColumn("truncated", F.lit(False))
+    binary = files.groupBy("commit_id").agg(F.bool_or("binary").alias("binary")) if files is not None else None
+    by = by.join(binary, "commit_id", "left") if binary is not None else by.withColumn("binary", F.lit(False))
+    known = lambda c: F.coalesce(F.col(c), F.lit(False))
+    logs = F.when((F.col("other") > 0) | known("truncated"), 0).when(F.col("log_added") > 0, 1).otherwise(-1)
+    return by.select("commit_id", logs.alias("logs"), (F.col("comments") & ~known("binary")).alias("comments"))
 
 
 def pick_emoji(rows: DataFrame) -> DataFrame:

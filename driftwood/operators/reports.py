@@ -61,27 +61,38 @@ def prior_powers(p: Column, repo: Column, train: Column, powers: tuple[float, ..
     return {str(x): adapted_prior(p, repo, train, x) for x in powers}
 
 
-#: How features of each prefix are told; _ in the value reads as a space where the text ends in "_".
+#: What each kind of feature says of a change, by what it is about; {} is the rest of its name.
 WORDS = {
-    "only": "every file is ", "files": "share of ", "p": "directory ", "p0": "directory ", "pp": "directory ", "pl": "directory ", "f": "file ", "fw": "file name word ", "e": "extension .", "l": "language ", "c": "file kind ", "s": "file ",
-    "cs": "file _", "es": "file _", "ls": "file _", "ce": "file _", "fe": "file _", "a": "added token ", "r": "removed token ", "x": "new identifier ", "y": "dropped identifier ", "ab": 'added "_', "rb": 'removed "_',
-    "A1": "added line starting with ", "AL": "added line starting with ", "R1": "removed line starting with ", "RL": "removed line starting with ", "h": "in function ", "hs": "in function ", "m": "message word _", "m1": "message word _", "m2": "message word _",
+    # the change as a whole
+    "only": "all changed files count as {}", "files": "portion of changed files that count as {}",
+    # where files lie
+    "p": "a changed path goes through {}/", "p0": "a changed path starts at {}/", "pp": "a changed path goes through {}/", "pl": "a changed file lies right in {}/", "fe": "a changed file has place and ending {}",
+    # what files are
+    "f": "a changed file is called {}", "fw": "{} is part of a changed file's name", "e": "a changed file ends in .{}", "l": "a changed file is written in {}", "c": "a changed file counts as {}", "s": "a changed file was {}",
+    "cs": "a changed file is, and was: {}", "es": "a changed file has ending and fate {}", "ls": "a changed file has language and fate {}", "ce": "a changed file is of kind and ending {}",
+    # tokens, and neighbours of them, on either side
+    "a": "{} stands in code that came", "r": "{} stands in code that went", "x": "{} came and was not there before", "y": "{} went and did not come back", "ab": "{} stand side by side in code that came", "rb": "{} stand side by side in code that went",
+    # how lines begin
+    "A1": "a line that came begins like {}", "AL": "a line that came begins like {}", "R1": "a line that went begins like {}", "RL": "a line that went begins like {}",
+    # what hunks and messages say
+    "h": "a hunk's heading has {}", "hs": "a hunk's heading begins like {}", "m": "the message has {}", "m1": "the message opens with {}", "m2": "the message has, side by side, {}",
 }
+#: Kinds whose names hold two things, with a _ between them.
+PAIRS = ("cs", "es", "ls", "ce", "ab", "rb", "m2")
 
 
 def in_words(feature: Column) -> Column:
-    """A feature's name as a reader would say it; a name of an unknown prefix stays, an empty one is a hashed feature."""
+    """A feature's name as a sentence: lines' beginnings with their language, pairs with a plus. A name of an unknown kind stays; of an empty one only the bucket is known."""
     prefix = F.substring_index(feature, ":", 1)
     value = F.regexp_replace(feature, "^[^:]*:", "")
     said = F.try_element_at(F.create_map(*[F.lit(x) for pair in WORDS.items() for x in pair]), prefix)
-    shape = F.when(prefix.isin("A1", "AL", "R1", "RL"), F.substring_index(value, ":", -1)).when(said.endswith("_"), F.replace(value, F.lit("_"), F.lit(" "))).otherwise(value)
-    after = F.when(prefix == "files", " files").when(prefix.isin("ab", "rb"), '"').otherwise("")
+    told = F.when(prefix.isin("AL", "RL"), F.concat(F.substring_index(value, ":", -1), F.lit(", in "), F.substring_index(value, ":", 1))).when(prefix.isin(*PAIRS), F.replace(value, F.lit("_"), F.lit(" + "))).otherwise(value)
     return (
-        F.when(feature == "", "(hashed feature)")
-        .when(feature.startswith("lines_in_"), F.concat(F.lit("lines changed in "), F.regexp_replace(feature, "^lines_in_", ""), F.lit(" files")))
-        .when(~feature.contains(":"), F.replace(feature, F.lit("_"), F.lit(" ")))
+        F.when(feature == "", "a bucket whose names are not known")
+        .when(feature.startswith("lines_in_"), F.concat(F.lit("portion of changed lines in "), F.regexp_replace(feature, "^lines_in_", "")))
+        .when(~feature.contains(":"), F.concat(F.lit("measure of "), F.replace(feature, F.lit("_"), F.lit(" "))))
         .when(said.isNull(), feature)
-        .otherwise(F.concat(F.regexp_replace(said, "_$", ""), shape, after))
+        .otherwise(F.replace(said, F.lit("{}"), told))
     )
 
 

@@ -28,13 +28,20 @@ def _place(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table, read back: its lineage is cut, and lost executors lose nothing. It goes by dropped(), or when the application ends."""
+def placed(df: DataFrame, form: str) -> str:
+    """Where df lies, written in a form of Spark's; it goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.format(form).save(path)
     files, where = _place(spark, path)
     files.deleteOnExit(where)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table, read back: its lineage is cut, and lost executors lose nothing. It goes by dropped(), or when the application ends."""
+    spark = df.sparkSession
+    path = placed(df, "parquet")
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

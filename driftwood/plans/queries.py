@@ -11,6 +11,7 @@ from driftwood.functions import fixed, headers, paths, text
 from driftwood.operators import classify, decisions, diffs, features, history, messages, neighbours, reports, scoring, softmax, tables, training
 from driftwood.plans import corpora as C
 from driftwood.plans import duck as K
+from driftwood.sources import log as logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -505,6 +506,27 @@ def index_refresh(spark, sf_dir):
     return history.refreshed(e, entry.where("pos <= 40"), entry.where("pos > 40")).select("repo", "sha", "ts", "type", "path")
 
 
+@query("SELECT lpad(doc_id::VARCHAR, 40, '0') AS sha, doc_id AS ts, coalesce(lang, '') AS subject, md5(replace(text, chr(30), ' ') || chr(10)) AS patch FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 0")
+def log_scan(spark, sf_dir):
+    """Documents written as a commit log and read back by ranges, merges left out as they are read."""
+    d = C.read(spark, sf_dir, "documents").where("text is not null")
+    parent = F.when(F.col("doc_id") % 5 == 0, "p q").otherwise("p")
+    head = F.concat_ws("\0", F.concat(F.lit("\x1e"), F.lpad(F.col("doc_id").cast("string"), 40, "0")), F.col("doc_id").cast("string"), parent, F.coalesce("lang", F.lit("")))
+    at = tables.placed(d.select(F.concat(head, F.lit("\n\n"), F.replace("text", F.lit("\x1e"), F.lit(" ")))), "text")
+    return logs.read_large_log(spark, at, merges=False, splitBytes=1 << 20).select("sha", "ts", "subject", F.md5(F.col("patch").cast("binary")).alias("patch"))
+
+
+LARGE = f"big AS (SELECT user_id % 3 AS repo, event_id, event_type AS type, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS pos FROM events)"
+
+
+@query(f"WITH {LARGE} SELECT event_id, pos, count(*) OVER w AS size, {', '.join(f'round((count(*) FILTER (WHERE type = {K.quoted(t)}) OVER w + 1) / (count(*) OVER w + {N5}) + 1e-9, 6) AS p_{t}' for t in C.EVENT_TYPES)} FROM big WINDOW w AS (PARTITION BY repo ORDER BY pos ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING)")
+def large_repo_prior(spark, sf_dir):
+    """Events as commits of three repos, each shared by all tasks: positions and priors by ranges of rows."""
+    e = C.read(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("repo"), "event_id", "ts", F.col("event_type").alias("type"))
+    rows = history.with_prior(history.numbered(e, ["ts", "event_id"], True), C.EVENT_TYPES, wide=True)
+    return rows.select("event_id", "pos", "size", *[r6(F.get("prior", F.lit(i))).alias(f"p_{t}") for i, t in enumerate(C.EVENT_TYPES)])
+
+
 # --- neighbours
 
 EMB = "emb AS (SELECT 0 AS repo, vec_id AS pos, label::VARCHAR AS type, embedding::DOUBLE[] AS vec FROM embeddings), pairs AS (SELECT q.pos, h.pos AS other, h.type, list_cosine_similarity(q.vec, h.vec) AS sim FROM emb q JOIN emb h ON h.pos < q.pos AND h.pos >= q.pos - 1000), near AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY round(sim, 9) DESC, other DESC) AS rank FROM pairs QUALIFY rank <= 15)"
@@ -817,7 +839,7 @@ EMOJI_CTE = f"""{C.CHANGES}, json AS (SELECT * FROM cl WHERE {_PB} IN {K.strings
     bool_and({_PB} IN {K.strings(fixed.LICENSE_NAMES)} OR regexp_matches(lower(path), '^licenses?/')) AS license, bool_and({_PB} IN {K.strings(fixed.CONTRIBUTOR_NAMES)}) AS contributors, bool_and(regexp_matches({_PB}, '^(dependabot\\.ya?ml|renovate\\.json5?|\\.renovaterc.*)$')) AS bot,
     bool_and(regexp_matches(lower(path), '\\.(d\\.ts|d\\.mts|d\\.cts|pyi|flow)$|(^|/)@?types/')) AS types, bool_and(regexp_matches(lower(path), '\\.(sql|prisma)$|migration|db/migrate/|alembic/versions/|/seeds/|/seeders/')) AS db, bool_and(regexp_matches(lower(path), '__mocks__/|/mocks/|(mock|stub|fake)[^/]*$')) AS mock,
     {', '.join(COUNT_IF(f"c = '{c}'") + f' AS n_{c}' for c in sorted(_NAMED))} FROM (SELECT *, {_CAT} AS c FROM cf) GROUP BY commit_id),
-  ls AS (SELECT commit_id, CASE WHEN bool_or(NOT lg) THEN 0 WHEN bool_or(added) THEN 1 ELSE -1 END AS logs, bool_and(cm) AS comments FROM (SELECT commit_id, added, regexp_matches(text, {K.quoted(fixed.LOG_LINE)}) AS lg, regexp_matches(text, {K.quoted(fixed.COMMENT_LINE)}) AS cm FROM cl WHERE regexp_matches(text, '\\S')) GROUP BY commit_id),
+  ls AS (SELECT commit_id, CASE WHEN bool_or(NOT lg) OR bool_or(cut) THEN 0 WHEN bool_or(added) THEN 1 ELSE -1 END AS logs, bool_and(cm) AND NOT (commit_id >= 0 AND commit_id % 11 = 0) AS comments FROM (SELECT commit_id, added, commit_id IN (SELECT commit_id FROM cl WHERE commit_id >= 0 AND (ln >= 400 OR strlen(text) > 1000)) AS cut, regexp_matches(text, {K.quoted(fixed.LOG_LINE)}) AS lg, regexp_matches(text, {K.quoted(fixed.COMMENT_LINE)}) AS cm FROM cl WHERE regexp_matches(text, '\\S')) GROUP BY commit_id),
   row0 AS (SELECT fp.*, coalesce(logs, 0) AS logs, coalesce(comments, false) AS comments, dependency, version_bump, subject, {C._sql_list(CLASSES)}[abs(commit_id) % 11 + 1] AS type, abs(commit_id) % 37 = 0 AS breaking, fp.removed > 0 AND fp.added = 0 AS gone FROM fp JOIN say USING (commit_id) LEFT JOIN ls USING (commit_id) LEFT JOIN dep USING (commit_id) LEFT JOIN bump USING (commit_id)),
   usual(type, code) AS (VALUES {', '.join(f"('{t}', '{e}')" for t, e in fixed.EMOJI_OF_TYPE.items())})"""
 _MADE = "type IN ('build', 'chore', 'ci') AND dependency IS NULL"
@@ -838,7 +860,10 @@ def emoji_pick(spark, sf_dir):
     files, lines, subjects = C.changes(spark, sf_dir)
     dependency = decisions.dependency_emoji(decisions.dependency_changes(lines))
     rows = decisions.file_predicates(files).join(subjects, "commit_id")
-    for more in (decisions.line_signals(lines), dependency, decisions.release_only(files, lines)):
+    # what the caps of the diff reader leave out, and binary files, as the files of documents have them
+    cut = lines.groupBy("commit_id").agg(F.bool_or((F.col("commit_id") >= 0) & ((F.col("ln") >= 400) | (F.octet_length("text") > 1000))).alias("truncated"))
+    binary = files.withColumn("binary", (F.col("commit_id") >= 0) & (F.col("commit_id") % 11 == 0))
+    for more in (decisions.line_signals(lines, cut, binary), dependency, decisions.release_only(files, lines)):
         rows = rows.join(more, "commit_id", "left")
     n, names = F.abs("commit_id"), F.array(*[F.lit(c) for c in CLASSES])
     rows = rows.withColumns({"type": F.get(names, (n % len(CLASSES)).cast("int")), "breaking": n % 37 == 0})
@@ -921,6 +946,14 @@ def scope_by_habits(spark, sf_dir):
     return decisions.guess_scope(files, habits_before(spark, sf_dir), repo_of)
 
 
+@query(f"""WITH {DHEAD}, x AS (SELECT repo, doc_id, type, row_number() OVER (PARTITION BY repo ORDER BY doc_id DESC) AS n FROM dh WHERE doc_id % 9 <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY doc_id DESC) AS m FROM x WHERE n > 3 AND n <= 2003 AND type IS NOT NULL)
+  SELECT repo, doc_id::VARCHAR AS sha, doc_id AS ts, type FROM k WHERE m <= 1000""")
+def wanted_commits(spark, sf_dir):
+    """What an index should hold of each repo's log, without merges and the three newest commits."""
+    log = C.document_subjects(spark, sf_dir).select("repo", F.col("doc_id").cast("string").alias("sha"), F.col("doc_id").alias("ts"), "subject", (F.col("doc_id") % 9 == 0).alias("merge"))
+    return history.wanted(log, skip=3).select("repo", "sha", "ts", "type")
+
+
 #: Kinds of messages, by turn: {m}: the text.
 MESSAGES = ["{m}", "# note\n{m}", "\n# note", "fixup! {m}", "fix(x): {m}", "# note\n\n{m}", "{m}\n\nmore", "✨ {m}"]
 SOURCES = ["", "message", "template", "merge", "squash", "commit", ""]
@@ -970,8 +1003,8 @@ _PATH_NAMES = PATH_FEATURES.replace("SELECT commit_id, feature, count(*) AS n FR
 _CAT_NAMES = f"SELECT unnest(list_concat({C._sql_list(['only:' + c for c in fixed.CATEGORIES] + ['files:' + c for c in fixed.CATEGORIES] + ['lines_in_tests', 'has_message', ''])})) AS feature"
 
 
-@query(f"""WITH n AS ({_PATH_NAMES} UNION SELECT feature FROM ({MESSAGE}) UNION SELECT feature FROM ({BIGRAMS}) UNION {_CAT_NAMES}), w(prefix, said) AS (VALUES {_WORD_ROWS}), v AS (SELECT feature, {_PX} AS px, said, CASE WHEN ends_with(said, '_') THEN replace({_VX}, '_', ' ') ELSE {_VX} END AS val FROM n LEFT JOIN w ON prefix = {_PX})
-  SELECT feature, CASE WHEN feature = '' THEN '(hashed feature)' WHEN starts_with(feature, 'lines_in_') THEN 'lines changed in ' || feature[10:] || ' files' WHEN NOT contains(feature, ':') THEN replace(feature, '_', ' ') WHEN said IS NULL THEN feature ELSE rtrim(said, '_') || val || CASE WHEN px = 'files' THEN ' files' WHEN px IN ('ab', 'rb') THEN '"' ELSE '' END END AS words FROM v""")
+@query(f"""WITH n AS ({_PATH_NAMES} UNION SELECT feature FROM ({MESSAGE}) UNION SELECT feature FROM ({BIGRAMS}) UNION {_CAT_NAMES}), w(prefix, said) AS (VALUES {_WORD_ROWS}), v AS (SELECT feature, {_PX} AS px, said, CASE WHEN {_PX} IN {K.strings(reports.PAIRS)} THEN replace({_VX}, '_', ' + ') ELSE {_VX} END AS val FROM n LEFT JOIN w ON prefix = {_PX})
+  SELECT feature, CASE WHEN feature = '' THEN 'a bucket whose names are not known' WHEN starts_with(feature, 'lines_in_') THEN 'portion of changed lines in ' || feature[10:] WHEN NOT contains(feature, ':') THEN 'measure of ' || replace(feature, '_', ' ') WHEN said IS NULL THEN feature ELSE replace(said, '{{}}', val) END AS words FROM v""")
 def feature_words(spark, sf_dir):
     """Names of features of every kind but shapes, as a reader would say them."""
     fixed_names = spark.createDataFrame([(x,) for x in ["only:" + c for c in fixed.CATEGORIES] + ["files:" + c for c in fixed.CATEGORIES] + ["lines_in_tests", "has_message", ""]], "feature string")

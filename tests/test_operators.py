@@ -404,7 +404,11 @@ def test_subject_habits(spark):
 def test_reports(spark):
     ranks = spark.createDataFrame([(1, 0.005), (2, 0.02), (3, 0.02), (2, 0.009), (3, 0.03), (4, 0.5)], "rank int, p double")
     assert sorted((r.rank, r.p) for r in reports.shown(ranks).collect()) == [(1, 0.005), (2, 0.02), (3, 0.03)]
-    cases = {"": "(hashed feature)", "lines_in_docs": "lines changed in docs files", "has_message": "has message", "only:docs": "every file is docs", "files:ci": "share of ci files", "pp:a/b": "directory a/b", "cs:docs_added": "file docs added", "ab:x_y": 'added "x y"', "AL:py:def": "added line starting with def", "R1:<num>": "removed line starting with <num>", "m2:a_b": "message word a b", "ren:moved": "ren:moved", "f:a_b:c": "file a_b:c"}
+    cases = {
+        "": "a bucket whose names are not known", "lines_in_docs": "portion of changed lines in docs", "has_message": "measure of has message", "only:docs": "all changed files count as docs", "files:ci": "portion of changed files that count as ci",
+        "pp:a/b": "a changed path goes through a/b/", "cs:docs_added": "a changed file is, and was: docs + added", "ab:x_y": "x + y stand side by side in code that came", "AL:py:def": "a line that came begins like def, in py",
+        "R1:<num>": "a line that went begins like <num>", "m2:a_b": "the message has, side by side, a + b", "ren:moved": "ren:moved", "f:a_b:c": "a changed file is called a_b:c",
+    }
     rows = spark.createDataFrame([(k,) for k in cases], "f string").withColumn("w", reports.in_words(F.col("f")))
     assert {r.f: r.w for r in rows.collect()} == cases
     guesses = spark.createDataFrame([("fix", x) for x in ("fix", "docs", "feat", "feat", "ci")] + [("ci", "fix")], "type string, first string")
@@ -645,3 +649,12 @@ def test_index_versions(spark, tmp_path):
     named = {f for v in again.versions() for f in again.manifest(v)["folders"].values()}
     assert {f"data/{d.name}/{p.name}" for d in (tmp_path / "index" / "data").iterdir() for p in d.iterdir() if p.is_dir()} == named
     assert VersionedIndex(spark, str(tmp_path / "index"), schema, 4).read() is None
+
+
+def test_line_signals_of_truncated_and_binary_changes(spark):
+    lines = spark.createDataFrame([(k, True, "console.log(1)") for k in (1, 2)] + [(k, True, "# a comment") for k in (3, 4)] + [(5, False, "console.log(1)")], "commit_id bigint, added boolean, text string")
+    cut = spark.createDataFrame([(1, True), (2, False), (5, None)], "commit_id bigint, truncated boolean")
+    files = spark.createDataFrame([(3, True), (3, False), (4, False)], "commit_id bigint, binary boolean")
+    found = {r.commit_id: (r.logs, r.comments) for r in decisions.line_signals(lines, cut, files).collect()}
+    assert found == {1: (0, False), 2: (1, False), 3: (0, False), 4: (0, True), 5: (-1, False)}
+    assert {r.commit_id: r.logs for r in decisions.line_signals(lines).collect()}[1] == 1
