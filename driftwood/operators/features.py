@@ -183,6 +183,15 @@ def version_bump(files_lines: DataFrame) -> DataFrame:
     return by_file.groupBy("commit_id").agg(F.bool_or(F.col("x") & F.col("y")).alias("version_bump"))
 
 
+#: What each structural slot of dense() measures, in their order.
+SLOT_NAMES = [
+    "file_count", "lines_added", "lines_removed", "share_added", "lines_changed", "share_new_files", "share_deleted_files", "share_moved_files", "share_binary_files", *(f"files:{c}" for c in fixed.CATEGORIES), *(f"only:{c}" for c in fixed.CATEGORIES),
+    "spacing_only", "common_tokens", "comments_in_added", "comments_in_removed", "imports_in_added", "imports_in_removed", "files_only_adding", "files_only_removing", "version_changed", "language_count", "largest_file", "has_message", "lines_in_tests",
+    "lines_in_docs", "lines_in_source", "cut_short", "one_file", "hunk_count", "executable_files", "line_length", "trivial_lines", "test_words", "one_extension", "lines_in_ci", "lines_in_build", "lines_in_config", "lines_in_style", "lines_in_schema",
+    "lines_in_generated", "lines_in_i18n", "lines_in_changelog", "strings", "growth", "error_words", "null_words", "log_words", "deprecations", "type_words", "nothing_removed", "nothing_added", "tests_with_source",
+]
+
+
 def dense(counters: DataFrame, keywords: DataFrame, shares: DataFrame, similarity: DataFrame, jaccard: DataFrame, bumps: DataFrame, more: DataFrame) -> DataFrame:
     """(commit_id, dense array<double>): the 88 structural features in their fixed order. more: commit_id, hunks, truncated, has_message."""
     c = F.col

@@ -594,10 +594,11 @@ def linear_logits(spark, sf_dir):
     return linear(spark, sf_dir).select("commit_id", "class", r6("z").alias("z"))
 
 _SLOT_W = lambda i, c: f"((({i}) * (({c}) + 3)) % 23 - 11) / 20"
-DENSE_LINEAR = f"""WITH {DENSE_CTE}, dcounts AS (SELECT commit_id, {A_R} || token AS feature, count(*) AS n FROM tok GROUP BY ALL), dweights AS (SELECT commit_id, feature, ln(1 + n) / sqrt(sum(ln(1 + n) * ln(1 + n)) OVER (PARTITION BY commit_id)) AS weight FROM dcounts),
+DENSE_LINEAR_CTE = f"""{DENSE_CTE}, dcounts AS (SELECT commit_id, {A_R} || token AS feature, count(*) AS n FROM tok GROUP BY ALL), dweights AS (SELECT commit_id, feature, ln(1 + n) / sqrt(sum(ln(1 + n) * ln(1 + n)) OVER (PARTITION BY commit_id)) AS weight FROM dcounts),
   dnames AS (SELECT feature, {K.bucket('feature')} AS bucket FROM (SELECT DISTINCT feature FROM dweights)), dhashed AS (SELECT commit_id, bucket, sum(weight) AS weight FROM dweights JOIN dnames USING (feature) WHERE bucket % 8 = 0 GROUP BY ALL), cl AS (SELECT unnest({C._sql_list(CLASSES)}) AS class, unnest(range({len(CLASSES)})) AS c),
-  st AS (SELECT commit_id, c, sum(weight * (((bucket * (c + 7)) % 201) - 100) / 100) AS z FROM dhashed, cl GROUP BY ALL), sv AS (SELECT commit_id, unnest([{', '.join(f'd{i}' for i in range(88))}]) AS v, unnest(range(88)) AS i FROM slots), dt AS (SELECT commit_id, c, sum(v * {_SLOT_W('i', 'c')}) AS z FROM sv, cl GROUP BY ALL)
-  SELECT commit_id, class, {s6('(c - 5) / 20 + coalesce(st.z, 0) + dt.z')} AS z FROM dt JOIN cl USING (c) LEFT JOIN st USING (commit_id, c)"""
+  st AS (SELECT commit_id, c, sum(weight * (((bucket * (c + 7)) % 201) - 100) / 100) AS z FROM dhashed, cl GROUP BY ALL), sv AS (SELECT commit_id, unnest([{', '.join(f'd{i}' for i in range(88))}]) AS v, unnest(range(88)) AS i FROM slots), dt AS (SELECT commit_id, c, sum(v * {_SLOT_W('i', 'c')}) AS z FROM sv, cl GROUP BY ALL),
+  dz AS (SELECT commit_id, c, class, (c - 5) / 20 + coalesce(st.z, 0) + dt.z AS z FROM dt JOIN cl USING (c) LEFT JOIN st USING (commit_id, c))"""
+DENSE_LINEAR = f"WITH {DENSE_LINEAR_CTE} SELECT commit_id, class, {s6('z')} AS z FROM dz"
 
 
 def slot_weights(spark, keep):
@@ -609,14 +610,29 @@ def slot_weights(spark, keep):
     return buckets.unionByName(slots).unionByName(bias)
 
 
+def dense_model(spark, sf_dir):
+    """(named, dense, weights, logits) of five documents a commit: the structural slots, and the tokens whose buckets a pruned model keeps."""
+    lines = C.document_lines(spark, sf_dir).select(F.floor(F.col("commit_id") / 5).cast("bigint").alias("commit_id"), "added", "text")
+    named, dense, weights = features.log_tf_l2(features.token_counts(lines)), dense_vectors(spark, sf_dir), slot_weights(spark, F.col("id") % 8 == 0)
+    return named, dense, weights, softmax.score(softmax.sparse_rows(features.hashed(named), dense), weights, len(CLASSES))
+
+
 @query(DENSE_LINEAR)
 def linear_logits_dense(spark, sf_dir):
-    """Both terms of the linear model, of five documents a commit: the structural slots, and the tokens whose buckets a pruned model keeps."""
-    lines = C.document_lines(spark, sf_dir).select(F.floor(F.col("commit_id") / 5).cast("bigint").alias("commit_id"), "added", "text")
-    rows = softmax.sparse_rows(features.hashed(features.log_tf_l2(features.token_counts(lines))), dense_vectors(spark, sf_dir))
-    z = softmax.score(rows, slot_weights(spark, F.col("id") % 8 == 0), len(CLASSES))
+    """Both terms of the linear model."""
     names = F.array(*[F.lit(c) for c in CLASSES])
-    return z.select("commit_id", F.posexplode("z").alias("c", "z")).select("commit_id", F.get(names, F.col("c")).alias("class"), r6("z").alias("z"))
+    return dense_model(spark, sf_dir)[3].select("commit_id", F.posexplode("z").alias("c", "z")).select("commit_id", F.get(names, F.col("c")).alias("class"), r6("z").alias("z"))
+
+
+@query(f"""WITH {DENSE_LINEAR_CTE}, ro AS (SELECT commit_id, c, row_number() OVER (PARTITION BY commit_id ORDER BY round(z, 9) DESC, c) AS r FROM dz), wo AS (SELECT commit_id, max(c) FILTER (WHERE r = 1) AS won, max(c) FILTER (WHERE r = 2) AS lost FROM ro WHERE r <= 2 GROUP BY commit_id),
+  sn AS (SELECT unnest({C._sql_list(features.SLOT_NAMES)}) AS name, unnest(range(88)) AS i), ea AS (SELECT commit_id, bucket AS id, feature AS name, weight AS x, weight * (((bucket * (won + 7)) % 201) - ((bucket * (lost + 7)) % 201)) / 100 AS m FROM dweights JOIN dnames USING (feature) JOIN wo USING (commit_id) WHERE bucket % 8 = 0
+    UNION ALL SELECT commit_id, 1048576 + i, name, v, v * ({_SLOT_W('i', 'won')} - {_SLOT_W('i', 'lost')}) FROM sv JOIN sn USING (i) JOIN wo USING (commit_id) WHERE v <> 0),
+  bu AS (SELECT commit_id, id, sum(m) AS margin, string_agg(name, ' | ' ORDER BY round(x, 9) DESC, name) AS names, max(x) / sum(x) AS share FROM ea GROUP BY ALL), sd AS (SELECT *, CASE WHEN margin > 0 THEN 'for' ELSE 'against' END AS side FROM bu WHERE round(margin, 9) <> 0)
+  SELECT commit_id, side, (row_number() OVER (PARTITION BY commit_id, side ORDER BY round(abs(margin), 9) DESC, id))::INT AS rank, {s6('margin')} AS margin, names, {s6('share')} AS share FROM sd QUALIFY rank <= 8""")
+def explain_named(spark, sf_dir):
+    """What speaks most for and against each commit's first class, by the names that it has."""
+    found = softmax.explain(*dense_model(spark, sf_dir))
+    return found.select("commit_id", "side", "rank", r6("margin").alias("margin"), F.array_join(F.transform("names", lambda n: n["name"]), " | ").alias("names"), r6(F.get("names", F.lit(0))["share"]).alias("share"))
 
 
 RANK_CTE = f"{LINEAR_CTE}, sm AS (SELECT *, exp(z / 1.5) / sum(exp(z / 1.5)) OVER (PARTITION BY commit_id) AS p FROM lz), rk AS (SELECT *, row_number() OVER (PARTITION BY commit_id ORDER BY round(p, 12) DESC, c) AS rank FROM sm)"
