@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwood.functions import fixed, headers, paths, text
-from driftwood.operators import classify, decisions, diffs, features, history, messages, neighbours, reports, scoring, softmax, tables, training
+from driftwood.operators import classify, cleaning, decisions, diffs, features, history, messages, neighbours, reports, scoring, softmax, tables, training
 from driftwood.plans import corpora as C
 from driftwood.plans import duck as K
 from driftwood.sources import log as logs
@@ -760,6 +760,30 @@ def train_sparse(spark, sf_dir):
     return counted.join(loss, "fold").select("fold", "class", "n", "better")
 
 
+# --- labels that are likely wrong
+
+JOINT_CTE = f"""{PRIOR_CTE}, lp AS (SELECT event_id, list_position({C._sql_list(C.EVENT_TYPES)}, type) - 1 AS label, [{', '.join(f'p{i}' for i in range(N5))}] AS p FROM prior), tt AS (SELECT [{', '.join(f'coalesce(avg(p[{i + 1}]) FILTER (WHERE label = {i}), 1)' for i in range(N5))}] AS t FROM lp),
+  su AS (SELECT lp.*, list_transform(range({N5}), lambda i: CASE WHEN round(p[i + 1], 9) >= round(t[i + 1], 9) THEN round(p[i + 1], 9) END) AS s FROM lp, tt), ot AS (SELECT event_id, label, list_position(s, list_max(s)) - 1 AS other FROM su),
+  jc AS (SELECT label, other, count(*) AS n FROM ot GROUP BY ALL), jt AS (SELECT *, sum(n) OVER (PARTITION BY label) AS al, sum(n) FILTER (WHERE other IS NOT NULL) OVER (PARTITION BY label) AS su FROM jc), jo AS (SELECT label::INT AS label, other::INT AS other, n, floor(n * al / su)::BIGINT AS wrong FROM jt WHERE other IS NOT NULL)"""
+
+
+def labelled_priors(spark, sf_dir):
+    label = (F.array_position(F.array(*[F.lit(t) for t in C.EVENT_TYPES]), F.col("type")) - 1).cast("int")
+    return event_prior(spark, sf_dir).select("event_id", label.alias("label"), F.col("prior").alias("p"))
+
+
+@query(f"WITH {JOINT_CTE} SELECT * FROM jo")
+def confident_joint(spark, sf_dir):
+    """Events with their repo's shares as probabilities: which types the shares are sure of, for each type."""
+    return cleaning.confident_joint(labelled_priors(spark, sf_dir), N5)
+
+
+@query(f"""WITH {JOINT_CTE}, ma AS (SELECT event_id, label, i AS other, floor(round((p[i + 1] - p[label + 1]) * 10000, 6))::BIGINT AS step FROM lp, (SELECT unnest(range({N5})) AS i) WHERE i <> label), hi AS (SELECT label, other, step, count(*) AS k FROM ma GROUP BY ALL), cu AS (SELECT *, sum(k) OVER (PARTITION BY label, other ORDER BY step DESC) AS upto FROM hi),
+  le AS (SELECT cu.label, cu.other, min(step) AS least FROM cu JOIN jo ON jo.label = cu.label AND jo.other = cu.other AND jo.wrong > 0 AND upto <= wrong GROUP BY ALL) SELECT event_id, label::INT AS label, other::INT AS other, step FROM (SELECT ma.*, row_number() OVER (PARTITION BY event_id ORDER BY step DESC, ma.other) AS r FROM ma JOIN le USING (label, other) WHERE step >= least) WHERE r = 1""")
+def label_issues(spark, sf_dir):
+    return cleaning.label_issues(labelled_priors(spark, sf_dir), N5, ("event_id",))
+
+
 # --- scope, emoji, dependencies
 
 _SEG = f"string_split({_DIR}, '/')"

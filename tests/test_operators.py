@@ -11,7 +11,7 @@ from driftwood import sinks, sources, streaming
 from driftwood.sources import log as logs
 from driftwood.sources.index import VersionedIndex
 from driftwood.functions import fixed, text
-from driftwood.operators import classify, decisions, diffs, features, history, messages, neighbours, reports, scoring, softmax, training
+from driftwood.operators import classify, cleaning, decisions, diffs, features, history, messages, neighbours, reports, scoring, softmax, training
 
 PATCH = '''some preamble
 diff --git a/src/a b.py b/src/a b.py
@@ -658,3 +658,34 @@ def test_line_signals_of_truncated_and_binary_changes(spark):
     found = {r.commit_id: (r.logs, r.comments) for r in decisions.line_signals(lines, cut, files).collect()}
     assert found == {1: (0, False), 2: (1, False), 3: (0, False), 4: (0, True), 5: (-1, False)}
     assert {r.commit_id: r.logs for r in decisions.line_signals(lines).collect()}[1] == 1
+
+
+def test_planted_label_noise_is_found(spark):
+    """A tenth of the labels are another class; the probabilities are those of a model that is sometimes unsure."""
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(3000):
+        truth = int(r.integers(0, 4))
+        p = r.dirichlet([6.0 if c == truth else 1.0 for c in range(4)])
+        wrong = r.random() < 0.1
+        rows.append((i, (truth + int(r.integers(1, 4))) % 4 if wrong else truth, [float(x) for x in p], bool(wrong)))
+    df = spark.createDataFrame([*rows, (9998, None, [0.25] * 4, False), (9999, 1, None, False)], "i int, label int, p array<double>, wrong boolean")
+    found = cleaning.label_issues(df, 4, ("i", "wrong")).collect()
+    assert len({x.i for x in found}) == len(found) and all(x.label != x.other for x in found)
+    hits = sum(x.wrong for x in found)
+    assert hits / len(found) > 0.7 and hits / sum(x[3] for x in rows) > 0.8
+    assert all(x.n <= x.wrong for x in cleaning.confident_joint(df, 4).collect())
+    assert not cleaning.label_issues(df.limit(0), 4).count()
+    told = df.where("p is not null and label is not null").withColumn("d", cleaning.disagreeing(F.col("label"), F.col("p"), 0.7)).where("d").collect()
+    assert {x.i for x in told} == {i for i, y, p, _ in rows if max(p) >= 0.7 and p.index(max(p)) != y}
+
+
+def test_explanations_name_what_a_bucket_holds(spark, monkeypatch):
+    """Two names in one bucket: each tells its share; a commit with one of them is told by that one alone."""
+    named = spark.createDataFrame([(1, "a:one", 0.75), (1, "a:two", 0.25), (1, "a:zero", 1.0), (2, "a:two", 0.5)], "commit_id bigint, feature string, weight double")
+    monkeypatch.setattr(softmax.text, "bucket", lambda f: F.when(f == "a:zero", 9).otherwise(5))
+    dense = spark.createDataFrame([(1, [0.0, 2.0])], "commit_id bigint, dense array<double>")
+    weights = spark.createDataFrame([(5, [1.0, -1.0]), (9, [0.5, 0.5]), (softmax.SLOTS + 1, [-1.0, 0.25])], "id int, w array<double>")
+    z = spark.createDataFrame([(1, [3.0, 2.0]), (2, [0.0, 1.0])], "commit_id bigint, z array<double>")
+    found = {(x.commit_id, x.side, x.rank): (x.margin, [(n["name"], n["share"]) for n in x.names]) for x in softmax.explain(named, dense, weights, z).collect()}
+    assert found == {(1, "for", 1): (2.0, [("a:one", 0.75), ("a:two", 0.25)]), (1, "against", 1): (-2.5, [("lines_added", 1.0)]), (2, "against", 1): (-1.0, [("a:two", 1.0)])}
