@@ -16,14 +16,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Unset, as in tests, it is a temporary one, but only where all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="driftwood-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        name = spark.sparkContext.applicationId
+        if name not in _folders:
+            _folders[name] = tempfile.mkdtemp(prefix="driftwood-")
+        found = _folders[name]
     return found
 
 

@@ -23,6 +23,8 @@ ORDER = 3
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 MOST_BYTES = 16 << 20
+#: Rows that are sent to every task at most.
+MOST_SENT = 20_000
 #: A score says how sure so many bytes of the text would make it, or the whole text, if shorter.
 EVIDENCE = 64
 
@@ -31,8 +33,11 @@ def training_sample(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(lang, text) of labelled documents: all of a language with at most most_bytes of text, else a share of them by hash that holds about so much."""
     labelled = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text").cast("bigint")).alias("size"))
-    share = F.broadcast(sizes.select("lang", F.least(F.lit(1.0), F.lit(float(most_bytes)) / F.col("size")).alias("share")))
-    return labelled.join(share, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
+    share = materialise(sizes.select("lang", F.least(F.lit(1.0), F.lit(float(most_bytes)) / F.col("size")).alias("share")))
+    # a row a language goes to every task if these are few; texts are dealt by language else
+    few = share.limit(MOST_SENT + 1).count() <= MOST_SENT
+    held = labelled.join(F.broadcast(share) if few else share, "lang")
+    return held.where(F.pmod("h", F.lit(1 << 62)) < F.col("share") * float(1 << 62)).select("lang", "text")
 
 
 def ngram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:

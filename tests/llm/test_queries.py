@@ -47,3 +47,23 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[3][1](spark, docs, SF).toPandas()
     assert set(packed.doc_id) == kept and packed.groupby("sequence_id").length.sum().max() <= 4096
     assert len(packed) == corpus_pipeline.run(spark, SF).count()
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, fp string, stratum string, bin int, held string"
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd"])
+def test_pipeline_stages_on_odd_tables(spark, tmp_path, kind):
+    """Each stage on an empty table, and on one with null ids and texts, repeated rows and columns of the operators' own names."""
+    prose = " ".join(f"word{k} and some more of the text" for k in range(30))
+    rows = [(None, None, None, None, None, *["x"] * 3, 1, "x"), (None, prose, "en", "s", 1, *["x"] * 3, 1, "x"), *[(1, prose, "en", "s", 1, *["x"] * 3, 1, "x")] * 2, (2, "", "en", "s", 0, *["x"] * 3, 1, "x"), (3, prose + " end", None, None, 9, *["x"] * 3, 1, "x")]
+    docs = spark.createDataFrame(rows if kind == "odd" else [], SCHEMA)
+    spark.createDataFrame([(1, 1, 0), (None, 0, None)] if kind == "odd" else [], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = common.materialise(stage(spark, docs, str(tmp_path)))
+        assert out.columns == docs.columns and out.count() <= docs.count(), name
+        docs = out
+    packed = corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path))
+    assert (packed.count() > 0) == (docs.count() > 0)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
