@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwood.functions import fixed, headers, paths, text
-from driftwood.operators import classify, cleaning, decisions, diffs, features, history, messages, neighbours, reports, scoring, softmax, tables, training
+from driftwood.operators import boosting, classify, cleaning, decisions, diffs, features, history, messages, neighbours, reports, scoring, softmax, tables, training
 from driftwood.plans import corpora as C
 from driftwood.plans import duck as K
 from driftwood.sources import log as logs
@@ -718,30 +718,52 @@ def train_lr(spark, sf_dir):
 _LEARN = "CASE WHEN n_chars > 8000 THEN 10 ELSE 2 * CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END + (n_chars > 1500)::INT END"
 
 
+def learnable(spark, sf_dir):
+    """(commit_id, repo, label, fold) of documents, as commits of their source; a repo is on one side."""
+    label = F.expr(_LEARN.replace("(n_chars > 1500)::INT", "int(n_chars > 1500)"))
+    docs = C.read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("commit_id"), F.col("source").alias("repo"), label.alias("label"))
+    return training.split_by(docs, "repo", 0.15)
+
+
+def document_slots(spark, sf_dir):
+    """(commit_id, dense): the structural slots of each document, its message left out."""
+    files, lines, _ = (df.where("commit_id >= 0") for df in C.changes(spark, sf_dir))
+    whole = features.file_counters(files.withColumns({"binary": F.lit(False), "mode": F.lit("")}))
+    more = files.select("commit_id").distinct().select("commit_id", F.lit(None).cast("bigint").alias("hunks"), F.lit(False).alias("truncated"), F.lit(False).alias("has_message"))
+    return features.dense(whole, features.keyword_counts(lines), features.category_shares(files), features.space_only_similarity(lines), features.token_jaccard(lines), features.version_bump(lines), more)
+
+
 def training_examples(spark, sf_dir):
     """Documents as commits of their source: EXAMPLE rows with repo and fold, each commit without its message, and a sample of the training ones with it."""
     files, lines, said = (df.where("commit_id >= 0") for df in C.changes(spark, sf_dir))
-    docs = C.read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("commit_id"), F.col("source").alias("repo"), F.expr(_LEARN.replace("::INT", "").replace("(n_chars > 1500)", "int(n_chars > 1500)")).alias("label"))
-    docs = training.split_by(docs, "repo", 0.15)
-    whole = features.file_counters(files.withColumns({"binary": F.lit(False), "mode": F.lit("")}))
-    shares = features.category_shares(files)
     base = features.log_tf_l2(features.token_counts(lines).withColumn("grp", F.lit("code")).unionByName(features.path_counts(files.withColumn("binary", F.lit(False))).withColumn("grp", F.lit("path"))))
     hashed_ = features.hashed(base)
     message = features.hashed(features.log_tf_l2(features.message_counts(said.withColumnRenamed("subject", "message"))))
     both = training.with_message_dropout(hashed_, message)
-    more = files.select("commit_id").distinct().select("commit_id", F.lit(None).cast("bigint").alias("hunks"), F.lit(False).alias("truncated"), F.lit(False).alias("has_message"))
-    dense = features.dense(whole, features.keyword_counts(lines), shares, features.space_only_similarity(lines), features.token_jaccard(lines), features.version_bump(lines), more)
     key = F.col("commit_id") * 2 + F.col("has_message").cast("bigint")
     slot = fixed.DENSE_MESSAGE
-    twice = dense.select("commit_id", "dense", F.explode(F.array(F.lit(False), F.lit(True))).alias("has_message")).withColumn("dense", F.transform("dense", lambda v, i: F.when((i == slot) & F.col("has_message"), 1.0).otherwise(v)))
+    twice = document_slots(spark, sf_dir).select("commit_id", "dense", F.explode(F.array(F.lit(False), F.lit(True))).alias("has_message")).withColumn("dense", F.transform("dense", lambda v, i: F.when((i == slot) & F.col("has_message"), 1.0).otherwise(v)))
     rows = softmax.sparse_rows(both.select(key.alias("commit_id"), "bucket", "weight"), twice.select(key.alias("commit_id"), "dense"))
     kept = both.select(key.alias("commit_id"), "has_message").distinct()
-    named = rows.join(kept, "commit_id").select(F.expr("commit_id div 2").alias("commit_id"), "has_message", "ids", "x").join(docs, "commit_id")
+    named = rows.join(kept, "commit_id").select(F.expr("commit_id div 2").alias("commit_id"), "has_message", "ids", "x").join(learnable(spark, sf_dir), "commit_id")
     return named.where("fold = 'train' or not has_message")
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_LEARN} AS label, CASE WHEN ('0x' || substr(md5(source), 1, 8))::BIGINT / 4294967296 < 0.15 THEN 'test' ELSE 'train' END AS fold FROM documents WHERE text IS NOT NULL)
-  SELECT fold, {C._sql_list(CLASSES)}[label + 1] AS class, count(*) AS n, true AS better FROM d GROUP BY ALL""")
+def judged_folds(told, learn):
+    """(fold, class, n, better) of told (fold, label, p): commits of each fold and class, and whether the fold's mean log loss is lower than that of the classes' shares in `learn`."""
+    share = learn.groupBy("label").agg(F.count("*").alias("k"))
+    total = share.agg(F.sum("k").alias("total"))
+    judged = told.join(share, "label", "left").crossJoin(F.broadcast(total))  # total: one row
+    loss = judged.groupBy("fold").agg((F.avg(-F.log(F.get("p", F.col("label")) + 1e-12)) < F.avg(-F.log(F.coalesce("k", F.lit(1)) / F.col("total")))).alias("better"))
+    counted = told.groupBy("fold", F.get(F.array(*[F.lit(c) for c in CLASSES]), F.col("label")).alias("class")).agg(F.count("*").alias("n"))
+    return counted.join(loss, "fold").select("fold", "class", "n", "better")
+
+
+FOLDS_SQL = f"""WITH d AS (SELECT doc_id, {_LEARN} AS label, CASE WHEN ('0x' || substr(md5(source), 1, 8))::BIGINT / 4294967296 < 0.15 THEN 'test' ELSE 'train' END AS fold FROM documents WHERE text IS NOT NULL)
+  SELECT fold, {C._sql_list(CLASSES)}[label + 1] AS class, count(*) AS n, true AS better FROM d GROUP BY ALL"""
+
+
+@query(FOLDS_SQL)
 def train_sparse(spark, sf_dir):
     """The global model on the hashed vector and the structural slots, trained on four fifths and more of the repos: how many commits each fold and class has, and
     whether the model's mean log loss on the fold, message left out, is lower than that of the training set's shares of the classes."""
@@ -749,15 +771,20 @@ def train_sparse(spark, sf_dir):
     learn = rows.where("fold = 'train'")
     weight = softmax.balance(learn)
     by_class = F.element_at(F.create_map(*[F.lit(x) for pair in weight.items() for x in pair]), F.col("label"))
-    fitted = softmax.fit(learn.select((F.col("commit_id") * 2 + F.col("has_message").cast("bigint")).alias("commit_id"), "label", by_class.alias("weight"), "ids", "x"), CLASSES, l2=1e-4, iterations=12, tolerance=1e-3)
+    fitted = softmax.fit(learn.select((F.col("commit_id") * 2 + F.col("has_message").cast("bigint")).alias("commit_id"), "label", by_class.alias("weight"), "ids", "x"), CLASSES, l2=1e-4, iterations=8, tolerance=1e-3)
     alone = rows.where("not has_message")
     told = softmax.score(alone, fitted.weights, len(CLASSES), keep=("fold", "label")).withColumn("p", softmax.probabilities("z"))
-    share = learn.where("not has_message").groupBy("label").agg(F.count("*").alias("k"))
-    total = share.agg(F.sum("k").alias("total"))
-    judged = told.join(share, "label", "left").crossJoin(F.broadcast(total))  # total: one row
-    loss = judged.groupBy("fold").agg((F.avg(-F.log(F.get("p", F.col("label")) + 1e-12)) < F.avg(-F.log(F.coalesce("k", F.lit(1)) / F.col("total")))).alias("better"))
-    counted = told.groupBy("fold", F.get(F.array(*[F.lit(c) for c in CLASSES]), F.col("label")).alias("class")).agg(F.count("*").alias("n"))
-    return counted.join(loss, "fold").select("fold", "class", "n", "better")
+    return judged_folds(told, learn.where("not has_message"))
+
+
+@query(FOLDS_SQL)
+def train_trees(spark, sf_dir):
+    """Boosted trees on the structural slots alone, judged as train_sparse is."""
+    rows = document_slots(spark, sf_dir).join(learnable(spark, sf_dir), "commit_id").select("commit_id", "fold", "label", F.lit(1.0).alias("weight"), F.col("dense").alias("x"))
+    rows = tables.written(rows)
+    trees = boosting.fit(rows.where("fold = 'train'"), len(CLASSES), len(DENSE_SLOTS), rounds=4)
+    told = boosting.score(rows, trees, ("fold", "label")).withColumn("p", softmax.probabilities("z"))
+    return judged_folds(told, rows.where("fold = 'train'"))
 
 
 # --- labels that are likely wrong

@@ -11,7 +11,7 @@ from driftwood import sinks, sources, streaming
 from driftwood.sources import log as logs
 from driftwood.sources.index import VersionedIndex
 from driftwood.functions import fixed, text
-from driftwood.operators import classify, cleaning, decisions, diffs, features, history, messages, neighbours, reports, scoring, softmax, training
+from driftwood.operators import boosting, classify, cleaning, decisions, diffs, features, history, messages, neighbours, reports, scoring, softmax, training
 
 PATCH = '''some preamble
 diff --git a/src/a b.py b/src/a b.py
@@ -689,3 +689,48 @@ def test_explanations_name_what_a_bucket_holds(spark, monkeypatch):
     z = spark.createDataFrame([(1, [3.0, 2.0]), (2, [0.0, 1.0])], "commit_id bigint, z array<double>")
     found = {(x.commit_id, x.side, x.rank): (x.margin, [(n["name"], n["share"]) for n in x.names]) for x in softmax.explain(named, dense, weights, z).collect()}
     assert found == {(1, "for", 1): (2.0, [("a:one", 0.75), ("a:two", 0.25)]), (1, "against", 1): (-2.5, [("lines_added", 1.0)]), (2, "against", 1): (-1.0, [("a:two", 1.0)])}
+
+
+# --- boosted trees
+
+
+def test_boosted_trees_learn_what_a_linear_model_cannot(spark):
+    r = np.random.default_rng(5)
+    x = r.random((1500, 4))
+    label = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(int) + 2 * (x[:, 2] > 0.8)
+    rows = [(int(i), int(y), 1.0, [float(v) for v in xs]) for i, (xs, y) in enumerate(zip(x, label, strict=True))]
+    df = spark.createDataFrame(rows, "commit_id bigint, label int, weight double, x array<double>").repartition(3)
+    test = F.col("commit_id") % 4 == 0
+    trees = boosting.fit(df.where(~test).unionByName(df.limit(1).withColumn("label", F.lit(None).cast("int"))), 4, 4, rounds=6)
+    told = boosting.score(df.where(test), trees, ("commit_id", "label")).collect()
+    loss = -np.mean([x.z[x.label] - np.log(np.exp(x.z).sum()) for x in told])
+    assert np.mean([int(np.argmax(x.z)) == x.label for x in told]) > 0.93
+    ids = F.array(*[F.lit(softmax.SLOTS + k) for k in range(4)], F.lit(softmax.BIAS))
+    sparse = df.select("commit_id", "label", "weight", ids.alias("ids"), F.concat("x", F.array(F.lit(1.0))).alias("x"))
+    linear = softmax.fit(sparse.where(~test), list("abcd"), l2=1e-4, iterations=8)
+    other = softmax.score(sparse.where(test), linear.weights, 4, keep=("label",)).collect()
+    assert loss < -np.mean([x.z[x.label] - np.log(np.exp(x.z).sum()) for x in other]) - 0.2
+
+
+def test_best_split_by_brute_force():
+    r = np.random.default_rng(6)
+    sums = np.abs(r.normal(1, 1, (2, 2, 3, 5, 2)))
+    sums[..., 0] = r.normal(0, 1, sums.shape[:-1])
+    sums[:, :, 1:] *= sums[:, :, :1].sum(3, keepdims=True) / sums[:, :, 1:].sum(3, keepdims=True)  # all slots hold the same rows
+    slot, cut, sides = boosting.best_splits(sums, 1.0, 0.5)
+    for c in range(2):
+        for n in range(2):
+            best = (1e-12, 0, 4)
+            for s in range(3):
+                for b in range(5):
+                    a, z = sums[c, n, s, : b + 1].sum(0), sums[c, n, s, b + 1 :].sum(0)
+                    if min(a[1], z[1]) >= 0.5:
+                        best = max(best, (a[0] ** 2 / (a[1] + 1) + z[0] ** 2 / (z[1] + 1) - (a + z)[0] ** 2 / ((a + z)[1] + 1), s, b), key=lambda x: x[0])
+            assert (slot[c, n], cut[c, n]) == best[1:]
+            assert sides[c, n].sum(0) == pytest.approx(sums[c, n, slot[c, n]].sum(0))
+
+
+def test_boosted_trees_of_nothing(spark):
+    df = spark.createDataFrame([], "commit_id bigint, label int, weight double, x array<double>")
+    trees = boosting.fit(df, 2, 3)
+    assert not trees.rounds and not boosting.score(df, trees).count()
