@@ -12,6 +12,7 @@ from driftwood.operators import boosting, classify, cleaning, decisions, diffs,
 from driftwood.plans import corpora as C
 from driftwood.plans import duck as K
 from driftwood.sources import log as logs
+from driftwood.streaming import replay as states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -489,6 +490,25 @@ def meta_predict(spark, sf_dir):
     return rows.select("event_id", *[r6(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(N5)])
 
 
+_X = lambda i: f"x{i}"
+REPLAYED = f"""WITH {FILE_CTE}, ex AS (SELECT event_id, repo, pos, type, list_position(pl, list_max(pl)) - 1 AS guess, unnest(range({N5})) AS g, unnest(pl) AS pg FROM (SELECT *, [{', '.join(f'p{i}' for i in range(N5))}] AS pl FROM prior)),
+  cx AS (SELECT event_id, pg, {_CASES(lambda i, t: f"count(*) FILTER (WHERE guess = g AND type = '{t}') OVER w + 0.2 + CASE WHEN g = {i} THEN 2.0 ELSE 0.0 END AS x{i}")} FROM ex WINDOW w AS (PARTITION BY repo, g ORDER BY pos RANGE BETWEEN 1000 PRECEDING AND 1 PRECEDING)),
+  cf AS (SELECT event_id, {_CASES(lambda i, t: f"sum(pg * x{i} / ({' + '.join(map(_X, range(N5)))})) AS c{i}")} FROM cx GROUP BY event_id)
+  SELECT event_id, size, seen, {_CASES(lambda i, t: f"{s6(f'p{i}')} AS p_{t}, {s6(f'c{i}')} AS c_{t}, {s6(f'q{i}')} AS q_{t}")} FROM file JOIN cf USING (event_id)"""
+
+
+@query(REPLAYED)
+def stateful_replay(spark, sf_dir):
+    """Events replayed commit by commit from a state by repo: prior, the prior through the confusion before, files."""
+    own = spark.newSession()  # with a state store of its own; other queries' stays
+    own.conf.set(states.STATE_STORE, states.ROCKS)
+    e = event_prior(own, sf_dir)
+    told = states.replayed(e.select("repo", F.lpad(F.col("event_id").cast("string"), 20, "0").alias("sha"), "ts", "type", F.col("prior").alias("p"), F.array("path").alias("paths")).withColumn("repo", F.col("repo").cast("string")), C.EVENT_TYPES)
+    kept = spark.read.schema(told.schema).parquet(tables.placed(told, "parquet"))
+    each = [r6(F.get(name, F.lit(i))).alias(f"{short}_{t}") for i, t in enumerate(C.EVENT_TYPES) for name, short in (("prior", "p"), ("conf", "c"), ("file", "q"))]
+    return kept.select(F.col("sha").cast("bigint").alias("event_id"), "size", "seen", *each)
+
+
 def event_index(spark, sf_dir):
     return C.events(spark, sf_dir).select("repo", F.col("event_id").cast("string").alias("sha"), "pos", F.col("event_id").alias("ts"), "type", "path")
 

@@ -1,4 +1,4 @@
-"""Extensions: the history index kept up to date from a stream of commits, and each commit's prior from a state by repo."""
+"""Extensions: the history index kept up to date from a stream of commits, and each commit's prior from a state by repo (replay.py: all its evidence)."""
 
 from __future__ import annotations
 
