@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwood.functions import fixed, headers, paths, text
-from driftwood.operators import boosting, classify, cleaning, decisions, diffs, features, history, messages, neighbours, reports, scoring, softmax, tables, training
+from driftwood.operators import boosting, classify, cleaning, decisions, diffs, features, history, messages, neighbours, reports, scoring, softmax, sweep, tables, training
 from driftwood.plans import corpora as C
 from driftwood.plans import duck as K
 from driftwood.sources import log as logs
@@ -807,6 +807,26 @@ def train_trees(spark, sf_dir):
     return judged_folds(told, rows.where("fold = 'train'"))
 
 
+#: Square and absolute penalties, examples as they are or weighted by class.
+SWEPT = [(l2, l1, mode) for l2 in (1e-3, 1e-4, 1e-5) for l1, mode in ((0.0, "none"), (0.0, "root"), (1e-5, "none"))]
+SWEEP_KEEPS = [20_000, 1 << 20]
+
+
+@query(f"""WITH d AS (SELECT md5(source) AS h FROM documents WHERE text IS NOT NULL), t AS (SELECT count(*) AS n FROM d WHERE ('0x' || substr(h, 1, 8))::BIGINT / 4294967296 < 0.15)
+  SELECT s::INT AS setting, k::BIGINT AS keep, n, true AS better FROM t, (SELECT unnest(range({len(SWEPT)})) AS s), (SELECT unnest({SWEEP_KEEPS}) AS k) WHERE n > 0""")
+def train_sweep(spark, sf_dir):
+    """Nine settings of the global model fitted in one go, each cut to two sizes: on how many held-out commits it is measured, and whether its mean log loss is lower than that of the training set's shares."""
+    rows = tables.written(training_examples(spark, sf_dir).where("not has_message").select("commit_id", "fold", "label", F.lit(1.0).alias("weight"), "ids", "x"))
+    learn, held = rows.where("fold = 'train'"), rows.where("fold = 'test'")
+    by_class = {mode: softmax.balance(learn, mode) for mode in ("none", "root")}
+    settings = [sweep.Setting(l2, l1, tuple(by_class[mode].get(c, 1.0) for c in range(len(CLASSES)))) for l2, l1, mode in SWEPT]
+    found = sweep.measures(held, sweep.fit(learn, CLASSES, settings, iterations=4, tolerance=1e-3), SWEEP_KEEPS)
+    share = learn.groupBy("label").agg(F.count("*").alias("k"))
+    total = share.agg(F.sum("k").alias("total"))
+    plain = held.join(share, "label", "left").crossJoin(F.broadcast(total)).agg(F.avg(-F.log(F.coalesce("k", F.lit(1)) / F.col("total"))).alias("plain"))  # total: one row
+    return found.crossJoin(F.broadcast(plain)).select("setting", "keep", F.col("n").cast("bigint").alias("n"), (F.col("nll") < F.col("plain")).alias("better"))  # plain: one row
+
+
 # --- labels that are likely wrong
 
 JOINT_CTE = f"""{PRIOR_CTE}, lp AS (SELECT event_id, list_position({C._sql_list(C.EVENT_TYPES)}, type) - 1 AS label, [{', '.join(f'p{i}' for i in range(N5))}] AS p FROM prior), tt AS (SELECT [{', '.join(f'coalesce(avg(p[{i + 1}]) FILTER (WHERE label = {i}), 1)' for i in range(N5))}] AS t FROM lp),
