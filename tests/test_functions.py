@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,17 @@ def test_tokens(spark):
     assert evaluate(spark, lines, text.tokens) == [plain_tokens(x) for x in lines]
 
 
+def test_tokens_of_a_batch():
+    r = random.Random(5)
+    lines = ["getHTTPResponse2xx(user_id)", "", "x" * 25, "éÀb ß12", " ", "ab", "Cd", "7", "HTTPServer", "ΟΔΟΣ İx", "1" * 30, " ".join(["ab"] * 50)] + ["".join(r.choice("abXYZ09_ é(") for _ in range(r.randrange(60))) for _ in range(500)] + [""]
+    for some in (lines, lines[3:9], [""], []):
+        row, code, names = text.split_tokens(pa.array(lines, pa.string()).slice(3, 6) if len(some) == 6 else pa.array(some, pa.string()))
+        found = [[] for _ in some]
+        for k, c in zip(row, code, strict=True):
+            found[k].append(names[int(c)].as_py())
+        assert found == [plain_tokens(x) for x in some]
+
+
 def test_bucket(spark):
     def fnv(s):
         h = 0xCBF29CE484222325
