@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from driftwood.operators import classify, history
@@ -86,3 +87,53 @@ def test_idle_repos_are_dropped(rocks, tmp_path):
 def test_other_state_store_is_refused(spark):
     with pytest.raises(ValueError, match="RocksDB"):
         replay.replayed(spark.createDataFrame([], SCHEMA), CLASSES)
+
+
+class Calls:
+    """A state without a store: a value, or a map that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.map, self.n = None, {}, 0
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getValue(self, key):
+        self.n += 1
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.n += 1
+        self.map[key] = value
+
+    def containsKey(self, key):
+        self.n += 1
+        return key in self.map
+
+    def removeKey(self, key):
+        self.n += 1
+        del self.map[key]
+
+
+@pytest.mark.parametrize("window", [70, 1000])
+def test_state_of_many_paths_takes_few_calls(window):
+    commit = Row("sha", "ts", "type", "p", "paths")
+    commits = [commit(f"s{k:04}", k, CLASSES[k * k % 3], [0.2, 0.5, 0.3], [f"d{k * 7 % 401}", f"e{k}"]) for k in range(600)]
+
+    def told(size):
+        repo = replay._Repo(CLASSES, window, None)
+        repo.sums, repo.ring, repo.paths = Calls(), Calls(), Calls()
+        found = [r for low in range(0, 600, size) for r in repo.handleInputRows(("r",), iter(commits[low : low + size]), None)]
+        return found, repo
+
+    (whole, one), (parts, several) = told(600), told(50)
+    assert one.ring.n + one.paths.n <= 60
+    assert [r.sha for r in whole] == [r.sha for r in parts] == [r.sha for r in commits]
+    for a, b in zip(whole, parts, strict=True):
+        assert (a.size, a.seen) == (b.size, b.seen) and a.prior == pytest.approx(b.prior) and a.conf == pytest.approx(b.conf) and a.file == pytest.approx(b.file)
+    held = {name for names, _ in several.paths.map.values() for name in names}
+    assert held == {f for r in commits[-window:] for f in r.paths} and several.sums.value[4] == len(held)
+    assert sum(r.seen for r in whole) == sum(window >= 401 and k >= 401 for k in range(600))
