@@ -98,7 +98,12 @@ def ranked(values: str | Column, classes: list[str]) -> Column:
 
 
 def file_evidence(commits: DataFrame, touched: DataFrame, classes: list[str], window: int = fixed.WINDOW, smooth: float = fixed.FILE_SMOOTH, wide: bool = False) -> DataFrame:
-    """(repo, pos, seen, file): how the types of earlier commits spread over the files that a commit touches.
+    """(repo, pos, seen, file): with_files() without the commits' other columns."""
+    return with_files(commits, touched, classes, window, smooth, wide).select("repo", "pos", "seen", "file")
+
+
+def with_files(commits: DataFrame, touched: DataFrame, classes: list[str], window: int = fixed.WINDOW, smooth: float = fixed.FILE_SMOOTH, wide: bool = False) -> DataFrame:
+    """Adds seen and file: how the types of earlier commits spread over the files that a commit touches.
 
     commits: with prior. touched: (repo, pos, path, type), a row a path. For each path that was seen, the shares of its types are
     taken; their mean is smoothed. Without such a path it is the prior. The frame is a range over pos: it holds
@@ -109,7 +114,7 @@ def file_evidence(commits: DataFrame, touched: DataFrame, classes: list[str], wi
     total = sum(counts[1:], counts[0])
     shares = per_path.where(total > 0).groupBy("repo", "pos").agg(F.array(*[F.avg(n / total) for n in counts]).alias("mean"))
     joined = commits.join(shares, ["repo", "pos"], "left")
-    return joined.select("repo", "pos", F.col("mean").isNotNull().alias("seen"), F.coalesce(F.transform("mean", lambda m: (m + smooth) / (1 + smooth * len(classes))), F.col("prior")).alias("file"))
+    return joined.select(*[joined[c] for c in commits.columns], F.col("mean").isNotNull().alias("seen"), F.coalesce(F.transform("mean", lambda m: (m + smooth) / (1 + smooth * len(classes))), F.col("prior")).alias("file"))
 
 
 def confusion(guessed: DataFrame, classes: list[str], diagonal: float = fixed.CONF_DIAGONAL, smooth: float = fixed.CONF_SMOOTH) -> DataFrame:
