@@ -133,6 +133,20 @@ def corrected(scored: DataFrame, matrix: DataFrame) -> DataFrame:
     return scored.join(m, ["repo", "guess"]).groupBy("repo", "commit_id", "type").agg(F.sum(F.col("p") * F.col("m")).alias("p"))
 
 
+def corrected_arrays(guessed: DataFrame, classes: list[str], diagonal: float = fixed.CONF_DIAGONAL, smooth: float = fixed.CONF_SMOOTH) -> DataFrame:
+    """guessed (repo, guess, type, p array over classes, ...) with conf: p through the repo's confusion() as in corrected(), an array.
+
+    A repo's matrix is one row of counts, so rows stay as many as they are, and rows that are dealt by repo stay where they are.
+    """
+    size = range(len(classes))
+    cells = [F.count_if((F.col("guess") == g) & (F.col("type") == t)) for g in classes for t in classes]
+    matrix = guessed.groupBy("repo").agg(F.array(*cells).alias("_n"))
+    cell = lambda g, t: F.get("_n", F.lit(g * len(classes) + t)) + F.lit(smooth + (diagonal if g == t else 0.0))
+    held = matrix.select("repo", F.array(*[F.array(*[cell(g, t) / sum((cell(g, x) for x in size), F.lit(0.0)) for t in size]) for g in size]).alias("_m"))
+    through = F.array(*[sum((F.get("p", F.lit(g)) * F.get(F.get("_m", F.lit(g)), F.lit(t)) for g in size), F.lit(0.0)) for t in size])
+    return guessed.join(held, "repo").withColumn("conf", through).drop("_m")
+
+
 def missing(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """Commits that the index lacks."""
     return wanted.join(cache, ["repo", "sha"], "left_anti")
