@@ -146,3 +146,17 @@ def test_rule_patterns_are_portable():
     """No look-around or back-references: the other engine's expressions lack them."""
     for _, always, unless in paths.RULES:
         assert not any(re.search(r"\(\?[=!<]|\\[1-9]", p) for p in always + unless)
+
+
+def test_trim_of_lines_with_and_without_white_space(spark):
+    lines = ["", "a", " a", "a ", "\ta b\u00a0", "\u2003x\u3000", "é", "é ", "a\u0085", "\x1fa", "~ !", None, "   "]
+    plain = spark.createDataFrame([(x,) for x in lines], "x string").select(F.regexp_replace("x", r"(?U)^\s+|\s+$", "")).collect()
+    assert evaluate(spark, lines, text.trim) == [r[0] for r in plain]
+
+
+def test_words_are_found_by_their_bytes(spark):
+    lines = [f"x{w}y" for w in (*fixed.TEST_WORDS, *fixed.ERROR_WORDS, *fixed.NULL_WORDS)] + ["", "a.b", "require.x(t,", "é"]
+    for f, words in ((text.has_test_word, fixed.TEST_WORDS), (text.has_error_word, fixed.ERROR_WORDS), (text.has_null_word, fixed.NULL_WORDS)):
+        also = lambda x: f is text.has_test_word and "require." in x and "(t," in x  # noqa: E731, B023
+        assert evaluate(spark, lines, f) == [any(w in x for w in words) or also(x) for x in lines]
+    assert "RLIKE" not in str(text.has_log_word(F.col("x"))).upper()
